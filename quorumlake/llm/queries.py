@@ -58,9 +58,15 @@ def op10_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.deduplicate(read(spark, sf_dir, "documents")).withColumnRenamed("kept_sha", "kept_sha256")
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline  # it uses this module
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     ops = (op1_packing, op2_mixing, op3_embeddings, op4_simhash, op5_quality, op6_licenses, op7_toxicity, op8_url_rules, op9_language, op10_substrings)
-    return {f.__name__: f for f in ops}
+    return {f.__name__: f for f in ops} | {"pipeline": pipeline}
 
 
 OP8_SQL = r"""

@@ -15,7 +15,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quorumlake.llm.common import map_arrow, text_of
@@ -26,17 +26,27 @@ from quorumlake.session import staged
 BUCKET = 64
 
 
-def _fingerprint(text: bytes, shingle: int) -> int:
+def _shingles(text: bytes, shingle: int, seed: int = 42) -> np.ndarray:
+    """Hashes of a text's shingles, repeats included; of the whole sequence if it is shorter."""
     from xxhash import xxh64_intdigest
 
     words = text.lower().split()  # bytes.lower() changes A-Z only
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     joined = b" ".join(words)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     k = min(shingle, len(words))
     starts = np.concatenate(([0], ends[: len(words) - k] + 1)).tolist()
-    hashes = np.array([xxh64_intdigest(joined[a:b], 42) for a, b in zip(starts, ends[k - 1 :].tolist(), strict=True)], np.uint64)
+    return np.array([xxh64_intdigest(joined[a:b], seed) for a, b in zip(starts, ends[k - 1 :].tolist(), strict=True)], np.uint64)
+
+
+def _fingerprint(text: bytes, shingle: int) -> int:
+    return _majority(_shingles(text, shingle))
+
+
+def _majority(hashes: np.ndarray) -> int:
+    if not len(hashes):
+        return 0
     ones = np.zeros(64, np.int64)
     for at in range(0, len(hashes), 8192):  # bounded memory for very long texts
         part = hashes[at : at + 8192]
@@ -111,3 +121,65 @@ def near_duplicates(docs: DataFrame, radius: int = 3, shingle: int = 3) -> DataF
     named = nodes.join(joined, nodes["fp"] == joined["node"], "left").select("fp", F.coalesce("component", "fp").alias("root"), "least")
     roots = named.groupBy("root").agg(F.min("least").alias("component_id"))
     return found.join(named.join(roots, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
+
+
+#: Odd factors that turn one hash of a shingle into further, independent ones.
+_MIXERS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
+
+
+def _sketch(batch: pa.RecordBatch, shingle: int, verified: int, sketches: int) -> pa.RecordBatch:
+    import hashlib
+
+    digest, fps, grams = [], [], []
+    for text in batch.column(1).to_pylist():
+        hashes = _shingles(text, shingle)
+        digest.append(hashlib.blake2b(b" ".join(text.lower().split()), digest_size=16).digest())
+        own = []
+        for m in _MIXERS[:sketches]:
+            x = hashes * np.uint64(m)
+            own.append(_majority(x ^ (x >> np.uint64(31))))
+        fps.append(own)
+        grams.append(np.unique(_shingles(text, verified).view(np.int64)))
+    columns = [batch.column(0), pa.array(digest, pa.binary()), pa.array(fps, pa.list_(pa.int64())), pa.array(grams, pa.list_(pa.int64()))]
+    return pa.record_batch(columns, ["doc_id", "digest", "fps", "grams"])
+
+
+def groups(docs: DataFrame, similarity: float = 0.8, verified: int = 5, shingle: int = 2, radius: int = 4, sketches: int = 3) -> DataFrame:
+    """(doc_id, group_id) for rows in a group of two or more: near copies by word shingles.
+
+    Documents are linked if their sets of `verified`-word shingles have Jaccard similarity of
+    `similarity` or more. Such texts differ in more bits than one fingerprint's radius can cover, so
+    there are several fingerprints, of shorter shingles, each with its covering tables; a bucket
+    pairs each text with the bucket's first and with the one before it, in order of ids, and the
+    exact similarity decides. Texts equal but for case and white space are one node. group_id is the
+    group's smallest doc_id; null ids belong to no group.
+    """
+    rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("bigint"), text_of().cast("binary").alias("text"))
+    schema = "doc_id bigint, digest binary, fps array<bigint>, grams array<bigint>"
+    known = staged(map_arrow(rows, lambda b: _sketch(b, shingle, verified, sketches), schema), "sketches")
+    firsts = staged(known.groupBy("digest").agg(F.min("doc_id").alias("node")), "firsts")
+    nodes = known.join(firsts, (known["digest"] == firsts["digest"]) & (known["doc_id"] == firsts["node"]), "left_semi")
+    masks = F.array(*[F.lit(_signed(m)) for m in covering_masks(radius)])
+    tables = nodes.select("doc_id", F.posexplode("fps").alias("s", "fp")).select("doc_id", "s", "fp", F.posexplode(masks).alias("t", "m"))
+    keys = tables.select(F.xxhash64("s", "t", F.col("fp").bitwiseAND(F.col("m"))).alias("key"), F.col("doc_id").alias("b"))
+    bucket = Window.partitionBy("key").orderBy("b")
+    paired = keys.select("b", F.array(F.first("b").over(bucket), F.lag("b").over(bucket)).alias("a")).select("b", F.explode("a").alias("a"))
+    pairs = staged(paired.where("a < b").distinct(), "pairs")
+    sets = nodes.select(F.col("doc_id").alias("id"), "grams")
+    left = pairs.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b")
+    alike = F.size(F.array_intersect("x", "y")) >= similarity * F.size(F.array_union("x", "y"))
+    linked = left.where(alike & (F.size("x") > 0)).select("a", "b")
+    copies = known.select("doc_id", "digest").join(firsts, "digest").where("doc_id <> node").select(F.col("node").alias("a"), F.col("doc_id").alias("b"))
+    return connected_components(linked.unionByName(copies), "a", "b").select(F.col("node").alias("doc_id"), F.col("component").alias("group_id"))
+
+
+def one_of_each(docs: DataFrame, **options) -> DataFrame:
+    """docs without all but the smallest doc_id of each group; of rows that share an id, one stays.
+    Null ids stay. Columns as in docs."""
+    gone = staged(groups(docs, **options).where("doc_id <> group_id").select("doc_id"), "gone")
+    kept = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    again = docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1")
+    if again.isEmpty():
+        return kept
+    some = kept.where("doc_id is not null").dropDuplicates(["doc_id"])
+    return some.unionByName(kept.where("doc_id is null"))
