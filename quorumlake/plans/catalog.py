@@ -2,10 +2,531 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from quorumlake.functions import scalars
+from quorumlake.operators import baselines, certificates, checker, decisions, evaluation, ingest, partition, replication
+from quorumlake.plans import fixtures as fx
+from quorumlake.plans.fixtures import ENDED, EPOCHS, REPLICAS, sql, with_decisions, with_partition
+from quorumlake.schema import PAIR, SAME, UNKNOWN, Evidence
+from quorumlake.sources import generators, state
+from quorumlake.session import staged
+from quorumlake.streaming import ingest as stream
+
+N = len(fx.SOURCES)
+QUERIES: dict = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(oracle: str | None = None):
+    def keep(f):
+        QUERIES[f.__name__] = f
+        if oracle:
+            ORACLES[f.__name__] = oracle
+        return f
+
+    return keep
+
+
+def _decided(spark, d) -> DataFrame:
+    return decisions.decisions(fx.store(spark, d))
+
+
+def _views(spark, d) -> tuple[Evidence, DataFrame, DataFrame]:
+    store = fx.store(spark, d)
+    decided = staged(decisions.decisions(store), "decisions")
+    return store, decided, staged(partition.partition(store.handles, decided), "membership")
+
+
+def _arrivals(cells: DataFrame) -> DataFrame:
+    """Cells with a made-up order of arrival, no two alike."""
+    n = lambda c: F.substring(c, 2, 7).cast("bigint")
+    slot = F.col("epoch") * 5 + F.substring("source", 2, 1).cast("bigint")
+    return cells.withColumn("step", ((n("h_left") * 13 + n("h_right") * 7 + slot * 37) % 1009) * 10 + slot)
+
+
+ARRIVALS = "arrivals AS (SELECT *, ((l * 13 + r * 7 + (epoch * 5 + s) * 37) % 1009) * 10 + epoch * 5 + s AS step FROM cells)"
+
+
+# Ingest -------------------------------------------------------------------------------------------
+
+
+@query(sql("SELECT DISTINCT least(a, b) AS h_left, greatest(a, b) AS h_right FROM (SELECT CASE WHEN (l + r) % 2 = 0 THEN h_left ELSE h_right END AS a, CASE WHEN (l + r) % 2 = 0 THEN h_right ELSE h_left END AS b FROM cells)"))
+def canonical_relation(spark, d):
+    c = fx.cells(spark, d)
+    even = (F.col("l") + F.col("r")) % 2 == 0
+    return ingest.canonical(c.select(F.when(even, F.col("h_left")).otherwise(F.col("h_right")).alias("a"), F.when(even, F.col("h_right")).otherwise(F.col("h_left")).alias("b"))).distinct()
+
+
+@query(sql("SELECT handle FROM handles UNION SELECT h_left FROM cells UNION SELECT h_right FROM cells"))
+def handle_registry(spark, d):
+    return fx.handles(spark, d).unionByName(ingest.handles_of(fx.cells(spark, d))).distinct()
+
+
+@query(sql("SELECT h_left, h_right, epoch, source, count(DISTINCT vote || '/' || reason) AS bodies FROM (SELECT h_left, h_right, epoch, source, vote, 'derived ' || vote AS reason FROM cells UNION ALL SELECT h_left, h_right, epoch, source, vote, 'late copy' FROM cells WHERE (l * 3 + r) % 50 = 0 AND s = 1) GROUP BY ALL HAVING count(DISTINCT vote || '/' || reason) > 1"))
+def equivocation(spark, d):
+    c = fx.cells(spark, d)
+    copies = c.where("(l * 3 + r) % 50 = 0 and s = 1").withColumn("reason", F.lit("late copy"))
+    return ingest.equivocations(c.unionByName(copies))
+
+
+@query(sql("SELECT h_left, h_right, epoch, source, 'source must be registered' AS rule FROM cells WHERE s = 4 UNION ALL SELECT h_left, h_right, epoch - 1, source, 'epoch must not be negative' FROM cells WHERE epoch = 0 AND s <> 4 UNION ALL SELECT h_left, h_right, epoch - 1, source, 'epoch must not be negative' FROM cells WHERE epoch = 0 AND s = 4"))
+def domain_violations(spark, d):
+    c = fx.cells(spark, d)
+    moved = c.withColumn("epoch", F.when(F.col("epoch") == 0, -1).otherwise(F.col("epoch")).cast("bigint"))
+    found = ingest.domain_violations(moved, fx.SOURCES[:4])
+    return found.withColumn("epoch", F.when(F.col("rule").startswith("source"), F.greatest("epoch", F.lit(0))).otherwise(F.col("epoch")).cast("bigint"))
+
+
+# Decisions ----------------------------------------------------------------------------------------
+
+
+@query(sql("SELECT h_left, h_right, epoch, n_sources, sealed FROM epochs", EPOCHS))
+def sealed_epochs(spark, d):
+    return decisions.epochs(fx.cells(spark, d), N).select(*PAIR, "epoch", "n_sources", "sealed")
+
+
+@query(sql("SELECT h_left, h_right, max(epoch) FILTER (sealed) AS epoch FROM epochs GROUP BY ALL", EPOCHS))
+def highest_sealed_epoch(spark, d):
+    return decisions.highest_sealed(fx.cells(spark, d), N)
+
+
+@query(sql("SELECT h_left, h_right, epoch FROM epochs WHERE sealed ORDER BY ALL", EPOCHS))
+def sealed_report(spark, d):
+    return decisions.epochs(fx.cells(spark, d), N).where("sealed").select(*PAIR, "epoch").orderBy(*PAIR, "epoch")
+
+
+@query(with_decisions("SELECT * FROM decisions"))
+def decisions_of_relations(spark, d):
+    return _decided(spark, d)
+
+
+QUERIES["decisions"], ORACLES["decisions"] = QUERIES.pop("decisions_of_relations"), ORACLES.pop("decisions_of_relations")
+
+SLOTS = """slots2 AS (SELECT d.h_left, d.h_right, d.epoch, d.vote,
+  coalesce(string_agg(c.source, ',' ORDER BY c.source) FILTER (c.vote = 'same'), '') AS same_sources,
+  coalesce(string_agg(c.source, ',' ORDER BY c.source) FILTER (c.vote = 'different'), '') AS different_sources,
+  coalesce(string_agg(c.source, ',' ORDER BY c.source) FILTER (c.vote = 'unknown'), '') AS unknown_sources,
+  array_to_string(list_filter(['v0', 'v1', 'v2', 'v3', 'v4'], lambda x: NOT list_contains(list(c.source), x)), ',') AS missing_sources,
+  5 - count(*) AS missing, count(*) FILTER (c.vote = 'different') AS diff, count(*) FILTER (c.vote = 'same') AS same
+  FROM decisions d JOIN cells c USING (h_left, h_right, epoch) GROUP BY d.h_left, d.h_right, d.epoch, d.vote)"""
+
+
+@query(with_decisions("SELECT h_left, h_right, epoch, same_sources, different_sources, unknown_sources, missing_sources FROM slots2", SLOTS))
+def source_slots(spark, d):
+    s = decisions.source_slots(fx.store(spark, d), _decided(spark, d))
+    return s.select(*PAIR, "epoch", *[F.array_join(f"{n}_sources", ",").alias(f"{n}_sources") for n in ("same", "different", "unknown", "missing")])
+
+
+@query(with_decisions("SELECT h_left, h_right, missing + diff + greatest(0, 2 - same - missing - diff) AS gap FROM slots2 WHERE vote = 'unknown'", SLOTS))
+def authorization_gap(spark, d):
+    store = fx.store(spark, d)
+    unknown = decisions.decisions(store).where(F.col("vote") == UNKNOWN)
+    return decisions.authorization_gap(decisions.source_slots(store, unknown), store.threshold).select(*PAIR, F.col("gap").cast("bigint").alias("gap"))
+
+
+@query(sql("SELECT vote, count(*) AS n FROM (SELECT CASE vote WHEN 'different' THEN 'unknown' ELSE vote END AS vote FROM cells) GROUP BY vote"))
+def negative_mask(spark, d):
+    return decisions.negative_mask(fx.cells(spark, d)).groupBy("vote").agg(F.count("*").alias("n"))
+
+
+@query(with_decisions("SELECT h_left, h_right, CASE WHEN NOT sealed THEN 'unknown' WHEN same_count >= 2 THEN 'same' WHEN different_count > 0 THEN 'different' ELSE 'unknown' END AS vote FROM decisions"))
+def ablation_decisions(spark, d):
+    return decisions.decisions(fx.store(spark, d), relation_veto=False).select(*PAIR, "vote")
+
+
+# Baselines ----------------------------------------------------------------------------------------
+
+
+@query(sql("SELECT node AS handle, min(root) AS label FROM reach GROUP BY node", "same_edges AS (SELECT DISTINCT h_left, h_right FROM cells WHERE vote = 'same')", fx.COMPONENTS))
+def union_find(spark, d):
+    return baselines.union_find(fx.cells(spark, d), fx.handles(spark, d))
+
+
+@query(sql("SELECT h_left, h_right, max_by(vote, step) AS vote FROM arrivals GROUP BY ALL", ARRIVALS))
+def last_arrival(spark, d):
+    return baselines.last_arrival(_arrivals(fx.cells(spark, d)))
+
+
+@query(sql("SELECT h_left, h_right, max_by(vote, epoch * 100000 + step) AS vote FROM arrivals WHERE s = 1 GROUP BY ALL", ARRIVALS))
+def local_only(spark, d):
+    return baselines.local_only(_arrivals(fx.cells(spark, d)), "v1")
+
+
+@query("SELECT 'c' || lpad(CAST(c_custkey AS VARCHAR), 7, '0') AS handle, min('c' || lpad(CAST(c_custkey AS VARCHAR), 7, '0')) OVER (PARTITION BY c_mktsegment || c_nationkey) AS label FROM customer")
+def name_only(spark, d):
+    c = fx.table(spark, d, "customer")
+    return baselines.name_only(c.select(fx.handle("c_custkey").alias("handle"), F.concat("c_mktsegment", "c_nationkey").alias("token")))
+
+
+@query("SELECT * FROM (SELECT 'c' || lpad(CAST(c_custkey AS VARCHAR), 7, '0') AS h_left, lead('c' || lpad(CAST(c_custkey AS VARCHAR), 7, '0')) OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS h_right FROM customer) WHERE h_right IS NOT NULL")
+def chain_edges(spark, d):
+    c = fx.table(spark, d, "customer").select(fx.handle("c_custkey").alias("handle"), "c_nationkey", "c_custkey")
+    return baselines.chain_edges(c, "c_nationkey", "c_custkey")
+
+
+# Partitions ---------------------------------------------------------------------------------------
+
+
+@query(with_partition("SELECT * FROM membership"))
+def materialize(spark, d):
+    return partition.materialize(fx.store(spark, d))
+
+
+@query(with_partition("SELECT label, row_number() OVER (ORDER BY label) - 1 AS component FROM (SELECT DISTINCT label FROM membership)"))
+def component_ids(spark, d):
+    return partition.component_ids(_views(spark, d)[2])
+
+
+@query(with_partition("SELECT label, count(*) AS n, string_agg(handle, ',' ORDER BY handle) AS members FROM membership GROUP BY label"))
+def partition_signature(spark, d):
+    m = _views(spark, d)[2]
+    return m.groupBy("label").agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_list("handle")), ",").alias("members"))
+
+
+@query(with_partition("SELECT h_left, h_right, CASE WHEN vote <> 'same' THEN vote WHEN l_label = r_label THEN 'accepted' ELSE 'rejected' END AS status FROM ended", ENDED))
+def edge_status(spark, d):
+    _, decided, m = _views(spark, d)
+    return partition.edge_status(decided, m).select(*PAIR, "status")
+
+
+SEPARATORS = "separators AS (SELECT DISTINCT least(l_label, r_label) AS a, greatest(l_label, r_label) AS b FROM ended WHERE vote = 'different' AND l_label <> r_label)"
+
+
+@query(with_partition("SELECT * FROM separators", ENDED, SEPARATORS))
+def component_separators(spark, d):
+    _, decided, m = _views(spark, d)
+    return partition.separators(decided, m)
+
+
+@query(with_partition("SELECT a, b, e.h_left, e.h_right, missing + diff + greatest(0, 2 - same - missing - diff) AS gap FROM (SELECT *, least(l_label, r_label) AS a, greatest(l_label, r_label) AS b FROM ended WHERE vote = 'unknown' AND l_label <> r_label) e JOIN slots2 USING (h_left, h_right) ANTI JOIN separators USING (a, b)", ENDED, SEPARATORS, SLOTS))
+def quotient_edges(spark, d):
+    v = certificates.Views(fx.store(spark, d))
+    return partition.quotient_edges(v.gaps(), v.membership, v.separated).select("a", "b", *PAIR, F.col("gap").cast("bigint").alias("gap"))
+
+
+@query(with_decisions("SELECT h_left, h_right FROM decisions JOIN cc x ON h_left = x.handle JOIN cc y ON h_right = y.handle WHERE vote = 'different' AND x.cc = y.cc", "same_edges AS (SELECT h_left, h_right FROM decisions WHERE vote = 'same')", fx.COMPONENTS))
+def negative_violations(spark, d):
+    store = fx.store(spark, d)
+    decided = staged(decisions.decisions(store), "decisions")
+    return partition.negative_violations(decided, partition.partition(store.handles, decided, component_veto=False))
+
+
+@query()
+def ablation_factorial(spark, d):
+    """Components and violated negatives under each veto, on and off; cell counts hold for all."""
+    store = fx.store(spark, d)
+    truth = staged(decisions.decisions(store), "decisions")
+    out = None
+    for relation in (True, False):
+        decided = truth if relation else staged(decisions.decisions(store, False), "decisions")
+        for component in (True, False):
+            m = staged(partition.partition(store.handles, decided, component), "membership")
+            bad = partition.negative_violations(truth, m).agg(F.count("*").alias("violations"))
+            row = m.agg(F.count_distinct("label").alias("components")).crossJoin(bad).select(F.lit(relation).alias("relation_veto"), F.lit(component).alias("component_veto"), "components", "violations")
+            out = row if out is None else out.unionByName(row)
+    return out
+
+
+@query()
+def mutex_watershed(spark, d):
+    m, _ = partition.mutex_watershed(fx.handles(spark, d), staged(fx.weighted(spark, d, _decided(spark, d)), "weighted"))
+    return m
+
+
+@query()
+def mutex_edge_status(spark, d):
+    _, status = partition.mutex_watershed(fx.handles(spark, d), staged(fx.weighted(spark, d, _decided(spark, d)), "weighted"))
+    return status.groupBy("vote", "status").agg(F.count("*").alias("n"))
+
+
+# Certificates -------------------------------------------------------------------------------------
+
+ASKED = """asked AS (SELECT 'c' || lpad(CAST(l AS VARCHAR), 7, '0') AS q_left, 'c' || lpad(CAST(r AS VARCHAR), 7, '0') AS q_right FROM near),
+kinds AS (SELECT q_left, q_right, x.label AS l_label, y.label AS r_label, CASE WHEN x.label = y.label THEN 'same' WHEN s.a IS NOT NULL THEN 'different' ELSE 'ambiguous' END AS kind
+  FROM asked JOIN membership x ON q_left = x.handle JOIN membership y ON q_right = y.handle LEFT JOIN separators s ON s.a = least(x.label, y.label) AND s.b = greatest(x.label, y.label))"""
+
+
+@query(with_partition("SELECT q_left, q_right, kind FROM kinds", ENDED, SEPARATORS, ASKED))
+def certificate_kind(spark, d):
+    return certificates.classify(fx.queries_of(spark, d), certificates.Views(fx.store(spark, d))).select("q_left", "q_right", "kind")
+
+
+def _asked(spark, d, kind: str):
+    views = certificates.Views(fx.store(spark, d))
+    return staged(certificates.classify(fx.queries_of(spark, d), views).where(F.col("kind") == kind), "asked"), views
+
+
+@query()
+def cert_same(spark, d):
+    asked, views = _asked(spark, d, SAME)
+    return certificates.same_paths(asked, views).select("q_left", "q_right", F.array_join("path", ">").alias("path"))
+
+
+@query(with_partition("""SELECT q_left, q_right, w.h_left AS w_left, w.h_right AS w_right, w.epoch, c.source FROM kinds k
+ JOIN (SELECT least(l_label, r_label) AS a, greatest(l_label, r_label) AS b, h_left, h_right, epoch, row_number() OVER (PARTITION BY least(l_label, r_label), greatest(l_label, r_label) ORDER BY h_left, h_right) AS place FROM ended WHERE vote = 'different') w
+   ON w.a = least(k.l_label, k.r_label) AND w.b = greatest(k.l_label, k.r_label) AND place = 1
+ JOIN (SELECT h_left, h_right, epoch, min(source) AS source FROM cells WHERE vote = 'different' GROUP BY ALL) c ON c.h_left = w.h_left AND c.h_right = w.h_right AND c.epoch = w.epoch
+ WHERE kind = 'different'""", ENDED, SEPARATORS, ASKED))
+def cert_different(spark, d):
+    asked, views = _asked(spark, d, "different")
+    return certificates.witnesses(asked, views)
+
+
+@query()
+def cert_ambiguous(spark, d):
+    asked, views = _asked(spark, d, "ambiguous")
+    pairs = F.array_join(F.transform("pairs", lambda p: F.concat_ws("-", p["h_left"], p["h_right"])), ",")
+    return certificates.plans(asked, views).select("q_left", "q_right", "gap", "edge_count", F.array_join("component_path", ">").alias("component_path"), pairs.alias("pairs"))
+
+
+@query(sql("SELECT DISTINCT 'c' || lpad(CAST(l AS VARCHAR), 7, '0') AS q_left, 'c' || lpad(CAST(r AS VARCHAR), 7, '0') AS q_right, true AS ok FROM near"))
+def certificate_check(spark, d):
+    """Every certificate of the query list passes the independent checker."""
+    store, _, m = _views(spark, d)
+    made = staged(certificates.certificates(fx.queries_of(spark, d), store), "certificates")
+    return checker.check(store, m, made).select("q_left", "q_right", "ok")
+
+
+@query()
+def plan_execution(spark, d):
+    asked, views = _asked(spark, d, "ambiguous")
+    cells = certificates.plan_cells(certificates.plans(asked, views), views.store)
+    return cells.groupBy("q_left", "q_right").agg(F.count("*").alias("n_cells"), F.max("epoch").alias("last_epoch"))
+
+
+# Replicas -----------------------------------------------------------------------------------------
+
+
+def _replica(spark, d, i: int, floors=None) -> Evidence:
+    r = fx.replicas(spark, d).where(F.col("replica") == i).drop("replica")
+    return Evidence(r, ingest.handles_of(r), fx.SOURCES, fx.THRESHOLD, floors)
+
+
+def _floors(spark, d, mod: int) -> DataFrame:
+    sealed = decisions.epochs(fx.cells(spark, d), N).where("sealed").where(F.substring("h_left", 2, 7).cast("int") % mod == 0)
+    return sealed.groupBy(PAIR).agg(F.max("epoch").alias("epoch"))
+
+
+@query(sql("SELECT h_left, h_right, epoch, source, vote FROM (SELECT DISTINCT h_left, h_right, epoch, source, vote, l FROM replicas WHERE replica < 2) c LEFT JOIN (SELECT h_left, h_right, max(epoch) AS floor FROM epochs WHERE sealed AND (CAST(substr(h_left, 2) AS INT) % 3 = 0 OR CAST(substr(h_left, 2) AS INT) % 5 = 0) GROUP BY ALL) f USING (h_left, h_right) WHERE epoch >= coalesce(floor, -1)", EPOCHS, REPLICAS))
+def state_join(spark, d):
+    a, b = _replica(spark, d, 0, _floors(spark, d, 3)), _replica(spark, d, 1, _floors(spark, d, 5))
+    return replication.state_join(a, b).cells.select(*PAIR, "epoch", "source", "vote")
+
+
+@query(sql("SELECT h_left, h_right, epoch, source FROM replicas WHERE replica = 1 EXCEPT SELECT h_left, h_right, epoch, source FROM replicas WHERE replica = 0", REPLICAS))
+def inventory_delta(spark, d):
+    return replication.inventory_delta(_replica(spark, d, 0).cells, _replica(spark, d, 1).cells).select(*PAIR, "epoch", "source")
+
+
+@query(sql("SELECT h_left, h_right, max(epoch) AS epoch FROM (SELECT h_left, h_right, epoch FROM (SELECT replica, h_left, h_right, epoch FROM replicas GROUP BY ALL HAVING count(DISTINCT source) = 5) GROUP BY ALL HAVING count(*) = 3) GROUP BY ALL", REPLICAS))
+def common_floor(spark, d):
+    return replication.common_floor(fx.replicas(spark, d), 3, N)
+
+
+@query(sql("SELECT c.h_left, c.h_right, c.epoch, source FROM cells c LEFT JOIN (SELECT h_left, h_right, max(epoch) AS floor FROM epochs WHERE sealed AND CAST(substr(h_left, 2) AS INT) % 2 = 0 GROUP BY ALL) f USING (h_left, h_right) WHERE c.epoch >= coalesce(floor, -1)", EPOCHS))
+def compaction(spark, d):
+    return replication.compact(fx.store(spark, d), _floors(spark, d, 2)).cells.select(*PAIR, "epoch", "source")
+
+
+@query(sql("SELECT h_left, h_right, 'epoch not sealed' AS rule FROM epochs WHERE epoch = 1 AND NOT sealed UNION ALL SELECT h_left, h_right, 'epoch not sealed' FROM (SELECT h_left, h_right FROM epochs EXCEPT SELECT h_left, h_right FROM epochs WHERE epoch = 1)", EPOCHS))
+def compaction_violations(spark, d):
+    store = fx.store(spark, d)
+    return replication.compaction_violations(store, store.cells.select(*PAIR).distinct().withColumn("epoch", F.lit(1).cast("bigint")))
+
+
+@query(sql("SELECT side, count(*) AS n FROM (SELECT 0 AS side, * FROM (SELECT h_left, h_right, epoch, source, vote FROM replicas WHERE replica = 0 EXCEPT SELECT h_left, h_right, epoch, source, vote FROM replicas WHERE replica = 2) UNION ALL SELECT 2, * FROM (SELECT h_left, h_right, epoch, source, vote FROM replicas WHERE replica = 2 EXCEPT SELECT h_left, h_right, epoch, source, vote FROM replicas WHERE replica = 0)) GROUP BY side", REPLICAS))
+def replica_divergence(spark, d):
+    return replication.divergence(fx.replicas(spark, d).drop("reason"), 0, 2).groupBy("side").agg(F.count("*").alias("n"))
+
+
+# Observations -------------------------------------------------------------------------------------
+
+OBSERVED = r"""n AS (SELECT CAST(n_nationkey AS BIGINT) AS k, CAST(n_regionkey AS BIGINT) AS t FROM nation),
+wide AS (SELECT 'case' || lpad(CAST(k AS VARCHAR), 3, '0') AS case_id, 'target' || t AS target_id,
+  'E' || (k % 4) || '; e' || (k % 7) || ';;' || CASE WHEN k % 5 = 0 THEN '' ELSE ' x' || t END AS pe, 'e' || ((k + 1) % 4) || ';E' || (k % 9) AS ce,
+  k % 6 <> 0 AS pt, k % 11 <> 0 AS ct, CASE k % 5 WHEN 0 THEN 200 WHEN 1 THEN 301 WHEN 2 THEN 404 WHEN 3 THEN NULL ELSE 503 END AS ps,
+  CASE WHEN k % 4 = 3 THEN NULL ELSE 200 + 100 * (k % 3) END AS cs, 'h' || (k % 3) || ';h' || (k % 5) || ';Server' AS ph, 'H' || (k % 2) || ';server;h' || (k % 6) AS ch,
+  CASE WHEN k % 8 = 0 THEN '' ELSE 'title ' || t END AS px, 'title ' || (k % 3) AS cx FROM n),
+raw AS (SELECT case_id, target_id, 'probe' AS vantage, pe AS e, pt AS tcp_success, ps AS status, ph AS h, px AS title FROM wide UNION ALL SELECT case_id, target_id, 'control', ce, ct, cs, ch, cx FROM wide),
+obs AS (SELECT case_id, target_id, vantage, list_sort(list_distinct(list_filter(list_transform(string_split(e, ';'), lambda x: lower(trim(x))), lambda x: x <> ''))) AS endpoints,
+  tcp_success, status, list_sort(list_distinct(list_filter(list_transform(string_split(h, ';'), lambda x: lower(trim(x))), lambda x: x <> ''))) AS headers, title FROM raw)"""
+
+PAIRED = """paired AS (SELECT a.case_id AS case_a, b.case_id AS case_b, a.vantage AS vantage_a, b.vantage AS vantage_b, a.target_id AS target_a, b.target_id AS target_b,
+  CASE WHEN a.target_id = b.target_id THEN 'same' ELSE 'different' END AS truth, a, b, list_has_any(a.endpoints, b.endpoints) AS o,
+  CASE WHEN len(list_distinct(a.headers || b.headers)) = 0 THEN 0.0 ELSE len(list_intersect(a.headers, b.headers)) / len(list_distinct(a.headers || b.headers)) END AS j,
+  a.title <> '' AND b.title <> '' AS tt, len(a.headers) > 0 AND len(b.headers) > 0 AS hh, coalesce(a.status BETWEEN 100 AND 599 AND b.status BETWEEN 100 AND 599, false) AS http
+  FROM obs a JOIN obs b ON a.case_id || chr(1) || a.vantage < b.case_id || chr(1) || b.vantage),
+judged AS (SELECT *, CASE WHEN o AND a.tcp_success AND b.tcp_success AND http AND a.status = b.status AND ((tt AND a.title = b.title) OR (hh AND j >= 0.5)) THEN 'same'
+  WHEN len(a.endpoints) > 0 AND len(b.endpoints) > 0 AND NOT o AND a.tcp_success AND b.tcp_success AND http
+   AND (a.status // 100 <> b.status // 100)::INT + (tt AND a.title <> b.title)::INT + (hh AND j <= 0.25)::INT >= 2 THEN 'different' ELSE 'unknown' END AS vote FROM paired)"""
+
+SUMMARY = """count(*) AS pairs, count(*) FILTER (truth = 'same') AS true_same, count(*) FILTER (truth = 'different') AS true_different,
+ count(*) FILTER (vote = 'same') AS predicted_same, count(*) FILTER (vote = 'different') AS predicted_different, count(*) FILTER (vote = 'unknown') AS predicted_unknown,
+ count(*) FILTER (vote = 'same' AND truth <> 'same') AS false_same, count(*) FILTER (vote = 'different' AND truth <> 'different') AS false_different"""
+COUNTS = ["pairs", "true_same", "true_different", "predicted_same", "predicted_different", "predicted_unknown", "false_same", "false_different"]
+
+
+def _observed(spark, d):
+    return state.unpivot(fx.observations(spark, d))
+
+
+@query(f"WITH {OBSERVED} SELECT case_id, vantage, array_to_string(endpoints, ',') AS endpoints, tcp_success, status, array_to_string(headers, ',') AS headers, title FROM obs")
+def unpivot_vantage(spark, d):
+    o = _observed(spark, d)
+    return o.select("case_id", "vantage", F.array_join("endpoints", ",").alias("endpoints"), "tcp_success", "status", F.array_join("headers", ",").alias("headers"), "title")
+
+
+@query(r"SELECT p_partkey, array_to_string(list_sort(list_distinct(list_filter(list_transform(string_split(replace(p_name || '; ' || p_brand, ' ', ' ;'), ';'), lambda x: lower(trim(x))), lambda x: x <> ''))), ',') AS tokens FROM part")
+def split_set(spark, d):
+    p = fx.table(spark, d, "part")
+    return p.select("p_partkey", F.array_join(F.array_sort(scalars.split_set(F.replace(F.concat_ws("; ", "p_name", "p_brand"), F.lit(" "), F.lit(" ;")))), ",").alias("tokens"))
+
+
+@query("SELECT a.p_partkey, round(CASE WHEN len(list_distinct(a.t || b.t)) = 0 THEN 0 ELSE len(list_intersect(list_distinct(a.t), list_distinct(b.t))) / len(list_distinct(a.t || b.t)) END, 6) AS similarity FROM (SELECT p_partkey, string_split(p_name || ' ' || p_type, ' ') AS t FROM part) a JOIN (SELECT p_partkey, string_split(p_name || ' ' || p_type, ' ') AS t FROM part) b ON b.p_partkey = a.p_partkey + 1")
+def jaccard(spark, d):
+    p = fx.table(spark, d, "part").select("p_partkey", F.split(F.concat_ws(" ", "p_name", "p_type"), " ").alias("t"))
+    following = p.select((F.col("p_partkey") - 1).alias("p_partkey"), F.col("t").alias("u"))
+    return p.join(following, "p_partkey").select("p_partkey", F.round(scalars.jaccard(F.col("t"), F.col("u")), 6).alias("similarity"))
+
+
+@query(f"WITH {OBSERVED}, {PAIRED} SELECT case_a, case_b, vantage_a, vantage_b, truth, vote FROM judged")
+def pair_predicate(spark, d):
+    return evaluation.pair_decisions(_observed(spark, d)).select("case_a", "case_b", "vantage_a", "vantage_b", "truth", "vote")
+
+
+@query(f"WITH {OBSERVED}, {PAIRED} SELECT case_a, case_b, vantage_a, vantage_b, CASE WHEN o THEN 'same' ELSE 'different' END AS vote FROM paired")
+def endpoint_predicate(spark, d):
+    return evaluation.pair_decisions(_observed(spark, d), evaluation.endpoint_only).select("case_a", "case_b", "vantage_a", "vantage_b", "vote")
+
+
+@query(f"WITH {OBSERVED} SELECT a.case_id AS case_a, b.case_id AS case_b, a.vantage AS vantage_a, b.vantage AS vantage_b FROM obs a JOIN obs b ON a.case_id || chr(1) || a.vantage < b.case_id || chr(1) || b.vantage")
+def pair_enumeration(spark, d):
+    p = evaluation.enumerate_pairs(_observed(spark, d))
+    return p.selectExpr("a.case_id as case_a", "b.case_id as case_b", "a.vantage as vantage_a", "b.vantage as vantage_b")
+
+
+@query(f"WITH {OBSERVED}, {PAIRED}, s AS (SELECT {SUMMARY} FROM judged) SELECT *, round((predicted_same + predicted_different) / pairs, 9) AS coverage FROM s")
+def pair_summary(spark, d):
+    return evaluation.summarize(evaluation.pair_decisions(_observed(spark, d))).select(*COUNTS, F.round("coverage", 9).alias("coverage"))
+
+
+@query(f"WITH {OBSERVED}, {PAIRED}, f AS (SELECT DISTINCT target_id AS fold FROM obs) SELECT fold, {SUMMARY} FROM f JOIN judged ON target_a <> fold AND target_b <> fold GROUP BY fold")
+def leave_one_out(spark, d):
+    return evaluation.leave_one_out(staged(evaluation.pair_decisions(_observed(spark, d)), "pairs"), "target").select("fold", *COUNTS)
+
+
+@query(f"WITH {OBSERVED}, {PAIRED}, f AS (SELECT DISTINCT case_id AS fold FROM obs) SELECT fold, {SUMMARY} FROM f JOIN judged ON case_a <> fold AND case_b <> fold GROUP BY fold")
+def leave_one_case_out(spark, d):
+    return evaluation.leave_one_out(staged(evaluation.pair_decisions(_observed(spark, d)), "pairs"), "case").select("fold", *COUNTS)
+
+
+@query(r"SELECT page_id, lower(regexp_extract(url, '^([A-Za-z]+)://', 1)) || '://' || lower(regexp_extract(url, '^[A-Za-z]+://([^/?#]*)', 1)) AS handle FROM pages")
+def authority_handle(spark, d):
+    return fx.table(spark, d, "pages").select("page_id", scalars.authority_handle(F.col("url")).alias("handle"))
+
+
+@query("SELECT user_id, count(*) AS n, count(DISTINCT event_type) AS n_values, count(*) FILTER (event_type <> before) AS n_changes FROM (SELECT user_id, event_type, lag(event_type) OVER (PARTITION BY user_id ORDER BY event_id) AS before FROM events) GROUP BY user_id")
+def navigation_rollup(spark, d):
+    return evaluation.navigation_rollup(fx.table(spark, d, "events"), "user_id", "event_id", "event_type")
+
+
+# Metrics and rollups ------------------------------------------------------------------------------
+
+
+@query(with_partition("""SELECT m.p::BIGINT AS merged, t.p::BIGINT AS true_pairs, (m.p - r.p)::BIGINT AS false_merges, (t.p - r.p)::BIGINT AS false_splits FROM
+ (SELECT sum(n * (n - 1) // 2) AS p FROM (SELECT count(*) AS n FROM truth GROUP BY label)) m, (SELECT sum(n * (n - 1) // 2) AS p FROM (SELECT count(*) AS n FROM truth GROUP BY service)) t,
+ (SELECT sum(n * (n - 1) // 2) AS p FROM (SELECT count(*) AS n FROM truth GROUP BY label, service)) r""", "truth AS (SELECT label, c_nationkey || c_mktsegment AS service FROM membership JOIN customer ON handle = 'c' || lpad(CAST(c_custkey AS VARCHAR), 7, '0'))"))
+def partition_metrics(spark, d):
+    truth = fx.table(spark, d, "customer").select(fx.handle("c_custkey").alias("handle"), F.concat("c_nationkey", "c_mktsegment").alias("service"))
+    return evaluation.partition_metrics(_views(spark, d)[2], truth).select("merged", "true_pairs", "false_merges", "false_splits")
+
+
+@query("SELECT l_shipdate_month, l_returnflag, round(avg(l_quantity), 6) AS mean_quantity, max(l_quantity) AS most, bool_and(l_discount < 0.11) AS all_small FROM (SELECT *, month(l_shipdate) AS l_shipdate_month FROM lineitem) GROUP BY ALL")
+def method_rollup(spark, d):
+    rows = fx.table(spark, d, "lineitem").withColumn("l_shipdate_month", F.month("l_shipdate").cast("bigint"))
+    return rows.groupBy("l_shipdate_month", "l_returnflag").agg(F.round(F.avg("l_quantity"), 6).alias("mean_quantity"), F.max("l_quantity").alias("most"), F.bool_and(F.col("l_discount") < 0.11).alias("all_small"))
+
+
+@query("SELECT event_type, count(*) AS n, round(median(value), 6) AS middle FROM events GROUP BY event_type")
+def kind_rollup(spark, d):
+    return fx.table(spark, d, "events").groupBy("event_type").agg(F.count("*").alias("n"), F.round(F.median("value"), 6).alias("middle"))
+
+
+@query("SELECT l_returnflag, l_linestatus, count(*) AS n, min(l_quantity) AS least, max(l_quantity) AS most, median(l_quantity) AS middle, grouping(l_linestatus)::BIGINT AS level FROM lineitem GROUP BY GROUPING SETS ((l_returnflag), (l_returnflag, l_linestatus))")
+def architecture_rollup(spark, d):
+    fx.table(spark, d, "lineitem").createOrReplaceTempView("quorumlake_lineitem")
+    return spark.sql("SELECT l_returnflag, l_linestatus, count(*) AS n, min(l_quantity) AS least, max(l_quantity) AS most, median(l_quantity) AS middle, cast(grouping(l_linestatus) AS bigint) AS level FROM quorumlake_lineitem GROUP BY GROUPING SETS ((l_returnflag), (l_returnflag, l_linestatus))")
+
+
+@query("SELECT l_returnflag, round(median(m), 6) AS middle, min(m) AS least, max(m) AS most FROM (SELECT l_returnflag, l_suppkey, median(l_quantity) AS m FROM lineitem GROUP BY ALL) GROUP BY ALL")
+def nested_median(spark, d):
+    one = fx.table(spark, d, "lineitem").groupBy("l_returnflag", "l_suppkey").agg(F.median("l_quantity").alias("m"))
+    return one.groupBy("l_returnflag").agg(F.round(F.median("m"), 6).alias("middle"), F.min("m").alias("least"), F.max("m").alias("most"))
+
+
+P95 = "SELECT event_type, round(value, 6) AS value FROM (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value) - 1 AS i, count(*) OVER (PARTITION BY event_type) AS n FROM events) WHERE i = {}"
+
+
+@query(P95.format("greatest(0, floor(0.95 * n)::BIGINT - 1)"))
+def p95_scale(spark, d):
+    return evaluation.order_statistic(fx.table(spark, d, "events"), "value", ["event_type"], evaluation.scale_place).withColumn("value", F.round("value", 6))
+
+
+@query(P95.format("floor(0.95 * (n - 1))::BIGINT"))
+def p95_rpc(spark, d):
+    return evaluation.order_statistic(fx.table(spark, d, "events"), "value", ["event_type"], evaluation.rpc_place).withColumn("value", F.round("value", 6))
+
+
+@query("SELECT l_returnflag, round((p + z * z / (2 * n) - z * sqrt(n * (p * (1 - p) / n + z * z / (4 * n * n)) / n) ) / (1 + z * z / n), 6) AS low, round((p + z * z / (2 * n) + z * sqrt(p * (1 - p) / n + z * z / (4 * n * n))) / (1 + z * z / n), 6) AS high FROM (SELECT l_returnflag, count(*) AS n, count(*) FILTER (l_discount > 0.05) / count(*) AS p, 1.959963984540054 AS z FROM lineitem GROUP BY l_returnflag)")
+def wilson(spark, d):
+    counts = fx.table(spark, d, "lineitem").groupBy("l_returnflag").agg(F.count("*").alias("n"), F.count_if(F.col("l_discount") > 0.05).alias("k"))
+    low, high = scalars.wilson(F.col("k"), F.col("n"))
+    return counts.select("l_returnflag", F.round(low, 6).alias("low"), F.round(high, 6).alias("high"))
+
+
+@query("""WITH RECURSIVE rgs(s) AS (SELECT [0] UNION ALL SELECT list_append(s, k) FROM rgs, range(5) t(k) WHERE len(s) < 5 AND k <= list_max(s) + 1),
+q AS (SELECT list_max(s) + 1 AS blocks, (SELECT count(*) FROM range(5) a(i), range(5) b(j) WHERE s[i + 1] = s[j + 1]) AS peer FROM rgs WHERE len(s) = 5)
+SELECT blocks::BIGINT AS blocks, count(*) AS partitions, sum(peer)::BIGINT AS peer, (sum(peer) // gcd(sum(peer)::BIGINT, (count(*) * 25)::BIGINT))::BIGINT || '/' || ((count(*) * 25) // gcd(sum(peer)::BIGINT, (count(*) * 25)::BIGINT))::BIGINT AS mean FROM q GROUP BY blocks""")
+def topology_responsiveness(spark, d):
+    """Share of ordered endpoint pairs that can reach each other, over all partitions of five."""
+    rows = generators.set_partitions(spark, 5)
+    peer = F.expr("aggregate(transform(rgs, x -> size(filter(rgs, y -> y = x))), 0, (a, x) -> a + x)").cast("bigint")
+    one = rows.select((F.array_max("rgs") + 1).cast("bigint").alias("blocks"), peer.alias("peer"))
+    sums = one.groupBy("blocks").agg(F.count("*").alias("partitions"), F.sum("peer").alias("peer"))
+    return sums.withColumn("mean", scalars.fraction(F.col("peer"), F.col("partitions") * 25))
+
+
+@query(sql("SELECT h_left, h_right, epoch, bool_or(same >= 2 AND no = 0) AS unsealed, bool_or(same >= 2 AND no = 0 AND i = n - 1) AS sealed FROM (SELECT h_left, h_right, epoch, s AS i, max(s) OVER w + 1 AS n, sum((vote = 'same')::INT) OVER (w ORDER BY s) AS same, max((vote = 'different')::INT) OVER (w ORDER BY s) AS no FROM cells WINDOW w AS (PARTITION BY h_left, h_right, epoch)) GROUP BY ALL"))
+def transient_merge(spark, d):
+    c = fx.cells(spark, d).groupBy(*PAIR, "epoch", "s", "vote").count()
+    rows = c.withColumn("sequence", F.struct(*PAIR, "epoch")).withColumn("i", F.col("s")).withColumn("threshold", F.lit(2))
+    sizes = c.groupBy(*PAIR, "epoch").agg((F.max("s") + 1).alias("n"))
+    return evaluation.transient_merges(rows.join(sizes, [*PAIR, "epoch"])).select("sequence.*", "unsealed", "sealed")
+
+
+# Streams ------------------------------------------------------------------------------------------
+
+STREAMED = """arrived AS (SELECT DISTINCT 'u' || lpad(CAST(user_id AS VARCHAR), 7, '0') AS h_left, 'u' || lpad(CAST(user_id + 1 AS VARCHAR), 7, '0') AS h_right, event_id % 4 AS epoch, event_type AS source,
+  CASE WHEN (user_id * 7 + (event_id % 4) * 3 + length(event_type)) % 5 < 3 THEN 'same' WHEN (user_id * 7 + (event_id % 4) * 3 + length(event_type)) % 5 = 3 THEN 'unknown' ELSE 'different' END AS vote FROM events)"""
+
+
+@query(f"WITH {STREAMED} SELECT h_left, h_right, epoch, source, vote FROM arrived")
+def stream_dedup(spark, d):
+    return stream.run_available(stream.cells_of_events(stream.read_files(spark, f"{d}/events.parquet")))
+
+
+@query(f"WITH {STREAMED}, n AS (SELECT count(DISTINCT event_type) AS n FROM events), e AS (SELECT h_left, h_right, epoch, count(DISTINCT source) = (SELECT n FROM n) AS sealed, count(*) FILTER (vote = 'same') AS s, count(*) FILTER (vote = 'different') AS x FROM arrived GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY h_left, h_right ORDER BY sealed DESC, epoch DESC) AS place FROM e) SELECT h_left, h_right, epoch, CASE WHEN NOT sealed THEN 'unknown' WHEN x > 0 THEN 'different' WHEN s >= 2 THEN 'same' ELSE 'unknown' END AS vote FROM r WHERE place = 1")
+def stream_decisions(spark, d):
+    cells = stream.run_available(stream.cells_of_events(stream.read_files(spark, f"{d}/events.parquet")))
+    sources = tuple(sorted(r[0] for r in fx.table(spark, d, "events").select("event_type").distinct().collect()))
+    return decisions.decisions(Evidence(cells, ingest.handles_of(cells), sources, 2)).select(*PAIR, "epoch", "vote")
+
 
 def queries() -> dict:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLES)
