@@ -65,8 +65,8 @@ def read_state(spark: SparkSession, path: str) -> Evidence:
 def state_violations(store: Evidence) -> DataFrame:
     """(rule, subject) of a whole state: cell domains, repeated keys and handles, unregistered
     handles, and floors that are negative or whose epoch is not sealed and kept."""
-    text = F.concat_ws(" ", *KEY)
-    out = domain_violations(store.cells, store.sources).select("rule", text.alias("subject"))
+    text = F.concat_ws(" ", *KEY).alias("subject")
+    out = domain_violations(store.cells, store.sources).select("rule", text)
     out = out.unionByName(store.cells.groupBy(KEY).count().where("count > 1").select(F.lit("repeated key").alias("rule"), text))
     out = out.unionByName(equivocations(store.cells).select(F.lit("equivocation").alias("rule"), text))
     out = out.unionByName(store.handles.groupBy("handle").count().where("count > 1 or coalesce(handle, '') = ''").select(F.lit("handles must be unique and non-empty").alias("rule"), F.col("handle").alias("subject")))
