@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quorumlake.functions import scalars
-from quorumlake.operators import baselines, certificates, checker, decisions, evaluation, ingest, partition, replication
+from quorumlake.operators import baselines, certificates, checker, decisions, evaluation, ingest, partition, replication, reports
 from quorumlake.plans import fixtures as fx
 from quorumlake.plans.fixtures import ENDED, EPOCHS, REPLICAS, sql, with_decisions, with_partition
 from quorumlake.schema import PAIR, SAME, UNKNOWN, Evidence
@@ -506,6 +506,34 @@ def transient_merge(spark, d):
     return evaluation.transient_merges(rows.join(sizes, [*PAIR, "epoch"])).select("sequence.*", "unsealed", "sealed")
 
 
+@query(with_decisions("SELECT q_left, q_right, d.epoch, (SELECT string_agg(source, ',' ORDER BY source) FROM cells c WHERE c.h_left = d.h_left AND c.h_right = d.h_right AND c.epoch = d.epoch) AS sources FROM asked JOIN decisions d ON q_left = h_left AND q_right = h_right WHERE vote = 'same'", "asked AS (SELECT 'c' || lpad(CAST(l AS VARCHAR), 7, '0') AS q_left, 'c' || lpad(CAST(r AS VARCHAR), 7, '0') AS q_right FROM near)"))
+def certificate_keys(spark, d):
+    """Support keys of the direct SAME answers, as they travel."""
+    store = fx.store(spark, d)
+    decided = staged(decisions.decisions(store), "decisions")
+    direct = decided.where(F.col("vote") == SAME).select(F.col("h_left").alias("q_left"), F.col("h_right").alias("q_right"), F.array(*PAIR).alias("path"))
+    found = reports.supported_paths(direct, decided, store, keys_only=True)
+    return found.select("q_left", "q_right", "epoch", F.array_join("cells.source", ",").alias("sources"))
+
+
+@query(with_decisions("SELECT count(*) FILTER (vote = 'same') AS same, count(*) FILTER (vote = 'different') AS different, count(*) FILTER (vote = 'unknown') AS unavailable FROM decisions"))
+def answer_kinds(spark, d):
+    return reports.answer_kinds(_decided(spark, d).withColumnRenamed("vote", "kind"), ("same", "different"))
+
+
+@query("SELECT 'first' AS side, o_orderstatus, o_orderpriority, count(*) AS n FROM orders WHERE o_orderkey % 2 = 0 GROUP BY ALL EXCEPT ALL SELECT 'first', o_orderstatus, o_orderpriority, count(*) FROM orders WHERE o_orderkey % 2 = 1 GROUP BY ALL UNION ALL (SELECT 'second' AS side, o_orderstatus, o_orderpriority, count(*) AS n FROM orders WHERE o_orderkey % 2 = 1 GROUP BY ALL EXCEPT ALL SELECT 'second', o_orderstatus, o_orderpriority, count(*) FROM orders WHERE o_orderkey % 2 = 0 GROUP BY ALL)")
+def result_comparison(spark, d):
+    o = fx.table(spark, d, "orders")
+    half = lambda k: o.where(F.col("o_orderkey") % 2 == k).groupBy("o_orderstatus", "o_orderpriority").agg(F.count("*").alias("n"), F.max("o_totalprice").alias("seconds"))
+    return reports.compare(half(0), half(1), ("seconds",))
+
+
+@query(f"WITH {OBSERVED}, {PAIRED}, f AS (SELECT DISTINCT target_id AS fold FROM obs), s AS (SELECT fold, {SUMMARY} FROM f JOIN judged ON target_a <> fold AND target_b <> fold GROUP BY fold) SELECT min(pairs) AS min_pairs, max(pairs) AS max_pairs, min(predicted_unknown) AS min_predicted_unknown, max(predicted_unknown) AS max_predicted_unknown FROM s")
+def fold_ranges(spark, d):
+    folds = evaluation.leave_one_out(staged(evaluation.pair_decisions(_observed(spark, d)), "pairs"), "target")
+    return reports.ranges(folds, "pairs", "predicted_unknown")
+
+
 # Streams ------------------------------------------------------------------------------------------
 
 STREAMED = """arrived AS (SELECT DISTINCT 'u' || lpad(CAST(user_id AS VARCHAR), 7, '0') AS h_left, 'u' || lpad(CAST(user_id + 1 AS VARCHAR), 7, '0') AS h_right, event_id % 4 AS epoch, event_type AS source,

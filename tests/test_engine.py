@@ -371,3 +371,15 @@ def test_queries_match_their_oracles(spark):
         order = [[c[0] for c in want.description].index(n) for n in names]
         key = lambda r: tuple(map(str, r))
         assert sorted(rows, key=key) == sorted((tuple(r[i] for i in order) for r in want.fetchall()), key=key), name
+
+
+def test_floors_are_parsed_strictly(spark):
+    from quorumlake.operators import reports
+
+    raw = lambda *rows: spark.createDataFrame(list(rows), "left string, right string, epoch string")
+    assert rows_of(reports.parse_floors(raw(("a", "b", "3"), ("a", "c", "0")))) == [("a", "b", 3), ("a", "c", 0)]
+    for bad in ([("a", "b", "-1")], [("a", "b", "true")], [("b", "a", "1")], [("a", "b", "1"), ("a", "b", "2")], [(None, "b", "1")]):
+        with pytest.raises(Exception):  # noqa: B017
+            reports.parse_floors(raw(*bad)).collect()
+    sized = reports.within(spark.createDataFrame([("x" * 5,), ("x" * 50,)], "t string"), 30).collect()
+    assert [r.fits for r in sized] == [True, False] and sized[0].bytes == len('{"t":"xxxxx"}')
