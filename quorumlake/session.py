@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -46,4 +47,17 @@ def staged(df: DataFrame, label: str = "stage") -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.staged_path = path
+    return out
+
+
+def release(spark: SparkSession, *tables: DataFrame) -> None:
+    """Delete staged tables that no later step reads, and have the driver collect its garbage:
+    Spark deletes the shuffle files of finished jobs only when their plans are collected."""
+    context = spark.sparkContext
+    for table in tables:
+        path = context._jvm.org.apache.hadoop.fs.Path(table.staged_path)
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+    gc.collect()
+    context._jvm.System.gc()
