@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from quorumlake.llm.common import map_arrow, text_of
 from quorumlake.operators.components import connected_components
-from quorumlake.session import staged
+from quorumlake.session import release, staged
 
 #: Fingerprints of a bucket up to which its pairs are compared one by one.
 BUCKET = 64
@@ -127,10 +127,10 @@ def near_duplicates(docs: DataFrame, radius: int = 3, shingle: int = 3) -> DataF
 _MIXERS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
 
 
-def _sketch(batch: pa.RecordBatch, shingle: int, verified: int, sketches: int) -> pa.RecordBatch:
+def _sketch(batch: pa.RecordBatch, shingle: int, sketches: int) -> pa.RecordBatch:
     import hashlib
 
-    digest, fps, grams = [], [], []
+    digest, fps = [], []
     for text in batch.column(1).to_pylist():
         hashes = _shingles(text, shingle)
         digest.append(hashlib.blake2b(b" ".join(text.lower().split()), digest_size=16).digest())
@@ -139,9 +139,12 @@ def _sketch(batch: pa.RecordBatch, shingle: int, verified: int, sketches: int) -
             x = hashes * np.uint64(m)
             own.append(_majority(x ^ (x >> np.uint64(31))))
         fps.append(own)
-        grams.append(np.unique(_shingles(text, verified).view(np.int64)))
-    columns = [batch.column(0), pa.array(digest, pa.binary()), pa.array(fps, pa.list_(pa.int64())), pa.array(grams, pa.list_(pa.int64()))]
-    return pa.record_batch(columns, ["doc_id", "digest", "fps", "grams"])
+    return pa.record_batch([batch.column(0), pa.array(digest, pa.binary()), pa.array(fps, pa.list_(pa.int64()))], ["doc_id", "digest", "fps"])
+
+
+def _shingle_sets(batch: pa.RecordBatch, verified: int) -> pa.RecordBatch:
+    grams = [np.unique(_shingles(text, verified).view(np.int64)) for text in batch.column(1).to_pylist()]
+    return pa.record_batch([batch.column(0), pa.array(grams, pa.list_(pa.int64()))], ["id", "grams"])
 
 
 def groups(docs: DataFrame, similarity: float = 0.8, verified: int = 5, shingle: int = 2, radius: int = 4, sketches: int = 3) -> DataFrame:
@@ -155,8 +158,7 @@ def groups(docs: DataFrame, similarity: float = 0.8, verified: int = 5, shingle:
     group's smallest doc_id; null ids belong to no group.
     """
     rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("bigint"), text_of().cast("binary").alias("text"))
-    schema = "doc_id bigint, digest binary, fps array<bigint>, grams array<bigint>"
-    known = staged(map_arrow(rows, lambda b: _sketch(b, shingle, verified, sketches), schema), "sketches")
+    known = staged(map_arrow(rows, lambda b: _sketch(b, shingle, sketches), "doc_id bigint, digest binary, fps array<bigint>"), "sketches")
     firsts = staged(known.groupBy("digest").agg(F.min("doc_id").alias("node")), "firsts")
     nodes = known.join(firsts, (known["digest"] == firsts["digest"]) & (known["doc_id"] == firsts["node"]), "left_semi")
     masks = F.array(*[F.lit(_signed(m)) for m in covering_masks(radius)])
@@ -165,12 +167,17 @@ def groups(docs: DataFrame, similarity: float = 0.8, verified: int = 5, shingle:
     bucket = Window.partitionBy("key").orderBy("b")
     paired = keys.select("b", F.array(F.first("b").over(bucket), F.lag("b").over(bucket)).alias("a")).select("b", F.explode("a").alias("a"))
     pairs = staged(paired.where("a < b").distinct(), "pairs")
-    sets = nodes.select(F.col("doc_id").alias("id"), "grams")
+    release(docs.sparkSession)
+    some = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    sets = map_arrow(rows.join(some, "doc_id", "left_semi"), lambda b: _shingle_sets(b, verified), "id bigint, grams array<bigint>")
+    sets = staged(sets.dropDuplicates(["id"]), "sets")
     left = pairs.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b")
     alike = F.size(F.array_intersect("x", "y")) >= similarity * F.size(F.array_union("x", "y"))
     linked = left.where(alike & (F.size("x") > 0)).select("a", "b")
     copies = known.select("doc_id", "digest").join(firsts, "digest").where("doc_id <> node").select(F.col("node").alias("a"), F.col("doc_id").alias("b"))
-    return connected_components(linked.unionByName(copies), "a", "b").select(F.col("node").alias("doc_id"), F.col("component").alias("group_id"))
+    edges = staged(linked.unionByName(copies), "edges")
+    release(docs.sparkSession, sets, pairs)
+    return connected_components(edges, "a", "b").select(F.col("node").alias("doc_id"), F.col("component").alias("group_id"))
 
 
 def one_of_each(docs: DataFrame, **options) -> DataFrame:
