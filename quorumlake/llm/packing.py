@@ -48,6 +48,20 @@ class _Encoder:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(x.ids, dtype="<u4").tobytes() for x in found]
 
+    def apart(self, parts: list[str]) -> list[bytes]:
+        """Ids of each part, encoded together, as one call costs more than a part; a token belongs
+        to the part in which it starts."""
+        out: list[bytes] = []
+        for at in range(0, len(parts), 500):
+            some = parts[at : at + 500]
+            found = self.tokenizer.encode(" ".join(some), add_special_tokens=False)
+            starts = np.cumsum([0, *(len(x) + 1 for x in some[:-1])])
+            of = np.searchsorted(starts, [a for a, _ in found.offsets], side="right") - 1
+            ends = np.cumsum(np.bincount(of, minlength=len(some))) * 4
+            data = np.array(found.ids, dtype="<u4").tobytes()
+            out += [data[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
+        return out
+
     def encode(self, texts: list[str]) -> list[bytes]:
         split = [None if "<|" in t else t.replace("\n", " ").split(" ") for t in texts]
         if len(self.parts) > CACHE_ENTRIES:
@@ -57,7 +71,7 @@ class _Encoder:
             if parts is not None:
                 new.update(parts)
         new = [x for x in new if x not in known]
-        known.update(zip(new, self.whole(new), strict=True))
+        known.update(zip(new, self.apart(new), strict=True))
         get = known.__getitem__
         return [self.whole([t])[0] if p is None else b"".join(map(get, p)) for t, p in zip(texts, split, strict=True)]
 
