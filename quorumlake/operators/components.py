@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from quorumlake.session import staged
@@ -23,6 +23,13 @@ def _stars(edges: DataFrame) -> DataFrame:
     return moved.unionByName(small.select("hi", F.col("m").alias("lo"))).distinct()
 
 
+def _marked(edges: DataFrame) -> tuple[DataFrame, dict]:
+    """The edges, staged, with a fingerprint of all of them that the same job gathers."""
+    seen = Observation()
+    marks = F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("hi", "lo").cast("decimal(38,0)")).alias("h")
+    return staged(edges.observe(seen, *marks), "components"), seen.get
+
+
 def connected_components(edges: DataFrame, left: str, right: str, max_rounds: int = 60) -> DataFrame:
     """(node, component) for every node with an edge to another; component is its smallest node.
 
@@ -30,19 +37,14 @@ def connected_components(edges: DataFrame, left: str, right: str, max_rounds: in
     neighbours are gathered in one row. Rounds grow with the logarithm of the longest path. Nodes
     that no edge touches are absent; self edges and null ends are ignored.
     """
-    now = staged(
-        edges.select(F.greatest(left, right).alias("hi"), F.least(left, right).alias("lo"))
-        .where(f"`{left}` <> `{right}`")
-        .distinct(),
-        "components",
-    )
-    mark = None
+    first = edges.select(F.greatest(left, right).alias("hi"), F.least(left, right).alias("lo")).where(f"`{left}` <> `{right}`")
+    now, mark = _marked(first.distinct())
     for _ in range(max_rounds):
-        seen = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("hi", "lo").cast("decimal(38,0)")).alias("h")).first()
-        if seen == mark or seen["n"] == 0:
+        if mark["n"] == 0:
+            break
+        last, (now, mark) = mark, _marked(_stars(now))
+        if mark == last:
             break
-        mark = seen
-        now = staged(_stars(now), "components")
     else:
         raise RuntimeError("components did not settle")
     return now.select(F.col("hi").alias("node"), F.col("lo").alias("component")).unionByName(
