@@ -90,7 +90,7 @@ def _with_distance(rows: DataFrame, fit: DataFrame) -> DataFrame:
             y = y - F.col(f"l{i}{j}") * F.col(f"y{j}")
         out = out.withColumn(f"y{i}", y / F.col(f"l{i}{i}"))
     d2 = sum((F.col(f"y{i}") * F.col(f"y{i}") for i in range(1, P)), F.col("y0") * F.col("y0"))
-    return out.withColumn("d2", d2).drop(*[f"y{i}" for i in range(P)], *[c for c in fit.columns if c != "grp"])
+    return out.withColumn("d2", d2).drop(*[f"y{i}" for i in range(P)], *[c for c in fit.columns if c not in ("grp", "bound")])
 
 
 def _factor(moments: DataFrame) -> DataFrame:
@@ -112,9 +112,10 @@ def estimate(rows: DataFrame, steps: int = STEPS) -> DataFrame:
     first = {f"m{i}": F.col(f"q{i}")[1] for i in range(P)} | {f"l{i}{j}": spread(i) if i == j else F.lit(0.0) for i in range(P) for j in range(i + 1)}
     fit = staged(quart.select("grp", *[c.alias(k) for k, c in first.items()]), "mcd")
     for _ in range(steps):
-        near = _with_distance(rows, fit)
-        bound = near.groupBy("grp").agg(F.percentile_approx("d2", KEEP, 2000).alias("bound"))
-        kept = near.join(bound, "grp").where("d2 <= bound")
+        bound = _with_distance(rows, fit).groupBy("grp").agg(F.percentile_approx("d2", KEEP, 2000).alias("bound"))
+        # one small table of groups, staged: its size is known, so rows of a hot group are not
+        # dealt by their group to meet it
+        kept = _with_distance(rows, staged(fit.join(bound, "grp"), "mcd")).where("d2 <= bound")
         means = [F.avg(f"v{i}").alias(f"m{i}") for i in range(P)]
         products = [
             (CONSISTENCY * F.covar_pop(f"v{i}", f"v{j}") + F.lit(FLOORS[i][1] ** 2 if i == j else 0.0)).alias(f"c{i}{j}")
@@ -137,6 +138,7 @@ def judge(docs: DataFrame) -> DataFrame:
     found = staged(_statistics(found.withColumn("__lang", named("lang")).withColumn("__own", F.concat_ws("\x01", named("lang"), named("source")))), "counts")
     sound = found.where(~F.col("base_failed"))
     large = sound.groupBy("__own").agg(F.count("*").alias("n")).where(F.col("n") >= LEAST_ROWS).select("__own", F.lit(True).alias("large"))
+    large = staged(large, "groups")
     found = found.join(large, "__own", "left").withColumn("grp", F.when(F.col("large"), F.col("__own")).otherwise(F.col("__lang")))
     statistics = [f"v{i}" for i in range(P)]
     # a language's estimate uses all its rows, those of large sources too
