@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
 from quorumlake.llm.common import map_arrow, text_of
-from quorumlake.session import shared_dir, staged
+from quorumlake.session import release, shared_dir, staged
 
 WINDOW, GRAM = 13, 5
 
@@ -149,28 +149,58 @@ class FingerprintIndex:
         self.runs = []
 
 
-def shared_windows(docs: DataFrame, shared: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(h1, h2, doc_id): distinct windows of documents under the fingerprints that they share."""
+def shared_windows(docs: DataFrame, shared: DataFrame, window: int = WINDOW, hot: set[int] = frozenset()) -> DataFrame:
+    """(h1, h2, doc_id, hot): distinct windows of documents under the fingerprints that they share;
+    hot for those under a hot one."""
+    hot_list = np.array(sorted(hot), np.int64)
     asked = shared.groupBy("doc_id").agg(F.collect_set("hash").alias("asked"))
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch | None:
-        ids, firsts, seconds = [], [], []
+        ids, firsts, seconds, hots = [], [], [], []
         for doc, text, asked in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
             words = text.split()
             if len(words) < window:
                 continue
             hashes = _hashes(words)
-            kept = np.isin(_fingerprints(hashes, window).view(np.int64), np.array(asked, np.int64))
+            prints = _fingerprints(hashes, window).view(np.int64)
+            kept = np.isin(prints, np.array(asked, np.int64))
             one, two = _windows(hashes, window)
             one, at = np.unique(one[kept], return_index=True)
             firsts.append(one)
             seconds.append(two[kept][at])
+            hots.append(np.isin(prints[kept][at], hot_list))
             ids.append(np.full(len(one), doc))
         if not ids:
             return None
-        return pa.record_batch([pa.array(np.concatenate(x), pa.int64()) for x in (firsts, seconds, ids)], ["h1", "h2", "doc_id"])
+        columns = [pa.array(np.concatenate(x), pa.int64()) for x in (firsts, seconds, ids)]
+        return pa.record_batch([*columns, pa.array(np.concatenate(hots), pa.bool_())], ["h1", "h2", "doc_id", "hot"])
 
-    return map_arrow(_source(docs).join(asked, "doc_id"), run, "h1 bigint, h2 bigint, doc_id bigint")
+    return map_arrow(_source(docs).join(asked, "doc_id"), run, "h1 bigint, h2 bigint, doc_id bigint, hot boolean")
+
+
+def repeated(seen: DataFrame, some_hot: bool) -> DataFrame:
+    """(doc_id, asked): the windows (h1) of a document that a smaller doc_id has too.
+
+    A window that is not hot stands in a bounded share of documents: its rows meet once, in a
+    window function. A hot one may stand in a third of them. Its smallest doc_id comes from an
+    aggregation that combines before the shuffle; a document's repeats are its hot windows but those
+    that it is itself the first to have, so no row of a hot window is joined.
+    """
+    if some_hot:
+        seen = staged(seen, "windows")
+        release(seen.sparkSession)
+    cold = seen.where("not hot") if some_hot else seen
+    least = F.min("doc_id").over(Window.partitionBy("h1", "h2"))
+    later = cold.select("h1", "doc_id", least.alias("least")).where("least < doc_id")
+    out = later.groupBy("doc_id").agg(F.collect_set("h1").alias("asked"))
+    if not some_hot:
+        return out
+    hot = seen.where("hot")
+    firsts = hot.groupBy("h1", "h2").agg(F.min("doc_id").alias("doc_id")).groupBy("doc_id").agg(F.collect_set("h1").alias("own"))
+    every = hot.groupBy("doc_id").agg(F.collect_set("h1").alias("held")).join(firsts, "doc_id", "left")
+    rest = F.array_except("held", F.coalesce("own", F.expr("cast(array() as array<bigint>)")))
+    both = out.unionByName(every.select("doc_id", rest.alias("asked")).where("size(asked) > 0"))
+    return both.groupBy("doc_id").agg(F.flatten(F.collect_list("asked")).alias("asked"))
 
 
 def _cut(words: list[bytes], asked: list[int], window: int) -> np.ndarray:
@@ -193,10 +223,15 @@ def deduplicate(docs: DataFrame, window: int = WINDOW, batches: int = 2, with_te
     document. Null ids are nobody's smaller id and lose nothing. An empty table gives no rows.
     """
     spark = docs.sparkSession
-    known = staged(described(docs, window), "described")
+    whole = staged(described(docs, window), "described")
+    known = staged(whole.select("doc_id", "n_words", "sha"), "known")
     first = known.where(f"n_words >= {window}").groupBy("sha").agg(F.min("doc_id").alias("first"))
-    known = known.join(first, "sha", "left").withColumn("copy", F.coalesce(F.col("first") < F.col("doc_id"), F.lit(False)))
-    own = staged(known.where("not copy and doc_id is not null").select("doc_id", "hashes"), "own")
+    copy = F.coalesce(F.col("first") < F.col("doc_id"), F.lit(False)).alias("copy")
+    marked = known.where("doc_id is not null").join(first, "sha", "left").select("doc_id", "sha", copy)
+    copies = staged(marked.where("copy").distinct(), "copies")
+    gone = staged(marked.groupBy("doc_id").agg(F.bool_and("copy").alias("copy")).where("copy").select("doc_id"), "gone")
+    own = staged(whole.where("doc_id is not null").select("doc_id", "hashes").join(gone, "doc_id", "left_anti"), "own")
+    release(spark, whole, gone)
     size = own.agg(F.sum(F.size("hashes").cast("bigint")).alias("n"), F.percentile_approx("doc_id", [k / batches for k in range(1, batches)], 10_000).alias("cuts")).first()
     index = FingerprintIndex(spark, buckets=max(8, int(spark.conf.get("spark.sql.shuffle.partitions")), (size["n"] or 0) // 2_000_000))
     cuts = [None, *sorted(set(size["cuts"] or [])), None]
@@ -206,9 +241,8 @@ def deduplicate(docs: DataFrame, window: int = WINDOW, batches: int = 2, with_te
         found = index.ingest(batch.select(F.explode("hashes").alias("hash"), "doc_id"))
         shared = found if shared is None else shared.unionByName(found)
     index.drop()
-    seen = staged(shared_windows(docs, shared, window), "windows")
-    least = seen.groupBy("h1", "h2").agg(F.min("doc_id").alias("least"))
-    cut = seen.join(least, ["h1", "h2"]).where("least < doc_id").groupBy("doc_id").agg(F.collect_set("h1").alias("asked"))
+    release(spark, own)
+    cut = repeated(shared_windows(docs, shared, window, index.hot), bool(index.hot))
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         sha, removed, kept, texts = [], [], [], []
@@ -224,13 +258,13 @@ def deduplicate(docs: DataFrame, window: int = WINDOW, batches: int = 2, with_te
 
     done = map_arrow(_source(docs).join(cut, "doc_id"), run, "doc_id bigint, sha binary, removed bigint, kept binary, kept_text string").dropDuplicates(["doc_id", "sha"])
     empty = F.lit(hashlib.sha256(b"").digest())
-    full = known.select("doc_id", "sha", "n_words", "copy").join(done, ["doc_id", "sha"], "left")
-    whole = F.col("copy")
+    full = known.select("doc_id", "sha", "n_words").join(copies, ["doc_id", "sha"], "left").join(done, ["doc_id", "sha"], "left")
+    is_copy = F.coalesce("copy", F.lit(False))
     columns = [
         "doc_id",
         "n_words",
-        F.when(whole, F.col("n_words")).otherwise(F.coalesce("removed", F.lit(0))).cast("bigint").alias("n_removed"),
-        F.lower(F.hex(F.when(whole, empty).otherwise(F.coalesce("kept", "sha")))).alias("kept_sha"),
+        F.when(is_copy, F.col("n_words")).otherwise(F.coalesce("removed", F.lit(0))).cast("bigint").alias("n_removed"),
+        F.lower(F.hex(F.when(is_copy, empty).otherwise(F.coalesce("kept", "sha")))).alias("kept_sha"),
     ]
-    text = F.when(whole, F.lit("")).when(F.col("removed") > 0, F.col("kept_text")).alias("kept_text")
+    text = F.when(is_copy, F.lit("")).when(F.col("removed") > 0, F.col("kept_text")).alias("kept_text")
     return full.select(*columns, *[text] * with_text)

@@ -344,3 +344,9 @@ def test_url_rules(spark):
     for ranges in (1, 7):
         assert Counter(map(tuple, urls.judge(pages, rules, ranges).collect())) == want
     assert urls.judge(pages.limit(0), rules).count() == 0
+
+
+def test_hot_windows_take_the_counted_path(spark):
+    rows = spark.createDataFrame([(1, 1, d, True) for d in (3, 5, 9)] + [(2, 2, d, False) for d in (4, 6)] + [(2, 3, 1, False)], "h1 long, h2 long, doc_id long, hot boolean")
+    for some_hot in (True, False):
+        assert sorted((r.doc_id, *r.asked) for r in substrings.repeated(rows, some_hot).collect()) == [(5, 1), (6, 2), (9, 1)]
