@@ -13,6 +13,9 @@ its fingerprints, the same components, no pair left out.
 
 from __future__ import annotations
 
+import hashlib
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -123,23 +126,22 @@ def near_duplicates(docs: DataFrame, radius: int = 3, shingle: int = 3) -> DataF
     return found.join(named.join(roots, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
 
 
-#: Odd factors that turn one hash of a shingle into further, independent ones.
-_MIXERS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
-
+def prefix_size(shingles: int, similarity: float) -> int:
+    """How many of a set's first shingles, in an order common to all sets, hold one at least of any
+    set that is similar enough: such a set shares `similarity` of the shingles or more, so they are
+    not all among the others."""
+    return shingles - math.ceil(similarity * shingles - 1e-9) + 1 if shingles else 0
 
-def _sketch(batch: pa.RecordBatch, shingle: int, sketches: int) -> pa.RecordBatch:
-    import hashlib
 
-    digest, fps = [], []
+def _prefixes(batch: pa.RecordBatch, verified: int, similarity: float) -> pa.RecordBatch:
+    digest, sizes, first = [], [], []
     for text in batch.column(1).to_pylist():
-        hashes = _shingles(text, shingle)
+        grams = np.unique(_shingles(text, verified).view(np.int64))
         digest.append(hashlib.blake2b(b" ".join(text.lower().split()), digest_size=16).digest())
-        own = []
-        for m in _MIXERS[:sketches]:
-            x = hashes * np.uint64(m)
-            own.append(_majority(x ^ (x >> np.uint64(31))))
-        fps.append(own)
-    return pa.record_batch([batch.column(0), pa.array(digest, pa.binary()), pa.array(fps, pa.list_(pa.int64()))], ["doc_id", "digest", "fps"])
+        sizes.append(len(grams))
+        first.append(grams[: prefix_size(len(grams), similarity)])
+    columns = [batch.column(0), pa.array(digest, pa.binary()), pa.array(sizes, pa.int32()), pa.array(first, pa.list_(pa.int64()))]
+    return pa.record_batch(columns, ["doc_id", "digest", "size", "prefix"])
 
 
 def _shingle_sets(batch: pa.RecordBatch, verified: int) -> pa.RecordBatch:
@@ -147,23 +149,21 @@ def _shingle_sets(batch: pa.RecordBatch, verified: int) -> pa.RecordBatch:
     return pa.record_batch([batch.column(0), pa.array(grams, pa.list_(pa.int64()))], ["id", "grams"])
 
 
-def groups(docs: DataFrame, similarity: float = 0.8, verified: int = 5, shingle: int = 2, radius: int = 4, sketches: int = 3) -> DataFrame:
+def groups(docs: DataFrame, similarity: float = 0.8, verified: int = 5) -> DataFrame:
     """(doc_id, group_id) for rows in a group of two or more: near copies by word shingles.
 
     Documents are linked if their sets of `verified`-word shingles have Jaccard similarity of
-    `similarity` or more. Such texts differ in more bits than one fingerprint's radius can cover, so
-    there are several fingerprints, of shorter shingles, each with its covering tables; a bucket
-    pairs each text with the bucket's first and with the one before it, in order of ids, and the
-    exact similarity decides. Texts equal but for case and white space are one node. group_id is the
-    group's smallest doc_id; null ids belong to no group.
+    `similarity` or more. Candidates share one of their prefix's shingles, the first by hash, which
+    all such pairs do (see prefix_size); a bucket pairs each text with the bucket's first and with
+    the one before it, in order of ids, and the exact similarity decides. Texts equal but for case
+    and white space are one node. group_id is the group's smallest doc_id; null ids belong to no
+    group.
     """
     rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("bigint"), text_of().cast("binary").alias("text"))
-    known = staged(map_arrow(rows, lambda b: _sketch(b, shingle, sketches), "doc_id bigint, digest binary, fps array<bigint>"), "sketches")
+    known = staged(map_arrow(rows, lambda b: _prefixes(b, verified, similarity), "doc_id bigint, digest binary, size int, prefix array<bigint>"), "prefixes")
     firsts = staged(known.groupBy("digest").agg(F.min("doc_id").alias("node")), "firsts")
     nodes = known.join(firsts, (known["digest"] == firsts["digest"]) & (known["doc_id"] == firsts["node"]), "left_semi")
-    masks = F.array(*[F.lit(_signed(m)) for m in covering_masks(radius)])
-    tables = nodes.select("doc_id", F.posexplode("fps").alias("s", "fp")).select("doc_id", "s", "fp", F.posexplode(masks).alias("t", "m"))
-    keys = tables.select(F.xxhash64("s", "t", F.col("fp").bitwiseAND(F.col("m"))).alias("key"), F.col("doc_id").alias("b"))
+    keys = nodes.select(F.explode("prefix").alias("key"), F.col("doc_id").alias("b"))
     bucket = Window.partitionBy("key").orderBy("b")
     paired = keys.select("b", F.array(F.first("b").over(bucket), F.lag("b").over(bucket)).alias("a")).select("b", F.explode("a").alias("a"))
     pairs = staged(paired.where("a < b").distinct(), "pairs")

@@ -43,6 +43,31 @@ def test_near_copies(spark):
     assert simhash.one_of_each(docs.limit(0)).count() == 0
 
 
+def table(spark, texts):
+    return spark.createDataFrame([(i, t, "en", "s", 1) for i, t in texts], "doc_id long, text string, lang string, source string, n_chars long")
+
+
+def test_no_pair_just_above_the_threshold_is_lost(spark):
+    rng, texts, want = random.Random(3), [], set()
+    for i in range(150):
+        w = prose(rng, rng.randrange(80, 400))
+        n = len(w)
+        if i % 3 == 0:
+            near = w + prose(rng, int(n * rng.uniform(0.18, 0.24)))
+        elif i % 3 == 1:
+            k = int(n * rng.uniform(0.08, 0.10))
+            at = rng.randrange(n - k)
+            near = w[:at] + prose(rng, k) + w[at + k :]
+        else:
+            near = [x if rng.random() > 0.02 else "typo" for x in w]
+        if jaccard(w, near) >= 0.8:
+            want.add(1000 + i)
+        texts += [(i, " ".join(w)), (1000 + i, " ".join(near))]
+    assert len(want) > 75
+    kept = {r.doc_id for r in simhash.one_of_each(table(spark, texts)).collect()}
+    assert {i for i, _ in texts} - kept == want
+
+
 def test_stages(spark):
     docs = spark.read.parquet(f"{BIG}/documents.parquet")
     names, before = docs.columns, docs
