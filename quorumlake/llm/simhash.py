@@ -17,8 +17,9 @@ import hashlib
 import math
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quorumlake.llm.common import map_arrow, text_of
@@ -28,6 +29,14 @@ from quorumlake.session import release, staged
 #: Fingerprints of a bucket up to which its pairs are compared one by one.
 BUCKET = 64
 
+#: Texts of a near-copy bucket up to which its pairs are compared one by one; in larger ones, texts
+#: that all others are compared with first, and texts of a block.
+SMALL, PIVOTS, BLOCK = 32, 4, 512
+
+#: Orders of shingles that are tried until buckets are small; marks of common shingles, by their low
+#: bits: two shingles that share a mark only come later in the order.
+ROUNDS, MARKS = 4, 1 << 22
+
 
 def _shingles(text: bytes, shingle: int, seed: int = 42) -> np.ndarray:
     """Hashes of a text's shingles, repeats included; of the whole sequence if it is shorter."""
@@ -149,35 +158,145 @@ def _shingle_sets(batch: pa.RecordBatch, verified: int) -> pa.RecordBatch:
     return pa.record_batch([batch.column(0), pa.array(grams, pa.list_(pa.int64()))], ["id", "grams"])
 
 
+def _counts(keys: DataFrame) -> DataFrame:
+    """(key, n, low, high): keys of several texts, and sums that are alike for the same texts."""
+    texts = F.xxhash64("b")
+    halves = F.sum(texts.bitwiseAND(F.lit(0xFFFFFFFF))).alias("low"), F.sum(F.shiftrightunsigned(texts, 32)).alias("high")
+    return staged(keys.groupBy("key").agg(F.count("*").alias("n"), *halves).where("n > 1"), "counts")
+
+
+def _members(keys: DataFrame, counts: DataFrame) -> DataFrame:
+    """(key, b, size, n): the texts of each bucket; of buckets with the same texts, one."""
+    buckets = staged(counts.groupBy("n", "low", "high").agg(F.min("key").alias("key")).select("key", "n"), "buckets")
+    return staged(keys.join(buckets, "key"), "members")
+
+
+def _pairs(members: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): all pairs of small buckets whose sizes allow the similarity."""
+    few = members.where(F.col("n") <= SMALL).select("key", "b", "size")
+    sizes = F.least("size", "m") >= similarity * F.greatest("size", "m") - 1e-9
+    return few.join(few.toDF("key", "a", "m"), "key").where("a < b").where(sizes).select("a", "b")
+
+
+def _rarer(batch: pa.RecordBatch, verified: int, similarity: float, common: np.ndarray) -> pa.RecordBatch:
+    """Prefixes in another order: shingles marked common come last."""
+    sizes, first = [], []
+    for text in batch.column(1).to_pylist():
+        grams = np.unique(_shingles(text, verified).view(np.int64))
+        late = common[grams & (MARKS - 1)]
+        sizes.append(len(grams))
+        first.append(np.concatenate([grams[~late], grams[late]])[: prefix_size(len(grams), similarity)])
+    return pa.record_batch([batch.column(0), pa.array(sizes, pa.int32()), pa.array(first, pa.list_(pa.int64()))], ["b", "size", "prefix"])
+
+
+def _rest(members: DataFrame, joined: DataFrame) -> DataFrame:
+    """(key, b, part, main, n, r): the texts of buckets of several components (part), with the one
+    that most of a bucket's texts are in (main), and how many texts are in it or not (n, r)."""
+    named = members.join(joined, members["b"] == joined["node"], "left").select("key", "b", F.coalesce("component", "b").alias("part"))
+    parts = named.groupBy("key", "part").agg(F.count("*").alias("c"))
+    tops = parts.groupBy("key").agg(F.max(F.struct("c", "part")).alias("top"), F.sum("c").alias("n"))
+    open_ = tops.where("n > top.c").select("key", F.col("top.part").alias("main"), "n", (F.col("n") - F.col("top.c")).alias("r"))
+    return named.join(open_, "key")
+
+
+def _across(rest: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): links between texts of different components that share a bucket, one at least for
+    each text outside the bucket's main component and each component it has links to.
+
+    A bucket is cut in blocks; a pair of blocks is one task's comparison of all its pairs.
+    """
+    blocks = lambda n: F.ceil(F.col(n) / BLOCK)
+    block = lambda n: F.pmod(F.xxhash64("b"), blocks(n))
+    each = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), blocks(n) - 1))
+    whole = rest.join(sets, rest["b"] == sets["id"])
+    columns = ["key", "p", "q", "b", "part", "grams"]
+    held = whole.withColumn("q", block("n")).withColumn("p", each("r")).select(columns)
+    asked = whole.where("part <> main").withColumn("p", block("r")).withColumn("q", each("n")).select(columns)
+
+    def compare(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        a, b = [], []
+        if len(left) and len(right):
+            right.columns = left.columns
+            sizes = right["grams"].map(len).to_numpy()
+            grams, owner = np.concatenate(right["grams"].to_list()), np.repeat(np.arange(len(right)), sizes)
+            order = np.argsort(grams, kind="stable")
+            grams, owner = grams[order], owner[order]
+            ids, parts = right["b"].to_numpy(), right["part"].to_numpy()
+            for one, part, own in zip(left["b"], left["part"], left["grams"], strict=True):
+                low, high = np.searchsorted(grams, own, "left"), np.searchsorted(grams, own, "right")
+                n = high - low
+                at = np.arange(n.sum()) + np.repeat(low - np.cumsum(n) + n, n)
+                shared = np.bincount(owner[at], minlength=len(right))
+                found = np.nonzero((shared >= similarity * (sizes + len(own) - shared)) & (parts != part))[0]
+                found = found[np.unique(parts[found], return_index=True)[1]]
+                a += [one] * len(found)
+                b += ids[found].tolist()
+        return pd.DataFrame({"a": a, "b": b}, dtype="int64")
+
+    held = held.toDF(*[f"{c}_" for c in columns])
+    return asked.groupBy("key", "p", "q").cogroup(held.groupBy("key_", "p_", "q_")).applyInPandas(compare, "a bigint, b bigint")
+
+
 def groups(docs: DataFrame, similarity: float = 0.8, verified: int = 5) -> DataFrame:
     """(doc_id, group_id) for rows in a group of two or more: near copies by word shingles.
 
     Documents are linked if their sets of `verified`-word shingles have Jaccard similarity of
     `similarity` or more. Candidates share one of their prefix's shingles, the first by hash, which
-    all such pairs do (see prefix_size); a bucket pairs each text with the bucket's first and with
-    the one before it, in order of ids, and the exact similarity decides. Texts equal but for case
-    and white space are one node. group_id is the group's smallest doc_id; null ids belong to no
-    group.
+    all such pairs do (see prefix_size), and the exact similarity decides. Small buckets compare all
+    their pairs. The texts of larger ones get keys anew, with the large buckets' shingles last: any
+    order finds all pairs. What is large after ROUNDS orders is compared with a few of the bucket's texts; then
+    texts outside a bucket's main component are compared with all its texts of other components.
+    Texts equal but for case and white space are one node. group_id is the group's smallest doc_id;
+    null ids belong to no group.
     """
+    spark = docs.sparkSession
     rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("bigint"), text_of().cast("binary").alias("text"))
     known = staged(map_arrow(rows, lambda b: _prefixes(b, verified, similarity), "doc_id bigint, digest binary, size int, prefix array<bigint>"), "prefixes")
     firsts = staged(known.groupBy("digest").agg(F.min("doc_id").alias("node")), "firsts")
     nodes = known.join(firsts, (known["digest"] == firsts["digest"]) & (known["doc_id"] == firsts["node"]), "left_semi")
-    keys = nodes.select(F.explode("prefix").alias("key"), F.col("doc_id").alias("b"))
-    bucket = Window.partitionBy("key").orderBy("b")
-    paired = keys.select("b", F.array(F.first("b").over(bucket), F.lag("b").over(bucket)).alias("a")).select("b", F.explode("a").alias("a"))
-    pairs = staged(paired.where("a < b").distinct(), "pairs")
-    release(docs.sparkSession)
-    some = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    sets = map_arrow(rows.join(some, "doc_id", "left_semi"), lambda b: _shingle_sets(b, verified), "id bigint, grams array<bigint>")
-    sets = staged(sets.dropDuplicates(["id"]), "sets")
+    keys = nodes.select(F.explode("prefix").alias("key"), F.col("doc_id").alias("b"), "size")
+    sets_of = lambda some: map_arrow(rows.join(some, "doc_id", "left_semi"), lambda b: _shingle_sets(b, verified), "id bigint, grams array<bigint>").dropDuplicates(["id"])
+    counts = _counts(keys)
+    members, common = _members(keys, counts), np.zeros(MARKS, bool)
+    candidates = _pairs(members, similarity)
+    for turn in range(ROUNDS):
+        release(spark)
+        large = members.where(F.col("n") > SMALL)
+        hot = staged(large.select(F.col("b").alias("doc_id")).distinct(), "hot")
+        if hot.isEmpty():
+            large = None
+            break
+        if turn == ROUNDS - 1:
+            break
+        marks = counts.where(F.col("n") > SMALL).select(F.col("key").bitwiseAND(F.lit(MARKS - 1)).alias("at")).distinct()
+        common[[r["at"] for r in marks.collect()]] = True
+        rarer = map_arrow(rows.join(hot, "doc_id", "left_semi"), lambda b, c=common.copy(): _rarer(b, verified, similarity, c), "b bigint, size int, prefix array<bigint>")
+        keys = staged(rarer.select(F.explode("prefix").alias("key"), "b", "size"), "keys")
+        counts = _counts(keys)
+        members = _members(keys, counts)
+        release(spark, keys)
+        candidates = candidates.unionByName(_pairs(members, similarity))
+    if large is not None:
+        some = F.array(*[F.min_by("b", F.xxhash64(F.lit(k), "b")) for k in range(PIVOTS)])
+        centres = large.groupBy("key").agg(some.alias("some")).select("key", F.explode(F.array_distinct("some")).alias("c"))
+        around = large.join(centres, "key").where("b <> c").select(F.least("b", "c").alias("a"), F.greatest("b", "c").alias("b"))
+        candidates = candidates.unionByName(around)
+    pairs = staged(candidates.distinct(), "pairs")
+    release(spark)
+    sets = staged(sets_of(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()), "sets")
     left = pairs.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b")
-    alike = F.size(F.array_intersect("x", "y")) >= similarity * F.size(F.array_union("x", "y"))
-    linked = left.where(alike & (F.size("x") > 0)).select("a", "b")
+    shared = F.size(F.array_intersect("x", "y"))
+    linked = left.where((shared >= similarity * (F.size("x") + F.size("y") - shared)) & (F.size("x") > 0)).select("a", "b")
     copies = known.select("doc_id", "digest").join(firsts, "digest").where("doc_id <> node").select(F.col("node").alias("a"), F.col("doc_id").alias("b"))
     edges = staged(linked.unionByName(copies), "edges")
-    release(docs.sparkSession, sets, pairs)
-    return connected_components(edges, "a", "b").select(F.col("node").alias("doc_id"), F.col("component").alias("group_id"))
+    joined = connected_components(edges, "a", "b")
+    if large is not None:
+        joined = staged(joined, "joined")
+        rest = staged(_rest(large, joined), "rest")
+        if not rest.isEmpty():
+            joined = connected_components(edges.unionByName(staged(_across(rest, sets, similarity), "across")), "a", "b")
+    release(spark, sets, pairs)
+    return joined.select(F.col("node").alias("doc_id"), F.col("component").alias("group_id"))
 
 
 def one_of_each(docs: DataFrame, **options) -> DataFrame:

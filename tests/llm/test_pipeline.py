@@ -68,6 +68,18 @@ def test_no_pair_just_above_the_threshold_is_lost(spark):
     assert {i for i, _ in texts} - kept == want
 
 
+def test_copies_among_texts_of_shared_sentences(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "BLOCK", 16)
+    rng, texts, own = random.Random(5), [], iter(range(10**6))
+    pool = [prose(rng, 60) for _ in range(40)]
+    for i in range(60):
+        picked = rng.sample(range(40), 20)
+        for at in (i, 1000 + i):  # words of its own between sentences: shared shingles are all common ones
+            texts.append((at, " ".join(w for k in sorted(picked) for w in [*pool[k], f"own{next(own)}"])))
+    kept = {r.doc_id for r in simhash.one_of_each(table(spark, texts)).collect()}
+    assert kept == set(range(60))
+
+
 def test_stages(spark):
     docs = spark.read.parquet(f"{BIG}/documents.parquet")
     names, before = docs.columns, docs
