@@ -27,20 +27,22 @@ from quorumlake.session import staged
 #: Texts of a language that are learned from, at most about so many; n-gram buckets.
 FIT_DOCS, BUCKETS = 1500, 1 << 15
 
-#: Languages that take part in a text's mixture: those with the highest likelihood of all words.
-CANDIDATES, ROUNDS = 6, 8
+#: Rounds of expectation and maximisation for each set of languages.
+ROUNDS = 8
 
 #: Rounds end early when no proportion moves by more.
 SETTLED = 1e-3
 
 CACHE_WORDS = 600_000
-LETTERS = re.compile(r"[^\W\d_]+")
+
+#: Words: runs of letters, longer ones in consecutive pieces of 40, so that all letters count.
+LETTERS = re.compile(r"[^\W\d_]{1,40}")
 
 
 def _grams(words: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
     """For 1, 2 and 3 characters: the buckets of all words' n-grams, word after word, and how many
-    each word has. Words are marked at both ends and cut after 40 letters."""
-    marked = [f"^{w[:40]}$" for w in words]
+    each word has. Words are marked at both ends."""
+    marked = [f"^{w}$" for w in words]
     codes = np.frombuffer("".join(marked).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
     sizes = np.fromiter(map(len, marked), np.int64, len(marked))
     left = np.repeat(np.cumsum(sizes), sizes) - np.arange(len(codes))  # characters to the word's end
@@ -122,12 +124,9 @@ def mixtures(likelihood: np.ndarray, ends: np.ndarray, rounds: int = ROUNDS) ->
     top = likelihood.max(1, keepdims=True)
     scaled = np.exp(likelihood - top)
     mask = np.ones((texts, languages), bool)
-    if languages > CANDIDATES:
-        total = np.add.reduceat(likelihood, starts, axis=0)
-        mask = total >= -np.sort(-total, axis=1)[:, CANDIDATES - 1 : CANDIDATES]
     best, best_score = np.zeros((texts, languages)), np.full(texts, -np.inf)
     share = mask / mask.sum(1, keepdims=True)
-    for _ in range(min(languages, CANDIDATES)):
+    for _ in range(languages):
         for _ in range(rounds):
             weighed = scaled * share[of]
             weighed /= np.maximum(weighed.sum(1, keepdims=True), 1e-300)

@@ -288,6 +288,23 @@ def test_language(spark, docs):
     assert langid.predict(docs.limit(0)).count() == 0
 
 
+def test_letters_of_long_runs_all_count(spark):
+    rng = np.random.default_rng(2)
+    run = lambda letters, n: "".join(rng.choice(list(letters), n))
+    rows = [(i, " ".join(run(letters, 5) for _ in range(50)), lang) for i, (letters, lang) in enumerate([("abcd", "x"), ("wxyz", "y")] * 30)]
+    rows += [(1000, run("abcd", 40) + run("wxyz", 400), None)]
+    found = {r.doc_id: r for r in langid.predict(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert found[1000].lang_pred == "y" and 0.8 < found[1000].score < 0.99
+
+
+def test_a_minority_language_behind_relatives_of_the_main_one():
+    likelihood = np.full((100, 9), -30.0)
+    likelihood[:70, 0], likelihood[:70, 1:8] = -5, -8
+    likelihood[70:, 8] = -5
+    share = langid.mixtures(likelihood, np.array([100]))[0]
+    assert abs(share[0] - 0.7) < 0.05 and abs(share[8] - 0.3) < 0.05
+
+
 def test_a_mixture_keeps_both_languages():
     rng = np.random.default_rng(6)
     own = np.array([[-1.0, -6, -6], [-6.0, -1, -6], [-6.0, -6, -1]])
