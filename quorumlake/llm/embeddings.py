@@ -3,8 +3,8 @@
 Vectors are scaled to length 1 and cut in halves; each half has a codebook of its own, and the
 product of both is a grid of cells. A vector's cells are visited in ascending order of the sum of
 its halves' squared distances to the codewords (multi-sequence traversal). How many cells are
-visited follows from a target recall, measured on sampled vectors against all others; then cosines
-in double precision verify what the cells hold.
+visited follows from a target recall, measured on sampled vectors against all others and against
+partners made at exactly the threshold; then cosines in double precision verify what the cells hold.
 
 Equal vectors are one node with a count. Cells are cut in blocks, so a hot cell is many small tasks,
 and a block pair returns counts and a spanning forest of its links, never the links themselves.
@@ -25,6 +25,9 @@ from quorumlake.session import staged
 #: Rows that fit the codebooks, and vectors whose true neighbours set the number of cells visited.
 FIT_ROWS, RECALL_ROWS = 20_000, 512
 
+#: Partners at the threshold made for each sampled vector, in either kind of direction.
+PARTNERS = 4
+
 #: Rows of a block; a pair of blocks is one matrix product.
 BLOCK = 1024
 
@@ -82,8 +85,41 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return flat.reshape(len(column), -1)
 
 
+def _partners(sample: np.ndarray, threshold: float, seed: int = 5) -> tuple[np.ndarray, np.ndarray]:
+    """Unit vectors, and for each one of cosine `threshold`: in random directions, and towards
+    other sampled vectors, as data differ more in some directions than in others."""
+    rng, x, ways = np.random.default_rng(seed), np.concatenate([sample] * PARTNERS), []
+    for way in (rng.normal(size=x.shape), x[rng.permutation(len(x))]):
+        way = way - (way * x).sum(1, keepdims=True) * x
+        length = np.linalg.norm(way, axis=1, keepdims=True)
+        sound = length[:, 0] > 1e-6
+        ways.append((x[sound], threshold * x[sound] + np.sqrt(1 - threshold**2) * way[sound] / length[sound]))
+    return np.concatenate([a for a, _ in ways]), np.concatenate([b for _, b in ways])
+
+
+def _worst_visits(sample: np.ndarray, books: tuple[np.ndarray, np.ndarray], threshold: float, recall: float) -> int:
+    """Cells to visit so that of sampled vectors and partners at the threshold, the lowest cosine a
+    link has, `recall` meet: one of both visits the other's cell."""
+    x, y = _partners(sample, threshold)
+    if not len(x):
+        return 2
+    places = np.sort(np.minimum(_places(x, y, books), _places(y, x, books)))
+    return int(places[max(0, int(np.ceil(recall * len(places))) - 1)]) + 1
+
+
+def _places(x: np.ndarray, y: np.ndarray, books: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """At which place of its traversal each row of x meets the cell of the same row of y."""
+    half, own = books[0].shape[1], traversal(y, books, 1)[:, 0]
+    first, second = _distances(x[:, :half], books[0]), _distances(x[:, half:], books[1])
+    row = np.arange(len(x))
+    cost = first[row, own // len(books[1])] + second[row, own % len(books[1])] + 1e-12
+    second.sort(axis=1)
+    return np.array([np.searchsorted(s, c - f, "right").sum() - 1 for f, s, c in zip(first, second, cost, strict=True)])
+
+
 def _visits(nodes: DataFrame, books: tuple[np.ndarray, np.ndarray], threshold: float, recall: float) -> int:
-    """Cells to visit so that `recall` of the sampled vectors' links are found, at least 2.
+    """Cells to visit so that `recall` of the sampled vectors' links are found, and as many of links
+    at the threshold, however few there are in the table; at least 2.
 
     A bounded query set is held against all rows, in blocks; each task returns how many neighbours
     lie at each place of the traversal.
@@ -93,6 +129,7 @@ def _visits(nodes: DataFrame, books: tuple[np.ndarray, np.ndarray], threshold: f
     places = traversal(sample, books, grid)
     rank = np.empty_like(places)
     np.put_along_axis(rank, places, np.arange(grid)[None, :].repeat(len(sample), 0), 1)
+    least = max(2, _worst_visits(sample, books, threshold, recall))
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         x = _matrix(batch.column(0))
@@ -107,8 +144,8 @@ def _visits(nodes: DataFrame, books: tuple[np.ndarray, np.ndarray], threshold: f
     for r in found:
         seen += r["n"]
         if seen >= recall * total:
-            return max(2, r["place"] + 1)
-    return 2
+            return max(least, r["place"] + 1)
+    return least
 
 
 def _forest(rows: np.ndarray, columns: np.ndarray, n: int, m: int) -> tuple[np.ndarray, np.ndarray]:

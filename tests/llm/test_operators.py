@@ -146,6 +146,19 @@ def test_embeddings(spark):
     assert embeddings.near_duplicates(made.where("vec_id in (100, 101)")).count() == 2
 
 
+def test_few_links_at_the_threshold_are_found(spark):
+    rng = np.random.default_rng(4)
+    unit = lambda v: v / np.linalg.norm(v, axis=1, keepdims=True)
+    x = unit(rng.normal(size=(6000, 32)))
+    way = rng.normal(size=(80, 32))
+    way = unit(way - (way * x[:80]).sum(1, keepdims=True) * x[:80])
+    y = 0.955 * x[:80] + np.sqrt(1 - 0.955**2) * way
+    rows = [(i, v.tolist()) for i, v in enumerate(np.concatenate([x, y]))]
+    made = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {r.vec_id: r.component_id for r in embeddings.near_duplicates(made, codewords=24).collect()}
+    assert sum(got[6000 + i] == got[i] for i in range(80)) >= 79
+
+
 def test_traversal_visits_cells_in_order_of_distance():
     rng = np.random.default_rng(2)
     x, books = rng.normal(size=(5, 8)), (rng.normal(size=(4, 4)), rng.normal(size=(3, 4)))
