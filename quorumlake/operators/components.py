@@ -5,22 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from quorumlake.session import staged
+from quorumlake.operators.joins import counted_join
+from quorumlake.session import discard, staged
 
 
-def _stars(edges: DataFrame) -> DataFrame:
-    """One round: every node's larger neighbours move to its smallest one, then the reverse."""
+def _stars(edges: DataFrame, total: int) -> tuple[DataFrame, tuple[DataFrame, ...]]:
+    """One round: every node's larger neighbours move to its smallest one, then the reverse. A hub
+    of very many neighbours is no hot key: see counted_join. Returns the tables it is made from too."""
     both = edges.unionByName(edges.select(F.col("hi").alias("lo"), F.col("lo").alias("hi")))
-    least = both.groupBy("hi").agg(F.min("lo").alias("m")).select("hi", F.least("hi", "m").alias("m"))
-    large = (
-        both.join(least, "hi")
-        .where("lo > hi")
-        .select(F.col("lo").alias("hi"), F.col("m").alias("lo"))
-        .distinct()
-    )
-    small = large.groupBy("hi").agg(F.min("lo").alias("m"))
-    moved = large.join(small, "hi").where("lo <> m").select(F.col("lo").alias("hi"), F.col("m").alias("lo"))
-    return moved.unionByName(small.select("hi", F.col("m").alias("lo"))).distinct()
+    least = staged(both.groupBy("hi").agg(F.least("hi", F.min("lo")).alias("m"), F.count(F.lit(1)).alias("n")), "least")
+    met = counted_join(both.where("lo > hi"), least, "hi", 2 * total)
+    large = staged(met.select(F.col("lo").alias("hi"), F.col("m").alias("lo")).distinct(), "large")
+    small = staged(large.groupBy("hi").agg(F.min("lo").alias("m"), F.count(F.lit(1)).alias("n")), "small")
+    moved = counted_join(large, small, "hi", 2 * total).where("lo <> m").select(F.col("lo").alias("hi"), F.col("m").alias("lo"))
+    return moved.unionByName(small.select("hi", F.col("m").alias("lo"))).distinct(), (edges, least, large, small)
 
 
 def _marked(edges: DataFrame) -> tuple[DataFrame, dict]:
@@ -42,7 +40,9 @@ def connected_components(edges: DataFrame, left: str, right: str, max_rounds: in
     for _ in range(max_rounds):
         if mark["n"] == 0:
             break
-        last, (now, mark) = mark, _marked(_stars(now))
+        last, (grown, used) = mark, _stars(now, mark["n"])
+        now, mark = _marked(grown)
+        discard(*used)
         if mark == last:
             break
     else:

@@ -11,11 +11,12 @@ and vetoes are relabelled by joins. Both give the sequential result.
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quorumlake.operators.components import connected_components
 from quorumlake.operators.decisions import decisions
+from quorumlake.operators.ranks import ranked
 from quorumlake.schema import DIFFERENT, PAIR, SAME, UNKNOWN, Evidence
 from quorumlake.session import staged
 
@@ -115,17 +116,8 @@ def materialize(store: Evidence, relation_veto: bool = True, component_veto: boo
 
 
 def component_ids(membership: DataFrame) -> DataFrame:
-    """(label, component): places of components in the order of their smallest handle, from 0.
-
-    Labels are ranked within ranges and shifted by the ranges before them, so no task sorts all.
-    """
-    spark = membership.sparkSession
-    ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = staged(membership.select("label").distinct().repartitionByRange(ranges, "label").withColumn("r", F.spark_partition_id()), "ranges")
-    counts = dealt.groupBy("r").agg(F.count("*").alias("n"))
-    before = counts.select("r", F.coalesce(F.sum("n").over(Window.orderBy("r").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("shift"))
-    place = F.row_number().over(Window.partitionBy("r").orderBy("label")) - 1
-    return dealt.withColumn("place", place).join(before, "r").select("label", (F.col("place") + F.col("shift")).cast("bigint").alias("component"))
+    """(label, component): places of components in the order of their smallest handle, from 0."""
+    return ranked(membership.select("label").distinct(), "label", name="component")
 
 
 def with_ends(edges: DataFrame, membership: DataFrame) -> DataFrame:

@@ -52,12 +52,17 @@ def staged(df: DataFrame, label: str = "stage") -> DataFrame:
     return out
 
 
-def release(spark: SparkSession, *tables: DataFrame) -> None:
-    """Delete staged tables that no later step reads, and have the driver collect its garbage:
-    Spark deletes the shuffle files of finished jobs only when their plans are collected."""
-    context = spark.sparkContext
+def discard(*tables: DataFrame) -> None:
+    """Delete the files of staged tables that no later step reads."""
     for table in tables:
+        context = table.sparkSession.sparkContext
         path = context._jvm.org.apache.hadoop.fs.Path(table.staged_path)
         path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def release(spark: SparkSession, *tables: DataFrame) -> None:
+    """Discard tables, and have the driver collect its garbage: Spark deletes the shuffle files of
+    finished jobs only when their plans are collected."""
+    discard(*tables)
     gc.collect()
-    context._jvm.System.gc()
+    spark.sparkContext._jvm.System.gc()
