@@ -15,12 +15,13 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quorumlake.llm.common import map_arrow
 from quorumlake.operators.components import connected_components
-from quorumlake.session import staged
+from quorumlake.operators.joins import counted_join
+from quorumlake.session import discard, staged
 
 #: Rows that fit the codebooks, and vectors whose true neighbours set the number of cells visited.
 FIT_ROWS, RECALL_ROWS = 20_000, 512
@@ -32,12 +33,12 @@ PARTNERS = 4
 BLOCK = 1024
 
 
-def valid_vectors(rows: DataFrame) -> DataFrame:
-    """(vec_id, v): vectors without nulls, non-finite parts and zero length, as doubles."""
+def vectors(rows: DataFrame) -> DataFrame:
+    """(vec_id, v): vectors as doubles; v is null for those with nulls, non-finite parts or zero
+    length, and for null ids."""
     v = F.transform(F.col("embedding"), lambda x: x.cast("double"))
-    found = rows.select("vec_id", v.alias("v")).where("v is not null and size(v) > 0").where(F.forall(F.col("v"), lambda x: x.isNotNull()))
-    finite = F.forall(F.col("v"), lambda x: ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
-    return found.where(finite).where(F.exists("v", lambda x: x != 0))
+    whole = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))) & F.exists("v", lambda x: x != 0)
+    return rows.select("vec_id", v.alias("v")).withColumn("v", F.when(F.col("vec_id").isNotNull() & (F.size("v") > 0) & whole, F.col("v")))
 
 
 def _unit(v: np.ndarray) -> np.ndarray:
@@ -64,18 +65,20 @@ def codebook(x: np.ndarray, size: int, rounds: int = 12, seed: int = 7) -> np.nd
 def traversal(x: np.ndarray, books: tuple[np.ndarray, np.ndarray], visits: int) -> np.ndarray:
     """The `visits` cells nearest to each row, nearest first.
 
-    In either half only the first `visits` codewords can appear among the first `visits` sums, so
-    the sequence is read off their sums.
+    The cell of the i-th and j-th nearest codewords comes after (i + 1) (j + 1) - 1 others, so only
+    sums with (i + 1) (j + 1) <= visits are looked at: about visits * log(visits) of them.
     """
-    half = books[0].shape[1]
+    half, most = books[0].shape[1], [len(book) for book in books]
     order, cost = [], []
     for part, book in zip((x[:, :half], x[:, half:]), books, strict=True):
         d = _distances(part, book)
         o = np.argsort(d, axis=1, kind="stable")[:, :visits]
         order.append(o)
         cost.append(np.take_along_axis(d, o, 1))
-    sums = (cost[0][:, :, None] + cost[1][:, None, :]).reshape(len(x), -1)
-    cells = (order[0][:, :, None] * len(books[1]) + order[1][:, None, :]).reshape(len(x), -1)
+    i = np.repeat(np.arange(min(visits, most[0])), [min(most[1], visits // (k + 1)) for k in range(min(visits, most[0]))])
+    j = np.arange(len(i)) - np.searchsorted(i, i)
+    sums = cost[0][:, i] + cost[1][:, j]
+    cells = order[0][:, i] * most[1] + order[1][:, j]
     first = np.argsort(sums, axis=1, kind="stable")[:, :visits]
     return np.take_along_axis(cells, first, 1)
 
@@ -109,12 +112,21 @@ def _worst_visits(sample: np.ndarray, books: tuple[np.ndarray, np.ndarray], thre
 
 def _places(x: np.ndarray, y: np.ndarray, books: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
     """At which place of its traversal each row of x meets the cell of the same row of y."""
-    half, own = books[0].shape[1], traversal(y, books, 1)[:, 0]
-    first, second = _distances(x[:, :half], books[0]), _distances(x[:, half:], books[1])
-    row = np.arange(len(x))
-    cost = first[row, own // len(books[1])] + second[row, own % len(books[1])] + 1e-12
-    second.sort(axis=1)
-    return np.array([np.searchsorted(s, c - f, "right").sum() - 1 for f, s, c in zip(first, second, cost, strict=True)])
+    return _places_of(x, traversal(y, books, 1)[:, 0], books)
+
+
+def _places_of(x: np.ndarray, own: np.ndarray, books: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """At which place of its traversal each row of x meets a cell."""
+    half = books[0].shape[1]
+    out = np.zeros(len(x), np.int64)
+    for at in range(0, len(x), 1024):
+        some, cell = x[at : at + 1024], own[at : at + 1024]
+        first, second = _distances(some[:, :half], books[0]), _distances(some[:, half:], books[1])
+        row = np.arange(len(some))
+        cost = first[row, cell // len(books[1])] + second[row, cell % len(books[1])] + 1e-12
+        second.sort(axis=1)
+        out[at : at + 1024] = [np.searchsorted(s, c - f, "right").sum() - 1 for f, s, c in zip(first, second, cost, strict=True)]
+    return out
 
 
 def _visits(nodes: DataFrame, books: tuple[np.ndarray, np.ndarray], threshold: float, recall: float) -> int:
@@ -122,30 +134,25 @@ def _visits(nodes: DataFrame, books: tuple[np.ndarray, np.ndarray], threshold: f
     at the threshold, however few there are in the table; at least 2.
 
     A bounded query set is held against all rows, in blocks; each task returns how many neighbours
-    lie at each place of the traversal.
+    lie at each place of the traversal. Places are worked out there, for cells with neighbours.
     """
-    grid = len(books[0]) * len(books[1])
     sample = np.array([r[0] for r in nodes.orderBy(F.xxhash64(F.lit(11), "vec_id"), "vec_id").limit(RECALL_ROWS).select("v").collect()])
-    places = traversal(sample, books, grid)
-    rank = np.empty_like(places)
-    np.put_along_axis(rank, places, np.arange(grid)[None, :].repeat(len(sample), 0), 1)
     least = max(2, _worst_visits(sample, books, threshold, recall))
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         x = _matrix(batch.column(0))
-        own = traversal(x, books, 1)[:, 0]
-        q, row = np.nonzero((sample @ x.T >= threshold) & (sample @ x.T < 1 - 1e-12))
-        n = np.bincount(rank[q, own[row]], minlength=grid)
-        at = np.nonzero(n)[0]
-        return pa.record_batch([pa.array(at, pa.int64()), pa.array(n[at], pa.int64())], ["place", "n"])
+        own, cosine = traversal(x, books, 1)[:, 0], sample @ x.T
+        q, row = np.nonzero((cosine >= threshold) & (cosine < 1 - 1e-12))
+        pairs, n = np.unique(np.stack([q, own[row]], 1), axis=0, return_counts=True)
+        at, of = np.unique(_places_of(sample[pairs[:, 0]], pairs[:, 1], books), return_inverse=True)
+        return pa.record_batch([pa.array(at, pa.int64()), pa.array(np.bincount(of, n, len(at)).astype(np.int64), pa.int64())], ["place", "n"])
 
-    found = map_arrow(nodes.select("v"), run, "place bigint, n bigint").groupBy("place").agg(F.sum("n").alias("n")).orderBy("place").collect()
-    total, seen = sum(r["n"] for r in found), 0
-    for r in found:
-        seen += r["n"]
-        if seen >= recall * total:
-            return max(least, r["place"] + 1)
-    return least
+    found = map_arrow(nodes.select("v"), run, "place bigint, n bigint").groupBy("place").agg(F.sum("n").alias("n"))
+    totals = staged(found, "places")
+    total = totals.agg(F.sum("n")).first()[0] or 0
+    seen = Window.orderBy("place").rowsBetween(Window.unboundedPreceding, 0)  # a row a place, not a vector
+    enough = totals.withColumn("seen", F.sum("n").over(seen)).where(F.col("seen") >= recall * total).agg(F.min("place")).first()[0]
+    return least if enough is None else max(least, enough + 1)
 
 
 def _forest(rows: np.ndarray, columns: np.ndarray, n: int, m: int) -> tuple[np.ndarray, np.ndarray]:
@@ -166,29 +173,11 @@ def _forest(rows: np.ndarray, columns: np.ndarray, n: int, m: int) -> tuple[np.n
     return touched, label[touched]
 
 
-def near_duplicates(rows: DataFrame, threshold: float = 0.95, recall: float = 0.999, codewords: int | None = None) -> DataFrame:
-    """vec_id, n_links, component_id, kept for every row of rows(vec_id, embedding).
-
-    Null, zero and non-finite vectors link with nothing: n_links 0, their own component, kept.
-    Vectors of a length other than the most frequent one do likewise. Equal vectors are linked to
-    each other. Repeated rows count as vectors of their own; null ids are no vector's link.
-    An empty table gives no rows.
-    """
-    sound = staged(valid_vectors(rows.where("vec_id is not null")), "vectors")
-    ids = rows.select("vec_id")
-    lengths = sound.groupBy(F.size("v").alias("dim")).count().orderBy(F.desc("count"), F.desc("dim")).first()
-    if lengths is None:
-        return ids.select("vec_id", F.lit(0).cast("bigint").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
-    dim = lengths["dim"]
-    groups = sound.where(F.size("v") == dim).groupBy("v").agg(F.min("vec_id").alias("vec_id"), F.count("*").alias("copies"))
-
-    def unit(batch: pa.RecordBatch) -> pa.RecordBatch:
-        x = _unit(_matrix(batch.column(0)))
-        return pa.record_batch([pa.array(list(x), pa.list_(pa.float64())), batch.column(1), batch.column(2)], ["v", "vec_id", "copies"])
-
-    nodes = staged(map_arrow(groups, unit, "v array<double>, vec_id bigint, copies bigint"), "nodes")
+def _links(nodes: DataFrame, dim: int, threshold: float, recall: float, codewords: int | None) -> DataFrame:
+    """(vec_id, other, n) for nodes of one length: counts of links (other = vec_id), and pairs of a
+    spanning forest (n = 0)."""
     count = nodes.count()
-    size = codewords or int(np.clip(np.sqrt(count / 32), 2, 1024))
+    size = codewords or max(2, int(np.sqrt(count / 32)))
     fit = np.array([r[0] for r in nodes.orderBy(F.xxhash64("vec_id"), "vec_id").limit(FIT_ROWS).select("v").collect()])
     half = max(1, dim // 2)
     books = (codebook(fit[:, :half], size), codebook(fit[:, half:], size)) if dim > 1 else (codebook(fit, size), np.zeros((1, 0)))
@@ -231,16 +220,56 @@ def near_duplicates(rows: DataFrame, threshold: float = 0.95, recall: float = 0.
     # other names on one side: both come from one table
     key, other_key = ["cell", "b", "a"], ["cell_", "b_", "a_"]
     held = held.select(columns).toDF(*[f"{c}_" for c in columns])
-    found = staged(asked.select(columns).groupBy(key).cogroup(held.groupBy(other_key)).applyInPandas(compare, "vec_id bigint, other bigint, n bigint"), "links")
-    joined = connected_components(found.where("vec_id <> other").select("vec_id", "other"), "vec_id", "other")
-    counts = found.where("n > 0").groupBy("vec_id").agg(F.sum("n").alias("linked"))
-    done = (
-        nodes.select("vec_id", "copies")
-        .join(counts, "vec_id", "left")
-        .join(joined.withColumnRenamed("node", "vec_id"), "vec_id", "left")
-        .select(F.col("vec_id").alias("least"), (F.coalesce("linked", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "vec_id").alias("component_id"))
+    found = asked.select(columns).groupBy(key).cogroup(held.groupBy(other_key)).applyInPandas(compare, "vec_id bigint, other bigint, n bigint")
+    out = staged(found, "links")
+    discard(placed, sizes)
+    return out
+
+
+def near_duplicates(rows: DataFrame, threshold: float = 0.95, recall: float = 0.999, codewords: int | None = None) -> DataFrame:
+    """vec_id, n_links, component_id, kept for every row of rows(vec_id, embedding).
+
+    Null, zero and non-finite vectors link with nothing: n_links 0, their own component, kept.
+    Vectors link with others of their length; each length has an index of its own. Equal vectors are
+    linked to each other. Repeated rows, and unlike vectors under one id, each have a row and count
+    as vectors of their own; an id's component is that of all its vectors. Null ids are no vector's
+    link. An empty table gives no rows.
+    """
+    every = vectors(rows)
+    sound = staged(every.where("v is not null"), "vectors")
+    lost = every.where("v is null").select("vec_id", F.lit(0).cast("bigint").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
+    groups = sound.groupBy("v").agg(F.min("vec_id").alias("least"), F.count("*").alias("copies"))
+    # vectors, not ids, are the nodes: their numbers name them until the end
+    named = staged(groups.withColumn("node", F.monotonically_increasing_id()), "groups")
+
+    def unit(batch: pa.RecordBatch) -> pa.RecordBatch:
+        x = _unit(_matrix(batch.column(0)))
+        return pa.record_batch([pa.array(list(x), pa.list_(pa.float64())), batch.column(1), batch.column(2)], ["v", "vec_id", "copies"])
+
+    links = None
+    for dim in sorted(r["dim"] for r in named.groupBy(F.size("v").alias("dim")).count().collect()):
+        own = named.where(F.size("v") == dim).select("v", F.col("node").alias("vec_id"), "copies")
+        nodes = staged(map_arrow(own, unit, "v array<double>, vec_id bigint, copies bigint"), "nodes")
+        found = _links(nodes, dim, threshold, recall, codewords)
+        links = found if links is None else links.unionByName(found)
+        discard(nodes)
+    if links is None:
+        return lost
+    # an id with several vectors ties them together
+    again = sound.groupBy("vec_id").agg(F.count("*").alias("n")).where("n > 1").select("vec_id")
+    tied = sound.join(again, "vec_id").join(named.select("v", "node"), "v").withColumn("first", F.min("node").over(Window.partitionBy("vec_id"))).select("node", "first")
+    edges = links.where("vec_id <> other").select("vec_id", "other").unionByName(tied.toDF("vec_id", "other"))
+    joined = connected_components(edges, "vec_id", "other")
+    counts = links.where("n > 0").groupBy("vec_id").agg(F.sum("n").alias("linked"))
+    full = (
+        named.select("node", "least", "copies")
+        .join(counts.withColumnRenamed("vec_id", "node"), "node", "left")
+        .join(joined, "node", "left")
+        .withColumn("root", F.coalesce("component", "node"))
     )
-    leader = sound.where(F.size("v") == dim).join(groups.select("v", F.col("vec_id").alias("least")), "v").select("vec_id", "least").distinct()
-    full = ids.join(leader.join(done, "least"), "vec_id", "left")
-    component = F.coalesce("component_id", "vec_id")
-    return full.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(True)).alias("kept"))
+    full = staged(full.select("node", "least", "copies", "root", (F.coalesce("linked", F.lit(0)) + F.col("copies") - 1).cast("bigint").alias("n_links")), "full")
+    roots = full.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("n"))
+    done = counted_join(full.select("node", "root", "n_links"), roots, "root", named.count()).select("node", "n_links", "component_id")
+    held = named.select("v", "node", F.col("copies").alias("n")).join(done, "node").select("v", "n", "n_links", "component_id")
+    out = counted_join(sound, held, "v", sound.count())
+    return out.select("vec_id", "n_links", "component_id", (F.col("vec_id") == F.col("component_id")).alias("kept")).unionByName(lost)

@@ -14,7 +14,8 @@ texts without a shuffle; words recur, so their likelihoods are kept per worker.
 from __future__ import annotations
 
 import re
-from collections import Counter
+from collections import Counter, defaultdict
+from itertools import count, islice
 
 import numpy as np
 import pyarrow as pa
@@ -35,8 +36,11 @@ SETTLED = 1e-3
 
 CACHE_WORDS = 600_000
 
+#: Signs that stand for numbers: word characters to `re`, but no letters.
+NUMBERS = "".join(c for c in map(chr, range(0x110000)) if c.isnumeric() and not c.isalpha())
+
 #: Words: runs of letters, longer ones in consecutive pieces of 40, so that all letters count.
-LETTERS = re.compile(r"[^\W\d_]{1,40}")
+LETTERS = re.compile(rf"[^\W\d_{NUMBERS}]{{1,40}}")
 
 
 def _grams(words: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -95,28 +99,33 @@ class _Likelihoods:
     n-grams of one word overlap."""
 
     def __init__(self, table: np.ndarray) -> None:
-        self.table, self.rows, self.values = table.T.copy(), {}, []
+        self.table = table.T.copy()
+        self.forget()
+
+    def forget(self) -> None:
+        self.rows: defaultdict[str, int] = defaultdict(count().__next__)
+        self.values = np.zeros((1024, self.table.shape[1]))  # a buffer that doubles
 
     def __call__(self, words: list[str]) -> np.ndarray:
         if len(self.rows) > CACHE_WORDS:
-            self.rows, self.values = {}, []
-        new = [w for w in dict.fromkeys(words) if w not in self.rows]
-        if new:
+            self.forget()
+        before = len(self.rows)
+        at = np.fromiter(map(self.rows.__getitem__, words), np.int64, len(words))
+        if len(self.rows) > before:
+            new = [*islice(reversed(self.rows), len(self.rows) - before)][::-1]
             sums = np.zeros((len(new), self.table.shape[1]))
             for buckets, sizes in _grams(new):
                 sums += np.add.reduceat(self.table[buckets], np.cumsum(sizes) - sizes, axis=0) / 3.0
-            base = len(self.rows)
-            self.rows.update({w: base + i for i, w in enumerate(new)})
-            self.values.append(sums)
-            if len(self.values) > 1:
-                self.values = [np.concatenate(self.values)]
-        at = np.fromiter(map(self.rows.__getitem__, words), np.int64, len(words))
-        return self.values[0][at]
+            while len(self.rows) > len(self.values):
+                self.values = np.concatenate([self.values, np.zeros_like(self.values)])
+            self.values[before : len(self.rows)] = sums
+        return self.values[at]
 
 
 def mixtures(likelihood: np.ndarray, ends: np.ndarray, rounds: int = ROUNDS) -> np.ndarray:
     """Proportions of each text's selected languages. likelihood: words x languages, log; a text's
-    words end before ends[i]. No text is empty."""
+    words end before ends[i]. No text is empty. A text stops moving when it has settled itself, so
+    its result doesn't depend on the texts beside it."""
     starts = np.concatenate([[0], ends[:-1]])
     texts, languages = len(ends), likelihood.shape[1]
     n = (ends - starts).astype(float)
@@ -127,11 +136,13 @@ def mixtures(likelihood: np.ndarray, ends: np.ndarray, rounds: int = ROUNDS) ->
     best, best_score = np.zeros((texts, languages)), np.full(texts, -np.inf)
     share = mask / mask.sum(1, keepdims=True)
     for _ in range(languages):
+        moving = np.ones(texts, bool)
         for _ in range(rounds):
             weighed = scaled * share[of]
             weighed /= np.maximum(weighed.sum(1, keepdims=True), 1e-300)
-            last, share = share, np.add.reduceat(weighed, starts, axis=0) / n[:, None]
-            if np.abs(share - last).max() < SETTLED:
+            last, share = share, np.where(moving[:, None], np.add.reduceat(weighed, starts, axis=0) / n[:, None], share)
+            moving &= np.abs(share - last).max(1) >= SETTLED
+            if not moving.any():
                 break
         held = np.log(np.maximum((scaled * share[of]).sum(1), 1e-300)) + top[:, 0]
         value = np.add.reduceat(held, starts) - 0.5 * mask.sum(1) * np.log(n + 1)
@@ -149,9 +160,12 @@ def mixtures(likelihood: np.ndarray, ends: np.ndarray, rounds: int = ROUNDS) ->
 
 def identify(docs: DataFrame, langs: list[str], table: np.ndarray) -> DataFrame:
     """doc_id, lang_pred, score, languages (name and proportion of the selected set)."""
-    likelihoods = _Likelihoods(table)
+    known = docs.sparkSession.sparkContext.broadcast(table)
 
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+    def run(batch: pa.RecordBatch, own: list[_Likelihoods] = []) -> pa.RecordBatch:  # noqa: B006
+        if not own:
+            own.append(_Likelihoods(known.value))  # once a task
+        likelihoods = own[0]
         words = [LETTERS.findall(t.lower()) for t in batch.column(1).to_pylist()]
         some = [i for i, w in enumerate(words) if w and langs]
         pred, score, sets = ["und"] * len(words), [0.0] * len(words), [[] for _ in words]

@@ -1,19 +1,23 @@
 """License scans: MinHash bands over overlapping windows retrieve templates, shingles verify them.
 
-Texts and templates become 5-word shingles of lower-cased words. A template of WINDOW shingles or
-more is cut in windows of WINDOW shingles, and so is every text, at every second shingle. Each of
-BANDS hash functions gives a window its least hash; a shared least hash retrieves the template. A
-template of fewer shingles is its shingles: each is a window of one, whose least hash is its own.
-
-Collision probability: a text that holds 0.8 of a template's shingles has a window that shares at
-least 6.4 - 1 shingles with one of the template's (1 for the windows being up to one shingle out of
-step), so Jaccard is 5.4 / (16 - 5.4) = 0.51 at the very least and 7 / 9 = 0.78 for a verbatim copy.
-With 6 bands of one row each, a single window then collides with probability 1 - 0.49 ** 6 = 0.986
-or more, verbatim copies with 1 - 0.22 ** 6 = 0.9999, and each further window is another chance.
-Windows of one shingle collide with certainty.
+Texts and templates become 5-word shingles of words, A-Z lower-cased. A template of WINDOW shingles
+or more is cut in windows of WINDOW shingles, one at each shingle, and so is every text, at every
+second shingle. Each of BANDS hash functions gives a window its least hash, a band of one row; a
+shared band retrieves the template, and nothing else does. A template of fewer shingles is one
+window of its own size: as a text must hold ceil(0.8 n) of its n shingles, one of its
+n - ceil(0.8 n) + 1 least hashes is among the text's, which are windows of one shingle, and that is
+its band.
+
+Collision probability: a text that holds 0.8 of a long template's shingles has a window that shares
+at least 6.4 - 1 shingles with one of the template's (1 for the windows being up to one shingle out
+of step), so Jaccard is 5.4 / (16 - 5.4) = 0.51 at the very least and 7 / 9 = 0.78 for a verbatim
+copy. With 6 bands of one row each, a single window then collides with probability 1 - 0.49 ** 6 =
+0.986 or more, verbatim copies with 1 - 0.22 ** 6 = 0.9999, and each further window is another
+chance. Bands of short templates collide with certainty.
 
 Retrieved pairs are verified with the exact shingles: kept if the text holds 0.8 or more of the
-template's distinct shingles.
+template's distinct shingles. Texts stay where they are read; only band keys that hit a template
+and the small table of candidates move.
 """
 
 from __future__ import annotations
@@ -22,32 +26,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quorumlake.llm.common import WORD, text_of
+from quorumlake.llm.license_texts import TEMPLATES
 from quorumlake.session import staged
 
+__all__ = ["TEMPLATES", "scan", "template_table"]
+
 SHINGLE, WINDOW, STRIDE, BANDS = 5, 8, 2, 6
 CONTAINMENT = 0.8
 
-#: Rows of template keys up to which they are broadcast; more are joined by a shuffle.
-BROADCAST_KEYS = 200_000
-
-#: Texts of public licenses: id, text.
-TEMPLATES = [
-    ("apache-line", "Licensed under the Apache License, Version 2.0."),
-    ("apache-header", 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at'),
-    ("bsd-redistribution", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:"),
-    ("cc-by-nc-line", "Licensed under CC BY-NC 4.0."),
-    ("gpl-line", "This work is licensed under the GNU General Public License, version 3."),
-    ("gpl-notice", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
-    ("mit-line", "Released under the MIT License."),
-    ("mit-grant", 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software'),
-    ("mpl-header", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
-]
-
+#: Rows of template keys, templates and candidates up to which they are broadcast: some 20 bytes a
+#: key or candidate, a few kilobytes a template. More are joined by a shuffle.
+BROADCAST_KEYS, BROADCAST_TEMPLATES, BROADCAST_CANDIDATES = 200_000, 10_000, 1_000_000
 
 
 def _words(df: DataFrame) -> DataFrame:
-    words = F.regexp_extract_all(F.lower(text_of()), F.lit(WORD), F.lit(0))
-    return df.withColumn("__words", words)
+    lower = F.translate(text_of(), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    return df.withColumn("__words", F.regexp_extract_all(lower, F.lit(WORD), F.lit(0)))
 
 
 def _shingle_strings() -> str:
@@ -55,24 +49,52 @@ def _shingle_strings() -> str:
     return f"array_distinct(transform(filter(sequence(0, size(__words)), i -> i <= size(__words) - {SHINGLE}), i -> concat_ws(' ', {parts})))"
 
 
-def _keys(df: DataFrame, own: str, stride: int) -> DataFrame:
-    """(own, key): window keys of every text, singles and banded windows, once a text."""
+def _hashed(df: DataFrame, own: str) -> DataFrame:
+    """(own, __h): hashes of a text's shingles, in order."""
     parts = ", ".join(f"__hashes[i + {k}]" for k in range(SHINGLE))
-    hashed = (
+    return (
         _words(df).select(own, F.transform("__words", lambda w: F.xxhash64(w)).alias("__hashes"))
-        .withColumn("__h", F.expr(f"if(size(__hashes) < {SHINGLE}, cast(array() as array<bigint>), transform(sequence(0, size(__hashes) - {SHINGLE}), i -> xxhash64({parts})))"))
-        .drop("__hashes")
+        .select(own, F.expr(f"if(size(__hashes) < {SHINGLE}, cast(array() as array<bigint>), transform(sequence(0, size(__hashes) - {SHINGLE}), i -> xxhash64({parts})))").alias("__h"))
     )
-    banded = hashed.select(own, "__h", *[F.expr(f"transform(__h, h -> xxhash64(h, {k}))").alias(f"__p{k}") for k in range(BANDS)])
-    starts = f"sequence(1, greatest(1, size(__h) - {WINDOW - 1}), {stride})"
-    least = [f"if(size(__h) = 0, cast(array() as array<bigint>), array_distinct(transform({starts}, s -> array_min(slice(__p{k}, s, {WINDOW})))))" for k in range(BANDS)]
-    return banded.select(own, F.explode(F.expr(f"concat(__h, {', '.join(least)})")).alias("key"))
+
+
+def _keyed(hashed: DataFrame, own: str, stride: int) -> DataFrame:
+    """(own, long, key): band keys of all windows (long) and the shingles themselves, each once; a
+    text shorter than a window is one window. Bands are rows of their own, so that a band's hashes
+    are worked out once and not at each window."""
+    bands = [F.expr(f"transform(__h, h -> xxhash64(h, {k}))") for k in range(BANDS)]
+    # the filter stands above the generator: below it, it would hash every text once more
+    each = hashed.select(own, F.posexplode(F.array(*bands, F.col("__h"))).alias("k", "p")).where(F.size("p") > 0)
+    inside = ", ".join(f"get(p, s + {i})" for i in range(WINDOW))  # slice() would copy the array at each window
+    least = F.expr(f"transform(sequence(0, greatest(0, size(p) - {WINDOW}), {stride}), s -> least({inside}))")
+    long = F.col("k") < BANDS
+    return each.select(own, long.alias("long"), F.explode(F.array_distinct(F.when(long, least).otherwise(F.col("p")))).alias("key"))
+
+
+def template_keys(templates: DataFrame, bands: bool = True) -> DataFrame:
+    """(template_id, long, key). `bands` False leaves out those of long templates, for tests."""
+    hashed = staged(_hashed(templates, "template_id").withColumn("n", F.size(F.array_distinct("__h"))), "templates")
+    wide = _keyed(hashed.where(F.size("__h") >= WINDOW), "template_id", 1).where("long")
+    least = F.slice(F.array_sort(F.array_distinct("__h")), F.lit(1), (F.col("n") - F.ceil(F.lit(CONTAINMENT) * F.col("n") - 1e-9) + 1).cast("int"))
+    short = hashed.where((F.size("__h") < WINDOW) & (F.col("n") > 0)).select("template_id", F.lit(False).alias("long"), F.explode(least).alias("key"))
+    return (short.unionByName(wide) if bands else short).distinct()
 
 
 def template_table(spark, templates: list[tuple[str, str]]) -> DataFrame:
     return spark.createDataFrame(templates, "template_id string, text string")
 
 
+def _small(df: DataFrame, rows: int) -> DataFrame:
+    """A staged table, broadcast if it has `rows` rows or fewer."""
+    return F.broadcast(df) if df.count() <= rows else df
+
+
+def candidates(docs: DataFrame, keys: DataFrame) -> DataFrame:
+    """(doc_id, template_id): pairs that share a band."""
+    asked = _keyed(_hashed(docs, "doc_id"), "doc_id", STRIDE)
+    return asked.join(_small(keys, BROADCAST_KEYS), ["long", "key"]).select("doc_id", "template_id").distinct()
+
+
 def scan(docs: DataFrame, templates: DataFrame, containment: float = CONTAINMENT) -> DataFrame:
     """doc_id, template_id, containment: templates of which a text holds `containment` or more.
 
@@ -80,22 +102,29 @@ def scan(docs: DataFrame, templates: DataFrame, containment: float = CONTAINMENT
     Null, empty and short texts match nothing; templates below five words match nothing. Ties
     can't occur. An empty table gives no rows.
     """
-    own = templates.select("template_id", "text")
-    cut = staged(_words(own).withColumn("__s", F.expr(_shingle_strings())).select("template_id", F.col("__s").alias("wanted")), "templates")
-    short = cut.where(F.size("wanted") < WINDOW).select("template_id")
-    singles = own.join(short, "template_id", "left_semi")
-    banded = own.join(short, "template_id", "left_anti")
-    # a window key of a long template is a least hash; a short one's is the shingle's own hash
-    parts = ", ".join(f"__hashes[i + {k}]" for k in range(SHINGLE))
-    single = _words(singles).select("template_id", F.transform("__words", lambda w: F.xxhash64(w)).alias("__hashes")).select(
-        "template_id", F.explode(F.expr(f"transform(filter(sequence(0, size(__hashes)), i -> i <= size(__hashes) - {SHINGLE}), i -> xxhash64({parts}))")).alias("key")
-    )
-    keys = staged(single.unionByName(_keys(banded, "template_id", 1)).distinct(), "keys")
-    side = F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys
-    texts = docs.select("doc_id", "text")
-    found = staged(_keys(texts, "doc_id", STRIDE).join(side, "key").select("doc_id", "template_id").distinct(), "candidates")
-    asked = found.join(cut, "template_id").groupBy("doc_id").agg(F.collect_list(F.struct("template_id", "wanted")).alias("asked"))
-    held = _words(texts.join(asked.withColumnRenamed("doc_id", "__id"), F.col("doc_id").eqNullSafe(F.col("__id")))).select("doc_id", "asked", F.expr(_shingle_strings()).alias("held"))
-    share = F.size(F.array_intersect("held", "a.wanted")) / F.size("a.wanted")
-    rated = held.select("doc_id", "held", F.explode("asked").alias("a")).select("doc_id", F.col("a.template_id").alias("template_id"), share.alias("containment"))
+    own, texts = templates.select("template_id", "text"), docs.select("doc_id", "text")
+    found = staged(candidates(texts, staged(template_keys(own), "keys")), "candidates")
+    asked = found.groupBy(F.col("doc_id").alias("__id")).agg(F.collect_list("template_id").alias("asked"))
+    asked = _small(staged(asked, "asked"), BROADCAST_CANDIDATES)
+    wanted = _small(staged(_words(own).select("template_id", F.expr(_shingle_strings()).alias("wanted")), "templates"), BROADCAST_TEMPLATES)
+    held = _words(texts.join(asked, F.col("doc_id").eqNullSafe(F.col("__id")))).select("doc_id", F.expr(_shingle_strings()).alias("held"), F.explode("asked").alias("template_id"))
+    share = F.size(F.array_intersect("held", "wanted")) / F.size("wanted")
+    rated = held.join(wanted, "template_id").select("doc_id", "template_id", share.alias("containment"))
     return rated.where(F.col("containment") >= containment).groupBy("doc_id", "template_id").agg(F.max("containment").alias("containment"))
+
+
+def oracle_sql(templates: list[tuple[str, str]] = TEMPLATES, containment: float = CONTAINMENT) -> str:
+    """DuckDB SQL for scan() of documents: every text against every template, without bands."""
+    quoted = ", ".join("('{}', '{}')".format(*(x.replace("'", "''") for x in row)) for row in templates)
+    lower = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    words = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
+    return f"""
+WITH t(template_id, text) AS (VALUES {quoted}),
+tw AS (SELECT template_id, {words.format(lower.format("text"))} AS w FROM t),
+wanted AS (SELECT DISTINCT template_id, array_to_string(w[i:i + {SHINGLE - 1}], ' ') AS s FROM tw, unnest(range(1, len(w) - {SHINGLE - 2})) AS u(i)),
+sizes AS (SELECT template_id, count(*) AS n FROM wanted GROUP BY ALL),
+dw AS (SELECT row_number() OVER () AS r, doc_id, {words.format(lower.format("coalesce(text, '')"))} AS w FROM documents),
+held AS (SELECT DISTINCT r, doc_id, array_to_string(w[i:i + {SHINGLE - 1}], ' ') AS s FROM dw, unnest(range(1, len(w) - {SHINGLE - 2})) AS u(i)),
+shared AS (SELECT r, doc_id, template_id, count(*) AS c FROM held JOIN wanted USING (s) GROUP BY ALL)
+SELECT doc_id, template_id, max(c / n) AS containment FROM shared JOIN sizes USING (template_id) WHERE c / n >= {containment} GROUP BY ALL
+"""

@@ -1,20 +1,25 @@
 """Quality rules: plain counts, then robust multivariate outliers per language and source.
 
-Counts of a text become a vector of five transformed statistics. For each (language, source) group
-a minimum covariance determinant estimate is fitted by concentration steps: mean and covariance of
-the three quarters of the group's rows that lie nearest to the last estimate, by Mahalanobis
-distance; the first estimate is median and interquartile range. Rows beyond CUTOFF are rejected.
+Counts of a text become a vector of five transformed statistics. For each (language, source), each
+language and all texts together, a minimum covariance determinant estimate is sought: mean and
+covariance of the half of the group's rows whose covariance has the smallest determinant. There are
+four starts, all about the median: plain scales, and the correlations of hyperbolic tangents, of
+signs and of directions. A concentration step takes the half that lies nearest to the last estimate,
+by Mahalanobis distance, so the determinant never grows. After FIRST steps of every start the one of
+smallest determinant goes on until it settles; then all rows within the 0.975 quantile make the
+group's estimate.
+
+A source's estimate leans on its language's as if that were PRIOR rows of the source, and a
+language's on all texts' in the same way, whatever the sizes are. Rows beyond CUTOFF are rejected.
 
 All is DataFrame expressions. Counting needs no shuffle. A concentration step is two aggregations
-with map-side combine (a quantile of distances, then sums and products), so a hot group costs no
+with map-side combine (counts of distances, then sums and products), so a hot group costs no
 more than its rows; solving with the covariance is a Cholesky factor in columns, one row a group.
 """
 
 from __future__ import annotations
 
-from itertools import combinations_with_replacement
-
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quorumlake.llm.common import WORD, text_of
@@ -28,14 +33,26 @@ FLOORS = (("v0", 0.5), ("v1", 0.1), ("v2", 1.0), ("v3", 1.0), ("v4", 1.0))
 P = len(FLOORS)
 
 #: Share of rows a concentration step keeps, and what makes their covariance that of normal rows:
-#: 0.75 / P(chi2 with 7 degrees <= q), q the 0.75 quantile of chi2 with 5 degrees.
-KEEP, CONSISTENCY, STEPS = 0.75, 1.41, 3
+#: 0.5 / P(chi2 with 7 degrees <= q), q the 0.5 quantile of chi2 with 5 degrees.
+KEEP, CONSISTENCY = 0.5, 1.912
+
+#: The 0.975 quantile of chi2 with 5 degrees, and the factor of the rows within it.
+WITHIN, WITHIN_FACTOR = 12.83, 1.0555
+
+#: Steps of every start, steps at most, and the change of a log determinant that has settled.
+FIRST, STEPS, SETTLED = 2, 30, 0.01
+
+#: Rows that the estimate of the next larger group counts as.
+PRIOR = 50.0
 
 #: The 0.9999 quantile of chi2 with 5 degrees of freedom.
 CUTOFF = 25.74
 
-#: Groups below this number of rows are estimated with all sources of their language.
-LEAST_ROWS = 200
+#: Rows of estimates up to which they are broadcast: some 300 bytes each.
+BROADCAST_GROUPS = 100_000
+
+PAIRS = [(j, i) for i in range(P) for j in range(i + 1)]
+FIT = ["n", *[f"m{i}" for i in range(P)], *[f"l{i}{j}" for j, i in PAIRS]]
 
 
 def counts(docs: DataFrame) -> DataFrame:
@@ -81,19 +98,24 @@ def _statistics(df: DataFrame) -> DataFrame:
     )
 
 
-def _with_distance(rows: DataFrame, fit: DataFrame) -> DataFrame:
+def _sent(fit: DataFrame) -> DataFrame:
+    """A staged table of estimates, broadcast if it is small: rows of a hot group then stay put."""
+    return F.broadcast(fit) if fit.count() <= BROADCAST_GROUPS else fit
+
+
+def _with_distance(rows: DataFrame, fit: DataFrame, keys: list[str]) -> DataFrame:
     """rows with d2: forward substitution with the group's Cholesky factor."""
-    out = rows.join(fit, "grp", "left")
+    out = rows.join(_sent(fit), keys, "left")
     for i in range(P):
         y: Column = F.col(f"v{i}") - F.col(f"m{i}")
         for j in range(i):
             y = y - F.col(f"l{i}{j}") * F.col(f"y{j}")
         out = out.withColumn(f"y{i}", y / F.col(f"l{i}{i}"))
     d2 = sum((F.col(f"y{i}") * F.col(f"y{i}") for i in range(1, P)), F.col("y0") * F.col("y0"))
-    return out.withColumn("d2", d2).drop(*[f"y{i}" for i in range(P)], *[c for c in fit.columns if c not in ("grp", "bound")])
+    return out.withColumn("d2", d2).drop(*[f"y{i}" for i in range(P)], *[c for c in FIT if c in fit.columns])
 
 
-def _factor(moments: DataFrame) -> DataFrame:
+def _factor(moments: DataFrame, keys: list[str]) -> DataFrame:
     """The Cholesky factor, row by row, of the covariances c_ij."""
     out = moments
     for i in range(P):
@@ -102,29 +124,99 @@ def _factor(moments: DataFrame) -> DataFrame:
             for k in range(j):
                 x = x - F.col(f"l{i}{k}") * F.col(f"l{j}{k}")
             out = out.withColumn(f"l{i}{j}", F.sqrt(F.greatest(x, F.lit(FLOORS[i][1] ** 2 / 100))) if i == j else x / F.col(f"l{j}{j}"))
-    return out.select("grp", *[f"m{i}" for i in range(P)], *[f"l{i}{j}" for i in range(P) for j in range(i + 1)])
+    return out.select(*keys, *FIT)
+
 
+def _moments(kept: DataFrame, keys: list[str], factor: float) -> DataFrame:
+    """(keys, n, m_i, c_ij) from plain sums: statistics are logarithms, so their squares lose nothing."""
+    sums = [F.sum(f"v{i}").alias(f"t{i}") for i in range(P)] + [F.sum(F.col(f"v{j}") * F.col(f"v{i}")).alias(f"t{j}{i}") for j, i in PAIRS]
+    found = kept.groupBy(*keys).agg(F.count(F.lit(1)).cast("double").alias("n"), *sums)
+    mean = lambda i: F.col(f"t{i}") / F.col("n")
+    c = lambda j, i: factor * (F.col(f"t{j}{i}") / F.col("n") - mean(j) * mean(i)) + F.lit(FLOORS[i][1] ** 2 if i == j else 0.0)
+    return found.select(*keys, "n", *[mean(i).alias(f"m{i}") for i in range(P)], *[c(j, i).alias(f"c{j}{i}") for j, i in PAIRS])
 
-def estimate(rows: DataFrame, steps: int = STEPS) -> DataFrame:
-    """Per group: mean m_i and Cholesky factor l_ij of the minimum covariance determinant."""
-    quart = rows.groupBy("grp").agg(*[F.percentile_approx(f"v{i}", [0.25, 0.5, 0.75], 1000).alias(f"q{i}") for i in range(P)])
+
+def log_determinant() -> Column:
+    """Of a fit's covariance."""
+    return sum((2 * F.log(f"l{i}{i}") for i in range(1, P)), 2 * F.log("l00"))
+
+
+def starts(rows: DataFrame) -> DataFrame:
+    """(grp, s, fit): the first estimates of each group."""
+    quart = rows.groupBy("grp").agg(*[F.percentile_approx(f"v{i}", [0.25, 0.5, 0.75], 2000).alias(f"q{i}") for i in range(P)])
     spread = lambda i: F.greatest((F.col(f"q{i}")[2] - F.col(f"q{i}")[0]) / 1.349, F.lit(FLOORS[i][1]))
-    first = {f"m{i}": F.col(f"q{i}")[1] for i in range(P)} | {f"l{i}{j}": spread(i) if i == j else F.lit(0.0) for i in range(P) for j in range(i + 1)}
-    fit = staged(quart.select("grp", *[c.alias(k) for k, c in first.items()]), "mcd")
-    for _ in range(steps):
-        bound = _with_distance(rows, fit).groupBy("grp").agg(F.percentile_approx("d2", KEEP, 2000).alias("bound"))
-        # one small table of groups, staged: its size is known, so rows of a hot group are not
-        # dealt by their group to meet it
-        kept = _with_distance(rows, staged(fit.join(bound, "grp"), "mcd")).where("d2 <= bound")
-        means = [F.avg(f"v{i}").alias(f"m{i}") for i in range(P)]
-        products = [
-            (CONSISTENCY * F.covar_pop(f"v{i}", f"v{j}") + F.lit(FLOORS[i][1] ** 2 if i == j else 0.0)).alias(f"c{i}{j}")
-            for i, j in combinations_with_replacement(range(P), 2)
-        ]
-        fit = staged(_factor(kept.groupBy("grp").agg(*means, *products)), "mcd")
+    centre = staged(quart.select("grp", *[F.col(f"q{i}")[1].alias(f"m{i}") for i in range(P)], *[spread(i).alias(f"s{i}") for i in range(P)]), "mcd")
+    z = [(F.col(f"v{i}") - F.col(f"m{i}")) / F.col(f"s{i}") for i in range(P)]
+    length = F.greatest(F.sqrt(sum((x * x for x in z[1:]), z[0] * z[0])), F.lit(1e-9))
+    ways = [F.lit(0.0)] * P, [F.tanh(x) for x in z], [F.signum(x) for x in z], [x / length for x in z]
+    way = F.explode(F.array(*[F.struct(F.lit(s).alias("s"), *[w[i].alias(f"w{i}") for i in range(P)]) for s, w in enumerate(ways)]))
+    moved = rows.join(_sent(centre), "grp").select("grp", way.alias("w")).select("grp", "w.*")
+    sums = [F.sum(f"w{i}").alias(f"t{i}") for i in range(P)] + [F.sum(F.col(f"w{j}") * F.col(f"w{i}")).alias(f"t{j}{i}") for j, i in PAIRS]
+    seen = moved.groupBy("grp", "s").agg(F.count(F.lit(1)).cast("double").alias("n"), *sums)
+    product = lambda j, i: F.col(f"t{j}{i}") / F.col("n") - F.col(f"t{j}") * F.col(f"t{i}") / F.col("n") ** 2
+    seen = seen.select("grp", "s", "n", *[product(j, i).alias(f"r{j}{i}") for j, i in PAIRS])
+    both = seen.join(centre, "grp")
+    scale = lambda i: F.sqrt(F.greatest(F.col(f"r{i}{i}"), F.lit(1e-12)))
+    c = lambda j, i: F.col(f"s{i}") * F.col(f"s{i}") if i == j else F.col(f"r{j}{i}") / (scale(i) * scale(j)) * F.col(f"s{i}") * F.col(f"s{j}")
+    return staged(_factor(both.withColumns({f"c{j}{i}": c(j, i) for j, i in PAIRS}), ["grp", "s"]), "mcd")
+
+
+def concentrate(rows: DataFrame, fit: DataFrame) -> DataFrame:
+    """One step: the estimate of the half of a group's rows that lie nearest, for each start."""
+    keys = ["grp", "s"]
+    which = F.broadcast(fit.groupBy("grp").agg(F.collect_list("s").alias("ss"))) if fit.count() <= BROADCAST_GROUPS else fit.groupBy("grp").agg(F.collect_list("s").alias("ss"))
+    each = rows.join(which, "grp").withColumn("s", F.explode("ss")).drop("ss")
+    # counts in steps of one hundredth of the distance; a group's steps, not its rows, are ordered
+    bin_ = F.floor(100 * F.log(F.greatest(F.col("d2"), F.lit(1e-9)))).alias("bin")
+    counted = _with_distance(each, fit, keys).groupBy(*keys, bin_).agg(F.count(F.lit(1)).alias("rows"))
+    below = F.sum("rows").over(Window.partitionBy(*keys).orderBy("bin"))
+    whole = F.sum("rows").over(Window.partitionBy(*keys))
+    bound = counted.withColumn("below", below).withColumn("whole", whole).where(F.col("below") >= KEEP * F.col("whole")).groupBy(*keys).agg(F.min("bin").alias("bound"))
+    bounded = staged(fit.join(bound, keys), "mcd")
+    kept = _with_distance(each, bounded, keys).where(bin_ <= F.col("bound"))
+    return staged(_factor(_moments(kept, keys, CONSISTENCY), keys), "mcd")
+
+
+def raw_estimate(rows: DataFrame) -> DataFrame:
+    """(grp, s, fit): of each group, the settled estimate of smallest determinant. rows: grp, v0 to v4."""
+    fit, last = starts(rows), None
+    for step in range(STEPS):
+        fit = concentrate(rows, fit)
+        if step == FIRST - 1:
+            least = fit.groupBy("grp").agg(F.min_by("s", F.struct(log_determinant(), "s")).alias("s"))
+            fit = staged(fit.join(least, ["grp", "s"]), "mcd")
+        elif step >= FIRST:
+            moved = fit.select("grp", log_determinant().alias("now")).join(last, "grp").agg(F.max(F.abs(F.col("now") - F.col("before")))).first()[0]
+            if (moved or 0) < SETTLED:
+                break
+        last = fit.select("grp", log_determinant().alias("before"))
     return fit
 
 
+def _leaning(own: DataFrame, on: DataFrame) -> DataFrame:
+    """The moments of own, mixed with those of `on` (same columns, prefixed) as PRIOR rows."""
+    w = F.col("n") / (F.col("n") + PRIOR)
+    both = own.join(on, "up")
+    m = {f"m{i}": w * F.col(f"m{i}") + (1 - w) * F.col(f"up_m{i}") for i in range(P)}
+    apart = lambda i: F.col(f"m{i}") - F.col(f"up_m{i}")
+    c = {f"c{j}{i}": w * F.col(f"c{j}{i}") + (1 - w) * F.col(f"up_c{j}{i}") + w * (1 - w) * apart(j) * apart(i) for j, i in PAIRS}
+    return both.select("grp", "n", *[x.alias(k) for k, x in (m | c).items()])
+
+
+def estimate(rows: DataFrame) -> DataFrame:
+    """(grp, fit) for each own group of rows(own, lang, v0 to v4)."""
+    every = rows.select(F.explode(F.array("own", "lang", F.lit("all"))).alias("grp"), *[f"v{i}" for i in range(P)])
+    raw = raw_estimate(every).drop("s")
+    found = staged(_moments(_with_distance(every, raw, ["grp"]).where(F.col("d2") <= WITHIN), ["grp"], WITHIN_FACTOR), "mcd")
+    names = [c for c in found.columns if c not in ("grp", "n")]
+    above = lambda df: df.select(F.col("grp").alias("up"), *[F.col(c).alias(f"up_{c}") for c in names])
+    tree = staged(rows.select("own", "lang").distinct(), "tree")
+    langs = found.join(tree.select(F.col("lang").alias("grp")).distinct(), "grp").withColumn("up", F.lit("all"))
+    langs = staged(_leaning(langs, above(found)), "mcd")
+    own = found.join(tree.select(F.col("own").alias("grp"), F.col("lang").alias("up")), "grp")
+    return staged(_factor(_leaning(own, above(langs)), ["grp"]), "mcd")
+
+
 def judge(docs: DataFrame) -> DataFrame:
     """doc_id, lang, source, the counts, base_failed, d2 and kept for every row of docs.
 
@@ -134,18 +226,10 @@ def judge(docs: DataFrame) -> DataFrame:
     """
     base = docs.select("doc_id", "lang", "source", "text")
     found = counts(base).drop("text").withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
-    named = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c)), F.lit(""))
-    found = staged(_statistics(found.withColumn("__lang", named("lang")).withColumn("__own", F.concat_ws("\x01", named("lang"), named("source")))), "counts")
-    sound = found.where(~F.col("base_failed"))
-    large = sound.groupBy("__own").agg(F.count("*").alias("n")).where(F.col("n") >= LEAST_ROWS).select("__own", F.lit(True).alias("large"))
-    large = staged(large, "groups")
-    found = found.join(large, "__own", "left").withColumn("grp", F.when(F.col("large"), F.col("__own")).otherwise(F.col("__lang")))
-    statistics = [f"v{i}" for i in range(P)]
-    # a language's estimate uses all its rows, those of large sources too
-    pooled = sound.select(F.col("__lang").alias("grp"), *statistics)
-    own = found.where("large and not base_failed").select("grp", *statistics)
-    fit = estimate(staged(own.unionByName(pooled), "statistics"))
-    out = _with_distance(found, fit).withColumn("d2", F.when(~F.col("base_failed"), F.col("d2")))
+    named = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c)), F.lit("-"))
+    found = staged(_statistics(found.withColumn("__lang", named("lang")).withColumn("grp", F.concat_ws("\x01", named("lang"), named("source")))), "counts")
+    sound = found.where(~F.col("base_failed")).select(F.col("grp").alias("own"), F.col("__lang").alias("lang"), *[f"v{i}" for i in range(P)])
+    out = _with_distance(found, estimate(staged(sound, "statistics")), ["grp"]).withColumn("d2", F.when(~F.col("base_failed"), F.col("d2")))
     kept = ~F.col("base_failed") & F.coalesce(F.col("d2") <= CUTOFF, F.lit(True))
     return out.withColumn("kept", kept).select(
         "doc_id", "lang", "source", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "d2", "kept"

@@ -84,4 +84,4 @@ FROM split s LEFT JOIN best b ON s.host = b.host AND s.path = b.path
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_url_rules": OP8_SQL}
+    return {"op6_licenses": licenses.oracle_sql(), "op8_url_rules": OP8_SQL}

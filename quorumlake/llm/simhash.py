@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 
 from quorumlake.llm.common import map_arrow, text_of
 from quorumlake.operators.components import connected_components
+from quorumlake.operators.joins import counted_join
 from quorumlake.session import release, staged
 
 #: Fingerprints of a bucket up to which its pairs are compared one by one.
@@ -128,11 +129,12 @@ def near_duplicates(docs: DataFrame, radius: int = 3, shingle: int = 3) -> DataF
     An empty table gives no rows. Other columns are not read.
     """
     found = staged(fingerprints(docs, shingle), "fingerprints")
-    nodes = staged(found.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes")
+    nodes = staged(found.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")), "nodes")
     joined = connected_components(links(nodes, radius), "a", "b")
-    named = nodes.join(joined, nodes["fp"] == joined["node"], "left").select("fp", F.coalesce("component", "fp").alias("root"), "least")
-    roots = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    return found.join(named.join(roots, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
+    named = staged(nodes.join(joined, nodes["fp"] == joined["node"], "left").select("fp", F.coalesce("component", "fp").alias("root"), "least", F.col("n").alias("rows")), "named")
+    roots = named.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("n"))
+    full = counted_join(named, roots, "root", nodes.count()).select("fp", "component_id", "rows")
+    return counted_join(found, full, "fp", found.count(), "rows").select("doc_id", "fp", "component_id")
 
 
 def prefix_size(shingles: int, similarity: float) -> int:
@@ -142,15 +144,42 @@ def prefix_size(shingles: int, similarity: float) -> int:
     return shingles - math.ceil(similarity * shingles - 1e-9) + 1 if shingles else 0
 
 
+def _bits(grams: np.ndarray) -> bytes:
+    """A bitmap of a set's shingles by their low bits, 4 to 8 bits a shingle."""
+    size = max(8, 1 << int(4 * len(grams)).bit_length())
+    bits = np.zeros(size, bool)
+    bits[grams & (size - 1)] = True
+    return np.packbits(bits, bitorder="little").tobytes()
+
+
+def most_shared(x: bytes, y: bytes, n: int, m: int) -> int:
+    """How many shingles sets of n and m can share at most, by their bitmaps: each bit that one has
+    alone stands for a shingle of its own. The larger bitmap is folded to the smaller one's size."""
+    a, b = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)
+    while len(a) > len(b):
+        a = a[: len(a) // 2] | a[len(a) // 2 :]
+    while len(b) > len(a):
+        b = b[: len(b) // 2] | b[len(b) // 2 :]
+    return min(n - int(np.bitwise_count(a & ~b).sum()), m - int(np.bitwise_count(b & ~a).sum()))
+
+
+def _possible(batch: pa.RecordBatch, similarity: float) -> pa.RecordBatch:
+    """The pairs whose bitmaps allow the similarity."""
+    a, b, x, y, n, m = (c.to_pylist() for c in batch.columns)
+    kept = [most_shared(x[i], y[i], n[i], m[i]) >= similarity / (1 + similarity) * (n[i] + m[i]) - 1e-6 for i in range(len(a))]
+    return batch.select([0, 1]).filter(pa.array(kept, pa.bool_()))
+
+
 def _prefixes(batch: pa.RecordBatch, verified: int, similarity: float) -> pa.RecordBatch:
-    digest, sizes, first = [], [], []
+    digest, sizes, first, bits = [], [], [], []
     for text in batch.column(1).to_pylist():
         grams = np.unique(_shingles(text, verified).view(np.int64))
         digest.append(hashlib.blake2b(b" ".join(text.lower().split()), digest_size=16).digest())
         sizes.append(len(grams))
         first.append(grams[: prefix_size(len(grams), similarity)])
-    columns = [batch.column(0), pa.array(digest, pa.binary()), pa.array(sizes, pa.int32()), pa.array(first, pa.list_(pa.int64()))]
-    return pa.record_batch(columns, ["doc_id", "digest", "size", "prefix"])
+        bits.append(_bits(grams))
+    columns = [batch.column(0), pa.array(digest, pa.binary()), pa.array(sizes, pa.int32()), pa.array(first, pa.list_(pa.int64())), pa.array(bits, pa.binary())]
+    return pa.record_batch(columns, ["doc_id", "digest", "size", "prefix", "bits"])
 
 
 def _shingle_sets(batch: pa.RecordBatch, verified: int) -> pa.RecordBatch:
@@ -242,7 +271,8 @@ def groups(docs: DataFrame, similarity: float = 0.8, verified: int = 5) -> DataF
 
     Documents are linked if their sets of `verified`-word shingles have Jaccard similarity of
     `similarity` or more. Candidates share one of their prefix's shingles, the first by hash, which
-    all such pairs do (see prefix_size), and the exact similarity decides. Small buckets compare all
+    all such pairs do (see prefix_size). Bitmaps then rule out the pairs that can't share enough (see
+    most_shared), and the exact similarity decides on the rest. Small buckets compare all
     their pairs. The texts of larger ones get keys anew, with the large buckets' shingles last: any
     order finds all pairs. What is large after ROUNDS orders is compared with a few of the bucket's texts; then
     texts outside a bucket's main component are compared with all its texts of other components.
@@ -251,9 +281,9 @@ def groups(docs: DataFrame, similarity: float = 0.8, verified: int = 5) -> DataF
     """
     spark = docs.sparkSession
     rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("bigint"), text_of().cast("binary").alias("text"))
-    known = staged(map_arrow(rows, lambda b: _prefixes(b, verified, similarity), "doc_id bigint, digest binary, size int, prefix array<bigint>"), "prefixes")
-    firsts = staged(known.groupBy("digest").agg(F.min("doc_id").alias("node")), "firsts")
-    nodes = known.join(firsts, (known["digest"] == firsts["digest"]) & (known["doc_id"] == firsts["node"]), "left_semi")
+    known = staged(map_arrow(rows, lambda b: _prefixes(b, verified, similarity), "doc_id bigint, digest binary, size int, prefix array<bigint>, bits binary"), "prefixes")
+    firsts = staged(known.groupBy("digest").agg(F.min("doc_id").alias("node"), F.count("*").alias("n")), "firsts")
+    nodes = known.join(firsts.select("node"), known["doc_id"] == F.col("node"), "left_semi")
     keys = nodes.select(F.explode("prefix").alias("key"), F.col("doc_id").alias("b"), "size")
     sets_of = lambda some: map_arrow(rows.join(some, "doc_id", "left_semi"), lambda b: _shingle_sets(b, verified), "id bigint, grams array<bigint>").dropDuplicates(["id"])
     counts = _counts(keys)
@@ -283,19 +313,26 @@ def groups(docs: DataFrame, similarity: float = 0.8, verified: int = 5) -> DataF
         candidates = candidates.unionByName(around)
     pairs = staged(candidates.distinct(), "pairs")
     release(spark)
-    sets = staged(sets_of(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()), "sets")
-    left = pairs.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b")
+    some = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    maps = staged(nodes.join(some, "doc_id", "left_semi").select("doc_id", "bits", "size").dropDuplicates(["doc_id"]), "maps")
+    wide = pairs.join(maps.toDF("a", "x", "n"), "a").join(maps.toDF("b", "y", "m"), "b").select("a", "b", "x", "y", "n", "m")
+    close = staged(map_arrow(wide, lambda batch: _possible(batch, similarity), "a bigint, b bigint"), "close")
+    release(spark, maps, pairs)
+    sets = staged(sets_of(close.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()), "sets")
+    left = close.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b")
     shared = F.size(F.array_intersect("x", "y"))
     linked = left.where((shared >= similarity * (F.size("x") + F.size("y") - shared)) & (F.size("x") > 0)).select("a", "b")
-    copies = known.select("doc_id", "digest").join(firsts, "digest").where("doc_id <> node").select(F.col("node").alias("a"), F.col("doc_id").alias("b"))
-    edges = staged(linked.unionByName(copies), "edges")
+    copies = counted_join(known.select("doc_id", "digest"), firsts, "digest", known.count()).where("doc_id <> node")
+    edges = staged(linked.unionByName(copies.select(F.col("node").alias("a"), F.col("doc_id").alias("b"))), "edges")
+    release(spark, sets, close)
     joined = connected_components(edges, "a", "b")
     if large is not None:
         joined = staged(joined, "joined")
         rest = staged(_rest(large, joined), "rest")
         if not rest.isEmpty():
+            sets = staged(sets_of(rest.select(F.col("b").alias("doc_id")).distinct()), "sets")
             joined = connected_components(edges.unionByName(staged(_across(rest, sets, similarity), "across")), "a", "b")
-    release(spark, sets, pairs)
+            release(spark, sets)
     return joined.select(F.col("node").alias("doc_id"), F.col("component").alias("group_id"))
 
 

@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
 from quorumlake.llm.common import map_arrow, text_of
+from quorumlake.operators.joins import counted_join
 from quorumlake.session import release, shared_dir, staged
 
 WINDOW, GRAM = 13, 5
@@ -225,9 +226,11 @@ def deduplicate(docs: DataFrame, window: int = WINDOW, batches: int = 2, with_te
     spark = docs.sparkSession
     whole = staged(described(docs, window), "described")
     known = staged(whole.select("doc_id", "n_words", "sha"), "known")
-    first = known.where(f"n_words >= {window}").groupBy("sha").agg(F.min("doc_id").alias("first"))
-    copy = F.coalesce(F.col("first") < F.col("doc_id"), F.lit(False)).alias("copy")
-    marked = known.where("doc_id is not null").join(first, "sha", "left").select("doc_id", "sha", copy)
+    long, total = F.col("n_words") >= window, known.count()
+    named = known.where("doc_id is not null")
+    first = staged(named.where(long).groupBy("sha").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")), "first")
+    same = counted_join(named.where(long).select("doc_id", "sha"), first, "sha", total)
+    marked = same.select("doc_id", "sha", (F.col("first") < F.col("doc_id")).alias("copy")).unionByName(named.where(~long).select("doc_id", "sha", F.lit(False).alias("copy")))
     copies = staged(marked.where("copy").distinct(), "copies")
     gone = staged(marked.groupBy("doc_id").agg(F.bool_and("copy").alias("copy")).where("copy").select("doc_id"), "gone")
     own = staged(whole.where("doc_id is not null").select("doc_id", "hashes").join(gone, "doc_id", "left_anti"), "own")

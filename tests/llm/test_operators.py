@@ -10,6 +10,7 @@ import duckdb
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from quorumlake.llm import embeddings, langid, licenses, mixing, packing, quality, queries, simhash, substrings, toxicity, urls
 
@@ -107,41 +108,55 @@ def test_mixing(docs, table):
         again = mixing.mix(frame).collect()
         assert Counter(map(tuple, out)) == Counter(map(tuple, again))
     assert mixing.mix(docs.limit(0)).count() == 0
-    plan = mixing.mix(table)
-    total = sum(len(words(r.text)) for r in mixing.mixed_documents(table).collect())
-    assert total == sum(r.taken for r in plan.dropDuplicates(["doc_id"]).collect())
+    for frame in (docs, docs.unionByName(docs.where("doc_id is null").withColumn("text", F.lit("another nameless text"))), table):
+        took = sum(r.taken for r in mixing.mix(frame).collect())
+        assert took == sum(len(words(r.text)) for r in mixing.mixed_documents(frame).collect())
+
+
+def test_blocks_go_to_the_highest_quotients(spark):
+    rng = np.random.default_rng(3)
+    for house, wants in ((97, rng.uniform(0, 60, 30)), (60, np.repeat([3.0, 7.0, 0.0, 2.5], 8)), (0, np.ones(3)), (11, np.array([1e-3, 5.0, 400.0]))):
+        blocks = np.array([max(1, int(np.ceil(w / 1.7))) for w in wants])
+        house = min(house, int(2 * blocks[wants > 0].sum())) if house else 0
+        cells = spark.createDataFrame([("s", i, float(w), int(b)) for i, (w, b) in enumerate(zip(wants, blocks, strict=True))], "name string, shard long, want double, blocks long")
+        quota = {r.shard: r.quota for r in mixing.apportion(cells, house, 1.0).collect()}
+        assert sum(quota.values()) == house
+        taken = [w / (k + 0.5) for i, w in enumerate(wants) for k in range(quota[i])]
+        left = [w / (quota[i] + 0.5) for i, w in enumerate(wants) if quota[i] < 2 * blocks[i]]
+        assert not taken or not left or min(taken) >= max(left) - 1e-9
 
 
 def vector_brute(rows, threshold=0.95):
-    ok = [(r.vec_id, np.array(r.embedding, float)) for r in rows if r.embedding and all(x is not None and np.isfinite(x) for x in r.embedding) and any(r.embedding)]
-    m = np.array([v / np.linalg.norm(v) for _, v in ok])
-    link = m @ m.T >= threshold - 1e-12
+    """Rows (vec_id, n_links, component_id), sorted; an id's vectors are in one component."""
+    ok = [(r.vec_id, np.array(r.embedding, float)) for r in rows if r.vec_id is not None and r.embedding and all(x is not None and np.isfinite(x) for x in r.embedding) and any(r.embedding)]
+    unit = [v / np.linalg.norm(v) for _, v in ok]
+    link = np.array([[len(a) == len(b) and a @ b >= threshold - 1e-12 for a in unit] for b in unit])
     np.fill_diagonal(link, False)
     ids, comp = [i for i, _ in ok], list(range(len(ok)))
     for i in range(len(ok)):
-        for j in np.nonzero(link[i])[0]:
+        for j in {*np.nonzero(link[i])[0], *(k for k in range(len(ok)) if ids[k] == ids[i])}:
             a, b = comp[i], comp[j]
             if a != b:
                 comp = [min(a, b) if c in (a, b) else c for c in comp]
     least = {}
     for i, c in zip(ids, comp, strict=True):
         least[c] = min(i, least.get(c, i))
-    found = {i: (int(n), least[c]) for i, n, c in zip(ids, link.sum(1), comp, strict=True)}
-    return {r.vec_id: found.get(r.vec_id, (0, r.vec_id)) for r in rows}
+    found = [(i, int(n), least[c]) for i, n, c in zip(ids, link.sum(1), comp, strict=True)]
+    lost = Counter(r.vec_id for r in rows) - Counter(ids)
+    return Counter(found + [(i, 0, i) for i in lost.elements()])
 
 
 def test_embeddings(spark):
     rng = np.random.default_rng(1)
     base = rng.normal(size=(40, 16))
     rows = [(i, [float(x) for x in v]) for i, v in enumerate(np.concatenate([base, base[:20] + 0.02 * rng.normal(size=(20, 16)), base[:5]]))]
-    rows += [(100, None), (101, [0.0] * 16), (102, [float("nan")] + [1.0] * 15), (103, [None] + [1.0] * 15), (104, [float("inf")] + [1.0] * 15), (105, [1.0, 2.0]), (106, []), (107, [2 * x for x in rows[0][1]])]
-    made = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    rows += [(100, None), (101, [0.0] * 16), (102, [float("nan")] + [1.0] * 15), (103, [None] + [1.0] * 15), (104, [float("inf")] + [1.0] * 15), (106, []), (107, [2 * x for x in rows[0][1]])]
+    rows += [(105, [1.0, 2.0]), (108, [2.0, 4.0]), (109, [1.0, 2.0]), (110, [5.0]), (111, [6.0]), (112, [-1.0])]  # other lengths
+    rows += [(113, rows[7][1]), (113, rows[8][1]), (113, rows[8][1]), (None, rows[9][1])]  # unlike vectors under one id
+    made = spark.createDataFrame([(*r, 1) for r in rows], "vec_id long, embedding array<float>, n_links int")
     for frame in (made, spark.read.parquet(f"{SF}/embeddings.parquet")):
-        want = vector_brute([r for r in frame.collect() if not (r.embedding and len(r.embedding) == 2)])
-        got = {r.vec_id: (r.n_links, r.component_id) for r in embeddings.near_duplicates(frame).collect()}
-        if 107 in want and frame is made:
-            assert got.pop(105) == (0, 105)
-        assert got == want
+        got = Counter((r.vec_id, r.n_links, r.component_id) for r in embeddings.near_duplicates(frame).collect())
+        assert got == vector_brute(frame.collect())
     assert embeddings.near_duplicates(made.limit(0)).count() == 0
     assert embeddings.near_duplicates(made.where("vec_id in (100, 101)")).count() == 2
 
@@ -247,25 +262,79 @@ def test_quality_rejects_what_lies_far_out(spark):
     assert not any(out[1000 + i] for i in range(8)) and sum(out[i] for i in range(400)) >= 398
 
 
-def test_licenses(spark, docs, table):
-    def shingles(t):
-        w = re.findall(r"[^\x20\x09-\x0D]+", (t or "").lower())
-        return {" ".join(w[i : i + 5]) for i in range(len(w) - 4)}
+def test_the_smallest_determinant_is_found(spark):
+    """Against the best of 300 random starts, on groups of which up to two fifths are far off."""
+    rng = np.random.default_rng(9)
+    rows, p = [], quality.P
+    for k, bad in enumerate((0.0, 0.25, 0.4)):
+        mix = rng.normal(size=(p, p))
+        x = rng.normal(size=(240, p)) @ mix
+        x[: int(240 * bad)] = 0.3 * rng.normal(size=(int(240 * bad), p)) + 9 * rng.normal(size=p)
+        rows += [(f"g{k}", *map(float, v)) for v in x]
+    made = spark.createDataFrame(rows, "grp string, v0 double, v1 double, v2 double, v3 double, v4 double")
+    got = {r.grp: r.d for r in quality.raw_estimate(made).select("grp", quality.log_determinant().alias("d")).collect()}
+    ridge = np.diag([f[1] ** 2 for f in quality.FLOORS])
+
+    def fit(part):
+        return part.mean(0), quality.CONSISTENCY * np.cov(part.T, bias=True) + ridge
+
+    for g in ("g0", "g1", "g2"):
+        x, best = np.array([r[1:] for r in rows if r[0] == g]), np.inf
+        for _ in range(300):
+            m, c = fit(x[rng.choice(len(x), p + 1, replace=False)])
+            for _ in range(12):
+                d = np.einsum("ij,jk,ik->i", x - m, np.linalg.inv(c), x - m)
+                m, c = fit(x[np.argsort(d)[: len(x) // 2]])
+            best = min(best, np.linalg.slogdet(c)[1])
+        assert got[g] <= best + 0.5
+
+
+def test_small_groups_lean_on_their_language(spark):
+    rng = np.random.default_rng(11)
+    text = lambda n: " ".join("abcdefgh"[: k % 6 + 2] + str(k) for k in rng.integers(0, 9999, n))
+    rows = [(i, text(int(rng.integers(60, 400))), "en", "large") for i in range(300)]
+    rows += [(500, text(100), "en", "one"), (501, text(90), None, "alone"), (502, " ".join("ab###$$$%%%" + str(k) for k in range(100)), "en", "two"), (503, "too short", "xx", "none")]
+    out = {r.doc_id: r for r in quality.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    assert out[500].kept and out[501].kept and not out[502].kept and not out[503].kept
+    assert len(out) == 304
+
 
-    lines = [(100 + i, f"some words before {t} and after") for i, (_, t) in enumerate(licenses.TEMPLATES)]
+def test_licenses(spark, docs, table):
+    rng = np.random.default_rng(12)
+    lines = [(100 + i, f"some words before {t.upper()} and after") for i, (_, t) in enumerate(licenses.TEMPLATES)]
     cut = [(200 + i, " ".join(t.split()[: -max(1, len(t.split()) // 8)])) for i, (_, t) in enumerate(licenses.TEMPLATES)]
-    made = docs.select("doc_id", "text").unionByName(spark.createDataFrame(lines + cut, "doc_id long, text string"))
+    odd = [(300 + i, " ".join(w if rng.random() > 0.02 else "other" for w in t.split())) for i, (_, t) in enumerate(licenses.TEMPLATES)]
+    made = docs.select("doc_id", "text").unionByName(spark.createDataFrame(lines + cut + odd, "doc_id long, text string"))
+    templates = licenses.template_table(spark, licenses.TEMPLATES)
     for frame in (made, table):
-        want = set()
-        for r in frame.collect():
-            held = shingles(r.text)
-            for name, t in licenses.TEMPLATES:
-                share = len(held & shingles(t)) / len(shingles(t))
-                if share >= 0.8:
-                    want.add((r.doc_id, name, round(share, 9)))
-        got = [(r.doc_id, r.template_id, round(r.containment, 9)) for r in licenses.scan(frame, licenses.template_table(spark, licenses.TEMPLATES)).collect()]
+        con = duckdb.connect()
+        texts = frame.select("doc_id", "text").toPandas().astype({"doc_id": "Int64"})  # noqa: F841
+        con.execute("CREATE VIEW documents AS SELECT doc_id, text FROM texts")
+        want = {(i, t, round(c, 9)) for i, t, c in con.execute(licenses.oracle_sql()).fetchall()}
+        got = [(r.doc_id, r.template_id, round(r.containment, 9)) for r in licenses.scan(frame, templates).collect()]
         assert len(got) == len(set(got)) and set(got) == want
-    assert licenses.scan(docs.limit(0), licenses.template_table(spark, licenses.TEMPLATES)).count() == 0
+    assert licenses.scan(docs.limit(0), templates).count() == 0
+
+
+def test_bands_retrieve_long_templates(spark):
+    """Texts that hold just over 0.8 of a template's shingles: bands find them all, and without
+    bands long templates aren't found."""
+    rng, rows = np.random.default_rng(13), []
+    long = [(n, t) for n, t in licenses.TEMPLATES if len(t.split()) >= 40]
+    for k in range(200):
+        words = long[k % len(long)][1].split()
+        for i in rng.choice(len(words), max(1, int(0.035 * len(words))), replace=False):
+            words[i] = f"w{k}"
+        rows.append((k, " ".join(words)))
+    made = spark.createDataFrame(rows, "doc_id long, text string")
+    own = licenses.template_table(spark, licenses.TEMPLATES)
+    pairs = {bands: {(r.doc_id, r.template_id) for r in licenses.candidates(made, licenses.template_keys(own, bands)).collect()} for bands in (True, False)}
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", rows)
+    true = {(i, t) for i, t, _ in con.execute(licenses.oracle_sql()).fetchall() if len(dict(licenses.TEMPLATES)[t].split()) >= 12}
+    assert len(true) > 100 and len(true & pairs[True]) >= 0.99 * len(true)
+    assert not true & pairs[False]
 
 
 def test_toxicity_on_held_out_labels(spark, docs):
@@ -284,10 +353,34 @@ def test_toxicity_on_held_out_labels(spark, docs):
 def test_the_grammar_tells_kinds_apart():
     g = toxicity.Grammar({"moron": 5.0, "lowe*": 4.0})
     assert g.match("what a moron.")[0][0] == 5.0
-    assert g.match("you moron.")[0][1] == 5.0
-    assert g.match("he is not a loweisch.")[0][2] == 4.0
-    assert g.match("she said moron. kill you. you kill")[0][3:] == [5.0, 1.0]
-    assert g.match("a clean text.") == ([0.0] * 5, 0)
+    assert g.match("you moron.")[0][1] == g.match("a moron are you.")[0][1] == 5.0
+    assert g.match("he is not a loweisch.")[0][2] == g.match("a lower not.")[0][2] == 4.0
+    assert g.match("she said moron. kill you. you kill; you said kill")[0][3:] == [5.0, 1.0]
+    assert g.match("a clean text, not you said.") == ([0.0] * 5, 0)
+
+
+def test_the_composed_machine_against_a_plain_reading():
+    def plain(c):
+        for i, s in enumerate(c):
+            near = "negation" in c[max(0, i - 3) : i] + c[i + 1 : i + 2]
+            if s == "threat":
+                yield "threat" if "target" in c and "report" not in c and not near else ""
+            elif s == "insult":
+                yield toxicity.KINDS[3 if "report" in c else 2 if near else 1 if "target" in c else 0]
+            else:
+                yield ""
+
+    rng = np.random.default_rng(8)
+    symbols = ["insult", "threat", "target", "negation", "report", *["other"] * 6]
+    for _ in range(5000):
+        clause = [symbols[i] for i in rng.integers(0, len(symbols), rng.integers(0, 12))]
+        assert toxicity.GRAMMAR.run(clause) == [list(plain(clause))]
+
+
+def test_composition_reads_one_and_writes_the_other():
+    up = toxicity.Transducer(0, [(0, "a", "A", 0), (0, "b", "B", 1)], (0, 1))
+    down = toxicity.Transducer(0, [(0, "A", "x", 0), (0, "A", "y", 0), (0, "B", "z", 0)], (0,))
+    assert sorted(toxicity.compose(up, down).run("ab")) == [["x", "z"], ["y", "z"]]
 
 
 def test_language(spark, docs):
@@ -296,8 +389,9 @@ def test_language(spark, docs):
     out = langid.predict(table).collect()
     test = [r for r in out if r.held_out and r.lang_pred != "und"]
     assert sum(r.lang_pred == truth[r.doc_id] for r in test) / len(test) > 0.95
-    few = {r.doc_id: r for r in langid.predict(docs).collect()}
-    assert all(few[i].lang_pred == "und" and few[i].score == 0 for i in (4, 5, 6))
+    signs = spark.createDataFrame([(20, "½ ² ³ Ⅷ 12 _ ٣ ①", "en")], "doc_id long, text string, lang string")
+    few = {r.doc_id: r for r in langid.predict(docs.select("doc_id", "text", "lang").unionByName(signs)).collect()}
+    assert all(few[i].lang_pred == "und" and few[i].score == 0 for i in (4, 5, 6, 20))
     assert langid.predict(docs.limit(0)).count() == 0
 
 
@@ -318,6 +412,13 @@ def test_a_minority_language_behind_relatives_of_the_main_one():
     assert abs(share[0] - 0.7) < 0.05 and abs(share[8] - 0.3) < 0.05
 
 
+def test_a_text_is_judged_alone():
+    rng = np.random.default_rng(7)
+    likelihood, ends = rng.normal(-5, 2, size=(300, 5)), np.array([3, 90, 91, 200, 300])
+    apart = [langid.mixtures(likelihood[a:b], np.array([b - a]))[0] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
+    assert (langid.mixtures(likelihood, ends) == np.array(apart)).all()
+
+
 def test_a_mixture_keeps_both_languages():
     rng = np.random.default_rng(6)
     own = np.array([[-1.0, -6, -6], [-6.0, -1, -6], [-6.0, -6, -1]])
