@@ -29,8 +29,9 @@ def jaccard(a: Column, b: Column) -> Column:
 
 
 def pairs_of(n: Column) -> Column:
-    """n choose 2."""
-    return (n * (n - 1) / 2).cast("bigint")
+    """n choose 2, in whole numbers."""
+    n = n.cast("bigint")
+    return F.call_function("div", n * (n - 1), F.lit(2))
 
 
 def ratio(a: Column, b: Column) -> Column:
@@ -64,7 +65,7 @@ def gcd(a: Column, b: Column) -> Column:
 def fraction(a: Column, b: Column) -> Column:
     """An exact reduced fraction as text."""
     g = gcd(a, b)
-    return F.concat_ws("/", (a / g).cast("bigint"), (b / g).cast("bigint"))
+    return F.concat_ws("/", *[F.call_function("div", x.cast("bigint"), g) for x in (a, b)])
 
 
 def wilson(successes: Column, trials: Column, z: float = 1.959963984540054) -> tuple[Column, Column]:

@@ -3,11 +3,13 @@ would take to know. All queries share one partition; none rebuilds it."""
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quorumlake.operators.components import connected_components
 from quorumlake.operators.decisions import authorization_gap, decisions, source_slots
-from quorumlake.operators.partition import partition, quotient_edges, separators, with_ends
+from quorumlake.operators.partition import fold, partition, quotient_edges, separators, with_ends
 from quorumlake.schema import DIFFERENT, PAIR, SAME, UNKNOWN, Evidence
 from quorumlake.session import staged
 
@@ -39,28 +41,27 @@ def classify(queries: DataFrame, views: Views) -> DataFrame:
     return found.select("q_left", "q_right", "l_label", "r_label", kind.alias("kind"))
 
 
-def same_paths(asked: DataFrame, views: Views, max_edges: int = 10_000) -> DataFrame:
+def same_paths(asked: DataFrame, views: Views) -> DataFrame:
     """(q_left, q_right, path): the shortest path of accepted edges, the smallest of equals.
 
     Level by level for all queries at once; a handle keeps the smallest path that first reached it,
-    and a query leaves when its end is reached.
+    and a query leaves when its end is reached, which it is, as both are in one component. Edges run
+    both ways, so what a level reaches anew can have been seen in it and the one before alone.
     """
     accepted = with_ends(views.decided.where(F.col("vote") == SAME).select(*PAIR), views.membership).where("l_label = r_label").select(*PAIR)
     steps = staged(accepted.toDF("node", "next").unionByName(accepted.select(F.col("h_right").alias("node"), F.col("h_left").alias("next"))), "steps")
     front = staged(asked.select("q_left", "q_right", F.col("q_left").alias("node"), F.array("q_left").alias("path")).distinct(), "front")
-    seen, found = front.select("q_left", "q_right", "node"), []
-    for _ in range(max_edges):
+    before, found = front, []
+    while not front.isEmpty():
         grown = front.join(steps, "node").select("q_left", "q_right", F.col("next").alias("node"), F.concat("path", F.array("next")).alias("path"))
+        seen = before.select("q_left", "q_right", "node").unionByName(front.select("q_left", "q_right", "node"))
         fresh = grown.join(seen, ["q_left", "q_right", "node"], "left_anti").groupBy("q_left", "q_right", "node").agg(F.min("path").alias("path"))
         level = staged(fresh, "level")
         ends = level.where("node = q_right")
         found.append(ends.select("q_left", "q_right", "path"))
-        front = level.join(ends.select("q_left", "q_right"), ["q_left", "q_right"], "left_anti")
-        if front.isEmpty():
-            break
-        seen = staged(seen.unionByName(level.select("q_left", "q_right", "node")), "seen")
-    out = found[0]
-    for x in found[1:]:
+        before, front = front, level.join(ends.select("q_left", "q_right"), ["q_left", "q_right"], "left_anti")
+    out = front.select("q_left", "q_right", "path").limit(0)
+    for x in found:
         out = out.unionByName(x)
     return out
 
@@ -125,6 +126,37 @@ def plan_cells(found: DataFrame, store: Evidence) -> DataFrame:
     return steps.select("q_left", "q_right", *PAIR, (F.coalesce("top", F.lit(-1)) + 1).alias("epoch"), source, F.lit(SAME).alias("vote"))
 
 
+def execute_plans(found: DataFrame, views: Views) -> DataFrame:
+    """(q_left, q_right, n_cells, last_epoch, kind): each plan carried out by itself, and the answer
+    to its query after that.
+
+    A plan's cells make its relations SAME. That can change the partition only within the
+    components of the SAME graph that the plan's relations touch, so each query's own part of the
+    decisions, with its plan in it, is made into a partition anew.
+    """
+    q = ["q_left", "q_right"]
+    cells = staged(plan_cells(found, views.store), "plan_cells")
+    counts = cells.groupBy(*q).agg(F.count("*").alias("n_cells"), F.max("epoch").alias("last_epoch"))
+    fresh = staged(cells.select(*q, *PAIR).distinct(), "fresh")
+    same = views.decided.where(F.col("vote") == SAME).select(*PAIR)
+    cc = staged(connected_components(same, *PAIR).toDF("handle", "cc"), "cc")
+    at = lambda df, c: df.join(cc.toDF(c, "cc"), c, "left").withColumn("cc", F.coalesce("cc", c))
+    ends = fresh.select(*q, F.explode(F.array(*PAIR)).alias("handle"))
+    touched = staged(at(ends, "handle").select(*q, "cc").distinct(), "touched")
+    old = views.decided.where(F.col("vote").isin(SAME, DIFFERENT)).select(*PAIR, "vote")
+    inner = at(at(old, "h_left").withColumnRenamed("cc", "x"), "h_right").withColumnRenamed("cc", "y")
+    own = touched.withColumnRenamed("cc", "x").join(inner, "x").join(touched.withColumnRenamed("cc", "y"), [*q, "y"]).select(*q, *PAIR, "vote")
+    rows = own.join(fresh, [*q, *PAIR], "left_anti").unionByName(fresh.withColumn("vote", F.lit(SAME)))
+
+    def run(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
+        pairs = [(v, (a, b)) for a, b, v in zip(part["h_left"], part["h_right"], part["vote"], strict=True)]
+        label = fold([p for v, p in pairs if v == SAME], [p for v, p in pairs if v != SAME])
+        return pd.DataFrame({"q_left": [key[0]], "q_right": [key[1]], "kind": [SAME if label.get(key[0], key[0]) == label.get(key[1], key[1]) else "other"]})
+
+    answers = rows.groupBy(*q).applyInPandas(run, "q_left string, q_right string, kind string")
+    return counts.join(answers, q)
+
+
 def certificates(queries: DataFrame, store: Evidence) -> DataFrame:
     """One row a query: kind and, by kind, same{path}, different{...}, ambiguous{...}."""
     views = Views(store)

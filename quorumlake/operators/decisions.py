@@ -26,10 +26,10 @@ def highest_sealed(cells: DataFrame, n_sources: int) -> DataFrame:
 
 
 def verdict(threshold: int, relation_veto: bool = True) -> Column:
-    """The vote of a chosen epoch. Without the veto, positives decide first."""
-    positive = F.when(F.col("same_count") >= threshold, SAME)
-    negative = F.col("different_count") > 0
-    voted = F.when(negative, DIFFERENT).otherwise(F.coalesce(positive, F.lit(UNKNOWN))) if relation_veto else F.coalesce(positive, F.when(negative, DIFFERENT), F.lit(UNKNOWN))
+    """The vote of a chosen epoch. Without the veto, negatives count as unknown."""
+    voted = F.when(F.col("same_count") >= threshold, SAME).otherwise(UNKNOWN)
+    if relation_veto:
+        voted = F.when(F.col("different_count") > 0, DIFFERENT).otherwise(voted)
     return F.when(F.col("sealed"), voted).otherwise(UNKNOWN)
 
 

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quorumlake.functions.scalars import jaccard, pairs_of, ratio
+from quorumlake.functions.scalars import fraction, jaccard, pairs_of, ratio
+from quorumlake.operators.ranks import ranked
 from quorumlake.schema import DIFFERENT, SAME, UNKNOWN
 
 #: A predicate maps two observation structs to a (vote, reason) struct of columns.
@@ -119,10 +121,12 @@ def partition_metrics(membership: DataFrame, truth: DataFrame) -> DataFrame:
 
 def order_statistic(df: DataFrame, value: str, by: list[str], place: Callable[[Column], Column]) -> DataFrame:
     """The value at a zero-based place of each group's sorted values; place maps the group's size to
-    it. Ranks come from a window, so no group is gathered in one row."""
-    group = Window.partitionBy(*by)
-    ranked = df.where(F.col(value).isNotNull()).select(*by, value, (F.row_number().over(group.orderBy(value)) - 1).alias("i"), F.count("*").over(group).alias("n"))
-    return ranked.where(F.col("i") == place(F.col("n"))).select(*by, value)
+    it. Rows are ranked over ranges of (group, value), so a hot group is many tasks."""
+    known = df.where(F.col(value).isNotNull()).select(*by, value)
+    places = ranked(known, *by, value, name="i")
+    sizes = places.groupBy(*by).agg(F.min("i").alias("first"), F.count("*").alias("n"))
+    wanted = sizes.select((F.col("first") + place(F.col("n"))).alias("i"))
+    return places.join(wanted, "i").select(*by, value)
 
 
 def scale_place(n: Column) -> Column:
@@ -145,6 +149,23 @@ def transient_merges(votes: DataFrame) -> DataFrame:
     return run.groupBy("sequence").agg(F.bool_or(merged).alias("unsealed"), F.bool_or(merged & (F.col("i") == F.col("n") - 1)).alias("sealed"))
 
 
+def placements(partitions: DataFrame, sites: int, quorum: int = 3) -> DataFrame:
+    """By number of components: mean shares of the sites that one central site serves, and that a
+    quorum serves from components with a majority of it, over all placements, as exact fractions,
+    and which of both serves more. partitions(rgs): the component of each site."""
+    q = [s for s in combinations(range(sites), quorum)]
+    members = F.explode(F.array(*[F.array(*map(F.lit, s)) for s in q])).alias("q")
+    each = partitions.select("rgs", F.explode(F.sequence(F.lit(0), F.lit(sites - 1))).alias("central")).select("rgs", "central", members)
+    served = F.expr("size(filter(rgs, x -> x = rgs[central]))"), F.expr(f"size(filter(rgs, x -> size(filter(q, i -> rgs[i] = x)) > {quorum // 2}))")
+    rows = each.select((F.array_max("rgs") + 1).cast("bigint").alias("components"), served[0].cast("bigint").alias("c"), served[1].cast("bigint").alias("s"))
+    sums = rows.groupBy("components").agg(
+        F.count("*").alias("placements"), F.sum("c").alias("c"), F.sum("s").alias("s"),
+        F.count_if(F.col("c") > F.col("s")).alias("central_gt_quorum"), F.count_if(F.col("s") > F.col("c")).alias("quorum_gt_central"), F.count_if(F.col("s") == F.col("c")).alias("equal"),
+    )
+    every = F.col("placements") * sites
+    return sums.select("components", "placements", fraction(F.col("c"), every).alias("central_mean"), fraction(F.col("s"), every).alias("quorum_mean"), "central_gt_quorum", "quorum_gt_central", "equal")
+
+
 def navigation_rollup(rows: DataFrame, site: str, step: str, value: str) -> DataFrame:
     """Rows, distinct values and changes between neighbouring steps, by site."""
     before = F.lag(value).over(Window.partitionBy(site).orderBy(step))

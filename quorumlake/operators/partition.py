@@ -152,9 +152,21 @@ def quotient_edges(gaps: DataFrame, membership: DataFrame, separated: DataFrame)
 
 
 def signature(membership: DataFrame) -> DataFrame:
-    """label, n, members_hash: an order-free fingerprint of each component's members, mergeable
+    """label, n, low, high: an order-free fingerprint of each component's members, mergeable
     map-side; equal partitions have equal rows."""
-    return membership.groupBy("label").agg(F.count("*").alias("n"), F.sum(F.crc32("handle").cast("bigint")).alias("members_sum"))
+    part = lambda at: F.sum(F.conv(F.substring(F.md5("handle"), at, 8), 16, 10).cast("bigint"))
+    return membership.groupBy("label").agg(F.count("*").alias("n"), part(1).alias("low"), part(9).alias("high"))
+
+
+def priority_preserving(handles: DataFrame, decided: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The watershed that agrees with the negative-safe partition: all negatives at weight 2, all
+    positives at weight 1. (handle, label), and relation, status as edge_status() has it: a positive
+    inside a component, in the forest or not, is accepted."""
+    weight = F.when(F.col("vote") == DIFFERENT, 2.0).otherwise(1.0).alias("weight")
+    membership, status = mutex_watershed(handles, decided.where(F.col("vote") != UNKNOWN).select(*PAIR, "vote", weight))
+    named = F.when(F.col("status").isin("forest", "redundant"), "accepted").when(F.col("status") == "rejected", "rejected").otherwise(DIFFERENT)
+    unknown = decided.where(F.col("vote") == UNKNOWN).select(*PAIR, F.lit(UNKNOWN).alias("status"))
+    return membership, status.select(*PAIR, named.alias("status")).unionByName(unknown)
 
 
 def mutex_watershed(handles: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -49,6 +49,26 @@ def common_floor(replicas: DataFrame, n_replicas: int, n_sources: int) -> DataFr
     return shared.groupBy(PAIR).agg(F.max("epoch").alias("epoch"))
 
 
+def acknowledgements(replicas: DataFrame, floors: DataFrame, n_sources: int) -> DataFrame:
+    """(replica, h_left, h_right, epoch, vector): each replica's cells at the proposed floors. A
+    replica that lacks a sealed vector there has a null vector: it can't acknowledge it."""
+    cell = F.struct("source", "vote", "reason")
+    held = replicas.join(floors, [*PAIR, "epoch"]).groupBy("replica", *PAIR, "epoch").agg(F.array_sort(F.collect_list(cell)).alias("v"), F.count_distinct("source").alias("n"))
+    every = floors.crossJoin(F.broadcast(replicas.select("replica").distinct()))  # one row a member
+    found = every.join(held, ["replica", *PAIR, "epoch"], "left")
+    return found.select("replica", *PAIR, "epoch", F.when(F.col("n") == n_sources, F.col("v")).alias("vector"))
+
+
+def agreed_floors(acks: DataFrame, n_replicas: int) -> DataFrame:
+    """(h_left, h_right, epoch, agreed): whether all members acknowledged a floor, each once, with one
+    and the same vector. Only agreed floors may be compacted."""
+    seen = acks.groupBy(*PAIR, "epoch").agg(
+        F.count("vector").alias("n"), F.count_distinct("replica").alias("members"), F.count_distinct(F.xxhash64("vector")).alias("vectors"), F.count("*").alias("rows")
+    )
+    whole = (F.col("n") == n_replicas) & (F.col("members") == n_replicas) & (F.col("rows") == n_replicas)
+    return seen.select(*PAIR, "epoch", (whole & (F.col("vectors") == 1)).alias("agreed"))
+
+
 def compaction_violations(store: Evidence, proposed: DataFrame, retain_pending: int = 2) -> DataFrame:
     """(h_left, h_right, rule) for proposed floors(h_left, h_right, epoch) that may not be taken: a
     floor below the old one, of a relation without cells, at an epoch that is not sealed, or below

@@ -57,6 +57,71 @@ def answer_kinds(df: DataFrame, kinds: tuple[str, ...]) -> DataFrame:
     return df.agg(*[F.count_if(F.col("kind") == k).alias(k) for k in kinds], F.count_if(~known).alias("unavailable"))
 
 
+def bounded_response(df: DataFrame, compact: DataFrame, key: list[str], limit: int) -> DataFrame:
+    """df's rows by key with form and bytes: `full` where the JSON of a row stays within the limit,
+    else `compact` where that of compact's row of the same key does, else `rejected`, without body."""
+    body = lambda x, name: x.select(*key, F.to_json(F.struct(*[c for c in x.columns if c not in key])).alias(name))
+    both = body(df, "full").join(body(compact, "compact"), key, "left")
+    fits = lambda name: F.octet_length(name) <= limit
+    form = F.when(fits("full"), "full").when(F.coalesce(fits("compact"), F.lit(False)), "compact").otherwise("rejected")
+    answer = F.when(fits("full"), F.col("full")).when(fits("compact"), F.col("compact"))
+    return both.select(*key, form.alias("form"), answer.alias("body"), F.coalesce(F.octet_length(answer), F.lit(0)).cast("bigint").alias("bytes"))
+
+
+def payload_bytes(deliveries: DataFrame, *by: str) -> DataFrame:
+    """Deliveries and the bytes of their cells as compact JSON with keys in order."""
+    size = serialized_bytes(F.struct("epoch", F.col("h_left").alias("left"), "reason", F.col("h_right").alias("right"), "source", "vote"))
+    return deliveries.groupBy(*by).agg(F.count("*").alias("n"), F.sum(size).alias("payload_bytes"))
+
+
+def action_counts(events: DataFrame, actions: tuple[str, ...], *by: str) -> DataFrame:
+    """How many events have each action."""
+    return events.groupBy(*by).agg(*[F.count_if(F.col("action") == a).alias(a) for a in actions])
+
+
+def phase_totals(events: DataFrame, *by: str) -> DataFrame:
+    """The time of each phase: calls and checks, missing checks as none."""
+    return events.groupBy(*by, "phase").agg(F.sum(F.col("rpc_ns") + F.coalesce("checker_ns", F.lit(0))).alias("total_ns"))
+
+
+def canonical(cells: DataFrame) -> DataFrame:
+    """Cells in the order in which states are written."""
+    return cells.orderBy("h_left", "h_right", "epoch", "source", "vote", "reason")
+
+
+def head(df: DataFrame, order: str, n: int) -> DataFrame:
+    """The first n rows of a query list."""
+    return df.orderBy(order).limit(n)
+
+
+def ordered_distinct(df: DataFrame, columns: list[str], order: str) -> DataFrame:
+    """Distinct rows with the place at which each was first seen."""
+    return df.groupBy(*columns).agg(F.min(order).alias(order))
+
+
+def median_ranges(df: DataFrame, by: list[str], columns: list[str]) -> DataFrame:
+    """Of each column the median, least and greatest value of a group."""
+    return df.groupBy(*by).agg(*[f(c).alias(f"{c}_{n}") for c in columns for n, f in (("median", F.median), ("min", F.min), ("max", F.max))])
+
+
+def equal_work(df: DataFrame, group: str, layout: str, mean: str, totals: list[str], measured: list[str], always: dict[str, Column]) -> DataFrame:
+    """One row a group: cases, the mean of `mean` over all and by layout (an array in the order of
+    layouts), totals, medians with ranges of the measured columns, and what holds for every case."""
+    of_layout = df.groupBy(group, layout).agg(F.avg(mean).alias("m")).groupBy(group).agg(F.array_sort(F.collect_list(F.struct(F.col(layout).alias("layout"), F.col("m").alias("mean")))).alias("by_layout"))
+    whole = df.groupBy(group).agg(F.count("*").alias("cases"), F.avg(mean).alias(f"{mean}_mean"), *[F.sum(c).alias(f"{c}_total") for c in totals], *[F.bool_and(x).alias(k) for k, x in always.items()])
+    return whole.join(of_layout, group).join(median_ranges(df, [group], measured), group)
+
+
+def implementation_medians(df: DataFrame, case: list[str], family: str, kind: str, kinds: list[str], value: str, base: str) -> DataFrame:
+    """Nested medians of several implementations: of each case, then of each family, with the median,
+    least and greatest ratio to `base` of the cases."""
+    cases = df.groupBy(family, *case).pivot(kind, kinds).agg(F.median(value))
+    others = [k for k in kinds if k != base]
+    rates = cases.withColumns({f"{k}_over_{base}": F.col(k) / F.col(base) for k in others})
+    ratio = [f(f"{k}_over_{base}").alias(f"{k}_over_{base}_{n}") for k in others for n, f in (("median", F.median), ("min", F.min), ("max", F.max))]
+    return rates.groupBy(family).agg(F.count("*").alias("cases"), *[F.median(k).alias(f"{k}_median") for k in kinds], *ratio)
+
+
 def write_plans(df: DataFrame, path: str) -> None:
     """Rows as gzip JSON lines; spark.read.json reads them back."""
     df.write.mode("overwrite").option("compression", "gzip").json(path)

@@ -71,12 +71,10 @@ def equivocation(spark, d):
     return ingest.equivocations(c.unionByName(copies))
 
 
-@query(sql("SELECT h_left, h_right, epoch, source, 'source must be registered' AS rule FROM cells WHERE s = 4 UNION ALL SELECT h_left, h_right, epoch - 1, source, 'epoch must not be negative' FROM cells WHERE epoch = 0 AND s <> 4 UNION ALL SELECT h_left, h_right, epoch - 1, source, 'epoch must not be negative' FROM cells WHERE epoch = 0 AND s = 4"))
+@query(sql("SELECT h_left, h_right, epoch, source, 'source must be registered' AS rule FROM moved WHERE s = 4 UNION ALL SELECT h_left, h_right, epoch, source, 'epoch must not be negative' FROM moved WHERE epoch < 0", "moved AS (SELECT h_left, h_right, source, s, CASE WHEN epoch = 0 THEN -1 ELSE epoch END AS epoch FROM cells)"))
 def domain_violations(spark, d):
     c = fx.cells(spark, d)
-    moved = c.withColumn("epoch", F.when(F.col("epoch") == 0, -1).otherwise(F.col("epoch")).cast("bigint"))
-    found = ingest.domain_violations(moved, fx.SOURCES[:4])
-    return found.withColumn("epoch", F.when(F.col("rule").startswith("source"), F.greatest("epoch", F.lit(0))).otherwise(F.col("epoch")).cast("bigint"))
+    return ingest.domain_violations(c.withColumn("epoch", F.when(F.col("epoch") == 0, -1).otherwise(F.col("epoch")).cast("bigint")), fx.SOURCES[:4])
 
 
 # Decisions ----------------------------------------------------------------------------------------
@@ -131,9 +129,18 @@ def negative_mask(spark, d):
     return decisions.negative_mask(fx.cells(spark, d)).groupBy("vote").agg(F.count("*").alias("n"))
 
 
-@query(with_decisions("SELECT h_left, h_right, CASE WHEN NOT sealed THEN 'unknown' WHEN same_count >= 2 THEN 'same' WHEN different_count > 0 THEN 'different' ELSE 'unknown' END AS vote FROM decisions"))
+#: The cells with fewer positives: some relations have a negative and too few positives.
+THIN = "thin AS (SELECT h_left, h_right, epoch, source, CASE WHEN vote = 'same' AND s = 1 AND (l + r) % 3 = 0 THEN 'unknown' ELSE vote END AS vote FROM cells)"
+
+
+def _thin(spark, d) -> Evidence:
+    thin = fx.cells(spark, d).withColumn("vote", F.expr("if(vote = 'same' and s = 1 and (l + r) % 3 = 0, 'unknown', vote)"))
+    return Evidence(thin.drop("l", "r", "s"), fx.handles(spark, d), fx.SOURCES, fx.THRESHOLD)
+
+
+@query(sql("SELECT h_left, h_right, CASE WHEN sealed AND same_count >= 2 THEN 'same' ELSE 'unknown' END AS vote FROM decisions", THIN, EPOCHS.replace("FROM cells", "FROM thin"), fx.DECISIONS))
 def ablation_decisions(spark, d):
-    return decisions.decisions(fx.store(spark, d), relation_veto=False).select(*PAIR, "vote")
+    return decisions.decisions(_thin(spark, d), relation_veto=False).select(*PAIR, "vote")
 
 
 # Baselines ----------------------------------------------------------------------------------------
@@ -179,10 +186,9 @@ def component_ids(spark, d):
     return partition.component_ids(_views(spark, d)[2])
 
 
-@query(with_partition("SELECT label, count(*) AS n, string_agg(handle, ',' ORDER BY handle) AS members FROM membership GROUP BY label"))
+@query(with_partition("SELECT label, count(*) AS n, sum(('0x' || substr(md5(handle), 1, 8))::BIGINT)::BIGINT AS low, sum(('0x' || substr(md5(handle), 9, 8))::BIGINT)::BIGINT AS high FROM membership GROUP BY label"))
 def partition_signature(spark, d):
-    m = _views(spark, d)[2]
-    return m.groupBy("label").agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_list("handle")), ",").alias("members"))
+    return partition.signature(_views(spark, d)[2])
 
 
 @query(with_partition("SELECT h_left, h_right, CASE WHEN vote <> 'same' THEN vote WHEN l_label = r_label THEN 'accepted' ELSE 'rejected' END AS status FROM ended", ENDED))
@@ -213,7 +219,17 @@ def negative_violations(spark, d):
     return partition.negative_violations(decided, partition.partition(store.handles, decided, component_veto=False))
 
 
-@query()
+#: Labels under each veto: without the relation veto there are no negatives, so the component veto is idle.
+FACTORIAL = """same2 AS (SELECT h_left, h_right FROM decisions WHERE sealed AND same_count >= 2),
+""" + fx.COMPONENTS.replace("reach", "reach2").replace("same_edges", "same2").replace("cc AS", "cc2 AS").replace("AS cc FROM", "AS cc FROM") + """,
+labels AS (SELECT true AS relation_veto, true AS component_veto, handle, label FROM membership UNION ALL SELECT true, false, handle, cc FROM cc
+  UNION ALL SELECT false, v, handle, cc FROM cc2, (VALUES (true), (false)) t(v))"""
+
+
+@query(with_partition("""SELECT relation_veto, component_veto, count(DISTINCT x.label) AS components,
+ (SELECT count(*) FROM decisions d JOIN labels y ON d.h_left = y.handle JOIN labels z ON d.h_right = z.handle WHERE d.vote = 'different' AND y.label = z.label
+   AND y.relation_veto = x.relation_veto AND z.relation_veto = x.relation_veto AND y.component_veto = x.component_veto AND z.component_veto = x.component_veto) AS violations
+ FROM labels x GROUP BY relation_veto, component_veto""", FACTORIAL))
 def ablation_factorial(spark, d):
     """Components and violated negatives under each veto, on and off; cell counts hold for all."""
     store = fx.store(spark, d)
@@ -241,6 +257,17 @@ def mutex_edge_status(spark, d):
     return status.groupBy("vote", "status").agg(F.count("*").alias("n"))
 
 
+@query(with_partition("SELECT handle, label FROM membership"))
+def priority_preserving_mws(spark, d):
+    """The watershed with all negatives first is the negative-safe partition."""
+    return partition.priority_preserving(fx.handles(spark, d), staged(_decided(spark, d), "decisions"))[0]
+
+
+@query(with_partition("SELECT h_left, h_right, CASE WHEN vote <> 'same' THEN vote WHEN l_label = r_label THEN 'accepted' ELSE 'rejected' END AS status FROM ended", ENDED))
+def priority_preserving_status(spark, d):
+    return partition.priority_preserving(fx.handles(spark, d), staged(_decided(spark, d), "decisions"))[1]
+
+
 # Certificates -------------------------------------------------------------------------------------
 
 ASKED = """asked AS (SELECT 'c' || lpad(CAST(l AS VARCHAR), 7, '0') AS q_left, 'c' || lpad(CAST(r AS VARCHAR), 7, '0') AS q_right FROM near),
@@ -258,7 +285,15 @@ def _asked(spark, d, kind: str):
     return staged(certificates.classify(fx.queries_of(spark, d), views).where(F.col("kind") == kind), "asked"), views
 
 
-@query()
+#: Distances to each goal, then from the start the smallest neighbour that is one step nearer.
+SAME_PATHS = """accepted AS (SELECT h_left AS node, h_right AS next FROM ended WHERE vote = 'same' AND l_label = r_label UNION ALL SELECT h_right, h_left FROM ended WHERE vote = 'same' AND l_label = r_label),
+bfs(goal, node, d) AS (SELECT DISTINCT q_right, q_right, 0 FROM kinds WHERE kind = 'same' UNION SELECT goal, e.next, d + 1 FROM bfs JOIN accepted e ON e.node = bfs.node WHERE d < 24),
+dist AS (SELECT goal, node, min(d) AS d FROM bfs GROUP BY ALL),
+nearer AS (SELECT g.goal, g.node, min(e.next) AS next FROM dist g JOIN accepted e ON e.node = g.node JOIN dist h ON h.goal = g.goal AND h.node = e.next AND h.d = g.d - 1 GROUP BY ALL),
+walk(q_left, q_right, node, path) AS (SELECT q_left, q_right, q_left, q_left FROM kinds WHERE kind = 'same' UNION ALL SELECT q_left, q_right, n.next, path || '>' || n.next FROM walk w JOIN nearer n ON n.goal = w.q_right AND n.node = w.node)"""
+
+
+@query(with_partition("SELECT q_left, q_right, path FROM walk WHERE node = q_right", ENDED, SEPARATORS, ASKED, SAME_PATHS))
 def cert_same(spark, d):
     asked, views = _asked(spark, d, SAME)
     return certificates.same_paths(asked, views).select("q_left", "q_right", F.array_join("path", ">").alias("path"))
@@ -274,7 +309,23 @@ def cert_different(spark, d):
     return certificates.witnesses(asked, views)
 
 
-@query()
+#: All simple paths of components, none of them separated, at a cost of five positions at most:
+#: a relation that nobody has spoken of costs five and is a plan by itself.
+PLANS = """gapped AS (SELECT least(l_label, r_label) AS a, greatest(l_label, r_label) AS b, e.h_left, e.h_right, missing + diff + greatest(0, 2 - same - missing - diff) AS gap FROM ended e JOIN slots2 s USING (h_left, h_right) WHERE e.vote = 'unknown' AND l_label <> r_label),
+links AS (SELECT a, b, h_left, h_right, gap FROM (SELECT *, row_number() OVER (PARTITION BY a, b ORDER BY gap, h_left, h_right) AS place FROM gapped ANTI JOIN separators USING (a, b)) WHERE place = 1),
+arcs AS (SELECT a AS node, b AS next, gap, h_left || '-' || h_right AS pair FROM links UNION ALL SELECT b, a, gap, h_left || '-' || h_right FROM links),
+apart AS (SELECT a AS x, b AS y FROM separators UNION ALL SELECT b, a FROM separators),
+avoid AS (SELECT x, list(y) AS ys FROM apart GROUP BY x),
+tries(q_left, q_right, node, goal, cost, pairs, path) AS (SELECT q_left, q_right, l_label, r_label, 0::BIGINT, []::VARCHAR[], [l_label] FROM kinds WHERE kind = 'ambiguous'
+  UNION ALL SELECT q_left, q_right, e.next, goal, cost + e.gap, list_append(pairs, e.pair), list_append(path, e.next) FROM tries t JOIN arcs e ON e.node = t.node LEFT JOIN avoid v ON v.x = e.next
+  WHERE t.node <> goal AND cost + e.gap <= 5 AND NOT list_contains(path, e.next) AND NOT list_has_any(path, coalesce(v.ys, []::VARCHAR[]))),
+direct AS (SELECT k.q_left, k.q_right, 5::BIGINT AS cost, [least(k.q_left, k.q_right) || '-' || greatest(k.q_left, k.q_right)] AS pairs, [l_label, r_label] AS path FROM kinds k
+  ANTI JOIN (SELECT h_left, h_right FROM decisions WHERE vote = 'unknown') u ON u.h_left = least(k.q_left, k.q_right) AND u.h_right = greatest(k.q_left, k.q_right) WHERE kind = 'ambiguous'),
+plans AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY q_left, q_right ORDER BY cost, len(pairs), array_to_string(pairs, ','), array_to_string(path, ',')) AS place
+  FROM (SELECT q_left, q_right, cost, pairs, path FROM tries WHERE node = goal UNION ALL SELECT * FROM direct)) WHERE place = 1)"""
+
+
+@query(with_partition("SELECT q_left, q_right, cost::INT AS gap, len(pairs)::INT AS edge_count, array_to_string(path, '>') AS component_path, array_to_string(pairs, ',') AS pairs FROM plans", ENDED, SEPARATORS, ASKED, SLOTS, PLANS))
 def cert_ambiguous(spark, d):
     asked, views = _asked(spark, d, "ambiguous")
     pairs = F.array_join(F.transform("pairs", lambda p: F.concat_ws("-", p["h_left"], p["h_right"])), ",")
@@ -289,11 +340,12 @@ def certificate_check(spark, d):
     return checker.check(store, m, made).select("q_left", "q_right", "ok")
 
 
-@query()
+@query(with_partition("""SELECT q_left, q_right, 5 * count(*) AS n_cells, max(coalesce(top, -1) + 1) AS last_epoch, 'same' AS kind
+ FROM (SELECT q_left, q_right, unnest(pairs) AS pair FROM plans) p LEFT JOIN (SELECT h_left || '-' || h_right AS pair, max(epoch) AS top FROM cells GROUP BY ALL) t USING (pair) GROUP BY ALL""", ENDED, SEPARATORS, ASKED, SLOTS, PLANS))
 def plan_execution(spark, d):
+    """Each plan carried out and its query asked again."""
     asked, views = _asked(spark, d, "ambiguous")
-    cells = certificates.plan_cells(certificates.plans(asked, views), views.store)
-    return cells.groupBy("q_left", "q_right").agg(F.count("*").alias("n_cells"), F.max("epoch").alias("last_epoch"))
+    return certificates.execute_plans(staged(certificates.plans(asked, views), "plans"), views)
 
 
 # Replicas -----------------------------------------------------------------------------------------
@@ -325,6 +377,28 @@ def common_floor(spark, d):
     return replication.common_floor(fx.replicas(spark, d), 3, N)
 
 
+ACKS = """told AS (SELECT replica, h_left, h_right, epoch, source, vote, CASE WHEN replica = 2 AND CAST(substr(h_left, 2) AS INT) % 7 = 0 THEN 'other' ELSE 'derived ' || vote END AS reason FROM replicas),
+proposed AS (SELECT h_left, h_right, max(epoch) AS epoch FROM (SELECT h_left, h_right, epoch FROM told WHERE replica = 0 GROUP BY ALL HAVING count(DISTINCT source) = 5) GROUP BY ALL),
+vectors AS (SELECT replica, h_left, h_right, epoch, string_agg(source || vote || reason, ';' ORDER BY source) AS v FROM told JOIN proposed USING (h_left, h_right, epoch) GROUP BY ALL HAVING count(DISTINCT source) = 5)"""
+
+
+@query(sql("SELECT p.h_left, p.h_right, p.epoch, count(v) = 3 AND count(DISTINCT v) = 1 AS agreed FROM proposed p LEFT JOIN vectors USING (h_left, h_right, epoch) GROUP BY ALL", REPLICAS, ACKS))
+def acknowledged_floors(spark, d):
+    told = fx.replicas(spark, d).withColumn("reason", F.expr("if(replica = 2 and cast(substring(h_left, 2) as int) % 7 = 0, 'other', reason)"))
+    sealed = decisions.epochs(told.where("replica = 0"), N).where("sealed").groupBy(PAIR).agg(F.max("epoch").alias("epoch"))
+    return replication.agreed_floors(replication.acknowledgements(told, staged(sealed, "floors"), N), 3)
+
+
+@query(sql("SELECT replica, count(*) AS n, sum(strlen('{\"epoch\":' || epoch || ',\"left\":\"' || h_left || '\",\"reason\":\"derived ' || vote || '\",\"right\":\"' || h_right || '\",\"source\":\"' || source || '\",\"vote\":\"' || vote || '\"}'))::BIGINT AS payload_bytes FROM replicas GROUP BY replica", REPLICAS))
+def payload_bytes(spark, d):
+    return reports.payload_bytes(fx.replicas(spark, d), "replica").select(F.col("replica").cast("bigint").alias("replica"), "n", "payload_bytes")
+
+
+@query(sql("SELECT h_left, h_right, epoch, source, vote FROM cells ORDER BY ALL"))
+def canonical_cells(spark, d):
+    return reports.canonical(fx.cells(spark, d)).select(*PAIR, "epoch", "source", "vote")
+
+
 @query(sql("SELECT c.h_left, c.h_right, c.epoch, source FROM cells c LEFT JOIN (SELECT h_left, h_right, max(epoch) AS floor FROM epochs WHERE sealed AND CAST(substr(h_left, 2) AS INT) % 2 = 0 GROUP BY ALL) f USING (h_left, h_right) WHERE c.epoch >= coalesce(floor, -1)", EPOCHS))
 def compaction(spark, d):
     return replication.compact(fx.store(spark, d), _floors(spark, d, 2)).cells.select(*PAIR, "epoch", "source")
@@ -407,9 +481,12 @@ def pair_enumeration(spark, d):
     return p.selectExpr("a.case_id as case_a", "b.case_id as case_b", "a.vantage as vantage_a", "b.vantage as vantage_b")
 
 
-@query(f"WITH {OBSERVED}, {PAIRED}, s AS (SELECT {SUMMARY} FROM judged) SELECT *, round((predicted_same + predicted_different) / pairs, 9) AS coverage FROM s")
+@query(f"""WITH {OBSERVED}, {PAIRED}, s AS (SELECT {SUMMARY} FROM judged) SELECT *, round((predicted_same + predicted_different) / pairs, 9) AS coverage, round(coalesce((false_same + false_different) / nullif(predicted_same + predicted_different, 0), 0), 9) AS asserted_error_rate,
+ round(coalesce((predicted_same - false_same) / nullif(predicted_same, 0), 0), 9) AS same_precision, round(coalesce((predicted_same - false_same) / nullif(true_same, 0), 0), 9) AS same_recall,
+ round(coalesce((predicted_different - false_different) / nullif(predicted_different, 0), 0), 9) AS different_precision, round(coalesce((predicted_different - false_different) / nullif(true_different, 0), 0), 9) AS different_recall FROM s""")
 def pair_summary(spark, d):
-    return evaluation.summarize(evaluation.pair_decisions(_observed(spark, d))).select(*COUNTS, F.round("coverage", 9).alias("coverage"))
+    rates = ["coverage", "asserted_error_rate", "same_precision", "same_recall", "different_precision", "different_recall"]
+    return evaluation.summarize(evaluation.pair_decisions(_observed(spark, d))).select(*COUNTS, *[F.round(c, 9).alias(c) for c in rates])
 
 
 @query(f"WITH {OBSERVED}, {PAIRED}, f AS (SELECT DISTINCT target_id AS fold FROM obs) SELECT fold, {SUMMARY} FROM f JOIN judged ON target_a <> fold AND target_b <> fold GROUP BY fold")
@@ -435,12 +512,12 @@ def navigation_rollup(spark, d):
 # Metrics and rollups ------------------------------------------------------------------------------
 
 
-@query(with_partition("""SELECT m.p::BIGINT AS merged, t.p::BIGINT AS true_pairs, (m.p - r.p)::BIGINT AS false_merges, (t.p - r.p)::BIGINT AS false_splits FROM
+@query(with_partition("""SELECT m.p::BIGINT AS merged, t.p::BIGINT AS true_pairs, (m.p - r.p)::BIGINT AS false_merges, (t.p - r.p)::BIGINT AS false_splits, round((m.p - r.p) / m.p, 9) AS false_merge_rate, round((t.p - r.p) / t.p, 9) AS false_split_rate FROM
  (SELECT sum(n * (n - 1) // 2) AS p FROM (SELECT count(*) AS n FROM truth GROUP BY label)) m, (SELECT sum(n * (n - 1) // 2) AS p FROM (SELECT count(*) AS n FROM truth GROUP BY service)) t,
  (SELECT sum(n * (n - 1) // 2) AS p FROM (SELECT count(*) AS n FROM truth GROUP BY label, service)) r""", "truth AS (SELECT label, c_nationkey || c_mktsegment AS service FROM membership JOIN customer ON handle = 'c' || lpad(CAST(c_custkey AS VARCHAR), 7, '0'))"))
 def partition_metrics(spark, d):
     truth = fx.table(spark, d, "customer").select(fx.handle("c_custkey").alias("handle"), F.concat("c_nationkey", "c_mktsegment").alias("service"))
-    return evaluation.partition_metrics(_views(spark, d)[2], truth).select("merged", "true_pairs", "false_merges", "false_splits")
+    return evaluation.partition_metrics(_views(spark, d)[2], truth).select("merged", "true_pairs", "false_merges", "false_splits", *[F.round(c, 9).alias(c) for c in ("false_merge_rate", "false_split_rate")])
 
 
 @query("SELECT l_shipdate_month, l_returnflag, round(avg(l_quantity), 6) AS mean_quantity, max(l_quantity) AS most, bool_and(l_discount < 0.11) AS all_small FROM (SELECT *, month(l_shipdate) AS l_shipdate_month FROM lineitem) GROUP BY ALL")
@@ -466,6 +543,47 @@ def nested_median(spark, d):
     return one.groupBy("l_returnflag").agg(F.round(F.median("m"), 6).alias("middle"), F.min("m").alias("least"), F.max("m").alias("most"))
 
 
+@query("SELECT user_id, count(*) FILTER (event_type = 'error') AS error, count(*) FILTER (event_type = 'view') AS view FROM events GROUP BY user_id")
+def action_counts(spark, d):
+    return reports.action_counts(fx.table(spark, d, "events").withColumnRenamed("event_type", "action"), ("error", "view"), "user_id")
+
+
+@query("SELECT user_id % 50 AS run, event_type AS phase, sum(event_id + CASE WHEN event_id % 2 = 0 THEN 0 ELSE user_id END)::BIGINT AS total_ns FROM events GROUP BY ALL")
+def phase_totals(spark, d):
+    e = fx.table(spark, d, "events")
+    timed = e.select((F.col("user_id") % 50).alias("run"), F.col("event_type").alias("phase"), F.col("event_id").alias("rpc_ns"), F.expr("if(event_id % 2 = 0, null, user_id)").alias("checker_ns"))
+    return reports.phase_totals(timed, "run")
+
+
+@query("SELECT o_orderkey, o_custkey FROM orders ORDER BY o_orderkey LIMIT 250")
+def head_queries(spark, d):
+    return reports.head(fx.table(spark, d, "orders").select("o_orderkey", "o_custkey"), "o_orderkey", 250)
+
+
+@query("SELECT o_custkey, o_orderstatus, min(o_orderkey) AS o_orderkey FROM orders GROUP BY ALL")
+def ordered_distinct(spark, d):
+    return reports.ordered_distinct(fx.table(spark, d, "orders"), ["o_custkey", "o_orderstatus"], "o_orderkey")
+
+
+@query("""SELECT l_returnflag, count(*) AS cases, round(avg(l_discount), 9) AS mean, sum(l_linenumber)::BIGINT AS total, median(l_quantity) AS middle, min(l_quantity) AS least, max(l_quantity) AS most, bool_and(l_tax < 0.08) AS all_low,
+ (SELECT string_agg(l_linestatus || ':' || m, ',' ORDER BY l_linestatus) FROM (SELECT l_linestatus, round(avg(l_discount) * 1000000)::BIGINT AS m FROM lineitem i WHERE i.l_returnflag = lineitem.l_returnflag GROUP BY l_linestatus)) AS by_layout
+ FROM lineitem GROUP BY l_returnflag""")
+def equal_work(spark, d):
+    rows = fx.table(spark, d, "lineitem")
+    found = reports.equal_work(rows, "l_returnflag", "l_linestatus", "l_discount", ["l_linenumber"], ["l_quantity"], {"all_low": F.col("l_tax") < 0.08})
+    layouts = F.array_join(F.transform("by_layout", lambda x: F.concat_ws(":", x["layout"], F.round(x["mean"] * 1000000).cast("bigint"))), ",")
+    return found.select("l_returnflag", "cases", F.round("l_discount_mean", 9).alias("mean"), F.col("l_linenumber_total").alias("total"), F.col("l_quantity_median").alias("middle"), F.col("l_quantity_min").alias("least"), F.col("l_quantity_max").alias("most"), "all_low", layouts.alias("by_layout"))
+
+
+@query("""WITH c AS (SELECT l_returnflag, l_suppkey, median(l_quantity) FILTER (l_linenumber % 3 = 0) AS k0, median(l_quantity) FILTER (l_linenumber % 3 = 1) AS k1, median(l_quantity) FILTER (l_linenumber % 3 = 2) AS k2 FROM lineitem GROUP BY ALL)
+SELECT l_returnflag, count(*) AS cases, median(k0) AS k0_median, median(k1) AS k1_median, median(k2) AS k2_median, round(median(k0 / k1), 9) AS k0_over_k1_median, round(min(k0 / k1), 9) AS k0_over_k1_min, round(max(k0 / k1), 9) AS k0_over_k1_max,
+ round(median(k2 / k1), 9) AS k2_over_k1_median, round(min(k2 / k1), 9) AS k2_over_k1_min, round(max(k2 / k1), 9) AS k2_over_k1_max FROM c GROUP BY l_returnflag""")
+def implementation_medians(spark, d):
+    rows = fx.table(spark, d, "lineitem").withColumn("kind", F.concat(F.lit("k"), F.col("l_linenumber") % 3))
+    found = reports.implementation_medians(rows, ["l_suppkey"], "l_returnflag", "kind", ["k0", "k1", "k2"], "l_quantity", "k1")
+    return found.select(*[F.round(c, 9).alias(c) if "_over_" in c else c for c in found.columns])
+
+
 P95 = "SELECT event_type, round(value, 6) AS value FROM (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value) - 1 AS i, count(*) OVER (PARTITION BY event_type) AS n FROM events) WHERE i = {}"
 
 
@@ -498,6 +616,18 @@ def topology_responsiveness(spark, d):
     return sums.withColumn("mean", scalars.fraction(F.col("peer"), F.col("partitions") * 25))
 
 
+@query("""WITH RECURSIVE rgs(s) AS (SELECT [0] UNION ALL SELECT list_append(s, k) FROM rgs, range(5) t(k) WHERE len(s) < 5 AND k <= list_max(s) + 1),
+p AS (SELECT s, list_max(s) + 1 AS blocks FROM rgs WHERE len(s) = 5 AND list_max(s) > 0),
+r AS (SELECT blocks, len(list_filter(s, lambda x: x = s[c + 1])) AS central, len(list_filter(s, lambda x: (s[i + 1] = x)::INT + (s[j + 1] = x)::INT + (s[k + 1] = x)::INT >= 2)) AS quorum
+  FROM p, range(5) a(c), range(5) x(i), range(5) y(j), range(5) z(k) WHERE i < j AND j < k)
+SELECT blocks::BIGINT AS components, count(*) AS placements, (sum(central) // gcd(sum(central)::BIGINT, 5 * count(*)))::BIGINT || '/' || (5 * count(*) // gcd(sum(central)::BIGINT, 5 * count(*)))::BIGINT AS central_mean,
+ (sum(quorum) // gcd(sum(quorum)::BIGINT, 5 * count(*)))::BIGINT || '/' || (5 * count(*) // gcd(sum(quorum)::BIGINT, 5 * count(*)))::BIGINT AS quorum_mean,
+ count(*) FILTER (central > quorum) AS central_gt_quorum, count(*) FILTER (quorum > central) AS quorum_gt_central, count(*) FILTER (central = quorum) AS equal FROM r GROUP BY blocks""")
+def topology_placements(spark, d):
+    """Sites that a central one and a quorum of three can serve, over all partitions and placements."""
+    return evaluation.placements(generators.set_partitions(spark, 5).where(F.array_max("rgs") > 0), 5)
+
+
 @query(sql("SELECT h_left, h_right, epoch, bool_or(same >= 2 AND no = 0) AS unsealed, bool_or(same >= 2 AND no = 0 AND i = n - 1) AS sealed FROM (SELECT h_left, h_right, epoch, s AS i, max(s) OVER w + 1 AS n, sum((vote = 'same')::INT) OVER (w ORDER BY s) AS same, max((vote = 'different')::INT) OVER (w ORDER BY s) AS no FROM cells WINDOW w AS (PARTITION BY h_left, h_right, epoch)) GROUP BY ALL"))
 def transient_merge(spark, d):
     c = fx.cells(spark, d).groupBy(*PAIR, "epoch", "s", "vote").count()
@@ -516,6 +646,15 @@ def certificate_keys(spark, d):
     return found.select("q_left", "q_right", "epoch", F.array_join("cells.source", ",").alias("sources"))
 
 
+@query(sql("""SELECT h_left, h_right, CASE WHEN strlen(f) <= 150 THEN 'full' WHEN strlen(c) <= 150 THEN 'compact' ELSE 'rejected' END AS form, CASE WHEN strlen(f) <= 150 THEN strlen(f) WHEN strlen(c) <= 150 THEN strlen(c) ELSE 0 END AS bytes
+ FROM (SELECT h_left, h_right, '{"cells":"' || string_agg(source || '=' || vote, ';' ORDER BY epoch, source) || '"}' AS f, '{"cells":"' || string_agg(source, ';' ORDER BY epoch, source) || '"}' AS c FROM cells WHERE (l + s) % 3 <> 0 OR l % 2 = 0 GROUP BY ALL)"""))
+def bounded_responses(spark, d):
+    rows = fx.cells(spark, d).where("(l + s) % 3 <> 0 or l % 2 = 0").groupBy(*PAIR).agg(F.array_sort(F.collect_list(F.struct("epoch", "source", "vote"))).alias("c"))
+    said = lambda f: rows.select(*PAIR, F.array_join(F.transform("c", f), ";").alias("cells"))
+    found = reports.bounded_response(said(lambda c: F.concat_ws("=", c["source"], c["vote"])), said(lambda c: c["source"]), PAIR, 150)
+    return found.select(*PAIR, "form", "bytes")
+
+
 @query(with_decisions("SELECT count(*) FILTER (vote = 'same') AS same, count(*) FILTER (vote = 'different') AS different, count(*) FILTER (vote = 'unknown') AS unavailable FROM decisions"))
 def answer_kinds(spark, d):
     return reports.answer_kinds(_decided(spark, d).withColumnRenamed("vote", "kind"), ("same", "different"))
