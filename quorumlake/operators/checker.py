@@ -1,13 +1,19 @@
 """Checks certificates against a store, with plans of its own: it imports no decision, partition or
-certificate code. Decisions are ranked by window functions; components are taken from the store's
-SAME relations that a given membership accepts, and the membership itself is checked."""
+certificate code. Decisions are ranked by window functions, the partition is rebuilt from them, and
+an ambiguous certificate is refused if any plan is better than the one it states."""
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quorumlake.operators.components import connected_components
 from quorumlake.schema import DIFFERENT, PAIR, SAME, UNKNOWN, Evidence
+from quorumlake.session import staged
+
+#: Relations of a conflicted component that one task rebuilds; the checker refuses larger ones.
+MOST_RELATIONS = 2_000_000
 
 
 def recomputed(store: Evidence) -> DataFrame:
@@ -22,27 +28,53 @@ def recomputed(store: Evidence) -> DataFrame:
     return votes.select(*PAIR, "epoch", vote.alias("vote"))
 
 
+def rebuilt(store: Evidence, own: DataFrame) -> DataFrame:
+    """(handle, label): the partition, from own(h_left, h_right, vote). Groups of handles are kept as
+    sets; a positive joins two of them unless a negative has an end in either."""
+    same = own.where(F.col("vote") == SAME).select(*PAIR)
+    whole = staged(connected_components(same, *PAIR).toDF("handle", "root"), "roots")
+    root = lambda df, c, to: df.join(whole.toDF(c, to), c)
+    inner = root(root(own.where(F.col("vote").isin(SAME, DIFFERENT)), "h_left", "root"), "h_right", "other").where("root = other").select("root", *PAIR, "vote")
+    inner = staged(inner, "inner")
+    torn = inner.groupBy("root").agg(F.count_if(F.col("vote") == DIFFERENT).alias("k"), F.count("*").alias("n")).where("k > 0")
+    torn = staged(torn.select("root", F.when(F.col("n") <= MOST_RELATIONS, F.col("n")).otherwise(F.raise_error(F.lit("a component is too large to be checked")).cast("bigint")).alias("n")), "torn")
+
+    def run(part: pd.DataFrame) -> pd.DataFrame:
+        group = {h: {h} for h in {*part["h_left"], *part["h_right"]}}
+        foes: dict[str, set[str]] = {h: set() for h in group}
+        for a, b in part.loc[part["vote"] == DIFFERENT, PAIR].itertuples(index=False):
+            foes[a].add(b)
+            foes[b].add(a)
+        for a, b in sorted(part.loc[part["vote"] == SAME, PAIR].itertuples(index=False, name=None)):
+            x, y = sorted((group[a], group[b]), key=len)
+            if x is not y and not any(foes[h] & y for h in x):
+                y |= x
+                group.update(dict.fromkeys(x, y))
+        return pd.DataFrame([(h, min(g)) for h, g in group.items()], columns=["handle", "label"])
+
+    split = inner.join(torn.where("n is not null").select("root"), "root", "left_semi").groupBy("root").applyInPandas(run, "handle string, label string")
+    sound = whole.join(torn, "root", "left_anti").select("handle", F.col("root").alias("label"))
+    known = store.handles.select("handle").distinct()
+    return known.join(sound.unionByName(split), "handle", "full").select("handle", F.coalesce("label", "handle").alias("label"))
+
+
 def membership_violations(store: Evidence, membership: DataFrame) -> DataFrame:
-    """(h_left, h_right, rule): relations that a membership contradicts: a negative inside a
-    component, or a positive between two components that no negative separates."""
-    own = recomputed(store)
-    ends = own.join(membership.select(F.col("handle").alias("h_left"), F.col("label").alias("x")), "h_left").join(membership.select(F.col("handle").alias("h_right"), F.col("label").alias("y")), "h_right")
-    inside = ends.where((F.col("vote") == DIFFERENT) & (F.col("x") == F.col("y"))).select(*PAIR, F.lit("negative inside a component").alias("rule"))
-    side = lambda df: df.withColumn("a", F.least("x", "y")).withColumn("b", F.greatest("x", "y"))
-    split = side(ends.where(F.col("vote") == DIFFERENT)).select("a", "b").distinct()
-    open_ = side(ends.where((F.col("vote") == SAME) & (F.col("x") != F.col("y")))).join(split, ["a", "b"], "left_anti")
-    return inside.unionByName(open_.select(*PAIR, F.lit("positive left open").alias("rule")))
-
-
-def check(store: Evidence, membership: DataFrame, certificates: DataFrame) -> DataFrame:
+    """(handle, label, rebuilt): handles whose label is not the one that the store's cells give."""
+    own = rebuilt(store, recomputed(store)).withColumnRenamed("label", "rebuilt")
+    return membership.select("handle", "label").join(own, "handle", "full").where("label is null or rebuilt is null or label <> rebuilt")
+
+
+def check(store: Evidence, certificates: DataFrame) -> DataFrame:
     """(q_left, q_right, kind, ok): whether each certificate proves its answer.
 
     same: the path runs from end to end over SAME relations inside one component. different: the
     cell is a DIFFERENT vote of the speaking epoch, between the two components. ambiguous: the pairs
-    are UNKNOWN or absent, chain the components of the path, cost the stated gap, and no two
-    components of the path are separated.
+    are UNKNOWN or absent, chain the components of the path, cost the stated gap, no two components
+    of the path are separated, and no plan is better: cheaper, of fewer relations, or smaller.
+    Components are rebuilt from the store.
     """
-    own, q = recomputed(store), ["q_left", "q_right"]
+    own, q = staged(recomputed(store), "recomputed"), ["q_left", "q_right"]
+    membership = staged(rebuilt(store, own), "rebuilt")
     label = lambda name, to: membership.select(F.col("handle").alias(name), F.col("label").alias(to))
     ends = certificates.join(label("q_left", "x"), "q_left").join(label("q_right", "y"), "q_right")
     hops = ends.where("kind = 'same'").select(*q, "x", "y", F.expr("same.path").alias("path"))
@@ -59,25 +91,59 @@ def check(store: Evidence, membership: DataFrame, certificates: DataFrame) -> Da
     return certificates.select(*q, "kind").join(same.unionByName(different).unionByName(_ambiguous(store, membership, ends, own)), q, "left").select(*q, "kind", F.coalesce("ok", F.lit(False)).alias("ok"))
 
 
+def _costs(store: Evidence, own: DataFrame) -> DataFrame:
+    """(h_left, h_right, cost): source positions that a relation which is not decided still takes."""
+    votes = store.cells.groupBy(*PAIR, "epoch").agg(*[F.count_if(F.col("vote") == v).alias(f"n_{v}") for v in (SAME, DIFFERENT, UNKNOWN)])
+    missing = len(store.sources) - F.col("n_same") - F.col("n_different") - F.col("n_unknown")
+    cost = missing + F.col("n_different") + F.greatest(F.lit(0), store.threshold - F.col("n_same") - missing - F.col("n_different"))
+    return own.where(F.col("vote") == UNKNOWN).join(votes, [*PAIR, "epoch"]).select(*PAIR, cost.cast("int").alias("cost"))
+
+
+def better_plans(asked: DataFrame, membership: DataFrame, split: DataFrame, costs: DataFrame, n_sources: int) -> DataFrame:
+    """(q_left, q_right): queries of asked(q_left, q_right, x, y, stated) that have a better plan than
+    the stated (cost, n, pairs, path).
+
+    All simple paths are tried, relation by relation, that cost no more than the stated plan; as each
+    relation costs one at least, there are no more rounds than the dearest plan costs.
+    """
+    q = ["q_left", "q_right"]
+    label = lambda name, to: membership.select(F.col("handle").alias(name), F.col("label").alias(to))
+    apart = split.unionByName(split.select(F.col("d").alias("c"), F.col("c").alias("d"))).groupBy("c").agg(F.collect_set("d").alias("foes"))
+    crossing = costs.join(label("h_left", "u"), "h_left").join(label("h_right", "v"), "h_right").where("u <> v")
+    pair = F.struct(*PAIR).alias("pair")
+    arcs = crossing.select(F.col("u").alias("at"), F.col("v").alias("to"), "cost", pair).unionByName(crossing.select(F.col("v").alias("at"), F.col("u").alias("to"), "cost", pair))
+    arcs = staged(arcs.join(apart.withColumnRenamed("c", "to"), "to", "left").withColumn("foes", F.coalesce("foes", F.expr("cast(array() as array<string>)"))), "arcs")
+    own = F.struct(F.least(*q).alias("h_left"), F.greatest(*q).alias("h_right"))
+    direct = asked.withColumn("own", own).join(costs.select(pair, F.lit(True).alias("known")), F.col("own") == F.col("pair"), "left").where("known is null")
+    plan = lambda cost, pairs, path: F.struct(cost.alias("cost"), F.size(pairs).alias("n"), pairs.alias("pairs"), path.alias("path"))
+    found = direct.where(plan(F.lit(n_sources), F.array("own"), F.array("x", "y")) < F.col("stated")).select(*q)
+    none = F.expr("cast(array() as array<struct<h_left:string,h_right:string>>)")
+    front = staged(asked.select(*q, "y", "stated", F.col("x").alias("at"), F.array("x").alias("path"), F.lit(0).alias("spent"), none.alias("pairs")), "front")
+    while not front.isEmpty():
+        grown = front.join(arcs, "at").where((F.col("spent") + F.col("cost") <= F.col("stated.cost")) & ~F.array_contains("path", F.col("to")) & ~F.arrays_overlap("path", "foes"))
+        grown = staged(grown.select(*q, "y", "stated", F.col("to").alias("at"), F.concat("path", F.array("to")).alias("path"), (F.col("spent") + F.col("cost")).alias("spent"), F.concat("pairs", F.array("pair")).alias("pairs")), "grown")
+        found = found.unionByName(grown.where("at = y").where(plan(F.col("spent"), F.col("pairs"), F.col("path")) < F.col("stated")).select(*q))
+        front = grown.where((F.col("at") != F.col("y")) & (F.col("spent") < F.col("stated.cost")))
+    return found.distinct()
+
+
 def _ambiguous(store: Evidence, membership: DataFrame, ends: DataFrame, own: DataFrame) -> DataFrame:
     q = ["q_left", "q_right"]
     rows = ends.where("kind = 'ambiguous'").select(*q, "x", "y", "ambiguous.*")
     steps = rows.select(*q, "component_path", F.posexplode("pairs").alias("i", "p")).select(*q, "i", "component_path", "p.*")
     label = lambda name, to: membership.select(F.col("handle").alias(name), F.col("label").alias(to))
-    steps = steps.join(own, PAIR, "left").join(label("h_left", "u"), "h_left").join(label("h_right", "v"), "h_right")
-    votes = store.cells.groupBy(*PAIR, "epoch").agg(*[F.count_if(F.col("vote") == v).alias(f"n_{v}") for v in (SAME, DIFFERENT, UNKNOWN)])
-    steps = steps.join(votes, [*PAIR, "epoch"], "left")
-    n, threshold = len(store.sources), store.threshold
-    missing = n - F.col("n_same") - F.col("n_different") - F.col("n_unknown")
-    cost = missing + F.col("n_different") + F.greatest(F.lit(0), threshold - F.col("n_same") - missing - F.col("n_different"))
+    costs = staged(_costs(store, own), "costs")
+    steps = steps.join(own.select(*PAIR, "vote"), PAIR, "left").join(costs, PAIR, "left").join(label("h_left", "u"), "h_left").join(label("h_right", "v"), "h_right")
     a, b = F.get("component_path", F.col("i")), F.get("component_path", F.col("i") + 1)
     chained = ((F.col("u") == a) & (F.col("v") == b)) | ((F.col("u") == b) & (F.col("v") == a))
     fit = F.coalesce(F.col("vote"), F.lit(UNKNOWN)) == UNKNOWN
-    sums = steps.groupBy(*q).agg(F.sum(F.coalesce(cost, F.lit(n))).alias("cost"), F.bool_and(F.coalesce(chained & fit, F.lit(False))).alias("sound"))
+    sums = steps.groupBy(*q).agg(F.sum(F.coalesce("cost", F.lit(len(store.sources)))).alias("cost"), F.bool_and(F.coalesce(chained & fit, F.lit(False))).alias("sound"))
     both = rows.select(*q, F.explode("component_path").alias("c"), "component_path").select(*q, "c", F.explode("component_path").alias("d")).where("c < d")
     crossing = own.where(F.col("vote") == DIFFERENT).join(label("h_left", "c"), "h_left").join(label("h_right", "d"), "h_right")
-    split = crossing.select(F.least("c", "d").alias("c"), F.greatest("c", "d").alias("d")).distinct()
-    bad = both.join(split, ["c", "d"], "left_semi").select(*q).distinct().withColumn("bad", F.lit(True))
-    done = rows.join(sums, q).join(bad, q, "left")
+    split = staged(crossing.select(F.least("c", "d").alias("c"), F.greatest("c", "d").alias("d")).distinct(), "split")
+    bad = both.join(split, ["c", "d"], "left_semi").select(*q)
+    stated = F.struct(F.col("gap").cast("int").alias("cost"), F.col("edge_count").cast("int").alias("n"), "pairs", F.col("component_path").alias("path"))
+    bad = bad.unionByName(better_plans(rows.select(*q, "x", "y", stated.alias("stated")), membership, split, costs, len(store.sources)))
+    done = rows.join(sums, q).join(bad.distinct().withColumn("bad", F.lit(True)), q, "left")
     ends_fit = (F.element_at("component_path", 1) == F.col("x")) & (F.element_at("component_path", -1) == F.col("y"))
     return done.select(*q, (F.col("sound") & (F.col("cost") == F.col("gap")) & (F.size("pairs") == F.col("edge_count")) & F.col("bad").isNull() & ends_fit).alias("ok"))

@@ -18,7 +18,7 @@ from quorumlake.operators.components import connected_components
 from quorumlake.operators.decisions import decisions
 from quorumlake.operators.ranks import ranked
 from quorumlake.schema import DIFFERENT, PAIR, SAME, UNKNOWN, Evidence
-from quorumlake.session import staged
+from quorumlake.session import discard, staged
 
 FOLD_EDGES = 200_000
 LABEL = "handle string, label string"
@@ -63,26 +63,42 @@ def _folded(same: DataFrame, vetoes: DataFrame) -> DataFrame:
     return rows.groupBy("cc").applyInPandas(run, LABEL)
 
 
-def _contracted(same: DataFrame, vetoes: DataFrame) -> DataFrame:
-    """(handle, label) of large components, in rounds of joins on staged tables."""
-    order = F.min(F.struct(F.col("h_left").alias("p"), F.col("h_right").alias("q"))).alias("first")
+def _contracted(same: DataFrame, vetoes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(handle, label) of large components and (first), the edges that joined them, in rounds of
+    joins on staged tables.
+
+    same(h_left, h_right, first): `first` is an edge's place in the order. vetoes(h_left, h_right,
+    since): a veto holds from a place on, null for ever. An edge that is the first open one of both
+    its ends meets exactly the components of its place; it is refused if a veto between them is
+    older. Of parallel edges and vetoes the first ones count: what a veto keeps apart at its place,
+    no later edge joins.
+    """
     ends = same.select(*PAIR)
     labels = staged(ends.select(F.explode(F.array(*PAIR)).alias("handle")).distinct().withColumn("label", F.col("handle")), "labels")
     side = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
-    edges = staged(ends.groupBy(*side("h_left", "h_right")).agg(order), "edges")
-    against = staged(vetoes.select(*side("h_left", "h_right")).distinct(), "against")
+    edges = staged(same.groupBy(*side("h_left", "h_right")).agg(F.min("first").alias("first")), "edges")
+    earliest = F.when(F.count("since") == F.count("*"), F.min("since")).alias("since")  # null if any is
+    against = staged(vetoes.groupBy(*side("h_left", "h_right")).agg(earliest), "against")
+    joins = None
     while True:
-        edges = staged(edges.join(against, ["a", "b"], "left_anti"), "edges")  # vetoed for good
+        held = edges.join(against, ["a", "b"], "left").join(against.select("a", "b", F.lit(True).alias("any")), ["a", "b"], "left")
+        refused = F.col("any").isNotNull() & (F.col("since").isNull() | (F.col("since") < F.col("first")))
+        open_ = staged(held.where(~refused).select("a", "b", "first"), "edges")
+        discard(edges)
+        edges = open_
         if edges.isEmpty():
-            return labels
+            return labels.select("handle", "label"), joins if joins is not None else edges.select("first")
         both = edges.select(F.explode(F.array("a", "b")).alias("c"), "first").groupBy("c").agg(F.min("first").alias("least"))
-        ready = edges.join(both.toDF("a", "la"), "a").join(both.toDF("b", "lb"), "b").where("first = la and first = lb").select(F.col("b").alias("old"), F.col("a").alias("new"))
+        ready = edges.join(both.toDF("a", "la"), "a").join(both.toDF("b", "lb"), "b").where("first = la and first = lb").select(F.col("b").alias("old"), F.col("a").alias("new"), "first")
         moves = staged(ready, "moves")  # a component is in one ready edge at most
-        to = lambda df, c: df.join(moves.toDF(c, "__to"), c, "left").withColumn(c, F.coalesce("__to", c)).drop("__to")
+        joins = moves.select("first") if joins is None else joins.unionByName(moves.select("first"))
+        to = lambda df, c: df.join(moves.select(F.col("old").alias(c), F.col("new").alias("__to")), c, "left").withColumn(c, F.coalesce("__to", c)).drop("__to")
         relabel = lambda df: to(to(df, "a"), "b").where("a <> b").withColumns({"a": F.least("a", "b"), "b": F.greatest("a", "b")})
+        last = labels, edges, against
         labels = staged(to(labels, "label"), "labels")
-        edges = relabel(edges).groupBy("a", "b").agg(F.min("first").alias("first"))
-        against = staged(relabel(against).distinct(), "against")
+        edges = staged(relabel(edges).groupBy("a", "b").agg(F.min("first").alias("first")), "edges")
+        against = staged(relabel(against).groupBy("a", "b").agg(earliest), "against")
+        discard(*last)
 
 
 def partition(handles: DataFrame, decided: DataFrame, component_veto: bool = True, fold_edges: int = FOLD_EDGES) -> DataFrame:
@@ -103,7 +119,9 @@ def partition(handles: DataFrame, decided: DataFrame, component_veto: bool = Tru
         edges = at(same)
         labels = _folded(pick(edges, small), pick(inside, small))
         if not large.isEmpty():
-            labels = labels.unionByName(_contracted(pick(edges, large), pick(inside, large)))
+            order = F.struct(F.col("h_left").alias("p"), F.col("h_right").alias("q"))
+            never = F.lit(None).cast("struct<p:string,q:string>").alias("since")
+            labels = labels.unionByName(_contracted(pick(edges, large).select(*PAIR, order.alias("first")), pick(inside, large).select(*PAIR, never))[0])
         clean = cc.join(sizes, "cc", "left_anti").select(F.col("node").alias("handle"), F.col("cc").alias("label"))
         whole = clean.unionByName(labels)
     known = handles.select("handle").distinct()
@@ -169,18 +187,21 @@ def priority_preserving(handles: DataFrame, decided: DataFrame) -> tuple[DataFra
     return membership, status.select(*PAIR, named.alias("status")).unionByName(unknown)
 
 
-def mutex_watershed(handles: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+def mutex_watershed(handles: DataFrame, edges: DataFrame, fold_edges: int = FOLD_EDGES) -> tuple[DataFrame, DataFrame]:
     """(handle, label) and (h_left, h_right, vote, status) of the weighted mutex watershed.
 
     edges(h_left, h_right, vote, weight >= 0). Order: weight descending, negatives first, then the
     pair. A negative between components becomes a mutex, one inside is ignored; a positive under a
     mutex is rejected, one inside is redundant, others join. Statuses: active, ignored, rejected,
     redundant, forest. Joins stay within components of the positive graph; a negative between those
-    is active without any fold.
+    is active without any fold. A component of up to fold_edges edges is folded in one task, a larger
+    one contracted in rounds, where a negative is a veto from its place on.
     """
     cc = staged(connected_components(edges.where(F.col("vote") == SAME), *PAIR).withColumnRenamed("component", "cc"), "cc")
     ended = edges.join(cc.toDF("h_left", "cc"), "h_left", "left").join(cc.toDF("h_right", "cc2"), "h_right", "left")
     inner = F.coalesce(F.col("cc") == F.col("cc2"), F.lit(False))
+    within = staged(ended.where(inner).select("cc", *PAIR, "vote", "weight"), "within")
+    large = staged(within.groupBy("cc").agg(F.count("*").alias("n")).where(F.col("n") > fold_edges).select("cc"), "large")
     outside = ended.where(~inner).select(*PAIR, "vote", F.lit("active").alias("status"))
 
     def run(part: pd.DataFrame) -> pd.DataFrame:
@@ -216,7 +237,18 @@ def mutex_watershed(handles: DataFrame, edges: DataFrame) -> tuple[DataFrame, Da
         return pd.concat([rows, named], ignore_index=True)
 
     schema = "h_left string, h_right string, vote string, status string, handle string, label string"
-    done = staged(ended.where(inner).select("cc", *PAIR, "vote", "weight").groupBy("cc").applyInPandas(run, schema), "watershed")
+    done = staged(within.join(large, "cc", "left_anti").groupBy("cc").applyInPandas(run, schema), "watershed")
     labels = done.where("handle is not null").select("handle", "label")
+    status = done.where("handle is null").select(*PAIR, "vote", "status").unionByName(outside)
+    if not large.isEmpty():
+        place = F.struct((-F.col("weight")).alias("w"), (F.col("vote") == SAME).cast("int").alias("s"), F.col("h_left").alias("p"), F.col("h_right").alias("q"))
+        rest = within.join(large, "cc", "left_semi").withColumn("first", place)
+        more, joins = _contracted(rest.where(F.col("vote") == SAME).select(*PAIR, "first"), rest.where(F.col("vote") == DIFFERENT).select(*PAIR, F.col("first").alias("since")))
+        labels = labels.unionByName(more)
+        # a negative inside a component was inside it at its own place: before, it would have kept its ends apart
+        told = with_ends(rest, more).join(joins.withColumn("joined", F.lit(True)), "first", "left")
+        one = F.col("l_label") == F.col("r_label")
+        named = F.when(F.col("vote") == DIFFERENT, F.when(one, "ignored").otherwise("active")).when(F.col("joined"), "forest").when(one, "redundant").otherwise("rejected")
+        status = status.unionByName(told.select(*PAIR, "vote", named.alias("status")))
     membership = handles.select("handle").distinct().join(labels, "handle", "left").select("handle", F.coalesce("label", "handle").alias("label"))
-    return membership, done.where("handle is null").select(*PAIR, "vote", "status").unionByName(outside)
+    return membership, status

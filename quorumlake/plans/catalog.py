@@ -332,12 +332,22 @@ def cert_ambiguous(spark, d):
     return certificates.plans(asked, views).select("q_left", "q_right", "gap", "edge_count", F.array_join("component_path", ">").alias("component_path"), pairs.alias("pairs"))
 
 
-@query(sql("SELECT DISTINCT 'c' || lpad(CAST(l AS VARCHAR), 7, '0') AS q_left, 'c' || lpad(CAST(r AS VARCHAR), 7, '0') AS q_right, true AS ok FROM near"))
+@query(with_partition("SELECT q_left, q_right, kind, kind <> 'ambiguous' OR (least(ascii(right(q_left, 1)), ascii(right(q_right, 1))) - 48) % 3 <> 0 AS ok FROM kinds", ENDED, SEPARATORS, ASKED))
 def certificate_check(spark, d):
-    """Every certificate of the query list passes the independent checker."""
-    store, _, m = _views(spark, d)
-    made = staged(certificates.certificates(fx.queries_of(spark, d), store), "certificates")
-    return checker.check(store, m, made).select("q_left", "q_right", "ok")
+    """What the independent checker says to every certificate; of the ambiguous ones a third is
+    forged: the gap is one more than the plan costs."""
+    store = fx.store(spark, d)
+    made = certificates.certificates(fx.queries_of(spark, d), store)
+    digit = F.least(*[F.substring(c, -1, 1).cast("int") for c in ("q_left", "q_right")])
+    forged = F.when((F.col("kind") == "ambiguous") & (digit % 3 == 0), F.col("ambiguous").withField("gap", F.col("ambiguous.gap") + 1)).otherwise(F.col("ambiguous"))
+    return checker.check(store, staged(made.withColumn("ambiguous", forged), "certificates")).select("q_left", "q_right", "kind", "ok")
+
+
+@query(with_partition("SELECT handle, label FROM membership"))
+def checker_partition(spark, d):
+    """The partition as the checker rebuilds it."""
+    store = fx.store(spark, d)
+    return checker.rebuilt(store, staged(checker.recomputed(store), "recomputed"))
 
 
 @query(with_partition("""SELECT q_left, q_right, 5 * count(*) AS n_cells, max(coalesce(top, -1) + 1) AS last_epoch, 'same' AS kind
