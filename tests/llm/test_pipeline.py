@@ -2,7 +2,10 @@
 
 import os
 import random
+import zlib
+from collections import Counter
 
+import numpy as np
 import pytest
 
 import corpus_pipeline as P
@@ -99,3 +102,104 @@ def test_stages(spark):
         before = out
     assert before.groupBy("sequence_id").sum("length").where("`sum(length)` > 4096").count() == 0
     assert P.STAGES[0][0] == "toxicity" and len(P.STAGES) == 5
+
+
+def removed_words(rows, n=13):
+    """(doc_id, words left): words under windows that start in a smaller doc_id go."""
+    start = {}
+    for i, text in rows:
+        w = text.split()
+        for k in range(len(w) - n + 1):
+            start[tuple(w[k : k + n])] = min(i, start.get(tuple(w[k : k + n]), i))
+    for i, text in rows:
+        w, gone = text.split(), set()
+        for k in range(len(w) - n + 1):
+            if start[tuple(w[k : k + n])] < i:
+                gone |= set(range(k, k + n))
+        yield i, [x for k, x in enumerate(w) if k not in gone], bool(gone)
+
+
+def test_the_pipeline_against_brute_force(spark, tmp_path):
+    """Every stage on what the one before kept, against a plain reading of its rule."""
+    from tokenizers import Tokenizer
+
+    from quorumlake.llm.queries import TOKENIZER
+
+    rng = random.Random(7)
+    base = [prose(rng, rng.randrange(100, 240)) for _ in range(70)]
+    shared = prose(rng, 60)
+    texts = {i: w for i, w in enumerate(base)}
+    for i in range(20, 26):
+        texts[i] = base[i][:50] + shared + base[i][50:]
+    texts |= {100 + i: list(base[i]) for i in range(6)}
+    texts |= {200 + i: ["typo", *base[i][1:]] for i in range(6, 14)}
+    insults = ["zorkel", "blargen", "quibbon"]
+    toxic = range(300, 340)
+    for i in toxic:
+        w = prose(rng, 120)
+        for k in range(6):
+            w.insert(rng.randrange(len(w)), rng.choice(["you", "vile", "great", "old", "dim"]) + " " + rng.choice(insults))
+        texts[i] = w
+    rows = [(i, " ".join(w), "en", f"s{i % 3}", len(" ".join(w))) for i, w in texts.items()]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, 1, int(i in toxic)) for i in texts], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for name, stage in P.STAGES:
+        given = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()]
+        out = P.staged(stage(spark, docs, str(tmp_path)))
+        if name == "toxicity":
+            assert {r.doc_id for r in out.collect()} == set(texts) - set(toxic)
+        elif name == "near copies":
+            group = {i: i for i, _ in given}
+            for (i, a), (j, b) in ((x, y) for x in given for y in given if x[0] < y[0]):
+                if jaccard(a.split(), b.split()) >= 0.8:
+                    group = {k: min(group[i], group[j]) if g in (group[i], group[j]) else g for k, g in group.items()}
+            assert {r.doc_id for r in out.collect()} == set(group.values())
+        elif name == "substrings":
+            want = {i: " ".join(left) if cut else dict(given)[i] for i, left, cut in removed_words(given) if left}
+            assert {r.doc_id: r.text for r in out.collect()} == want
+        elif name == "mixing":
+            size, took = Counter(), Counter()
+            source = {r.doc_id: r.source for r in docs.collect()}
+            for i, text in given:
+                size[source[i]] += len(text.split())
+            held = {i: Counter(text.split()) for i, text in given}
+            for r in out.collect():
+                took[source[r.doc_id]] += len(r.text.split())
+                assert not Counter(r.text.split()) - held[r.doc_id] and r.n_chars == len(r.text)
+            weight = {f"s{k}": w for k, w in enumerate((3, 1, 2))}
+            want, open_, left = {}, set(size), 1.5 * sum(size.values())
+            while open_:
+                level = left / sum(weight[s] for s in open_)
+                over = {s for s in open_ if 2 * size[s] < level * weight[s]}
+                want |= {s: 2.0 * size[s] if over else level * weight[s] for s in over or open_}
+                left -= sum(2.0 * size[s] for s in over)
+                open_ = open_ - over if over else set()
+            assert all(abs(took[s] - want[s]) <= 0.03 * want[s] for s in size)
+        else:
+            tok, want = Tokenizer.from_file(TOKENIZER), Counter()
+            for i, text in given:
+                ids = np.array(tok.encode(text, add_special_tokens=False).ids + [2], "<u4")
+                want.update((i, a, len(ids[a : a + 4096]), zlib.crc32(ids[a : a + 4096].tobytes())) for a in range(0, len(ids), 4096))
+            assert Counter((r.doc_id, r.start, r.length, r.ids_crc32) for r in out.collect()) == want
+        docs = out
+
+
+def test_stages_on_awkward_rows(spark):
+    """Nulls, empty texts, repeated rows and ids, columns named as those of the operators."""
+    long = " ".join(f"word{i} and more" for i in range(40))
+    rows = [(1, long), (2, long), (2, long), (3, None), (4, ""), (5, " \t\n"), (None, "one nameless text"), (None, "another nameless text"), (6, "two words"), (7, "x " * 3000)]
+    docs = spark.createDataFrame([(*r, "en" if r[0] else None, None if r[0] == 6 else "s", 1, 0.5, 9, True, "n") for r in rows], "doc_id long, text string, lang string, source string, n_chars long, score double, size int, kept boolean, name string")
+    kept = {"toxicity": Counter(i for i, _ in rows), "near copies": Counter([1, 3, None, None, 6, 7]), "substrings": Counter([1, 3, 4, 5, None, None, 6, 7, 2, 2])}
+    for name, stage in P.STAGES:
+        assert P.staged(stage(spark, docs.limit(0), BIG)).count() == 0
+        out = P.staged(stage(spark, docs, BIG))
+        if name != "packing":
+            assert out.columns == docs.columns and {r.score for r in out.collect()} == {0.5}
+        ids = Counter(r.doc_id for r in out.collect())
+        if name == "substrings":  # the copies of 1 lose all words and go
+            assert ids == kept[name] - Counter([2, 2])
+        elif name in kept:
+            assert ids == kept[name], name
+        else:
+            assert set(ids) == ({1, 2, None, 6, 7} if name == "mixing" else {i for i, _ in rows})
