@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quorumlake.operators.components import connected_components
+from quorumlake.operators.joins import counted_join
 from quorumlake.schema import PAIR, SAME
+from quorumlake.session import staged
 
 
 def _labels(handles: DataFrame, edges: DataFrame) -> DataFrame:
@@ -34,8 +36,12 @@ def partition_of(votes: DataFrame, handles: DataFrame) -> DataFrame:
 
 
 def name_only(names: DataFrame) -> DataFrame:
-    """(handle, label): handles of one token together, under the smallest."""
-    return names.select("handle", F.min("handle").over(Window.partitionBy("token")).alias("label"))
+    """(handle, label): handles of one token together, under the smallest. The smallest is found by an
+    aggregation, so a token of very many handles is no hot key. Handles without a token are their own."""
+    least = staged(names.where("token is not null").groupBy("token").agg(F.min("handle").alias("label"), F.count("*").alias("n")), "tokens")
+    total = least.agg(F.sum("n")).first()[0] or 0
+    alone = names.where("token is null").select("handle", F.col("handle").alias("label"))
+    return counted_join(names.where("token is not null"), least, "token", total).select("handle", "label").unionByName(alone)
 
 
 def chain_edges(groups: DataFrame, group: str, order: str) -> DataFrame:

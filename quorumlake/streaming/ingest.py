@@ -37,18 +37,23 @@ def cells_of_events(events: DataFrame) -> DataFrame:
 
 
 def run_available(cells: DataFrame, path: str | None = None, checkpoint: str | None = None) -> DataFrame:
-    """Append each key's first cell to a table, once for all there is, and read the table.
+    """Append each cell to a table, once for all there is, and read the table.
 
-    Repeats are dropped by state per key; the checkpoint and the sink's log make a restart go on
-    where the stopped run was, without loss or repeats.
+    Repeats are dropped by state per cell; the checkpoint and the sink's log make a restart go on
+    where the stopped run was, without loss or repeats. Unlike cells of one key are an error, as in
+    any ingest: none of them wins.
     """
     spark = cells.sparkSession
     base = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
     path, checkpoint = path or f"{base}/cells", checkpoint or f"{base}/checkpoint"
-    once = cells.dropDuplicates(KEY)
+    once = cells.dropDuplicates()
     write = once.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint)
     write.outputMode("append").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.schema(cells.schema).parquet(path)
+    table = spark.read.schema(cells.schema).parquet(path)
+    body = F.struct(*[c for c in table.columns if c not in KEY])
+    if bad := table.groupBy(KEY).agg(F.count_distinct(body).alias("n")).where("n > 1").limit(5).collect():
+        raise ValueError("equivocation: " + "; ".join(f"{r.h_left}, {r.h_right}, {r.epoch}, {r.source}" for r in bad))
+    return table
 
 
 def validated_sink(path: str, sources: tuple[str, ...]) -> Callable[[DataFrame, int], None]:
