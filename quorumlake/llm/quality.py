@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quorumlake.llm.common import WORD, text_of
-from quorumlake.session import staged
+from quorumlake.session import discard, release, staged
 
 SPACES = r"[\x20\x09-\x0D]+"
 SYMBOLS = r"[#*$%&|<>]+"
@@ -158,7 +158,9 @@ def starts(rows: DataFrame) -> DataFrame:
     both = seen.join(centre, "grp")
     scale = lambda i: F.sqrt(F.greatest(F.col(f"r{i}{i}"), F.lit(1e-12)))
     c = lambda j, i: F.col(f"s{i}") * F.col(f"s{i}") if i == j else F.col(f"r{j}{i}") / (scale(i) * scale(j)) * F.col(f"s{i}") * F.col(f"s{j}")
-    return staged(_factor(both.withColumns({f"c{j}{i}": c(j, i) for j, i in PAIRS}), ["grp", "s"]), "mcd")
+    out = staged(_factor(both.withColumns({f"c{j}{i}": c(j, i) for j, i in PAIRS}), ["grp", "s"]), "mcd")
+    release(rows.sparkSession, centre)
+    return out
 
 
 def concentrate(rows: DataFrame, fit: DataFrame) -> DataFrame:
@@ -174,22 +176,28 @@ def concentrate(rows: DataFrame, fit: DataFrame) -> DataFrame:
     bound = counted.withColumn("below", below).withColumn("whole", whole).where(F.col("below") >= KEEP * F.col("whole")).groupBy(*keys).agg(F.min("bin").alias("bound"))
     bounded = staged(fit.join(bound, keys), "mcd")
     kept = _with_distance(each, bounded, keys).where(bin_ <= F.col("bound"))
-    return staged(_factor(_moments(kept, keys, CONSISTENCY), keys), "mcd")
+    out = staged(_factor(_moments(kept, keys, CONSISTENCY), keys), "mcd")
+    release(rows.sparkSession, bounded)
+    return out
 
 
 def raw_estimate(rows: DataFrame) -> DataFrame:
     """(grp, s, fit): of each group, the settled estimate of smallest determinant. rows: grp, v0 to v4."""
-    fit, last = starts(rows), None
+    fit = starts(rows)
     for step in range(STEPS):
-        fit = concentrate(rows, fit)
+        last, fit = fit, concentrate(rows, fit)
+        settled = False
         if step == FIRST - 1:
             least = fit.groupBy("grp").agg(F.min_by("s", F.struct(log_determinant(), "s")).alias("s"))
-            fit = staged(fit.join(least, ["grp", "s"]), "mcd")
+            every, fit = fit, staged(fit.join(least, ["grp", "s"]), "mcd")
+            discard(every)
         elif step >= FIRST:
-            moved = fit.select("grp", log_determinant().alias("now")).join(last, "grp").agg(F.max(F.abs(F.col("now") - F.col("before")))).first()[0]
-            if (moved or 0) < SETTLED:
-                break
-        last = fit.select("grp", log_determinant().alias("before"))
+            before = last.select("grp", log_determinant().alias("before"))
+            moved = fit.select("grp", log_determinant().alias("now")).join(before, "grp").agg(F.max(F.abs(F.col("now") - F.col("before")))).first()[0]
+            settled = (moved or 0) < SETTLED
+        discard(last)
+        if settled:
+            break
     return fit
 
 
