@@ -68,7 +68,9 @@ def _keyed(hashed: DataFrame, own: str, stride: int) -> DataFrame:
     inside = ", ".join(f"get(p, s + {i})" for i in range(WINDOW))  # slice() would copy the array at each window
     least = F.expr(f"transform(sequence(0, greatest(0, size(p) - {WINDOW}), {stride}), s -> least({inside}))")
     long = F.col("k") < BANDS
-    return each.select(own, long.alias("long"), F.explode(F.array_distinct(F.when(long, least).otherwise(F.col("p")))).alias("key"))
+    # the outer form: for the inner one Spark first filters by the array's size, and makes it twice
+    keys = F.explode_outer(F.array_distinct(F.when(long, least).otherwise(F.col("p")))).alias("key")
+    return each.select(own, long.alias("long"), keys).where("key is not null")
 
 
 def template_keys(templates: DataFrame, bands: bool = True) -> DataFrame:
