@@ -1,8 +1,8 @@
 """URL rules by a sort-merge range join.
 
 A rule (host, path) fits its host, all subdomains, and every path that starts with its own. The
-canonical key of a url is its host, labels reversed, then its path; below one host, a path prefix
-is an interval of keys. Each url stands once for each of its host's suffixes that carries a rule, so
+canonical key of a url is its host, labels reversed, then its path, both as hex digits of their
+bytes; below one host, a path prefix is an interval of keys. Each url stands once for each of its host's suffixes that carries a rule, so
 a subdomain meets the rules of its parents. Rules and keys are sorted together and swept: a rule's
 interval opens at its key and closes after it, and the active rule is the innermost open one. As
 intervals of prefixes nest, the stack below an opening rule is fixed: closing it makes its parent
@@ -19,8 +19,9 @@ from pyspark.sql import functions as F
 
 from quorumlake.session import staged
 
-#: After every path: the end of a rule's interval.
-LAST = "\U0010ffff"
+#: Between host and path of a key, before all hex digits; and the end of a rule's interval, after
+#: them all, so that no character a path may hold gets past it.
+BETWEEN, LAST = "/", "G"
 
 
 def host_of(url: Column) -> Column:
@@ -71,7 +72,7 @@ def judge(pages: DataFrame, rules: DataFrame, ranges: int | None = None, default
     carried = spans.select(F.col("host").alias("at")).distinct()
     keys = split.select("host", "path").distinct().where("host <> ''").select("host", "path", F.explode(_suffixes(F.col("host"))).alias("at")).join(carried, "at")
     none = F.lit(None).cast("struct<rule:string,verdict:string>")
-    key = lambda host, path: F.concat(_reversed(host), F.lit("\x01"), path)
+    key = lambda host, path: F.concat(F.hex(_reversed(host)), F.lit(BETWEEN), F.hex(path))
     urls = keys.select(key(F.col("at"), F.col("path")).alias("key"), F.lit(2).alias("kind"), none.alias("event"), F.col("host"), F.col("path"))
     at, no = key(F.col("host"), F.col("path")), F.lit(None).cast("string")
     opens = spans.select(at.alias("key"), F.lit(1).alias("kind"), F.struct("rule", "verdict").alias("event"), no.alias("host"), no.alias("path"))
