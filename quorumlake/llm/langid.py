@@ -36,11 +36,19 @@ SETTLED = 1e-3
 
 CACHE_WORDS = 600_000
 
-#: Signs that stand for numbers: word characters to `re`, but no letters.
-NUMBERS = "".join(c for c in map(chr, range(0x110000)) if c.isnumeric() and not c.isalpha())
+#: Signs that stand for numbers, word characters to `re` but no letters, each to a space.
+NUMBERS = {ord(c): " " for c in map(chr, range(0x110000)) if c.isnumeric() and not c.isalpha()}
 
-#: Words: runs of letters, longer ones in consecutive pieces of 40, so that all letters count.
-LETTERS = re.compile(rf"[^\W\d_{NUMBERS}]{{1,40}}")
+#: Runs of letters and number signs, longer ones in consecutive pieces of 40, so that all count.
+LETTERS = re.compile(r"[^\W\d_]{1,40}")
+
+
+def words_of(text: str) -> list[str]:
+    """Words: runs of letters. Only a text that holds number signs pays for taking them out."""
+    found = LETTERS.findall(text.lower())
+    if found and not text.isascii() and not "".join(found).isalpha():
+        found = LETTERS.findall(text.lower().translate(NUMBERS))
+    return found
 
 
 def _grams(words: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -63,7 +71,7 @@ def _count(batch: pa.RecordBatch) -> pa.RecordBatch:
     out: dict[str, np.ndarray] = {}
     words: dict[str, Counter] = {}
     for text, lang in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-        words.setdefault(lang, Counter()).update(LETTERS.findall(text.lower()))
+        words.setdefault(lang, Counter()).update(words_of(text))
     for lang, found in words.items():
         if found:
             n = out.setdefault(lang, np.zeros(BUCKETS, np.int64))
@@ -166,7 +174,7 @@ def identify(docs: DataFrame, langs: list[str], table: np.ndarray) -> DataFrame:
         if not own:
             own.append(_Likelihoods(known.value))  # once a task
         likelihoods = own[0]
-        words = [LETTERS.findall(t.lower()) for t in batch.column(1).to_pylist()]
+        words = [words_of(t) for t in batch.column(1).to_pylist()]
         some = [i for i, w in enumerate(words) if w and langs]
         pred, score, sets = ["und"] * len(words), [0.0] * len(words), [[] for _ in words]
         if some:

@@ -464,8 +464,17 @@ def test_runs_compact_to_the_same_answers(spark):
     one.drop(), two.drop()
 
 
+def test_words_are_runs_of_letters_without_number_signs():
+    signs = "".join(c for c in map(chr, range(0x110000)) if c.isnumeric() and not c.isalpha())
+    slow = re.compile(rf"[^\W\d_{signs}]{{1,40}}")
+    texts = ["plain text", "m² und ½ Ⅷ ", "a" * 10 + "²" + "b" * 95, "一二三 五", "x_1y\u0bf0z" * 30, "", "²½", "\U00010107ab", "é" * 81 + "9" + "ø"]
+    assert [langid.words_of(t) for t in texts] == [slow.findall(t.lower()) for t in texts]
+
+
 def test_url_rules(spark):
     rows = [(1, "https://a.example.com/en/7x?q"), (2, None), (3, "no scheme"), (4, "http://COM/en/"), (5, "http://x.net/de/8"), (6, "http://example.net/de/8#f"), (7, "http://org"), (8, "a://b.org/es/z://y"), (1, "https://a.example.com/en/7x?q"), (None, "http://notexample.com/en/1"), (9, "http:///en/"), (10, "http://e.com.x/en/")]
+    odd = ["\U0010ffff", "\U0010ffffx", "\x01", "\uffff", "G", "/", "7\U0010ffff", "7\x01", "6\U0010ffff", "8"]
+    rows += [(20 + i, f"http://{host}/{lang}/{end}") for i, (end, host, lang) in enumerate((e, h, x) for e in odd for h, x in (("a.com", "en"), ("b.example.com", "en"), ("c.net", "de"), ("org", "es")))]
     pages = spark.createDataFrame([(*r, "clash") for r in rows], "page_id long, url string, rule string")
     con = duckdb.connect()
     frame = pages.toPandas()  # noqa: F841
