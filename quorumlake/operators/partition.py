@@ -101,10 +101,8 @@ def _contracted(same: DataFrame, vetoes: DataFrame) -> tuple[DataFrame, DataFram
         discard(*last)
 
 
-def partition(handles: DataFrame, decided: DataFrame, component_veto: bool = True, fold_edges: int = FOLD_EDGES) -> DataFrame:
-    """(handle, label): label is the smallest handle of its component. decided(h_left, h_right,
-    vote). Handles no accepted edge touches are their own. Without the component veto, plain
-    connected components of the SAME edges."""
+def _labels(decided: DataFrame, component_veto: bool, fold_edges: int) -> tuple[DataFrame, DataFrame]:
+    """(handle, label) and (handle, component) of all handles with a SAME edge."""
     same = decided.where(F.col("vote") == SAME).select(*PAIR)
     cc = staged(connected_components(same, *PAIR).withColumnRenamed("component", "cc"), "cc")
     whole = cc.select(F.col("node").alias("handle"), F.col("cc").alias("label"))
@@ -124,10 +122,26 @@ def partition(handles: DataFrame, decided: DataFrame, component_veto: bool = Tru
             labels = labels.unionByName(_contracted(pick(edges, large).select(*PAIR, order.alias("first")), pick(inside, large).select(*PAIR, never))[0])
         clean = cc.join(sizes, "cc", "left_anti").select(F.col("node").alias("handle"), F.col("cc").alias("label"))
         whole = clean.unionByName(labels)
+    return whole, cc.toDF("handle", "component")
+
+
+def partition(handles: DataFrame, decided: DataFrame, component_veto: bool = True, fold_edges: int = FOLD_EDGES) -> DataFrame:
+    """(handle, label): label is the smallest handle of its component. decided(h_left, h_right,
+    vote). Handles no accepted edge touches are their own. Without the component veto, plain
+    connected components of the SAME edges."""
+    whole, _ = _labels(decided, component_veto, fold_edges)
     known = handles.select("handle").distinct()
     return known.join(whole, "handle", "full").select("handle", F.coalesce("label", "handle").alias("label"))
 
 
+def partition_within(handles: DataFrame, decided: DataFrame, fold_edges: int = FOLD_EDGES) -> DataFrame:
+    """(handle, label, component): the partition, and the component of the SAME graph that each handle
+    is in, outside which nothing can change its label."""
+    whole, cc = _labels(decided, True, fold_edges)
+    both = handles.select("handle").distinct().join(whole, "handle", "full").join(cc, "handle", "left")
+    return both.select("handle", F.coalesce("label", "handle").alias("label"), F.coalesce("component", "handle").alias("component"))
+
+
 def materialize(store: Evidence, relation_veto: bool = True, component_veto: bool = True) -> DataFrame:
     """The partition of a store's handles."""
     return partition(store.handles, decisions(store, relation_veto), component_veto)

@@ -6,13 +6,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quorumlake.functions import scalars
-from quorumlake.operators import baselines, certificates, checker, decisions, evaluation, ingest, partition, replication, reports
+from quorumlake.operators import agreement, baselines, certificates, checker, decisions, digests, evaluation, ingest, partition, replication, reports
 from quorumlake.plans import fixtures as fx
 from quorumlake.plans.fixtures import ENDED, EPOCHS, REPLICAS, sql, with_decisions, with_partition
 from quorumlake.schema import PAIR, SAME, UNKNOWN, Evidence
 from quorumlake.sources import generators, state
 from quorumlake.session import staged
 from quorumlake.streaming import ingest as stream
+from quorumlake.streaming import live
 
 N = len(fx.SOURCES)
 QUERIES: dict = {}
@@ -425,6 +426,130 @@ def replica_divergence(spark, d):
     return replication.divergence(fx.replicas(spark, d).drop("reason"), 0, 2).groupBy("side").agg(F.count("*").alias("n"))
 
 
+# Digests, versions and floor rounds ---------------------------------------------------------------
+
+
+def _hash(*columns: str) -> str:
+    """SQL of a hash over columns with their lengths."""
+    return "md5(" + " || ".join(f"length(CAST({c} AS VARCHAR)) || ':' || {c}" for c in columns) + ")"
+
+
+_WORD = "sum(('0x' || substr({}, {}, 8))::BIGINT)::BIGINT"
+CELL_HASH = _hash("h_left", "h_right", "epoch", "source", "vote", "reason")
+HASHED = f"""hashed AS (SELECT side, substr({_hash('h_left', 'h_right', 'epoch', 'source')}, 1, 3) AS leaf, {CELL_HASH} AS h FROM sided),
+tree AS (SELECT side, lv AS level, substr(leaf, 1, lv) AS node, count(*) AS n, {_WORD.format('h', 1)} AS low, {_WORD.format('h', 9)} AS high FROM hashed, range(4) t(lv) GROUP BY ALL),
+nodes AS (SELECT coalesce(a.level, b.level) AS level, coalesce(a.node, b.node) AS node, coalesce(a.n, 0) AS n_own, coalesce(b.n, 0) AS n_other, (a.n, a.low, a.high) IS DISTINCT FROM (b.n, b.low, b.high) AS unlike
+  FROM (FROM tree WHERE side = 0) a FULL JOIN (FROM tree WHERE side = 1) b ON a.level = b.level AND a.node = b.node)"""
+
+
+def _some_lost(spark, d) -> tuple[DataFrame, DataFrame]:
+    """The cells, once without a few and once without a few others."""
+    c = fx.cells(spark, d)
+    return c.where("not (l % 50 = 0 and s = 0)").drop("l", "r", "s"), c.where("not (l % 70 = 1 and s = 1)").drop("l", "r", "s")
+
+
+@query(sql("SELECT n.level::INTEGER AS level, n.node, n.n_own, n.n_other, n.unlike FROM nodes n LEFT JOIN nodes up ON up.level = n.level - 1 AND up.node = substr(n.node, 1, n.level - 1) WHERE n.level = 0 OR up.unlike",
+    "sided AS (SELECT 0 AS side, *, 'derived ' || vote AS reason FROM cells WHERE NOT (l % 50 = 0 AND s = 0) UNION ALL SELECT 1, *, 'derived ' || vote FROM cells WHERE NOT (l % 70 = 1 AND s = 1))", HASHED))
+def digest_descent(spark, d):
+    """What two replicas look at to find where they differ; n_own and n_other of unlike leaves are the
+    rows that are read then."""
+    own, other = _some_lost(spark, d)
+    return digests.descend(staged(digests.tree(own), "tree"), staged(digests.tree(other), "tree"))
+
+
+@query(sql("SELECT h_left, h_right, epoch, source, vote FROM cells WHERE l % 50 = 0 AND s = 0 AND NOT (l % 70 = 1 AND s = 1)"))
+def digest_delta(spark, d):
+    own, other = _some_lost(spark, d)
+    return digests.digest_delta(digests.ranged(own), digests.ranged(other), spark)[0].select(*PAIR, "epoch", "source", "vote")
+
+
+@query(sql("SELECT h_left, h_right, epoch, source FROM replicas WHERE replica = 1 EXCEPT SELECT h_left, h_right, epoch, source FROM replicas WHERE replica = 0", REPLICAS))
+def digest_delta_of_replicas(spark, d):
+    own, other = (digests.ranged(_replica(spark, d, i).cells) for i in (0, 1))
+    return digests.digest_delta(own, other, spark)[0].select(*PAIR, "epoch", "source")
+
+
+VERSIONS = f"""held AS (SELECT *, 'derived ' || vote AS reason FROM replicas),
+versions AS (SELECT replica, count(*) || ':' || {_WORD.format(CELL_HASH, 1)} || ':' || {_WORD.format(CELL_HASH, 9)} || ':0:0:0' AS version FROM held GROUP BY replica)"""
+
+
+def _no_floors(spark) -> DataFrame:
+    return spark.createDataFrame([], "replica int, h_left string, h_right string, epoch bigint")
+
+
+@query(sql("SELECT replica::BIGINT AS replica, version FROM versions", REPLICAS, VERSIONS))
+def state_versions(spark, d):
+    return digests.version(fx.replicas(spark, d), _no_floors(spark), "replica").select(F.col("replica").cast("bigint").alias("replica"), "version")
+
+
+def _round(spark, d, late: bool) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """A whole round: every member reports, the greatest common sealed epochs are proposed, all
+    acknowledge them, and the floors are taken. Replica 2 words some reasons in its own way; with
+    `late`, replica 1 gets a cell more between its acks and the round's end."""
+    told = staged(fx.replicas(spark, d).withColumn("reason", F.expr("if(replica = 2 and cast(substring(h_left, 2) as int) % 7 = 0, 'other', reason)")), "told")
+    none = _no_floors(spark)
+    proposed = staged(replication.common_floor(told, 3, N), "proposed")
+    acks = digests.acknowledge(replication.acknowledgements(told, proposed, N), digests.version(told, none, "replica"))
+    acks = staged(acks, "acks")
+    more = told.where("replica = 1").orderBy(*PAIR, "epoch", "source").limit(1).withColumn("epoch", F.lit(9).cast("bigint"))
+    return digests.floor_round(told.unionByName(more) if late else told, none, acks, 3)
+
+
+ROUND = ACKS.split("vectors AS")[0].rstrip().rstrip(",") + """,
+common AS (SELECT h_left, h_right, max(epoch) AS epoch FROM (SELECT h_left, h_right, epoch FROM (SELECT replica, h_left, h_right, epoch FROM replicas GROUP BY ALL HAVING count(DISTINCT source) = 5) GROUP BY ALL HAVING count(*) = 3) GROUP BY ALL),
+taken AS (SELECT * FROM common c WHERE NOT EXISTS (SELECT 1 FROM told a JOIN told b USING (h_left, h_right, epoch, source) WHERE (a.vote, a.reason) <> (b.vote, b.reason) AND a.h_left = c.h_left AND a.h_right = c.h_right AND a.epoch = c.epoch))"""
+
+
+@query(sql("SELECT h_left, h_right, epoch FROM taken", REPLICAS, ROUND))
+def floor_round(spark, d):
+    return _round(spark, d, False)[1]
+
+
+@query(sql("SELECT replica::BIGINT AS replica, count(*) AS n, min(c.epoch) AS least_epoch FROM told c LEFT JOIN taken t USING (h_left, h_right) WHERE t.epoch IS NULL OR c.epoch >= t.epoch GROUP BY replica", REPLICAS, ROUND))
+def floor_round_compacted(spark, d):
+    left = _round(spark, d, False)[2]
+    return left.groupBy(F.col("replica").cast("bigint").alias("replica")).agg(F.count("*").alias("n"), F.min("epoch").alias("least_epoch"))
+
+
+@query(sql("SELECT 1::BIGINT AS replica, h_left, h_right, epoch, 'stale' AS rule FROM common", REPLICAS, ROUND))
+def floor_round_stale(spark, d):
+    """Acks of a state that has changed since are refused, and no floor is taken without them."""
+    refused, taken, _ = _round(spark, d, True)
+    if not taken.isEmpty():
+        raise AssertionError("a floor was taken without a member")
+    return refused.withColumn("replica", F.col("replica").cast("bigint"))
+
+
+@query(sql("SELECT replica::BIGINT AS replica, h_left, h_right, CASE WHEN NOT sealed THEN 'unknown' WHEN x > 0 THEN 'different' WHEN s >= 2 THEN 'same' ELSE 'unknown' END AS vote, replica <> 1 AS accepted FROM (SELECT *, row_number() OVER (PARTITION BY replica, h_left, h_right ORDER BY sealed DESC, epoch DESC) AS place FROM (SELECT replica, h_left, h_right, epoch, count(DISTINCT source) = 5 AS sealed, count(*) FILTER (vote = 'same') AS s, count(*) FILTER (vote = 'different') AS x FROM replicas GROUP BY ALL)) WHERE place = 1", REPLICAS))
+def coupled_answers(spark, d):
+    """Decisions that each replica gave, with its version, held against the replicas after replica 1 has
+    pulled what it lacks of replica 0."""
+    then = staged(fx.replicas(spark, d), "then")
+    pulled = replication.inventory_delta(*(then.where(F.col("replica") == i).drop("replica") for i in (1, 0))).withColumn("replica", F.lit(1))
+    now = digests.version(then.unionByName(pulled), _no_floors(spark), "replica")
+    answers = None
+    for i in range(3):
+        r = then.where(F.col("replica") == i).drop("replica")
+        own = decisions.decisions(Evidence(r, ingest.handles_of(r), fx.SOURCES, fx.THRESHOLD)).select(F.lit(i).alias("replica"), *PAIR, "vote")
+        answers = own if answers is None else answers.unionByName(own)
+    coupled = digests.acknowledge(answers, digests.version(then, _no_floors(spark), "replica"))
+    return digests.accepted(coupled, now).select(F.col("replica").cast("bigint").alias("replica"), *PAIR, "vote", "accepted")
+
+
+@query(sql("SELECT h_left, h_right, epoch, source, 'replica ' || i AS lacks FROM (SELECT h_left, h_right, epoch, source, list(replica) AS held FROM replicas GROUP BY ALL), range(3) t(i) WHERE NOT list_contains(held, i)", REPLICAS))
+def three_way_agreement(spark, d):
+    """The cells that some of three replicas hold and others lack, in one exchange."""
+    return agreement.disagreements({f"replica {i}": fx.replicas(spark, d).where(F.col("replica") == i) for i in range(3)}, [*PAIR, "epoch", "source"])
+
+
+@query("WITH cents AS (SELECT user_id, event_id % 2 AS half, round(value * 100)::BIGINT AS v FROM events), rolled AS (SELECT user_id, half, sum(v) // count(*) AS m FROM cents GROUP BY ALL) SELECT a.user_id, a.m::DOUBLE AS a_value, b.m::DOUBLE AS b_value FROM rolled a JOIN rolled b USING (user_id) WHERE a.half = 0 AND b.half = 1 AND abs(a.m - b.m) <= 400")
+def tolerance_match(spark, d):
+    """Users whose mean value over even events is within four units of that over odd ones."""
+    cents = fx.table(spark, d, "events").select("user_id", (F.col("event_id") % 2).alias("half"), F.round(F.col("value") * 100).cast("bigint").alias("v"))
+    rolled = cents.groupBy("user_id", "half").agg(F.expr("sum(v) div count(*)").cast("double").alias("m"))
+    return agreement.within_tolerance(rolled.where("half = 0"), rolled.where("half = 1"), ["user_id"], "m", 400.0)
+
+
 # Observations -------------------------------------------------------------------------------------
 
 OBSERVED = r"""n AS (SELECT CAST(n_nationkey AS BIGINT) AS k, CAST(n_regionkey AS BIGINT) AS t FROM nation),
@@ -701,6 +826,26 @@ def stream_decisions(spark, d):
     return decisions.decisions(Evidence(cells, ingest.handles_of(cells), sources, 2)).select(*PAIR, "epoch", "vote")
 
 
+@query(f"WITH {STREAMED}, n AS (SELECT count(DISTINCT event_type) AS n FROM events), floors AS (SELECT 'u' || lpad(CAST(user_id AS VARCHAR), 7, '0') AS h_left, max(1 + event_id % 3) AS floor FROM events WHERE event_id % 97 = 0 GROUP BY ALL), e AS (SELECT h_left, h_right, epoch, count(DISTINCT source) = (SELECT n FROM n) AS sealed, count(*) FILTER (vote = 'same') AS s, count(*) FILTER (vote = 'different') AS x FROM arrived LEFT JOIN floors USING (h_left) WHERE epoch >= coalesce(floor, -1) GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY h_left, h_right ORDER BY sealed DESC, epoch DESC) AS place FROM e) SELECT h_left, h_right, epoch, sealed, CASE WHEN NOT sealed THEN 'unknown' WHEN x > 0 THEN 'different' WHEN s >= 2 THEN 'same' ELSE 'unknown' END AS vote FROM r WHERE place = 1")
+def stream_floor_decisions(spark, d):
+    """Decisions by state per relation, cells and floors arriving in four files."""
+    events = fx.table(spark, d, "events")
+    n = events.agg(F.count_distinct("event_type")).first()[0]
+    landed = stream.landed(events, "event_id")
+    return stream.floor_decisions(stream.rows_of_events(stream.read_files(spark, landed, events.schema)), n, 2)
+
+
+@query(ORACLES["materialize"])
+def stream_partition(spark, d):
+    """The partition kept up to date while the cells arrive in four files."""
+    cells = fx.cells(spark, d).select(*PAIR, "epoch", "source", "vote")
+    landed = stream.landed(cells, "epoch", "source", *PAIR)
+    kept = live.LivePartition(spark, f"{landed}-partition")
+    changed = stream.stateful_decisions(stream.read_files(spark, landed, cells.schema), N, fx.THRESHOLD, only_changes=True)
+    stream.run_updates(changed, kept.apply, f"{landed}-checkpoint")
+    return fx.handles(spark, d).join(kept.membership(), "handle", "left").select("handle", F.coalesce("label", "handle").alias("label"))
+
+
 def queries() -> dict:
     return dict(QUERIES)
 

@@ -87,47 +87,120 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
 
 
+def rows_of_events(events: DataFrame) -> DataFrame:
+    """Cells of events and, for one event in 97, a floor of its relation (source null) between 1 and 3."""
+    user = lambda c: F.concat(F.lit("u"), F.lpad(c.cast("string"), 7, "0"))
+    pair = user(F.col("user_id")).alias("h_left"), user(F.col("user_id") + 1).alias("h_right")
+    cell = cells_of_events(events.select("event_id", "user_id", "event_type"))
+    floor = events.where("event_id % 97 = 0").select(*pair, (1 + F.col("event_id") % 3).alias("epoch"), F.lit(None).cast("string").alias("source"), F.lit(None).cast("string").alias("vote"))
+    return cell.unionByName(floor)
+
+
+def landed(rows: DataFrame, *order: str, files: int = 4) -> str:
+    """A folder with rows in so many files, dealt by range of `order`: what a stream reads file by file."""
+    path = f"{shared_dir(rows.sparkSession)}/landed-{uuid.uuid4().hex}"
+    rows.repartitionByRange(files, *order).write.parquet(path)
+    return path
+
+
 class RelationState(StatefulProcessor):
     """State of one relation: its floor and the cells at or above it. Rows are cells, or floors
     (source null). A cell below the floor is dropped however early it was sent; one above is taken
     however late. A floor only rises, and evicts what lies below. Each change gives the relation's
-    decision anew, so readers update; a later epoch can turn SAME into DIFFERENT."""
+    decision anew, so readers update; a later epoch can turn SAME into DIFFERENT. A relation that a
+    floor leaves without cells gives a row of null epoch and vote. With only_changes, a row comes
+    only when the vote is another than the last one sent; a relation of which nothing was sent is
+    unknown. Unlike votes of one key are an error."""
 
-    def __init__(self, n_sources: int, threshold: int) -> None:
-        self.n_sources, self.threshold = n_sources, threshold
+    def __init__(self, n_sources: int, threshold: int, only_changes: bool = False) -> None:
+        self.n_sources, self.threshold, self.only_changes = n_sources, threshold, only_changes
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.floor = handle.getValueState("floor", "epoch bigint")
         self.cells = handle.getMapState("cells", "epoch bigint, source string", "vote string")
+        self.last = handle.getValueState("last", "vote string")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N803, ANN001
         floor = self.floor.get()[0] if self.floor.exists() else -1
+        held = {(epoch, source): vote for (epoch, source), (vote,) in self.cells.iterator()}
+        new = {}
         for part in rows:
             for epoch, source, vote in zip(part["epoch"], part["source"], part["vote"], strict=True):
                 if source is None or source != source:
                     floor = max(floor, int(epoch))
-                elif epoch >= floor and not self.cells.containsKey((int(epoch), source)):
-                    self.cells.updateValue((int(epoch), source), (vote,))
+                elif epoch >= floor:
+                    at = int(epoch), source
+                    if held.get(at, new.setdefault(at, vote)) != vote or new[at] != vote:
+                        raise ValueError(f"equivocation: {key[0]}, {key[1]}, {epoch}, {source}")
         self.floor.update((floor,))
+        for at in [at for at in held if at[0] < floor]:
+            self.cells.removeKey(at)
+            del held[at]
+        for at, vote in new.items():
+            if at not in held and at[0] >= floor:
+                self.cells.updateValue(at, (vote,))
+                held[at] = vote
         votes: dict[int, list[str]] = {}
-        for (epoch, source), (vote,) in list(self.cells.iterator()):
-            if epoch < floor:
-                self.cells.removeKey((epoch, source))
-            else:
-                votes.setdefault(epoch, []).append(vote)
+        for (epoch, _), vote in held.items():
+            votes.setdefault(epoch, []).append(vote)
+        sealed, epoch, vote = False, None, None
         if votes:
             sealed, epoch = max((len(v) == self.n_sources, e) for e, v in votes.items())
-            found = votes[epoch]
-            same, different = found.count("same"), found.count("different")
+            same, different = votes[epoch].count("same"), votes[epoch].count("different")
             vote = "unknown" if not sealed else "different" if different else "same" if same >= self.threshold else "unknown"
-            yield pd.DataFrame({"h_left": [key[0]], "h_right": [key[1]], "epoch": [epoch], "sealed": [sealed], "vote": [vote]})
+        if self.only_changes:
+            vote = vote or "unknown"
+            if vote == (self.last.get()[0] if self.last.exists() else "unknown"):
+                return
+            self.last.update((vote,))
+        yield pd.DataFrame({"h_left": [key[0]], "h_right": [key[1]], "epoch": pd.array([epoch], "Int64"), "sealed": [sealed], "vote": [vote]})
 
     def close(self) -> None:
         pass
 
 
-def stateful_decisions(rows: DataFrame, n_sources: int, threshold: int) -> DataFrame:
+def stateful_decisions(rows: DataFrame, n_sources: int, threshold: int, only_changes: bool = False) -> DataFrame:
     """Decisions of a stream of cells and floors (h_left, h_right, epoch, source, vote), in update
     mode. Needs the RocksDB state store."""
     out = "h_left string, h_right string, epoch bigint, sealed boolean, vote string"
-    return rows.groupBy("h_left", "h_right").transformWithStateInPandas(statefulProcessor=RelationState(n_sources, threshold), outputStructType=out, outputMode="Update", timeMode="None")
+    processor = RelationState(n_sources, threshold, only_changes)
+    return rows.groupBy("h_left", "h_right").transformWithStateInPandas(statefulProcessor=processor, outputStructType=out, outputMode="Update", timeMode="None")
+
+
+STORE = "spark.sql.streaming.stateStore.providerClass"
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def run_updates(updates: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str) -> None:
+    """Run a stream of update rows into a foreachBatch sink for all there is. The state store is set for
+    this run only."""
+    conf = updates.sparkSession.conf
+    before = conf.get(STORE)
+    conf.set(STORE, ROCKS)
+    try:
+        updates.writeStream.foreachBatch(sink).outputMode("update").option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    finally:
+        conf.set(STORE, before)
+
+
+def updates_sink(path: str) -> Callable[[DataFrame, int], None]:
+    """A sink that keeps each batch's update rows as a table of its own: a batch run again replaces what
+    it wrote before."""
+    return lambda batch, number: batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+
+def folded_updates(spark: SparkSession, path: str) -> DataFrame:
+    """The table that update rows add up to: each relation's row of the last batch, without relations
+    that a floor has emptied."""
+    rows = spark.read.option("basePath", path).parquet(f"{path}/batch=*")
+    last = rows.groupBy("h_left", "h_right").agg(F.max_by(F.struct("epoch", "sealed", "vote"), "batch").alias("x"))
+    return last.where("x.epoch is not null").select("h_left", "h_right", "x.*")
+
+
+def floor_decisions(rows: DataFrame, n_sources: int, threshold: int, path: str | None = None) -> DataFrame:
+    """Decisions of a stream of cells and floors, as a table. `path` holds updates and checkpoint: a run
+    that was stopped goes on there."""
+    spark = rows.sparkSession
+    path = path or f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    run_updates(stateful_decisions(rows, n_sources, threshold), updates_sink(f"{path}/updates"), f"{path}/checkpoint")
+    return folded_updates(spark, f"{path}/updates")
