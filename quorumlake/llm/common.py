@@ -12,8 +12,9 @@ from pyspark.sql import functions as F
 #: carriage return. bytes.split() of Python splits at exactly these six.
 WORD = r"[^\x20\x09-\x0D]+"
 
-#: Rows of an Arrow batch sent to Python: texts may hold 20,000 words, so batches stay small.
-BATCH_ROWS = 512
+#: Rows and bytes of an Arrow batch sent to Python: texts may be long, so batches stay small. A single
+#: longer row is a batch of its own.
+BATCH_ROWS, BATCH_BYTES = 512, 8 << 20
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,10 +27,11 @@ def text_of(name: str = "text") -> Column:
 
 
 def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:
-    """fn for each Arrow batch of at most BATCH_ROWS rows. Only the driver's session setting for
-    the batch size is raised to that bound; fn runs in tasks and gets one batch at a time."""
+    """fn for each Arrow batch of at most BATCH_ROWS rows and about BATCH_BYTES. Only the session's
+    settings for the batch size are set to these bounds; fn runs in tasks and gets one batch at a time."""
     spark = df.sparkSession
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -5,20 +5,25 @@ language and all texts together, a minimum covariance determinant estimate is so
 covariance of the half of the group's rows whose covariance has the smallest determinant. There are
 four starts, all about the median: plain scales, and the correlations of hyperbolic tangents, of
 signs and of directions. A concentration step takes the half that lies nearest to the last estimate,
-by Mahalanobis distance, so the determinant never grows. After FIRST steps of every start the one of
-smallest determinant goes on until it settles; then all rows within the 0.975 quantile make the
-group's estimate.
+by Mahalanobis distance. After FIRST steps of every start the one of smallest determinant goes on. A
+group has settled, and leaves, when a step lowers its log determinant by less than SETTLED; the
+smaller one stays. Each step that goes on lowers it by that much, and floors bound it from below, so
+the steps end by themselves. Then all rows within the 0.975 quantile make the group's estimate.
 
 A source's estimate leans on its language's as if that were PRIOR rows of the source, and a
 language's on all texts' in the same way, whatever the sizes are. Rows beyond CUTOFF are rejected.
 
-All is DataFrame expressions. Counting needs no shuffle. A concentration step is two aggregations
-with map-side combine (counts of distances, then sums and products), so a hot group costs no
-more than its rows; solving with the covariance is a Cholesky factor in columns, one row a group.
+All is DataFrame expressions. Counting needs no shuffle. A concentration step is one pass over the
+rows and one aggregation with map-side combine: counts, sums and products by hundredths of the log
+distance. The half ends within one of these steps, whose rows count by the share that is still
+needed, so every step keeps exactly half. A hot group costs no more than its rows; solving with the
+covariance is a Cholesky factor in columns, one row a group.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -39,8 +44,8 @@ KEEP, CONSISTENCY = 0.5, 1.912
 #: The 0.975 quantile of chi2 with 5 degrees, and the factor of the rows within it.
 WITHIN, WITHIN_FACTOR = 12.83, 1.0555
 
-#: Steps of every start, steps at most, and the change of a log determinant that has settled.
-FIRST, STEPS, SETTLED = 2, 30, 0.01
+#: Steps of every start, and what a step lowers the log determinant of an open group by at least.
+FIRST, SETTLED = 2, 0.01
 
 #: Rows that the estimate of the next larger group counts as.
 PRIOR = 50.0
@@ -103,9 +108,9 @@ def _sent(fit: DataFrame) -> DataFrame:
     return F.broadcast(fit) if fit.count() <= BROADCAST_GROUPS else fit
 
 
-def _with_distance(rows: DataFrame, fit: DataFrame, keys: list[str]) -> DataFrame:
-    """rows with d2: forward substitution with the group's Cholesky factor."""
-    out = rows.join(_sent(fit), keys, "left")
+def _with_distance(rows: DataFrame, fit: DataFrame, how: str = "left") -> DataFrame:
+    """rows with d2, for each estimate of its group: forward substitution with the Cholesky factor."""
+    out = rows.join(_sent(fit), "grp", how)
     for i in range(P):
         y: Column = F.col(f"v{i}") - F.col(f"m{i}")
         for j in range(i):
@@ -127,10 +132,15 @@ def _factor(moments: DataFrame, keys: list[str]) -> DataFrame:
     return out.select(*keys, *FIT)
 
 
-def _moments(kept: DataFrame, keys: list[str], factor: float) -> DataFrame:
-    """(keys, n, m_i, c_ij) from plain sums: statistics are logarithms, so their squares lose nothing."""
-    sums = [F.sum(f"v{i}").alias(f"t{i}") for i in range(P)] + [F.sum(F.col(f"v{j}") * F.col(f"v{i}")).alias(f"t{j}{i}") for j, i in PAIRS]
-    found = kept.groupBy(*keys).agg(F.count(F.lit(1)).cast("double").alias("n"), *sums)
+def _sums() -> dict[str, Column]:
+    """Sums of statistics and of their products, by name."""
+    products = {f"t{i}": F.col(f"v{i}") for i in range(P)} | {f"t{j}{i}": F.col(f"v{j}") * F.col(f"v{i}") for j, i in PAIRS}
+    return {name: F.sum(x).alias(name) for name, x in products.items()}
+
+
+def _moments(found: DataFrame, keys: list[str], factor: float) -> DataFrame:
+    """(keys, n, m_i, c_ij) from n and plain sums: statistics are logarithms, so their squares lose
+    nothing."""
     mean = lambda i: F.col(f"t{i}") / F.col("n")
     c = lambda j, i: factor * (F.col(f"t{j}{i}") / F.col("n") - mean(j) * mean(i)) + F.lit(FLOORS[i][1] ** 2 if i == j else 0.0)
     return found.select(*keys, "n", *[mean(i).alias(f"m{i}") for i in range(P)], *[c(j, i).alias(f"c{j}{i}") for j, i in PAIRS])
@@ -164,41 +174,41 @@ def starts(rows: DataFrame) -> DataFrame:
 
 
 def concentrate(rows: DataFrame, fit: DataFrame) -> DataFrame:
-    """One step: the estimate of the half of a group's rows that lie nearest, for each start."""
+    """One step: for each start of the groups in fit, the estimate of the half of the group's rows
+    that lie nearest. Rows of other groups take no part."""
     keys = ["grp", "s"]
-    which = F.broadcast(fit.groupBy("grp").agg(F.collect_list("s").alias("ss"))) if fit.count() <= BROADCAST_GROUPS else fit.groupBy("grp").agg(F.collect_list("s").alias("ss"))
-    each = rows.join(which, "grp").withColumn("s", F.explode("ss")).drop("ss")
-    # counts in steps of one hundredth of the distance; a group's steps, not its rows, are ordered
     bin_ = F.floor(100 * F.log(F.greatest(F.col("d2"), F.lit(1e-9)))).alias("bin")
-    counted = _with_distance(each, fit, keys).groupBy(*keys, bin_).agg(F.count(F.lit(1)).alias("rows"))
-    below = F.sum("rows").over(Window.partitionBy(*keys).orderBy("bin"))
-    whole = F.sum("rows").over(Window.partitionBy(*keys))
-    bound = counted.withColumn("below", below).withColumn("whole", whole).where(F.col("below") >= KEEP * F.col("whole")).groupBy(*keys).agg(F.min("bin").alias("bound"))
-    bounded = staged(fit.join(bound, keys), "mcd")
-    kept = _with_distance(each, bounded, keys).where(bin_ <= F.col("bound"))
-    out = staged(_factor(_moments(kept, keys, CONSISTENCY), keys), "mcd")
-    release(rows.sparkSession, bounded)
-    return out
+    counted = _with_distance(rows, fit, "inner").groupBy(*keys, bin_).agg(F.count(F.lit(1)).alias("rows"), *_sums().values())
+    # a group's steps of distance, not its rows, are ordered
+    nearer = Window.partitionBy(*keys).orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
+    half = F.ceil(KEEP * F.sum("rows").over(Window.partitionBy(*keys)))
+    share = (half - F.coalesce(F.sum("rows").over(nearer), F.lit(0))) / F.col("rows")
+    kept = counted.withColumn("w", F.least(share, F.lit(1.0))).where("w > 0")
+    halves = kept.groupBy(*keys).agg(F.sum(F.col("w") * F.col("rows")).alias("n"), *[F.sum(F.col("w") * F.col(name)).alias(name) for name in _sums()])
+    return staged(_factor(_moments(halves, keys, CONSISTENCY), keys), "mcd")
 
 
 def raw_estimate(rows: DataFrame) -> DataFrame:
     """(grp, s, fit): of each group, the settled estimate of smallest determinant. rows: grp, v0 to v4."""
     fit = starts(rows)
-    for step in range(STEPS):
+    for _ in range(FIRST):
         last, fit = fit, concentrate(rows, fit)
-        settled = False
-        if step == FIRST - 1:
-            least = fit.groupBy("grp").agg(F.min_by("s", F.struct(log_determinant(), "s")).alias("s"))
-            every, fit = fit, staged(fit.join(least, ["grp", "s"]), "mcd")
-            discard(every)
-        elif step >= FIRST:
-            before = last.select("grp", log_determinant().alias("before"))
-            moved = fit.select("grp", log_determinant().alias("now")).join(before, "grp").agg(F.max(F.abs(F.col("now") - F.col("before")))).first()[0]
-            settled = (moved or 0) < SETTLED
         discard(last)
-        if settled:
-            break
-    return fit
+    least = fit.groupBy("grp").agg(F.min_by("s", F.struct(log_determinant(), "s")).alias("s"))
+    every, fit = fit, staged(fit.join(least, ["grp", "s"]), "mcd")
+    discard(every)
+    settled = []
+    while True:
+        new = concentrate(rows, fit)
+        both = new.select("grp", log_determinant().alias("now")).join(fit.select("grp", log_determinant().alias("before")), "grp")
+        falls, lower = F.col("now") <= F.col("before") - SETTLED, F.col("now") < F.col("before")
+        marks = staged(both.select("grp", falls.alias("falls"), lower.alias("lower")), "mcd")
+        those = lambda df, which: df.join(marks.where(which), "grp", "left_semi")
+        settled.append(staged(those(new, "not falls and lower").unionByName(those(fit, "not falls and not lower")), "mcd"))
+        last, fit = fit, staged(those(new, "falls"), "mcd")
+        release(rows.sparkSession, last, new, marks)
+        if fit.isEmpty():
+            return staged(reduce(DataFrame.unionByName, settled), "mcd")
 
 
 def _leaning(own: DataFrame, on: DataFrame) -> DataFrame:
@@ -215,7 +225,8 @@ def estimate(rows: DataFrame) -> DataFrame:
     """(grp, fit) for each own group of rows(own, lang, v0 to v4)."""
     every = rows.select(F.explode(F.array("own", "lang", F.lit("all"))).alias("grp"), *[f"v{i}" for i in range(P)])
     raw = raw_estimate(every).drop("s")
-    found = staged(_moments(_with_distance(every, raw, ["grp"]).where(F.col("d2") <= WITHIN), ["grp"], WITHIN_FACTOR), "mcd")
+    inside = _with_distance(every, raw).where(F.col("d2") <= WITHIN).groupBy("grp").agg(F.count(F.lit(1)).cast("double").alias("n"), *_sums().values())
+    found = staged(_moments(inside, ["grp"], WITHIN_FACTOR), "mcd")
     names = [c for c in found.columns if c not in ("grp", "n")]
     above = lambda df: df.select(F.col("grp").alias("up"), *[F.col(c).alias(f"up_{c}") for c in names])
     tree = staged(rows.select("own", "lang").distinct(), "tree")
@@ -237,7 +248,7 @@ def judge(docs: DataFrame) -> DataFrame:
     named = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c)), F.lit("-"))
     found = staged(_statistics(found.withColumn("__lang", named("lang")).withColumn("grp", F.concat_ws("\x01", named("lang"), named("source")))), "counts")
     sound = found.where(~F.col("base_failed")).select(F.col("grp").alias("own"), F.col("__lang").alias("lang"), *[f"v{i}" for i in range(P)])
-    out = _with_distance(found, estimate(staged(sound, "statistics")), ["grp"]).withColumn("d2", F.when(~F.col("base_failed"), F.col("d2")))
+    out = _with_distance(found, estimate(staged(sound, "statistics"))).withColumn("d2", F.when(~F.col("base_failed"), F.col("d2")))
     kept = ~F.col("base_failed") & F.coalesce(F.col("d2") <= CUTOFF, F.lit(True))
     return out.withColumn("kept", kept).select(
         "doc_id", "lang", "source", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "d2", "kept"

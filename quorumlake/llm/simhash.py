@@ -31,8 +31,12 @@ from quorumlake.session import release, staged
 BUCKET = 64
 
 #: Texts of a near-copy bucket up to which its pairs are compared one by one; in larger ones, texts
-#: that all others are compared with first, and texts of a block.
-SMALL, PIVOTS, BLOCK = 32, 4, 512
+#: that all others are compared with first, and shingles of a block (2 MB) whatever its texts' lengths.
+SMALL, PIVOTS, BLOCK = 32, 4, 1 << 18
+
+#: Bits of a text's bitmap at most, as it moves with each candidate pair: longer ones are folded, which
+#: rules out less and nothing wrongly.
+MAP_BITS = 1 << 13
 
 #: Orders of shingles that are tried until buckets are small; marks of common shingles, by their low
 #: bits: two shingles that share a mark only come later in the order.
@@ -145,8 +149,8 @@ def prefix_size(shingles: int, similarity: float) -> int:
 
 
 def _bits(grams: np.ndarray) -> bytes:
-    """A bitmap of a set's shingles by their low bits, 4 to 8 bits a shingle."""
-    size = max(8, 1 << int(4 * len(grams)).bit_length())
+    """A bitmap of a set's shingles by their low bits, 4 to 8 bits a shingle up to MAP_BITS."""
+    size = min(MAP_BITS, max(8, 1 << int(4 * len(grams)).bit_length()))
     bits = np.zeros(size, bool)
     bits[grams & (size - 1)] = True
     return np.packbits(bits, bitorder="little").tobytes()
@@ -207,6 +211,16 @@ def _pairs(members: DataFrame, similarity: float) -> DataFrame:
     return few.join(few.toDF("key", "a", "m"), "key").where("a < b").where(sizes).select("a", "b")
 
 
+def _marks(keys: DataFrame) -> np.ndarray:
+    """Which marks the keys have. Words of 64 marks are put together in tasks: 65,536 rows at most."""
+    at = F.col("key").bitwiseAND(F.lit(MARKS - 1))
+    one = F.expr("shiftleft(1L, cast(key & 63 as int))")
+    words = keys.groupBy(F.shiftright(at, 6).alias("word")).agg(F.bit_or(one).alias("bits")).collect()
+    out = np.zeros(MARKS // 64, np.int64)
+    out[[r["word"] for r in words]] = [r["bits"] for r in words]
+    return np.unpackbits(out.view(np.uint8), bitorder="little").astype(bool)
+
+
 def _rarer(batch: pa.RecordBatch, verified: int, similarity: float, common: np.ndarray) -> pa.RecordBatch:
     """Prefixes in another order: shingles marked common come last."""
     sizes, first = [], []
@@ -220,12 +234,13 @@ def _rarer(batch: pa.RecordBatch, verified: int, similarity: float, common: np.n
 
 def _rest(members: DataFrame, joined: DataFrame) -> DataFrame:
     """(key, b, part, main, n, r): the texts of buckets of several components (part), with the one
-    that most of a bucket's texts are in (main), and how many texts are in it or not (n, r)."""
-    named = members.join(joined, members["b"] == joined["node"], "left").select("key", "b", F.coalesce("component", "b").alias("part"))
-    parts = named.groupBy("key", "part").agg(F.count("*").alias("c"))
-    tops = parts.groupBy("key").agg(F.max(F.struct("c", "part")).alias("top"), F.sum("c").alias("n"))
-    open_ = tops.where("n > top.c").select("key", F.col("top.part").alias("main"), "n", (F.col("n") - F.col("top.c")).alias("r"))
-    return named.join(open_, "key")
+    that most of a bucket's texts are in (main), and how many shingles the bucket's texts have (n),
+    and those of them outside main (r)."""
+    named = members.join(joined, members["b"] == joined["node"], "left").select("key", "b", F.coalesce("component", "b").alias("part"), "size")
+    parts = named.groupBy("key", "part").agg(F.count("*").alias("c"), F.sum("size").alias("s"))
+    tops = parts.groupBy("key").agg(F.max(F.struct("c", "part", "s")).alias("top"), F.sum("s").alias("n"))
+    open_ = tops.where("n > top.s").select("key", F.col("top.part").alias("main"), "n", (F.col("n") - F.col("top.s")).alias("r"))
+    return named.drop("size").join(open_, "key")
 
 
 def _across(rest: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -298,8 +313,7 @@ def groups(docs: DataFrame, similarity: float = 0.8, verified: int = 5) -> DataF
             break
         if turn == ROUNDS - 1:
             break
-        marks = counts.where(F.col("n") > SMALL).select(F.col("key").bitwiseAND(F.lit(MARKS - 1)).alias("at")).distinct()
-        common[[r["at"] for r in marks.collect()]] = True
+        common |= _marks(counts.where(F.col("n") > SMALL))
         rarer = map_arrow(rows.join(hot, "doc_id", "left_semi"), lambda b, c=common.copy(): _rarer(b, verified, similarity, c), "b bigint, size int, prefix array<bigint>")
         keys = staged(rarer.select(F.explode("prefix").alias("key"), "b", "size"), "keys")
         counts = _counts(keys)

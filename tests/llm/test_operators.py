@@ -289,6 +289,43 @@ def test_the_smallest_determinant_is_found(spark):
         assert got[g] <= best + 0.5
 
 
+def test_groups_settle_one_by_one(spark, monkeypatch):
+    """A slow group goes on alone, no step raises a determinant, and what has settled stays settled
+    under exact steps."""
+    rng, p = np.random.default_rng(12), quality.P
+    slow = np.column_stack([rng.beta(1, 1.15, 3000) * 400, *rng.normal(size=(p - 1, 3000))])
+    fast = rng.normal(size=(500, p))
+    ties = np.tile(rng.integers(0, 2, (7, p)).astype(float), (30, 1))
+    groups = {"slow": slow, "fast": fast, "ties": ties, "one": fast[:1]}
+    rows = [(g, *map(float, v)) for g, x in groups.items() for v in x]
+    made = spark.createDataFrame(rows, "grp string, v0 double, v1 double, v2 double, v3 double, v4 double").repartition(3).persist()
+    monkeypatch.setattr(quality, "SETTLED", 0.001)
+    steps, plain = [], quality.concentrate
+
+    def seen(rows, fit):
+        out = plain(rows, fit)
+        steps.append({(r.grp, r.s): r.d for r in out.select("grp", "s", quality.log_determinant().alias("d")).collect()})
+        return out
+
+    monkeypatch.setattr(quality, "concentrate", seen)
+    found = {r.grp: r for r in quality.raw_estimate(made).withColumn("d", quality.log_determinant()).collect()}
+    assert set(found) == set(groups)
+    for before, after in zip(steps, steps[1:], strict=False):
+        assert all(after[k] <= before[k] + 2e-3 for k in after)
+    lasted = {g: sum(any(k[0] == g for k in s) for s in steps) for g in groups}
+    assert min(lasted.values()) > quality.FIRST and len(set(lasted.values())) > 1 and max(lasted.values()) == len(steps)
+    ridge = np.diag([f[1] ** 2 for f in quality.FLOORS])
+    for g, x in groups.items():
+        low = np.zeros((p, p))
+        for j, i in quality.PAIRS:
+            low[i, j] = found[g][f"l{i}{j}"]
+        m = np.array([found[g][f"m{i}"] for i in range(p)])
+        d = (np.linalg.solve(low, (x - m).T) ** 2).sum(0)
+        part = x[np.argsort(d, kind="stable")[: -(-len(x) // 2)]]
+        step = quality.CONSISTENCY * np.cov(part.T, bias=True) + ridge if len(part) > 1 else ridge
+        assert np.linalg.slogdet(step)[1] > found[g].d - 0.02
+
+
 def test_small_groups_lean_on_their_language(spark):
     rng = np.random.default_rng(11)
     text = lambda n: " ".join("abcdefgh"[: k % 6 + 2] + str(k) for k in rng.integers(0, 9999, n))

@@ -72,7 +72,7 @@ def test_no_pair_just_above_the_threshold_is_lost(spark):
 
 
 def test_copies_among_texts_of_shared_sentences(spark, monkeypatch):
-    monkeypatch.setattr(simhash, "BLOCK", 16)
+    monkeypatch.setattr(simhash, "BLOCK", 1 << 14)
     rng, texts, own = random.Random(5), [], iter(range(10**6))
     pool = [prose(rng, 60) for _ in range(40)]
     for i in range(60):
