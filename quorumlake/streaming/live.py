@@ -8,14 +8,18 @@ State is three append-only tables, each row under the batch that wrote it: `inde
 component), `members` and `edges` of components. A component's rows are those of its last batch; one
 that has dissolved leaves a row without content. Tables are dealt in buckets by key, so looking up
 touched keys reads their buckets. Old batches are folded into one from time to time.
+
+Touched components of up to FOLD_EDGES edges together are built in one task, more by the distributed
+partition; both give the same labels.
 """
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quorumlake.operators.partition import FOLD_EDGES, partition_within
+from quorumlake.operators.partition import FOLD_EDGES, fold, partition_within
 from quorumlake.schema import DIFFERENT, PAIR, SAME
 from quorumlake.session import discard, staged
 
@@ -30,6 +34,14 @@ TABLES = {
 }
 
 
+def _built(edges: pd.DataFrame) -> pd.DataFrame:
+    """(handle, label, component) of all ends of a bounded number of edges."""
+    pairs = list(zip(edges["h_left"], edges["h_right"], strict=True))
+    same, different = ([p for p, v in zip(pairs, edges["vote"], strict=True) if v == vote] for vote in (SAME, DIFFERENT))
+    labels, whole = fold(same, different), fold(same, [])
+    return pd.DataFrame({"handle": list(labels), "label": list(labels.values()), "component": [whole.get(h, h) for h in labels]})
+
+
 class LivePartition:
     """The partition kept in a shared folder. apply() takes batches in the order of their numbers; one
     that is applied again replaces what it wrote. `read` tells, for each batch applied here, how many
@@ -91,7 +103,14 @@ class LivePartition:
         edges = staged(edges, "open")
         left, right = (handles.withColumnRenamed("handle", c) for c in PAIR)
         inside = edges.join(left, "h_left", "left_semi").join(right, "h_right", "left_semi")
-        new = staged(partition_within(handles, staged(inside, "inside"), self.fold_edges), "rebuilt")
+        inside = staged(inside, "inside")
+        if inside.count() <= self.fold_edges:
+            found = inside.groupBy().applyInPandas(_built, "handle string, label string, component string")
+            alone = [F.coalesce(c, "handle").alias(c) for c in ("label", "component")]
+            new = handles.join(found, "handle", "left").select("handle", *alone)
+        else:
+            new = partition_within(handles, inside, self.fold_edges)
+        new = staged(new, "rebuilt")
         ids = staged(touched.unionByName(new.select("component")).distinct(), "ids")
         empty = ids.join(new, "component", "left_anti").select("component", F.lit(None).cast("string").alias("handle"), F.lit(None).cast("string").alias("label"))
         # an edge between components stands with both; the untouched one's copy stays as it is
@@ -102,7 +121,7 @@ class LivePartition:
         self._write("edges", kept.unionByName(bare), at)
         self._write("index", new.select("handle", "component"), at)
         self.read[number] = {"components": touched.count(), "handles": handles.count(), "edges": edges.count()}
-        discard(rows, ends, touched, handles, edges, new, ids, kept)
+        discard(rows, ends, touched, handles, edges, inside, new, ids, kept)
 
     def _fold(self, table: str, at: int) -> None:
         """One batch in place of all before it. A fold that is cut off leaves no _SUCCESS and is not
