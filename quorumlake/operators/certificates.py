@@ -3,8 +3,10 @@ would take to know. All queries share one partition; none rebuilds it."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quorumlake.operators.components import connected_components
@@ -41,28 +43,44 @@ def classify(queries: DataFrame, views: Views) -> DataFrame:
     return found.select("q_left", "q_right", "l_label", "r_label", kind.alias("kind"))
 
 
+def _further(front: DataFrame, before: DataFrame, steps: DataFrame, onto: Callable[[str, str], Column]) -> DataFrame:
+    """The next level of a search: (end, node, path), the smallest path of each node reached anew."""
+    grown = front.join(steps, "node").select("end", F.col("next").alias("node"), onto("path", "next").alias("path"))
+    seen = before.select("end", "node").unionByName(front.select("end", "node"))
+    return staged(grown.join(seen, ["end", "node"], "left_anti").groupBy("end", "node").agg(F.min("path").alias("path")), "level")
+
+
 def same_paths(asked: DataFrame, views: Views) -> DataFrame:
     """(q_left, q_right, path): the shortest path of accepted edges, the smallest of equals.
 
-    Level by level for all queries at once; a handle keeps the smallest path that first reached it,
-    and a query leaves when its end is reached, which it is, as both are in one component. Edges run
-    both ways, so what a level reaches anew can have been seen in it and the one before alone.
+    Searches run from both ends in turn, a level a round: from a left end with the smallest path to
+    each handle, from a right end with the smallest path on from it. Queries of one end share its
+    search. A query leaves when its searches first meet, which is after half of its path from either
+    side; of all handles they meet at, the smallest whole path is the answer. Edges run both ways, so
+    what a level reaches anew can have been seen in it and the one before alone.
     """
+    q = ["q_left", "q_right"]
     accepted = with_ends(views.decided.where(F.col("vote") == SAME).select(*PAIR), views.membership).where("l_label = r_label").select(*PAIR)
     steps = staged(accepted.toDF("node", "next").unionByName(accepted.select(F.col("h_right").alias("node"), F.col("h_left").alias("next"))), "steps")
-    front = staged(asked.select("q_left", "q_right", F.col("q_left").alias("node"), F.array("q_left").alias("path")).distinct(), "front")
-    before, found = front, []
-    while not front.isEmpty():
-        grown = front.join(steps, "node").select("q_left", "q_right", F.col("next").alias("node"), F.concat("path", F.array("next")).alias("path"))
-        seen = before.select("q_left", "q_right", "node").unionByName(front.select("q_left", "q_right", "node"))
-        fresh = grown.join(seen, ["q_left", "q_right", "node"], "left_anti").groupBy("q_left", "q_right", "node").agg(F.min("path").alias("path"))
-        level = staged(fresh, "level")
-        ends = level.where("node = q_right")
-        found.append(ends.select("q_left", "q_right", "path"))
-        before, front = front, level.join(ends.select("q_left", "q_right"), ["q_left", "q_right"], "left_anti")
-    out = front.select("q_left", "q_right", "path").limit(0)
-    for x in found:
-        out = out.unionByName(x)
+    open_ = staged(asked.select(*q).distinct(), "open")
+    begin = lambda c: open_.select(F.col(c).alias("end"), F.col(c).alias("node"), F.array(c).alias("path")).distinct()
+    ahead = [staged(begin(c), "front") for c in q]
+    before = list(ahead)
+    onto = lambda path, step: F.concat(path, F.array(step)), lambda path, step: F.concat(F.array(step), path)
+    out, side = open_.select(*q, F.array("q_left").alias("path")).limit(0), 0
+    while not open_.isEmpty():
+        level = _further(ahead[side], before[side], steps, onto[side])
+        before[side], ahead[side] = ahead[side], level
+        heads, tails = ahead[0].toDF("q_left", "node", "head"), ahead[1].toDF("q_right", "node", "tail")
+        met = open_.join(heads, "q_left").join(tails, ["q_right", "node"])
+        met = staged(met.groupBy(*q).agg(F.min(F.concat("head", F.slice("tail", F.lit(2), F.size("tail")))).alias("path")), "met")
+        out = out.unionByName(met)
+        open_ = staged(open_.join(met, q, "left_anti"), "open")
+        if level.isEmpty():  # one side has seen its whole component: the rest aren't connected
+            break
+        still = [open_.select(F.col(c).alias("end")).distinct() for c in q]
+        ahead = [df.join(some, "end", "left_semi") for df, some in zip(ahead, still, strict=True)]
+        side = 1 - side
     return out
 
 

@@ -10,10 +10,10 @@ from pyspark.sql import functions as F
 
 from quorumlake.operators.components import connected_components
 from quorumlake.schema import DIFFERENT, PAIR, SAME, UNKNOWN, Evidence
-from quorumlake.session import staged
+from quorumlake.session import discard, staged
 
-#: Relations of a conflicted component that one task rebuilds; the checker refuses larger ones.
-MOST_RELATIONS = 2_000_000
+#: Relations of a conflicted component that one task rebuilds; larger ones are rebuilt in rounds.
+MOST_RELATIONS = 200_000
 
 
 def recomputed(store: Evidence) -> DataFrame:
@@ -30,14 +30,15 @@ def recomputed(store: Evidence) -> DataFrame:
 
 def rebuilt(store: Evidence, own: DataFrame) -> DataFrame:
     """(handle, label): the partition, from own(h_left, h_right, vote). Groups of handles are kept as
-    sets; a positive joins two of them unless a negative has an end in either."""
+    sets; a positive joins two of them unless a negative has an end in either. Components of more than
+    MOST_RELATIONS relations are rebuilt in rounds of joins, see _in_rounds()."""
     same = own.where(F.col("vote") == SAME).select(*PAIR)
     whole = staged(connected_components(same, *PAIR).toDF("handle", "root"), "roots")
     root = lambda df, c, to: df.join(whole.toDF(c, to), c)
     inner = root(root(own.where(F.col("vote").isin(SAME, DIFFERENT)), "h_left", "root"), "h_right", "other").where("root = other").select("root", *PAIR, "vote")
     inner = staged(inner, "inner")
     torn = inner.groupBy("root").agg(F.count_if(F.col("vote") == DIFFERENT).alias("k"), F.count("*").alias("n")).where("k > 0")
-    torn = staged(torn.select("root", F.when(F.col("n") <= MOST_RELATIONS, F.col("n")).otherwise(F.raise_error(F.lit("a component is too large to be checked")).cast("bigint")).alias("n")), "torn")
+    torn = staged(torn.select("root", (F.col("n") > MOST_RELATIONS).alias("large")), "torn")
 
     def run(part: pd.DataFrame) -> pd.DataFrame:
         group = {h: {h} for h in {*part["h_left"], *part["h_right"]}}
@@ -52,12 +53,43 @@ def rebuilt(store: Evidence, own: DataFrame) -> DataFrame:
                 group.update(dict.fromkeys(x, y))
         return pd.DataFrame([(h, min(g)) for h, g in group.items()], columns=["handle", "label"])
 
-    split = inner.join(torn.where("n is not null").select("root"), "root", "left_semi").groupBy("root").applyInPandas(run, "handle string, label string")
+    split = inner.join(torn.where("not large"), "root", "left_semi").groupBy("root").applyInPandas(run, "handle string, label string")
+    rest = staged(inner.join(torn.where("large"), "root", "left_semi").select(*PAIR, "vote"), "rest")
+    if not rest.isEmpty():
+        split = split.unionByName(_in_rounds(rest))
     sound = whole.join(torn, "root", "left_anti").select("handle", F.col("root").alias("label"))
     known = store.handles.select("handle").distinct()
     return known.join(sound.unionByName(split), "handle", "full").select("handle", F.coalesce("label", "handle").alias("label"))
 
 
+def _in_rounds(rows: DataFrame) -> DataFrame:
+    """(handle, label) of all ends of rows(h_left, h_right, vote), positives taken in order.
+
+    Of the positives that still lie between two groups with no negative between them, one that is the
+    first of both its groups is due: nothing before it can change either group. All that are due join
+    at once; what a negative keeps apart stays so, as groups only grow.
+    """
+    ends = rows.select(F.explode(F.array(*PAIR)).alias("handle")).distinct()
+    group = staged(ends.withColumn("label", F.col("handle")), "group")
+    across = lambda df: df.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), *[c for c in df.columns if c not in ("a", "b")])
+    ordered = rows.where(F.col("vote") == SAME).select(F.col("h_left").alias("a"), F.col("h_right").alias("b"), F.struct(*PAIR).alias("turn"))
+    positive, negative = staged(ordered, "positive"), staged(rows.where(F.col("vote") == DIFFERENT).select(F.col("h_left").alias("a"), F.col("h_right").alias("b")), "negative")
+    while True:
+        able = staged(across(positive).groupBy("a", "b").agg(F.min("turn").alias("turn")).join(across(negative), ["a", "b"], "left_anti"), "able")
+        if able.isEmpty():
+            return group
+        turns = able.select("turn", F.explode(F.array("a", "b")).alias("g")).groupBy("g").agg(F.min("turn").alias("turn"))
+        # a positive that leads in both of its groups is counted twice
+        due = turns.groupBy("turn").count().where("count = 2").select("turn")
+        joins = staged(able.join(due, "turn").select(F.col("b").alias("was"), F.col("a").alias("now")), "joins")
+        follow = lambda df, c: df.join(joins.withColumnRenamed("was", c), c, "left").withColumn(c, F.coalesce("now", c)).drop("now")
+        last = group, positive, negative, able
+        group = staged(follow(group, "label").select("handle", "label"), "group")
+        positive = staged(follow(follow(able, "a"), "b").select("a", "b", "turn"), "positive")
+        negative = staged(across(follow(follow(negative, "a"), "b").select("a", "b")).distinct(), "negative")
+        discard(*last)
+
+
 def membership_violations(store: Evidence, membership: DataFrame) -> DataFrame:
     """(handle, label, rebuilt): handles whose label is not the one that the store's cells give."""
     own = rebuilt(store, recomputed(store)).withColumnRenamed("label", "rebuilt")
@@ -108,11 +140,10 @@ def better_plans(asked: DataFrame, membership: DataFrame, split: DataFrame, cost
     """
     q = ["q_left", "q_right"]
     label = lambda name, to: membership.select(F.col("handle").alias(name), F.col("label").alias(to))
-    apart = split.unionByName(split.select(F.col("d").alias("c"), F.col("c").alias("d"))).groupBy("c").agg(F.collect_set("d").alias("foes"))
     crossing = costs.join(label("h_left", "u"), "h_left").join(label("h_right", "v"), "h_right").where("u <> v")
     pair = F.struct(*PAIR).alias("pair")
     arcs = crossing.select(F.col("u").alias("at"), F.col("v").alias("to"), "cost", pair).unionByName(crossing.select(F.col("v").alias("at"), F.col("u").alias("to"), "cost", pair))
-    arcs = staged(arcs.join(apart.withColumnRenamed("c", "to"), "to", "left").withColumn("foes", F.coalesce("foes", F.expr("cast(array() as array<string>)"))), "arcs")
+    arcs = staged(arcs, "arcs")
     own = F.struct(F.least(*q).alias("h_left"), F.greatest(*q).alias("h_right"))
     direct = asked.withColumn("own", own).join(costs.select(pair, F.lit(True).alias("known")), F.col("own") == F.col("pair"), "left").where("known is null")
     plan = lambda cost, pairs, path: F.struct(cost.alias("cost"), F.size(pairs).alias("n"), pairs.alias("pairs"), path.alias("path"))
@@ -120,8 +151,11 @@ def better_plans(asked: DataFrame, membership: DataFrame, split: DataFrame, cost
     none = F.expr("cast(array() as array<struct<h_left:string,h_right:string>>)")
     front = staged(asked.select(*q, "y", "stated", F.col("x").alias("at"), F.array("x").alias("path"), F.lit(0).alias("spent"), none.alias("pairs")), "front")
     while not front.isEmpty():
-        grown = front.join(arcs, "at").where((F.col("spent") + F.col("cost") <= F.col("stated.cost")) & ~F.array_contains("path", F.col("to")) & ~F.arrays_overlap("path", "foes"))
-        grown = staged(grown.select(*q, "y", "stated", F.col("to").alias("at"), F.concat("path", F.array("to")).alias("path"), (F.col("spent") + F.col("cost")).alias("spent"), F.concat("pairs", F.array("pair")).alias("pairs")), "grown")
+        grown = front.join(arcs, "at").where((F.col("spent") + F.col("cost") <= F.col("stated.cost")) & ~F.array_contains("path", F.col("to")))
+        reached = staged(grown.select(*q, "path", "to").distinct(), "reached")
+        pairs = reached.select(*q, "path", "to", F.explode("path").alias("c")).select(*q, "path", "to", F.least("c", "to").alias("c"), F.greatest("c", "to").alias("d"))
+        barred = pairs.join(split, ["c", "d"], "left_semi").select(*q, "path", "to").distinct()
+        grown = staged(grown.join(barred, [*q, "path", "to"], "left_anti").select(*q, "y", "stated", F.col("to").alias("at"), F.concat("path", F.array("to")).alias("path"), (F.col("spent") + F.col("cost")).alias("spent"), F.concat("pairs", F.array("pair")).alias("pairs")), "grown")
         found = found.unionByName(grown.where("at = y").where(plan(F.col("spent"), F.col("pairs"), F.col("path")) < F.col("stated")).select(*q))
         front = grown.where((F.col("at") != F.col("y")) & (F.col("spent") < F.col("stated.cost")))
     return found.distinct()

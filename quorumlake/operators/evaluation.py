@@ -9,8 +9,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quorumlake.functions.scalars import fraction, jaccard, pairs_of, ratio
-from quorumlake.operators.ranks import ranked
 from quorumlake.schema import DIFFERENT, SAME, UNKNOWN
+from quorumlake.session import staged
 
 #: A predicate maps two observation structs to a (vote, reason) struct of columns.
 Predicate = Callable[[Column, Column], Column]
@@ -119,14 +119,44 @@ def partition_metrics(membership: DataFrame, truth: DataFrame) -> DataFrame:
     return rows.withColumn("false_merge_rate", ratio(F.col("false_merges"), F.col("merged"))).withColumn("false_split_rate", ratio(F.col("false_splits"), F.col("true_pairs")))
 
 
+def selected(df: DataFrame, value: str, by: list[str], *places: Callable[[Column], Column]) -> DataFrame:
+    """(by, k, value): for the k-th place function, the value at that zero-based place of each group's
+    sorted values; a place maps the group's size to it. Null values have no place.
+
+    Equal values are counted before they move, so ties are one row. Rows are dealt by range of (group,
+    value) and counted up over ranges; a group's place lies in one of its ranges, and only that one's
+    rows are looked at. A hot group is many tasks, and no task holds a group.
+    """
+    ranges = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    counted = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("__n"))
+    dealt = staged(counted.repartitionByRange(ranges, *by, value).withColumn("__r", F.spark_partition_id()), "ranges")
+    # a row a group and range: ranges of one group, or groups of one range
+    parts = dealt.groupBy(*by, "__r").agg(F.sum("__n").alias("__rows"))
+    before = F.coalesce(F.sum("__rows").over(Window.partitionBy(*by).orderBy("__r").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    size = F.sum("__rows").over(Window.partitionBy(*by))
+    wanted = F.array(*[F.struct(F.lit(k).alias("k"), f(size).cast("bigint").alias("at")) for k, f in enumerate(places)])
+    asked = parts.withColumn("__before", before).withColumn("__w", wanted).withColumn("__w", F.explode("__w"))
+    asked = asked.where("__w.at >= __before and __w.at < __before + __rows").select(*[F.col(c).alias(f"__{c}") for c in by], F.col("__r").alias("__in"), "__w.k", (F.col("__w.at") - F.col("__before")).alias("__at"))
+    up_to = F.sum("__n").over(Window.partitionBy(*by, "__r").orderBy(value))
+    rows = dealt.withColumn("__end", up_to).withColumn("__start", F.col("__end") - F.col("__n"))
+    same = F.col("__r") == F.col("__in")
+    for c in by:
+        same = same & F.col(c).eqNullSafe(F.col(f"__{c}"))
+    return rows.join(asked, same & (F.col("__at") >= F.col("__start")) & (F.col("__at") < F.col("__end"))).select(*by, "k", value)
+
+
 def order_statistic(df: DataFrame, value: str, by: list[str], place: Callable[[Column], Column]) -> DataFrame:
-    """The value at a zero-based place of each group's sorted values; place maps the group's size to
-    it. Rows are ranked over ranges of (group, value), so a hot group is many tasks."""
-    known = df.where(F.col(value).isNotNull()).select(*by, value)
-    places = ranked(known, *by, value, name="i")
-    sizes = places.groupBy(*by).agg(F.min("i").alias("first"), F.count("*").alias("n"))
-    wanted = sizes.select((F.col("first") + place(F.col("n"))).alias("i"))
-    return places.join(wanted, "i").select(*by, value)
+    """The value at a zero-based place of each group's sorted values."""
+    return selected(df, value, by, place).select(*by, value)
+
+
+def medians(df: DataFrame, columns: list[str], by: list[str]) -> DataFrame:
+    """(by, {column}_median for each column): exact medians of a group's values that are not null, the
+    mean of both middle ones where their number is even; null where there are none."""
+    each = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("v")) for c in columns])).alias("x")
+    middle = lambda n: F.floor((n - 1) / 2), lambda n: F.floor(n / 2)
+    found = selected(df.select(*by, each).select(*by, "x.*"), "v", [*by, "column"], *middle)
+    return found.groupBy(*by).agg(*[F.avg(F.when(F.col("column") == c, F.col("v"))).alias(f"{c}_median") for c in columns])
 
 
 def scale_place(n: Column) -> Column:

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quorumlake.operators.evaluation import medians
 from quorumlake.schema import PAIR, SAME, Evidence
+from quorumlake.session import staged
 
 
 def supported_paths(paths: DataFrame, decided: DataFrame, store: Evidence, keys_only: bool = False) -> DataFrame:
@@ -100,8 +104,11 @@ def ordered_distinct(df: DataFrame, columns: list[str], order: str) -> DataFrame
 
 
 def median_ranges(df: DataFrame, by: list[str], columns: list[str]) -> DataFrame:
-    """Of each column the median, least and greatest value of a group."""
-    return df.groupBy(*by).agg(*[f(c).alias(f"{c}_{n}") for c in columns for n, f in (("median", F.median), ("min", F.min), ("max", F.max))])
+    """Of each column the median, least and greatest value of a group. Groups are null-safe."""
+    ends = df.groupBy(*by).agg(*[f(c).alias(f"{c}_{n}") for c in columns for n, f in (("min", F.min), ("max", F.max))])
+    middle = medians(df, columns, by).toDF(*[f"__{c}" for c in by], *[f"{c}_median" for c in columns])
+    same = reduce(lambda x, y: x & y, [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in by])
+    return ends.join(middle, same, "left").select(*by, *[f"{c}_{n}" for c in columns for n in ("median", "min", "max")])
 
 
 def equal_work(df: DataFrame, group: str, layout: str, mean: str, totals: list[str], measured: list[str], always: dict[str, Column]) -> DataFrame:
@@ -115,11 +122,13 @@ def equal_work(df: DataFrame, group: str, layout: str, mean: str, totals: list[s
 def implementation_medians(df: DataFrame, case: list[str], family: str, kind: str, kinds: list[str], value: str, base: str) -> DataFrame:
     """Nested medians of several implementations: of each case, then of each family, with the median,
     least and greatest ratio to `base` of the cases."""
-    cases = df.groupBy(family, *case).pivot(kind, kinds).agg(F.median(value))
+    cases = medians(df, [value], [family, *case, kind]).groupBy(family, *case).pivot(kind, kinds).agg(F.first(f"{value}_median"))
     others = [k for k in kinds if k != base]
-    rates = cases.withColumns({f"{k}_over_{base}": F.col(k) / F.col(base) for k in others})
-    ratio = [f(f"{k}_over_{base}").alias(f"{k}_over_{base}_{n}") for k in others for n, f in (("median", F.median), ("min", F.min), ("max", F.max))]
-    return rates.groupBy(family).agg(F.count("*").alias("cases"), *[F.median(k).alias(f"{k}_median") for k in kinds], *ratio)
+    rates = staged(cases.withColumns({f"{k}_over_{base}": F.col(k) / F.col(base) for k in others}), "cases")
+    ranges = median_ranges(rates, [family], [*kinds, *[f"{k}_over_{base}" for k in others]])
+    ratio = [f"{k}_over_{base}_{n}" for k in others for n in ("median", "min", "max")]
+    whole = rates.groupBy(family).agg(F.count("*").alias("cases")).join(ranges.withColumnRenamed(family, "__f"), F.col(family).eqNullSafe(F.col("__f")))
+    return whole.select(family, "cases", *[f"{k}_median" for k in kinds], *ratio)
 
 
 def write_plans(df: DataFrame, path: str) -> None:

@@ -246,13 +246,31 @@ def ablation_factorial(spark, d):
     return out
 
 
-@query()
+#: The watershed as a fold over each component's edges: labels, the pairs of labels kept apart, and
+#: what became of each edge.
+WATERSHED = """same_edges AS (SELECT h_left, h_right FROM decisions WHERE vote = 'same'),
+""" + fx.COMPONENTS + """,
+signed AS (SELECT h_left, h_right, vote, ((CAST(substr(h_left, 2) AS BIGINT) * 7 + CAST(substr(h_right, 2) AS BIGINT) * 3) % 5) AS weight FROM decisions WHERE vote <> 'unknown'),
+inner_edges AS (SELECT x.cc, h_left AS a, h_right AS b, vote, row_number() OVER (PARTITION BY x.cc ORDER BY weight DESC, vote, h_left, h_right) AS k
+  FROM signed JOIN cc x ON h_left = x.handle JOIN cc y ON h_right = y.handle AND x.cc = y.cc),
+walk(cc, k, lab, mut, done) AS (SELECT cc, 0::BIGINT, map_from_entries(list({'k': handle, 'v': handle})), CAST([] AS STRUCT(x VARCHAR, y VARCHAR)[]), '' FROM cc GROUP BY cc UNION ALL
+  SELECT cc, k,
+    CASE WHEN fate = 'forest' THEN map_from_entries(list_transform(map_entries(lab), lambda e: {'k': e.key, 'v': CASE WHEN e.value = y THEN x ELSE e.value END})) ELSE lab END,
+    CASE WHEN fate = 'active' THEN list_append(mut, {'x': x, 'y': y})
+      WHEN fate = 'forest' THEN list_transform(mut, lambda m: {'x': CASE WHEN m.x = y THEN x ELSE m.x END, 'y': CASE WHEN m.y = y THEN x ELSE m.y END}) ELSE mut END, fate
+  FROM (SELECT *, CASE WHEN vote = 'different' THEN CASE WHEN x = y THEN 'ignored' ELSE 'active' END WHEN x = y THEN 'redundant'
+      WHEN len(list_filter(mut, lambda m: least(m.x, m.y) = x AND greatest(m.x, m.y) = y)) > 0 THEN 'rejected' ELSE 'forest' END AS fate
+    FROM (SELECT f.cc, e.k, f.lab, f.mut, e.vote, least(f.lab[e.a], f.lab[e.b]) AS x, greatest(f.lab[e.a], f.lab[e.b]) AS y FROM walk f JOIN inner_edges e ON e.cc = f.cc AND e.k = f.k + 1))),
+last_walk AS (SELECT cc, max_by(lab, k) AS lab FROM walk GROUP BY cc)"""
+
+
+@query(with_decisions("SELECT x.key AS handle, x.value AS label FROM (SELECT unnest(map_entries(lab)) AS x FROM last_walk)", WATERSHED))
 def mutex_watershed(spark, d):
     m, _ = partition.mutex_watershed(fx.handles(spark, d), staged(fx.weighted(spark, d, _decided(spark, d)), "weighted"))
     return m
 
 
-@query()
+@query(with_decisions("SELECT vote, status, count(*) AS n FROM (SELECT vote, done AS status FROM walk JOIN inner_edges USING (cc, k) UNION ALL SELECT vote, 'active' FROM signed JOIN cc x ON h_left = x.handle JOIN cc y ON h_right = y.handle AND x.cc <> y.cc) GROUP BY ALL", WATERSHED))
 def mutex_edge_status(spark, d):
     _, status = partition.mutex_watershed(fx.handles(spark, d), staged(fx.weighted(spark, d, _decided(spark, d)), "weighted"))
     return status.groupBy("vote", "status").agg(F.count("*").alias("n"))
@@ -674,8 +692,9 @@ def architecture_rollup(spark, d):
 
 @query("SELECT l_returnflag, round(median(m), 6) AS middle, min(m) AS least, max(m) AS most FROM (SELECT l_returnflag, l_suppkey, median(l_quantity) AS m FROM lineitem GROUP BY ALL) GROUP BY ALL")
 def nested_median(spark, d):
-    one = fx.table(spark, d, "lineitem").groupBy("l_returnflag", "l_suppkey").agg(F.median("l_quantity").alias("m"))
-    return one.groupBy("l_returnflag").agg(F.round(F.median("m"), 6).alias("middle"), F.min("m").alias("least"), F.max("m").alias("most"))
+    one = evaluation.medians(fx.table(spark, d, "lineitem"), ["l_quantity"], ["l_returnflag", "l_suppkey"]).withColumnRenamed("l_quantity_median", "m")
+    found = reports.median_ranges(staged(one, "medians"), ["l_returnflag"], ["m"])
+    return found.select("l_returnflag", F.round("m_median", 6).alias("middle"), F.col("m_min").alias("least"), F.col("m_max").alias("most"))
 
 
 @query("SELECT user_id, count(*) FILTER (event_type = 'error') AS error, count(*) FILTER (event_type = 'view') AS view FROM events GROUP BY user_id")

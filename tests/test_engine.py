@@ -6,11 +6,12 @@ import os
 import random
 import tempfile
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from quorumlake.functions import scalars
-from quorumlake.operators import baselines, certificates, checker, decisions, evaluation, ingest, partition, replication
+from quorumlake.operators import baselines, certificates, checker, decisions, evaluation, ingest, partition, replication, reports
 from quorumlake.schema import CELL, PAIR, Evidence
 from quorumlake.session import staged
 from quorumlake.sources import generators, state
@@ -202,6 +203,52 @@ def test_large_components_are_contracted_alike(spark):
         assert {r.handle: r.label for r in partition.partition(handles, decided).collect()} == want
 
 
+def test_the_checker_rebuilds_large_components_in_rounds(spark, ternary, monkeypatch):
+    monkeypatch.setattr(checker, "MOST_RELATIONS", 0)
+    store, graphs = ternary
+    want = {}
+    for names, votes in graphs:
+        want |= greedy([p for p, v in votes.items() if v == "s"], [p for p, v in votes.items() if v == "d"], names)
+    assert {r.handle: r.label for r in checker.rebuilt(store, staged(checker.recomputed(store))).collect()} == want
+    decided = staged(generators.stress(spark, "dense_cut", 24).groupBy(*PAIR).agg(F.max("vote").alias("vote")))
+    rows = decided.collect()
+    names = {h for r in rows for h in (r.h_left, r.h_right)}
+    handles = spark.createDataFrame([(h,) for h in names], "handle string")
+    found = checker.rebuilt(Evidence(store.cells, handles, store.sources, store.threshold), decided)
+    assert {r.handle: r.label for r in found.collect()} == greedy([r[:2] for r in rows if r.vote == "same"], [r[:2] for r in rows if r.vote == "different"], names)
+
+
+def test_paths_from_both_ends(spark):
+    """Against a search over all paths, with ties, hubs and long chains, many queries of one end."""
+    rng = random.Random(6)
+    edges = {tuple(sorted((f"k{i:02}", f"k{j:02}"))) for i in range(30) for j in rng.sample(range(30), 2) if i != j}
+    edges |= {(f"m{i:02}", f"m{i + 1:02}") for i in range(17)} | {("hub", f"z{i}") for i in range(9)}
+    rows = [(a, b, 0, "v0", "same", "") for a, b in sorted(edges)]
+    names = sorted({h for e in edges for h in e})
+    store = Evidence(spark.createDataFrame(rows, CELL), spark.createDataFrame([(n,) for n in names], "handle string"), ("v0",), 1)
+    near = {n: sorted(b if a == n else a for a, b in edges if n in (a, b)) for n in names}
+
+    def shortest(a, b):
+        level = {a: (a,)}
+        seen = {a}
+        while level and b not in level:
+            grown = {}
+            for n, path in sorted(level.items()):
+                for m in near[n]:
+                    if m not in seen:
+                        grown[m] = min(grown.get(m, (*path, m)), (*path, m))
+            seen |= set(grown)
+            level = grown
+        return level.get(b)
+
+    asked = [(a, b) for a in names for b in names if a < b and shortest(a, b)]
+    asked = [*rng.sample(asked, 60), ("m00", "m17"), ("m03", "m04"), *[(a, b) for a, b in asked if a == "hub"]]
+    asked += [(b, a) for a, b in asked[:20]]
+    views = certificates.Views(store)
+    found = certificates.same_paths(spark.createDataFrame(sorted(set(asked)), "q_left string, q_right string"), views)
+    assert {(r.q_left, r.q_right): tuple(r.path) for r in found.collect()} == {q: shortest(*q) for q in asked}
+
+
 def watershed(handles, edges):
     group, mutex, status = {h: frozenset([h]) for h in handles}, [], {}
     for a, b, vote, _ in sorted(edges, key=lambda e: (-e[3], e[2] == "same", e[:2])):
@@ -276,6 +323,21 @@ def test_scalars(spark):
     assert tuple(round(x, 4) for x in spark.range(1).select(low, high).first()) == (0.4902, 0.9433)
 
 
+def test_medians_of_hot_groups_and_ties(spark):
+    rng = np.random.default_rng(3)
+    groups = {"hot": [float(x) for x in rng.integers(0, 5, 3000)], "one": [2.5], "two": [1.0, 4.0], "none": [None, None], None: [3.0, 1.0, None, 2.0], "far": [*map(float, rng.normal(size=501))]}
+    rows = [(g, v, 2 * v if v is not None and i % 2 else None) for g, x in groups.items() for i, v in enumerate(x)]
+    frame = spark.createDataFrame(rows, "g string, v double, w double").repartition(5)
+    got = {r.g: r for r in evaluation.medians(frame, ["v", "w"], ["g"]).collect()}
+    for g in groups:
+        for c, at in (("v", 1), ("w", 2)):
+            own = [r[at] for r in rows if r[0] == g and r[at] is not None]
+            assert (got[g][f"{c}_median"] if g in got else None) == (float(np.median(own)) if own else None)
+    spread = {r.g: r for r in reports.median_ranges(frame, ["g"], ["v"]).collect()}
+    assert set(spread) == set(groups) and spread[None].v_median == 2.0 and spread["none"].v_median is None and spread["hot"].v_max == 4.0
+    assert evaluation.medians(frame.limit(0), ["v"], ["g"]).count() == 0
+
+
 def test_order_statistics_and_partitions(spark):
     rows = spark.createDataFrame([("a", float(i)) for i in range(1, 41)] + [("b", 1.0)], "g string, x double")
     assert rows_of(evaluation.order_statistic(rows, "x", ["g"], evaluation.scale_place)) == [("a", 38.0), ("b", 1.0)]
