@@ -30,8 +30,8 @@ from quorumlake.session import release, shared_dir, staged
 
 WINDOW, GRAM = 13, 5
 
-#: Hashes that the sketch tracks, and the least share of index rows that makes a hash hot.
-TRACKED, HOT = 4096, 1 / 2000
+#: Hashes that the sketch tracks, and the least share and number of a batch's rows that make one hot.
+TRACKED, HOT, LEAST_HOT = 4096, 1 / 2000, 1000
 
 _P1, _P2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -87,14 +87,50 @@ def described(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     return map_arrow(_source(docs), run, "doc_id bigint, n_words bigint, sha binary, hashes array<bigint>")
 
 
+MANIFEST = "runs array<string>, hot array<bigint>, hot_rows array<string>, buckets int"
+
+
 class FingerprintIndex:
-    """Sorted runs of (hash, doc_id) below one folder. Tables of one session: `runs` names them."""
+    """Sorted runs of (hash, doc_id) below one folder, and the rows of hot hashes beside them.
+
+    With a folder of its own an index lasts: each batch ends with a manifest of runs, hot hashes and
+    bucket number, and a later session opens the folder and goes on. Runs are Spark tables, so that
+    joins know their buckets; opening names them anew. Without a folder nothing of it is kept.
+    """
 
     def __init__(self, spark: SparkSession, buckets: int, fan_in: int = 8, folder: str | None = None) -> None:
-        self.spark, self.buckets, self.fan_in = spark, buckets, fan_in
+        self.spark, self.buckets, self.fan_in, self.lasting = spark, buckets, fan_in, folder is not None
         self.folder = folder or f"{shared_dir(spark)}/index-{uuid.uuid4().hex}"
         self.runs: list[str] = []
         self.hot: set[int] = set()
+        self.hot_rows: list[str] = []  # folders of hot hashes' rows
+        self.before: list[str] = []  # those of earlier sessions, whose rows no ingest here has told
+        self.saved = 0
+
+    @classmethod
+    def open(cls, spark: SparkSession, folder: str, fan_in: int = 8) -> FingerprintIndex:
+        """The index as its last whole batch left it."""
+        rows = spark.read.option("basePath", f"{folder}/manifest").schema(f"{MANIFEST}, number int").json(f"{folder}/manifest/number=*")
+        last = rows.orderBy(F.desc("number")).first()
+        out = cls(spark, last["buckets"], fan_in, folder)
+        out.runs, out.hot, out.saved = list(last["runs"]), set(last["hot"]), last["number"]
+        out.hot_rows, out.before = list(last["hot_rows"]), list(last["hot_rows"])
+        for name in out.runs:
+            place = f"{folder}/{name}".replace("'", "\\'")
+            spark.sql(f"CREATE TABLE IF NOT EXISTS {name} (hash BIGINT, doc_id BIGINT) USING parquet CLUSTERED BY (hash) SORTED BY (hash) INTO {out.buckets} BUCKETS LOCATION '{place}'")
+        return out
+
+    def _save(self) -> None:
+        if self.lasting:
+            self.saved += 1
+            row = (self.runs, sorted(self.hot), self.hot_rows, self.buckets)
+            self.spark.createDataFrame([row], MANIFEST).coalesce(1).write.mode("overwrite").json(f"{self.folder}/manifest/number={self.saved}")
+
+    def _keep_hot(self, rows: DataFrame) -> None:
+        if self.lasting:
+            name = f"hot_{uuid.uuid4().hex}"
+            rows.select("hash", "doc_id").write.parquet(f"{self.folder}/{name}")
+            self.hot_rows.append(name)
 
     def _write(self, rows: DataFrame) -> str:
         name = f"run_{uuid.uuid4().hex}"
@@ -109,11 +145,16 @@ class FingerprintIndex:
         """Add a batch (hash, doc_id). Returns the rows, of the batch and of older runs, whose hash
         stands in two documents of which one at least is in the batch."""
         top = rows.agg(F.count("*").alias("n"), F.expr(f"approx_top_k(hash, 1000, {TRACKED})").alias("top")).first()
-        new = {r["item"] for r in top["top"] or [] if r["count"] > max(1000, HOT * top["n"])} - self.hot
+        new = {r["item"] for r in top["top"] or [] if r["count"] > max(LEAST_HOT, HOT * top["n"])} - self.hot
         again = [self.spark.table(r).where(F.col("hash").isin(sorted(new))) for r in self.runs] if new else []
         self.hot |= new
         shared = [rows.where(F.col("hash").isin(sorted(self.hot)))] if self.hot else []
         shared += again
+        for x in shared:
+            self._keep_hot(x)
+        if self.before:
+            old = self.spark.read.schema("hash bigint, doc_id bigint").parquet(*[f"{self.folder}/{p}" for p in self.before])
+            shared.append(old.join(rows.select("hash").distinct(), "hash", "left_semi"))
         name = self._write(self._cold(rows))
         run, group = self.spark.table(name), Window.partitionBy("hash")
         both = run.withColumn("lo", F.min("doc_id").over(group)).withColumn("hi", F.max("doc_id").over(group))
@@ -126,6 +167,7 @@ class FingerprintIndex:
             out = out.unionByName(x.select("doc_id", "hash"))
         out = staged(out, "shared")
         self.runs.append(name)
+        self._save()
         if len(self.runs) >= self.fan_in:
             self.compact()
         return out
@@ -136,18 +178,21 @@ class FingerprintIndex:
             rows = self.spark.table(self.runs[0])
             for r in self.runs[1:]:
                 rows = rows.unionByName(self.spark.table(r))
-            name = self._write(self._cold(rows))
-            self.drop()
-            self.runs = [name]
+            last, self.runs = self.runs, [self._write(self._cold(rows))]
+            self._save()
+            self._delete(last)
 
     def drop(self) -> None:
         """Delete the runs and their files."""
+        self._delete(self.runs)
+        self.runs = []
+
+    def _delete(self, runs: list[str]) -> None:
         jvm = self.spark.sparkContext._jvm
-        for name in self.runs:
+        for name in runs:
             self.spark.sql(f"DROP TABLE IF EXISTS {name}")
             path = jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}")
             path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-        self.runs = []
 
 
 def shared_windows(docs: DataFrame, shared: DataFrame, window: int = WINDOW, hot: set[int] = frozenset()) -> DataFrame:
@@ -214,16 +259,22 @@ def _cut(words: list[bytes], asked: list[int], window: int) -> np.ndarray:
     return np.cumsum(edge[:-1]) > 0
 
 
-def deduplicate(docs: DataFrame, window: int = WINDOW, batches: int = 2, with_text: bool = False) -> DataFrame:
+def deduplicate(
+    docs: DataFrame, window: int = WINDOW, batches: int = 2, with_text: bool = False, index: FingerprintIndex | None = None, history: DataFrame | None = None
+) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha (hex) for every row of docs; with_text adds kept_text,
     null where nothing was removed.
 
     Documents come in `batches` by ascending id, each merged into the index. A word goes if a window
     that covers it also starts in a document of smaller id; windows are those of the input.
+    With an `index` that holds earlier documents, and their texts as `history`, docs are judged against
+    both and join the index, which stays; earlier documents are not judged again. Of history, only
+    documents that share a fingerprint with docs are read further.
     Null and empty texts and texts below `window` words lose nothing. Rows of one id are one
-    document. Null ids are nobody's smaller id and lose nothing. An empty table gives no rows.
+    document. Null ids are nobody's smaller id and lose nothing. An empty table gives no rows. Other
+    columns are not read.
     """
-    spark = docs.sparkSession
+    spark, lasting = docs.sparkSession, index is not None
     whole = staged(described(docs, window), "described")
     known = staged(whole.select("doc_id", "n_words", "sha"), "known")
     long, total = F.col("n_words") >= window, known.count()
@@ -236,16 +287,18 @@ def deduplicate(docs: DataFrame, window: int = WINDOW, batches: int = 2, with_te
     own = staged(whole.where("doc_id is not null").select("doc_id", "hashes").join(gone, "doc_id", "left_anti"), "own")
     release(spark, whole, gone)
     size = own.agg(F.sum(F.size("hashes").cast("bigint")).alias("n"), F.percentile_approx("doc_id", [k / batches for k in range(1, batches)], 10_000).alias("cuts")).first()
-    index = FingerprintIndex(spark, buckets=max(8, int(spark.conf.get("spark.sql.shuffle.partitions")), (size["n"] or 0) // 2_000_000))
+    index = index or FingerprintIndex(spark, buckets=max(8, int(spark.conf.get("spark.sql.shuffle.partitions")), (size["n"] or 0) // 2_000_000))
     cuts = [None, *sorted(set(size["cuts"] or [])), None]
     shared = None
     for low, high in zip(cuts[:-1], cuts[1:], strict=True):
         batch = own.where(F.lit(True) if low is None else F.col("doc_id") > low).where(F.lit(True) if high is None else F.col("doc_id") <= high)
         found = index.ingest(batch.select(F.explode("hashes").alias("hash"), "doc_id"))
         shared = found if shared is None else shared.unionByName(found)
-    index.drop()
+    if not lasting:
+        index.drop()
     release(spark, own)
-    cut = repeated(shared_windows(docs, shared, window, index.hot), bool(index.hot))
+    texts = docs.select("doc_id", "text")
+    cut = repeated(shared_windows(texts if history is None else texts.unionByName(history.select("doc_id", "text")), shared, window, index.hot), bool(index.hot))
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         sha, removed, kept, texts = [], [], [], []

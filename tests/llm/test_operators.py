@@ -523,6 +523,34 @@ def test_url_rules(spark):
     assert urls.judge(pages.limit(0), rules).count() == 0
 
 
+@pytest.mark.parametrize("least_hot", [1000, 3])
+def test_an_index_is_opened_again_and_compacted(spark, monkeypatch, least_hot):
+    """Batches in sessions of their own equal one pass over everything."""
+    import random
+    import tempfile
+
+    monkeypatch.setattr(substrings, "LEAST_HOT", least_hot)
+    monkeypatch.setattr(substrings, "HOT", 0.0)
+    rng, folder = random.Random(7), tempfile.mkdtemp(prefix="spark-")
+    pool = [" ".join(f"w{rng.randrange(500)}" for _ in range(20)) for _ in range(12)]
+    text = lambda: " ".join(x for _ in range(3) for x in (rng.choice(pool), f"own{rng.random()}"))
+    rows = [(i, text() if i % 9 else None) for i in range(60)]
+    rows = [(i, rows[i - 20][1] if i % 11 == 10 and i > 20 else t) for i, t in rows]
+    frames = [spark.createDataFrame(rows[a : a + 15], "doc_id long, text string") for a in range(0, 60, 15)]
+    index, history, got = substrings.FingerprintIndex(spark, 4, fan_in=3, folder=folder), None, []
+    for number, frame in enumerate(frames):
+        if number:
+            for name in index.runs:  # another session doesn't know the tables
+                spark.sql(f"DROP TABLE IF EXISTS {name}")
+            index = substrings.FingerprintIndex.open(spark, folder, fan_in=3)
+        got += map(tuple, substrings.deduplicate(frame, batches=1, index=index, history=history).collect())
+        history = frame if history is None else history.unionByName(frame)
+        assert len(index.runs) == (1, 2, 1, 2)[number]  # the third batch compacts
+    every = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(got) == sorted(map(tuple, substrings.deduplicate(every).collect()))
+    assert sum(r[2] for r in got) > 300 and bool(index.hot) == (least_hot == 3)
+
+
 def test_hot_windows_take_the_counted_path(spark):
     rows = spark.createDataFrame([(1, 1, d, True) for d in (3, 5, 9)] + [(2, 2, d, False) for d in (4, 6)] + [(2, 3, 1, False)], "h1 long, h2 long, doc_id long, hot boolean")
     for some_hot in (True, False):
