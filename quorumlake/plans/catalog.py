@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -10,8 +12,8 @@ from quorumlake.operators import agreement, baselines, certificates, checker, de
 from quorumlake.plans import fixtures as fx
 from quorumlake.plans.fixtures import ENDED, EPOCHS, REPLICAS, sql, with_decisions, with_partition
 from quorumlake.schema import PAIR, SAME, UNKNOWN, Evidence
-from quorumlake.sources import generators, state
-from quorumlake.session import staged
+from quorumlake.sources import generators, records, state
+from quorumlake.session import shared_dir, staged
 from quorumlake.streaming import ingest as stream
 from quorumlake.streaming import live
 
@@ -444,6 +446,37 @@ def replica_divergence(spark, d):
     return replication.divergence(fx.replicas(spark, d).drop("reason"), 0, 2).groupBy("side").agg(F.count("*").alias("n"))
 
 
+# Records ------------------------------------------------------------------------------------------
+
+
+def _records(spark, d) -> records.Records:
+    """The customer evidence written as JSON lines, some of them spoilt on the way, and read again."""
+    path = f"{shared_dir(spark)}/records-{uuid.uuid4().hex}"
+    store = fx.store(spark, d)
+    records.write(Evidence(store.cells, store.handles, store.sources, store.threshold, _floors(spark, d, 3)), f"{path}/whole")
+    k = F.regexp_extract("value", '"left":"c0*([0-9]+)"', 1).try_cast("int") % 40
+    spoilt = F.when(k == 1, F.regexp_replace("value", '"epoch":([0-9]+)', '"epoch":"$1"')).when(k == 2, F.regexp_replace("value", '"vote":"same"', '"vote":"maybe"')).when(k == 3, F.regexp_replace("value", "}$", ""))
+    spoilt = spoilt.when(k == 4, F.regexp_replace("value", '"source":"v4"', '"source":"v9"')).when(k == 5, F.regexp_replace("value", '"epoch":1', '"epoch":-1'))
+    spark.read.text(f"{path}/whole").select(F.coalesce(spoilt, "value").alias("value")).write.text(f"{path}/spoilt")
+    return records.read(spark, f"{path}/spoilt")
+
+
+SPOILT = """spoilt AS (SELECT *, CASE WHEN l % 40 = 1 THEN 'fields or types' WHEN l % 40 = 2 AND vote = 'same' THEN 'vote must be same, different or unknown' WHEN l % 40 = 3 THEN 'not JSON'
+  WHEN l % 40 = 4 AND source = 'v4' THEN 'source must be registered' WHEN l % 40 = 5 AND epoch = 1 THEN 'epoch must not be negative' END AS rule FROM cells),
+floors AS (SELECT h_left, h_right, max(epoch) AS epoch FROM epochs WHERE sealed AND CAST(substr(h_left, 2) AS INT) % 3 = 0 GROUP BY ALL),
+bad_floors AS (SELECT CASE n % 40 WHEN 1 THEN 'fields or types' WHEN 3 THEN 'not JSON' WHEN 5 THEN CASE WHEN epoch = 1 THEN 'epoch must not be negative' END END AS rule FROM (SELECT *, CAST(substr(h_left, 2) AS INT) AS n FROM floors))"""
+
+
+@query(sql("SELECT h_left, h_right, epoch, source, vote, 'derived ' || vote AS reason FROM spoilt WHERE rule IS NULL", EPOCHS, SPOILT))
+def records_cells(spark, d):
+    return _records(spark, d).cells
+
+
+@query(sql("SELECT rule, count(*) AS n FROM (SELECT rule FROM spoilt UNION ALL SELECT rule FROM bad_floors) WHERE rule IS NOT NULL GROUP BY rule", EPOCHS, SPOILT))
+def records_quarantine(spark, d):
+    return _records(spark, d).quarantine.groupBy("rule").agg(F.count("*").alias("n"))
+
+
 # Digests, versions and floor rounds ---------------------------------------------------------------
 
 

@@ -1,5 +1,6 @@
 """Streams with floors, the partition that follows them, digests, floor rounds and agreement."""
 
+import json
 import random
 import tempfile
 
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 from quorumlake.operators import agreement, digests, replication
 from quorumlake.operators.partition import partition
 from quorumlake.schema import CELL, KEY
+from quorumlake.sources import records
 from quorumlake.streaming import ingest as stream
 from quorumlake.streaming.live import LivePartition
 
@@ -155,3 +157,39 @@ def test_tables_agree_or_not(spark):
     assert sorted(map(tuple, agreement.within_tolerance(*frames, ["k"], "v", 0.5).collect())) == want
     with pytest.raises(ValueError, match="positive"):
         agreement.within_tolerance(*frames, ["k"], "v", 0.0)
+
+
+def test_broken_records_are_set_aside_alone(spark):
+    base = tempfile.mkdtemp(prefix="spark-")
+    good = [
+        '{"kind":"registry","sources":["v0","v1"],"threshold":1}',
+        '{"epoch":0,"kind":"cell","left":"a","reason":"","right":"b","source":"v0","vote":"same"}',
+        '{"vote":"same","kind":"cell","left":"a","right":"b","source":"v1","epoch":0,"reason":"\\u00e9 \\n"}',
+        '{"epoch":0,"kind":"floor","left":"a","right":"b"}',
+        '{"handle":"lonely","kind":"handle"}',
+    ]
+    cell_line = lambda **x: json.dumps({"kind": "cell", "epoch": 1, "left": "a", "right": "c", "source": "v0", "vote": "same", "reason": "r"} | x)
+    bad = {
+        "": "not JSON", "{": "not JSON", '{"kind":"cell","kind":"cell"}': "not JSON", "[1]": "unknown kind", "7": "unknown kind", '{"kind":7}': "unknown kind", '{"kind":"vote"}': "unknown kind", "null": "unknown kind",
+        cell_line(epoch="1"): "fields or types", cell_line(epoch=1.5): "fields or types", cell_line(epoch=True): "fields or types", cell_line(epoch=None): "fields or types", cell_line(more=1): "fields or types", '{"kind":"handle"}': "fields or types",
+        cell_line(epoch=-1): "epoch must not be negative", cell_line(left="c"): "handles must be non-empty and in order", cell_line(left=""): "handles must be non-empty and in order", '{"handle":"","kind":"handle"}': "handles must be non-empty and in order",
+        cell_line(vote="maybe"): "vote must be same, different or unknown", '{"kind":"registry","sources":["v0"],"threshold":2}': "threshold out of range",
+        cell_line(source="v9"): "source must be registered", cell_line(right="d", vote="different"): "equivocation", cell_line(right="d"): "equivocation",
+    }
+    spark.createDataFrame([(x,) for x in [*good, *good, *bad]], "value string").repartition(3).write.text(f"{base}/in")
+    found = records.read(spark, f"{base}/in")
+    assert rows_of(found.quarantine) == sorted(bad.items(), key=str)
+    store = found.evidence()
+    assert rows_of(store.cells) == [("a", "b", 0, "v0", "same", ""), ("a", "b", 0, "v1", "same", "é \n")] and rows_of(store.floors) == [("a", "b", 0)]
+    assert rows_of(store.handles) == [("lonely",)] and (store.sources, store.threshold) == (("v0", "v1"), 1)
+    for compression in ("none", "gzip"):
+        records.write(store, f"{base}/{compression}", compression)
+        again = records.read(spark, f"{base}/{compression}")
+        assert again.quarantine.count() == 0 and rows_of(again.evidence().cells) == rows_of(store.cells)
+        written = [r.value for r in spark.read.text(f"{base}/{compression}").collect()]
+        assert written == sorted(written, key=lambda x: [json.loads(x).get(c, "") for c in ("kind", "left", "right", "epoch", "source", "handle")]) and all(list(json.loads(x)) == sorted(json.loads(x)) for x in written)
+    spark.createDataFrame([(x,) for x in good[1:]], "value string").write.text(f"{base}/none_known")
+    lost = records.read(spark, f"{base}/none_known")
+    assert lost.quarantine.count() == 2 and lost.cells.count() == 0
+    with pytest.raises(ValueError, match="no registry"):
+        lost.evidence()
