@@ -65,8 +65,12 @@ def _keyed(hashed: DataFrame, own: str, stride: int) -> DataFrame:
     bands = [F.expr(f"transform(__h, h -> xxhash64(h, {k}))") for k in range(BANDS)]
     # the filter stands above the generator: below it, it would hash every text once more
     each = hashed.select(own, F.posexplode(F.array(*bands, F.col("__h"))).alias("k", "p")).where(F.size("p") > 0)
-    inside = ", ".join(f"get(p, s + {i})" for i in range(WINDOW))  # slice() would copy the array at each window
-    least = F.expr(f"transform(sequence(0, greatest(0, size(p) - {WINDOW}), {stride}), s -> least({inside}))")
+    # minima of `stride` neighbours are shared by the windows that hold them; get() is null past the end
+    part = ", ".join(f"get(p, {stride} * j + {i})" for i in range(stride))
+    shared = f"transform(sequence(0, cast((size(p) - 1) div {stride} as int)), j -> least({part}))" if stride > 1 else "p"
+    each = each.withColumn("m", F.when(F.col("k") < BANDS, F.expr(shared)))
+    inside = ", ".join(f"get(m, s + {i})" for i in range(WINDOW // stride))  # slice() would copy the array at each window
+    least = F.expr(f"transform(sequence(0, cast(greatest(0, size(p) - {WINDOW}) div {stride} as int)), s -> least({inside}))")
     long = F.col("k") < BANDS
     # the outer form: for the inner one Spark first filters by the array's size, and makes it twice
     keys = F.explode_outer(F.array_distinct(F.when(long, least).otherwise(F.col("p")))).alias("key")
