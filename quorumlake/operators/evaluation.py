@@ -16,6 +16,14 @@ from quorumlake.session import staged
 Predicate = Callable[[Column, Column], Column]
 
 
+# The reasons that votes carry.
+SIGNATURE_REASON = "successful-endpoint-and-http-signature"
+CONFLICTS_REASON = "disjoint-endpoints-and-two-http-conflicts"
+INSUFFICIENT_REASON = "insufficient-independent-evidence"
+OVERLAP_REASON = "endpoint-overlap"
+NO_OVERLAP_REASON = "no-observed-endpoint-overlap"
+
+
 def conservative(header_conflict_threshold: float = 0.25) -> Predicate:
     """SAME takes a shared endpoint that answered and one HTTP signature; DIFFERENT takes disjoint
     endpoints that answered and two HTTP conflicts; all else is UNKNOWN."""
@@ -38,9 +46,9 @@ def conservative(header_conflict_threshold: float = 0.25) -> Predicate:
         ends = (F.size(a["endpoints"]) > 0) & (F.size(b["endpoints"]) > 0) & ~overlap
         result = lambda v, r: F.struct(F.lit(v).alias("vote"), F.lit(r).alias("reason"))
         return (
-            F.when(overlap & answered & signature, result(SAME, "shared endpoint and http signature"))
-            .when(ends & answered & http & (conflicts >= 2), result(DIFFERENT, "disjoint endpoints and two http conflicts"))
-            .otherwise(result(UNKNOWN, "not enough independent evidence"))
+            F.when(overlap & answered & signature, result(SAME, SIGNATURE_REASON))
+            .when(ends & answered & http & (conflicts >= 2), result(DIFFERENT, CONFLICTS_REASON))
+            .otherwise(result(UNKNOWN, INSUFFICIENT_REASON))
         )
 
     return vote
@@ -49,7 +57,7 @@ def conservative(header_conflict_threshold: float = 0.25) -> Predicate:
 def endpoint_only(a: Column, b: Column) -> Column:
     """A closed-world control: no shared endpoint means DIFFERENT."""
     overlap = F.arrays_overlap(a["endpoints"], b["endpoints"])
-    return F.struct(F.when(overlap, SAME).otherwise(DIFFERENT).alias("vote"), F.when(overlap, "shared endpoint").otherwise("no shared endpoint").alias("reason"))
+    return F.struct(F.when(overlap, SAME).otherwise(DIFFERENT).alias("vote"), F.when(overlap, OVERLAP_REASON).otherwise(NO_OVERLAP_REASON).alias("reason"))
 
 
 def enumerate_pairs(observations: DataFrame, block: str | None = None) -> DataFrame:

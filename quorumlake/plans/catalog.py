@@ -651,14 +651,14 @@ def jaccard(spark, d):
     return p.join(following, "p_partkey").select("p_partkey", F.round(scalars.jaccard(F.col("t"), F.col("u")), 6).alias("similarity"))
 
 
-@query(f"WITH {OBSERVED}, {PAIRED} SELECT case_a, case_b, vantage_a, vantage_b, truth, vote FROM judged")
+@query(f"WITH {OBSERVED}, {PAIRED} SELECT case_a, case_b, vantage_a, vantage_b, truth, vote, CASE vote WHEN 'same' THEN 'successful-endpoint-and-http-signature' WHEN 'different' THEN 'disjoint-endpoints-and-two-http-conflicts' ELSE 'insufficient-independent-evidence' END AS reason FROM judged")
 def pair_predicate(spark, d):
-    return evaluation.pair_decisions(_observed(spark, d)).select("case_a", "case_b", "vantage_a", "vantage_b", "truth", "vote")
+    return evaluation.pair_decisions(_observed(spark, d)).select("case_a", "case_b", "vantage_a", "vantage_b", "truth", "vote", "reason")
 
 
-@query(f"WITH {OBSERVED}, {PAIRED} SELECT case_a, case_b, vantage_a, vantage_b, CASE WHEN o THEN 'same' ELSE 'different' END AS vote FROM paired")
+@query(f"WITH {OBSERVED}, {PAIRED} SELECT case_a, case_b, vantage_a, vantage_b, CASE WHEN o THEN 'same' ELSE 'different' END AS vote, CASE WHEN o THEN 'endpoint-overlap' ELSE 'no-observed-endpoint-overlap' END AS reason FROM paired")
 def endpoint_predicate(spark, d):
-    return evaluation.pair_decisions(_observed(spark, d), evaluation.endpoint_only).select("case_a", "case_b", "vantage_a", "vantage_b", "vote")
+    return evaluation.pair_decisions(_observed(spark, d), evaluation.endpoint_only).select("case_a", "case_b", "vantage_a", "vantage_b", "vote", "reason")
 
 
 @query(f"WITH {OBSERVED} SELECT a.case_id AS case_a, b.case_id AS case_b, a.vantage AS vantage_a, b.vantage AS vantage_b FROM obs a JOIN obs b ON a.case_id || chr(1) || a.vantage < b.case_id || chr(1) || b.vantage")
