@@ -41,3 +41,29 @@ def within_tolerance(a: DataFrame, b: DataFrame, key: list[str], value: str, tol
     left = sound(a).select(*key, bin_.alias("bin"), F.col(value).alias("a_value"))
     right = sound(b).select(*key, F.explode(F.array(bin_ - 1, bin_, bin_ + 1)).alias("bin"), F.col(value).alias("b_value"))
     return left.join(right, [*key, "bin"]).where(F.abs(F.col("a_value") - F.col("b_value")) <= tolerance).drop("bin")
+
+
+def metric_differences(recomputed: DataFrame, stated: DataFrame, key: list[str], metrics: list[str], tolerance: float = 1e-9) -> DataFrame:
+    """(key, metric, recomputed, stated, rule) of what two rollups of one key don't agree on.
+
+    Values agree if they differ by at most `tolerance` times the larger of 1 and both sizes, if both
+    are NaN or if both are null. rule: `unlike`, `one is null`, or `only recomputed`, `only stated`
+    for keys that one rollup lacks, a row a metric. Null parts of keys are equal to each other. A key
+    that a rollup has twice is compared with each of the other's rows.
+    """
+    side = lambda df, name: df.select(*[F.col(c).alias(f"{name}_{c}") for c in key], F.lit(True).alias(f"{name}_there"), *[F.col(m).cast("double").alias(f"{name}__{m}") for m in metrics])
+    same = F.lit(True)
+    for c in key:
+        same = same & F.col(f"a_{c}").eqNullSafe(F.col(f"b_{c}"))
+    both = side(recomputed, "a").join(side(stated, "b"), same, "full")
+    named = [F.when(F.col("a_there").isNotNull(), F.col(f"a_{c}")).otherwise(F.col(f"b_{c}")).alias(c) for c in key]
+    each = F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(f"a__{m}").alias("recomputed"), F.col(f"b__{m}").alias("stated")) for m in metrics])).alias("x")
+    rows = both.select(*named, "a_there", "b_there", each).select(*key, "a_there", "b_there", "x.*")
+    a, b = F.col("recomputed"), F.col("stated")
+    # equality comes first: infinities have no difference, and NaN is equal to NaN
+    near = (a == b) | (F.abs(a - b) <= tolerance * F.greatest(F.lit(1.0), F.abs(a), F.abs(b))) & ~F.isnan(a - b)
+    rule = (
+        F.when(F.col("b_there").isNull(), "only recomputed").when(F.col("a_there").isNull(), "only stated")
+        .when(a.isNull() & b.isNull(), None).when(a.isNull() | b.isNull(), "one is null").when(~near | (F.abs(a) == float("inf")) & (a != b), "unlike")
+    )
+    return rows.withColumn("rule", rule).where("rule is not null").select(*key, "metric", "recomputed", "stated", "rule")

@@ -601,6 +601,21 @@ def tolerance_match(spark, d):
     return agreement.within_tolerance(rolled.where("half = 0"), rolled.where("half = 1"), ["user_id"], "m", 400.0)
 
 
+@query("""WITH rolled AS (SELECT l_linenumber % 3 AS execution, l_returnflag AS family, median(l_quantity) AS m, min(l_quantity) AS lo, max(l_quantity) AS hi FROM lineitem GROUP BY ALL)
+SELECT execution::BIGINT AS execution, family, 'l_quantity_median' AS metric, m AS recomputed, m + 1 AS stated, 'unlike' AS rule FROM rolled WHERE execution = 1 AND family = 'A'
+UNION ALL SELECT execution, family, metric, v, NULL, 'only recomputed' FROM (SELECT execution, family, unnest(['l_quantity_median', 'l_quantity_min', 'l_quantity_max']) AS metric, unnest([m, lo, hi]) AS v FROM rolled WHERE execution = 2 AND family = 'R')
+UNION ALL SELECT 7, 'N', metric, NULL, v, 'only stated' FROM (SELECT unnest(['l_quantity_median', 'l_quantity_min', 'l_quantity_max']) AS metric, unnest([m, lo, hi]) AS v FROM rolled WHERE execution = 0 AND family = 'N')""")
+def summary_agreement(spark, d):
+    """Medians and ranges by execution and family, recomputed and held against a table that states them
+    with a wrong value, a row too few and a row too many."""
+    rows = fx.table(spark, d, "lineitem").select((F.col("l_linenumber") % 3).cast("bigint").alias("execution"), F.col("l_returnflag").alias("family"), "l_quantity")
+    found = staged(reports.median_ranges(rows, ["execution", "family"], ["l_quantity"]), "rolled")
+    wrong = F.expr("l_quantity_median + if(execution = 1 and family = 'A', 1, 0) + 1e-12")
+    extra = found.where("execution = 0 and family = 'N'").withColumn("execution", F.lit(7).cast("bigint"))
+    stated = found.where("not (execution = 2 and family = 'R')").withColumn("l_quantity_median", wrong).unionByName(extra)
+    return agreement.metric_differences(found, stated, ["execution", "family"], [f"l_quantity_{n}" for n in ("median", "min", "max")])
+
+
 # Observations -------------------------------------------------------------------------------------
 
 OBSERVED = r"""n AS (SELECT CAST(n_nationkey AS BIGINT) AS k, CAST(n_regionkey AS BIGINT) AS t FROM nation),

@@ -159,6 +159,16 @@ def test_tables_agree_or_not(spark):
         agreement.within_tolerance(*frames, ["k"], "v", 0.0)
 
 
+def test_rollups_differ_beyond_a_tolerance(spark):
+    schema, inf, nan = "k string, n int, x double, y double", float("inf"), float("nan")
+    a = [("p", 1, 1.0, None), ("p", 2, 1e12, nan), (None, 1, 2.0, inf), ("q", 1, 0.0, 1.0), ("r", 1, 5.0, inf), ("s", None, 1.0, 1.0)]
+    b = [("p", 1, 1.0 + 1e-10, None), ("p", 2, 1e12 + 100, nan), (None, 1, 2.1, inf), ("q", 1, 1e-8, None), ("r", 1, 5.0, -inf), ("t", None, 1.0, 1.0)]
+    got = agreement.metric_differences(spark.createDataFrame(a, schema), spark.createDataFrame(b, schema), ["k", "n"], ["x", "y"])
+    want = [(None, 1, "x", 2.0, 2.1, "unlike"), ("q", 1, "x", 0.0, 1e-8, "unlike"), ("q", 1, "y", 1.0, None, "one is null"), ("r", 1, "y", inf, -inf, "unlike")]
+    want += [("s", None, m, 1.0, None, "only recomputed") for m in "xy"] + [("t", None, m, None, 1.0, "only stated") for m in "xy"]
+    assert rows_of(got) == sorted(want, key=str)
+
+
 def test_broken_records_are_set_aside_alone(spark):
     base = tempfile.mkdtemp(prefix="spark-")
     good = [
