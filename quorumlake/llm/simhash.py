@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from quorumlake.llm.common import map_arrow, text_of
 from quorumlake.operators.components import connected_components
 from quorumlake.operators.joins import counted_join
-from quorumlake.session import release, staged
+from quorumlake.session import discard, release, staged
 
 #: Fingerprints of a bucket up to which its pairs are compared one by one.
 BUCKET = 64
@@ -201,7 +201,9 @@ def _counts(keys: DataFrame) -> DataFrame:
 def _members(keys: DataFrame, counts: DataFrame) -> DataFrame:
     """(key, b, size, n): the texts of each bucket; of buckets with the same texts, one."""
     buckets = staged(counts.groupBy("n", "low", "high").agg(F.min("key").alias("key")).select("key", "n"), "buckets")
-    return staged(keys.join(buckets, "key"), "members")
+    members = staged(keys.join(buckets, "key"), "members")
+    discard(buckets)
+    return members
 
 
 def _pairs(members: DataFrame, similarity: float) -> DataFrame:
@@ -303,7 +305,7 @@ def groups(docs: DataFrame, similarity: float = 0.8, verified: int = 5) -> DataF
     sets_of = lambda some: map_arrow(rows.join(some, "doc_id", "left_semi"), lambda b: _shingle_sets(b, verified), "id bigint, grams array<bigint>").dropDuplicates(["id"])
     counts = _counts(keys)
     members, common = _members(keys, counts), np.zeros(MARKS, bool)
-    candidates = _pairs(members, similarity)
+    candidates, spent = _pairs(members, similarity), [counts]
     for turn in range(ROUNDS):
         release(spark)
         large = members.where(F.col("n") > SMALL)
@@ -316,8 +318,10 @@ def groups(docs: DataFrame, similarity: float = 0.8, verified: int = 5) -> DataF
         common |= _marks(counts.where(F.col("n") > SMALL))
         rarer = map_arrow(rows.join(hot, "doc_id", "left_semi"), lambda b, c=common.copy(): _rarer(b, verified, similarity, c), "b bigint, size int, prefix array<bigint>")
         keys = staged(rarer.select(F.explode("prefix").alias("key"), "b", "size"), "keys")
+        spent += [members, hot]
         counts = _counts(keys)
         members = _members(keys, counts)
+        spent.append(counts)
         release(spark, keys)
         candidates = candidates.unionByName(_pairs(members, similarity))
     if large is not None:
@@ -326,7 +330,7 @@ def groups(docs: DataFrame, similarity: float = 0.8, verified: int = 5) -> DataF
         around = large.join(centres, "key").where("b <> c").select(F.least("b", "c").alias("a"), F.greatest("b", "c").alias("b"))
         candidates = candidates.unionByName(around)
     pairs = staged(candidates.distinct(), "pairs")
-    release(spark)
+    release(spark, *spent)
     some = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
     maps = staged(nodes.join(some, "doc_id", "left_semi").select("doc_id", "bits", "size").dropDuplicates(["doc_id"]), "maps")
     wide = pairs.join(maps.toDF("a", "x", "n"), "a").join(maps.toDF("b", "y", "m"), "b").select("a", "b", "x", "y", "n", "m")
@@ -338,15 +342,17 @@ def groups(docs: DataFrame, similarity: float = 0.8, verified: int = 5) -> DataF
     linked = left.where((shared >= similarity * (F.size("x") + F.size("y") - shared)) & (F.size("x") > 0)).select("a", "b")
     copies = counted_join(known.select("doc_id", "digest"), firsts, "digest", known.count()).where("doc_id <> node")
     edges = staged(linked.unionByName(copies.select(F.col("node").alias("a"), F.col("doc_id").alias("b"))), "edges")
-    release(spark, sets, close)
-    joined = connected_components(edges, "a", "b")
+    release(spark, sets, close, known, firsts)
+    joined = staged(connected_components(edges, "a", "b"), "joined")
     if large is not None:
-        joined = staged(joined, "joined")
         rest = staged(_rest(large, joined), "rest")
         if not rest.isEmpty():
             sets = staged(sets_of(rest.select(F.col("b").alias("doc_id")).distinct()), "sets")
-            joined = connected_components(edges.unionByName(staged(_across(rest, sets, similarity), "across")), "a", "b")
-            release(spark, sets)
+            across = staged(_across(rest, sets, similarity), "across")
+            joined = staged(connected_components(edges.unionByName(across), "a", "b"), "joined")
+            discard(sets, across)
+        discard(rest)
+    release(spark, members, edges)
     return joined.select(F.col("node").alias("doc_id"), F.col("component").alias("group_id"))
 
 
