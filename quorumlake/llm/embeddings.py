@@ -233,7 +233,7 @@ def near_duplicates(rows: DataFrame, threshold: float = 0.95, recall: float = 0.
     Vectors link with others of their length; each length has an index of its own. Equal vectors are
     linked to each other. Repeated rows, and unlike vectors under one id, each have a row and count
     as vectors of their own; an id's component is that of all its vectors. Null ids are no vector's
-    link. An empty table gives no rows.
+    link. Other columns are not read. An empty table gives no rows.
     """
     every = vectors(rows)
     sound = staged(every.where("v is not null"), "vectors")

@@ -195,7 +195,8 @@ def predict(docs: DataFrame) -> DataFrame:
 
     Null, empty and letterless texts, and all texts if no language is known, are und with score 0.
     Ties go to the first language by name. Null ids teach nothing and are not held out. Repeated
-    rows each have a row; an empty table gives none.
+    rows each have a row; an empty table gives none. Very long texts are read whole. Other columns are
+    not read.
     """
     found = identify(docs, *learn(docs))
     return found.select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "lang_pred", "score")

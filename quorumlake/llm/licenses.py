@@ -106,7 +106,8 @@ def scan(docs: DataFrame, templates: DataFrame, containment: float = CONTAINMENT
 
     One row per id and template; of repeated ids the fullest text counts, null ids are one id.
     Null, empty and short texts match nothing; templates below five words match nothing. Ties
-    can't occur. An empty table gives no rows.
+    can't occur. Very long texts are read whole. Other columns are not read. An empty table gives no
+    rows.
     """
     own, texts = templates.select("template_id", "text"), docs.select("doc_id", "text")
     found = staged(candidates(texts, staged(template_keys(own), "keys")), "candidates")

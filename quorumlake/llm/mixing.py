@@ -133,7 +133,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float =
     Null and empty texts have size 0 and are taken 0 words of. Repeated rows each have a row; the
     null source is a source; null ids lie in one order with the rest. Reruns agree. `block` shrinks
     where sources are tiny, so that a target is never rounded by more than about half a percent.
-    Empty tables give no rows.
+    Very long texts are blocks like others. Other columns are not read. Empty tables give no rows.
     """
     return _laid(docs, [], weights, share, most, block, seed).select(
         "doc_id", "source", "size", "source_size", "target", "taken", "passes", "start", "end", "blocks", "quota", "shift", "block", "name", "shard"

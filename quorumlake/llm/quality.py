@@ -241,7 +241,8 @@ def judge(docs: DataFrame) -> DataFrame:
 
     Null texts hold no words and fail. Null languages and sources are groups like others. Rows that
     fail the base rules take no part in the estimates; d2 is null for them. Repeated rows each have
-    a row; an empty table gives none; clashing extra columns are not read.
+    a row; an empty table gives none; very long texts are read whole; clashing extra columns are not
+    read.
     """
     base = docs.select("doc_id", "lang", "source", "text")
     found = counts(base).drop("text").withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))

@@ -63,7 +63,8 @@ def judge(pages: DataFrame, rules: DataFrame, ranges: int | None = None, default
 
     rules(host, path, verdict): of all that fit, the longest (host and path together, then host)
     decides; urls no rule fits, null ones and those without a host get `default` and a null rule.
-    Of rules with equal host and path the smaller verdict counts. Repeated rows each have a row.
+    Of rules with equal host and path the smaller verdict counts. Repeated rows each have a row; an
+    empty table gives none, without rules all get `default`. Other columns are not read.
     """
     spark = pages.sparkSession
     ranges = ranges or int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -501,6 +501,11 @@ def test_runs_compact_to_the_same_answers(spark):
     one.drop(), two.drop()
 
 
+def test_language_reads_no_other_columns(docs):
+    whole, few = (sorted(map(tuple, langid.predict(d).collect()), key=str) for d in (docs, docs.select("text", "lang", "doc_id")))
+    assert whole == few and len(whole) == len(DOCS)
+
+
 def test_words_are_runs_of_letters_without_number_signs():
     signs = "".join(c for c in map(chr, range(0x110000)) if c.isnumeric() and not c.isalpha())
     slow = re.compile(rf"[^\W\d_{signs}]{{1,40}}")
