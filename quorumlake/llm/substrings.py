@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import hashlib
 import uuid
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -232,9 +233,6 @@ def repeated(seen: DataFrame, some_hot: bool) -> DataFrame:
     aggregation that combines before the shuffle; a document's repeats are its hot windows but those
     that it is itself the first to have, so no row of a hot window is joined.
     """
-    if some_hot:
-        seen = staged(seen, "windows")
-        release(seen.sparkSession)
     cold = seen.where("not hot") if some_hot else seen
     least = F.min("doc_id").over(Window.partitionBy("h1", "h2"))
     later = cold.select("h1", "doc_id", least.alias("least")).where("least < doc_id")
@@ -289,16 +287,20 @@ def deduplicate(
     size = own.agg(F.sum(F.size("hashes").cast("bigint")).alias("n"), F.percentile_approx("doc_id", [k / batches for k in range(1, batches)], 10_000).alias("cuts")).first()
     index = index or FingerprintIndex(spark, buckets=max(8, int(spark.conf.get("spark.sql.shuffle.partitions")), (size["n"] or 0) // 2_000_000))
     cuts = [None, *sorted(set(size["cuts"] or [])), None]
-    shared = None
+    told = []
     for low, high in zip(cuts[:-1], cuts[1:], strict=True):
         batch = own.where(F.lit(True) if low is None else F.col("doc_id") > low).where(F.lit(True) if high is None else F.col("doc_id") <= high)
-        found = index.ingest(batch.select(F.explode("hashes").alias("hash"), "doc_id"))
-        shared = found if shared is None else shared.unionByName(found)
+        told.append(index.ingest(batch.select(F.explode("hashes").alias("hash"), "doc_id")))
     if not lasting:
         index.drop()
     release(spark, own)
     texts = docs.select("doc_id", "text")
-    cut = repeated(shared_windows(texts if history is None else texts.unionByName(history.select("doc_id", "text")), shared, window, index.hot), bool(index.hot))
+    texts = texts if history is None else texts.unionByName(history.select("doc_id", "text"))
+    # texts move twice; what the first time leaves on disk goes before the second
+    seen = staged(shared_windows(texts, reduce(DataFrame.unionByName, told), window, index.hot), "windows")
+    release(spark, *told)
+    cut = staged(repeated(seen, bool(index.hot)), "cut")
+    release(spark, seen)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         sha, removed, kept, texts = [], [], [], []
