@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
@@ -188,7 +189,7 @@ def _prefixes(batch: pa.RecordBatch, verified: int, similarity: float) -> pa.Rec
 
 def _shingle_sets(batch: pa.RecordBatch, verified: int) -> pa.RecordBatch:
     grams = [np.unique(_shingles(text, verified).view(np.int64)) for text in batch.column(1).to_pylist()]
-    return pa.record_batch([batch.column(0), pa.array(grams, pa.list_(pa.int64()))], ["id", "grams"])
+    return pa.record_batch([batch.column(0), pa.array(grams, pa.list_(pa.int64()))], ["doc_id", "grams"])
 
 
 def _counts(keys: DataFrame) -> DataFrame:
@@ -223,6 +224,19 @@ def _marks(keys: DataFrame) -> np.ndarray:
     return np.unpackbits(out.view(np.uint8), bitorder="little").astype(bool)
 
 
+def _of_ids(rows: DataFrame, ids: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str) -> DataFrame:
+    """fn's rows, with doc_id as first column, for rows(doc_id, text) of ids. Texts don't move: those
+    whose ids have no mark are left where they are read, and what fn makes of the others meets ids."""
+    mark = F.xxhash64("doc_id").alias("key")
+    marked = _marks(ids.select(mark))
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch | None:
+        own = batch.filter(pa.array(marked[batch.column(2).to_numpy() & (MARKS - 1)]))
+        return fn(own.select([0, 1])) if own.num_rows else None
+
+    return map_arrow(rows.select("doc_id", "text", mark), run, schema).join(ids, "doc_id", "left_semi")
+
+
 def _rarer(batch: pa.RecordBatch, verified: int, similarity: float, common: np.ndarray) -> pa.RecordBatch:
     """Prefixes in another order: shingles marked common come last."""
     sizes, first = [], []
@@ -231,7 +245,7 @@ def _rarer(batch: pa.RecordBatch, verified: int, similarity: float, common: np.n
         late = common[grams & (MARKS - 1)]
         sizes.append(len(grams))
         first.append(np.concatenate([grams[~late], grams[late]])[: prefix_size(len(grams), similarity)])
-    return pa.record_batch([batch.column(0), pa.array(sizes, pa.int32()), pa.array(first, pa.list_(pa.int64()))], ["b", "size", "prefix"])
+    return pa.record_batch([batch.column(0), pa.array(sizes, pa.int32()), pa.array(first, pa.list_(pa.int64()))], ["doc_id", "size", "prefix"])
 
 
 def _rest(members: DataFrame, joined: DataFrame) -> DataFrame:
@@ -286,8 +300,8 @@ def _across(rest: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
 def groups(docs: DataFrame, similarity: float = 0.8, verified: int = 5) -> DataFrame:
     """(doc_id, group_id) for rows in a group of two or more: near copies by word shingles.
 
-    Documents are linked if their sets of `verified`-word shingles have Jaccard similarity of
-    `similarity` or more. Candidates share one of their prefix's shingles, the first by hash, which
+    Documents are linked if their sets of
+    `verified`-word shingles have Jaccard similarity of `similarity` or more. Candidates share one of their prefix's shingles, the first by hash, which
     all such pairs do (see prefix_size). Bitmaps then rule out the pairs that can't share enough (see
     most_shared), and the exact similarity decides on the rest. Small buckets compare all
     their pairs. The texts of larger ones get keys anew, with the large buckets' shingles last: any
@@ -302,7 +316,7 @@ def groups(docs: DataFrame, similarity: float = 0.8, verified: int = 5) -> DataF
     firsts = staged(known.groupBy("digest").agg(F.min("doc_id").alias("node"), F.count("*").alias("n")), "firsts")
     nodes = known.join(firsts.select("node"), known["doc_id"] == F.col("node"), "left_semi")
     keys = nodes.select(F.explode("prefix").alias("key"), F.col("doc_id").alias("b"), "size")
-    sets_of = lambda some: map_arrow(rows.join(some, "doc_id", "left_semi"), lambda b: _shingle_sets(b, verified), "id bigint, grams array<bigint>").dropDuplicates(["id"])
+    sets_of = lambda ids: _of_ids(rows, ids, lambda b: _shingle_sets(b, verified), "doc_id bigint, grams array<bigint>").dropDuplicates(["doc_id"]).toDF("id", "grams")
     counts = _counts(keys)
     members, common = _members(keys, counts), np.zeros(MARKS, bool)
     candidates, spent = _pairs(members, similarity), [counts]
@@ -316,8 +330,8 @@ def groups(docs: DataFrame, similarity: float = 0.8, verified: int = 5) -> DataF
         if turn == ROUNDS - 1:
             break
         common |= _marks(counts.where(F.col("n") > SMALL))
-        rarer = map_arrow(rows.join(hot, "doc_id", "left_semi"), lambda b, c=common.copy(): _rarer(b, verified, similarity, c), "b bigint, size int, prefix array<bigint>")
-        keys = staged(rarer.select(F.explode("prefix").alias("key"), "b", "size"), "keys")
+        rarer = _of_ids(rows, hot, lambda b, c=common.copy(): _rarer(b, verified, similarity, c), "doc_id bigint, size int, prefix array<bigint>")
+        keys = staged(rarer.select(F.explode("prefix").alias("key"), F.col("doc_id").alias("b"), "size"), "keys")
         spent += [members, hot]
         counts = _counts(keys)
         members = _members(keys, counts)
@@ -336,21 +350,23 @@ def groups(docs: DataFrame, similarity: float = 0.8, verified: int = 5) -> DataF
     wide = pairs.join(maps.toDF("a", "x", "n"), "a").join(maps.toDF("b", "y", "m"), "b").select("a", "b", "x", "y", "n", "m")
     close = staged(map_arrow(wide, lambda batch: _possible(batch, similarity), "a bigint, b bigint"), "close")
     release(spark, maps, pairs)
-    sets = staged(sets_of(close.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()), "sets")
+    ids = staged(close.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "ids")
+    sets = staged(sets_of(ids), "sets")
     left = close.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b")
     shared = F.size(F.array_intersect("x", "y"))
     linked = left.where((shared >= similarity * (F.size("x") + F.size("y") - shared)) & (F.size("x") > 0)).select("a", "b")
     copies = counted_join(known.select("doc_id", "digest"), firsts, "digest", known.count()).where("doc_id <> node")
     edges = staged(linked.unionByName(copies.select(F.col("node").alias("a"), F.col("doc_id").alias("b"))), "edges")
-    release(spark, sets, close, known, firsts)
+    release(spark, sets, ids, close, known, firsts)
     joined = staged(connected_components(edges, "a", "b"), "joined")
     if large is not None:
         rest = staged(_rest(large, joined), "rest")
         if not rest.isEmpty():
-            sets = staged(sets_of(rest.select(F.col("b").alias("doc_id")).distinct()), "sets")
+            ids = staged(rest.select(F.col("b").alias("doc_id")).distinct(), "ids")
+            sets = staged(sets_of(ids), "sets")
             across = staged(_across(rest, sets, similarity), "across")
             joined = staged(connected_components(edges.unionByName(across), "a", "b"), "joined")
-            discard(sets, across)
+            discard(ids, sets, across)
         discard(rest)
     release(spark, members, edges)
     return joined.select(F.col("node").alias("doc_id"), F.col("component").alias("group_id"))
