@@ -33,7 +33,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the smallest doc_id stays.
+    """Of each group of near copies the smallest doc_id stays: texts linked by operator 4's fingerprints,
+    or by shingles where fingerprints don't reach.
 
     Null and empty texts are copies of each other. Of rows with one id one stays; rows of null id all
     stay. An empty table gives none. Columns are kept as they are.

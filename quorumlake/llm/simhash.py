@@ -9,6 +9,8 @@ all their vectors, so every pair within the radius agrees on all that table v ke
 Texts of equal fingerprint are one node, so copies cost a row each. A bucket of few fingerprints
 compares its pairs. A larger one links around centres (see _around_centres): rows in proportion to
 its fingerprints, the same components, no pair left out.
+
+Groups of near copies (see groups) start from these classes and add what fingerprints don't reach.
 """
 
 from __future__ import annotations
@@ -298,9 +300,10 @@ def _across(rest: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
 
 
 def groups(docs: DataFrame, similarity: float = 0.8, verified: int = 5) -> DataFrame:
-    """(doc_id, group_id) for rows in a group of two or more: near copies by word shingles.
+    """(doc_id, group_id) for rows in a group of two or more: near copies by fingerprints and by shingles.
 
-    Documents are linked if their sets of
+    Documents are linked if their fingerprints are, by near_duplicates with its covering tables. These
+    don't reach all near copies, so documents of different classes are linked as well if their sets of
     `verified`-word shingles have Jaccard similarity of `similarity` or more. Candidates share one of their prefix's shingles, the first by hash, which
     all such pairs do (see prefix_size). Bitmaps then rule out the pairs that can't share enough (see
     most_shared), and the exact similarity decides on the rest. Small buckets compare all
@@ -311,6 +314,7 @@ def groups(docs: DataFrame, similarity: float = 0.8, verified: int = 5) -> DataF
     null ids belong to no group.
     """
     spark = docs.sparkSession
+    classes = staged(near_duplicates(docs.where("doc_id is not null")).where("doc_id <> component_id").select("doc_id", "component_id").distinct(), "classes")
     rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("bigint"), text_of().cast("binary").alias("text"))
     known = staged(map_arrow(rows, lambda b: _prefixes(b, verified, similarity), "doc_id bigint, digest binary, size int, prefix array<bigint>, bits binary"), "prefixes")
     firsts = staged(known.groupBy("digest").agg(F.min("doc_id").alias("node"), F.count("*").alias("n")), "firsts")
@@ -343,7 +347,9 @@ def groups(docs: DataFrame, similarity: float = 0.8, verified: int = 5) -> DataF
         centres = large.groupBy("key").agg(some.alias("some")).select("key", F.explode(F.array_distinct("some")).alias("c"))
         around = large.join(centres, "key").where("b <> c").select(F.least("b", "c").alias("a"), F.greatest("b", "c").alias("b"))
         candidates = candidates.unionByName(around)
-    pairs = staged(candidates.distinct(), "pairs")
+    of = lambda end: classes.select(F.col("doc_id").alias(end), F.col("component_id").alias(f"class_{end}"))
+    named = candidates.distinct().join(of("a"), "a", "left").join(of("b"), "b", "left")
+    pairs = staged(named.where(F.coalesce("class_a", "a") != F.coalesce("class_b", "b")).select("a", "b"), "pairs")
     release(spark, *spent)
     some = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
     maps = staged(nodes.join(some, "doc_id", "left_semi").select("doc_id", "bits", "size").dropDuplicates(["doc_id"]), "maps")
@@ -356,8 +362,9 @@ def groups(docs: DataFrame, similarity: float = 0.8, verified: int = 5) -> DataF
     shared = F.size(F.array_intersect("x", "y"))
     linked = left.where((shared >= similarity * (F.size("x") + F.size("y") - shared)) & (F.size("x") > 0)).select("a", "b")
     copies = counted_join(known.select("doc_id", "digest"), firsts, "digest", known.count()).where("doc_id <> node")
-    edges = staged(linked.unionByName(copies.select(F.col("node").alias("a"), F.col("doc_id").alias("b"))), "edges")
-    release(spark, sets, ids, close, known, firsts)
+    ends = lambda least: (F.col(least).alias("a"), F.col("doc_id").alias("b"))
+    edges = staged(linked.unionByName(copies.select(*ends("node"))).unionByName(classes.select(*ends("component_id"))), "edges")
+    release(spark, sets, ids, close, known, firsts, classes)
     joined = staged(connected_components(edges, "a", "b"), "joined")
     if large is not None:
         rest = staged(_rest(large, joined), "rest")

@@ -71,6 +71,19 @@ def test_no_pair_just_above_the_threshold_is_lost(spark):
     assert {i for i, _ in texts} - kept == want
 
 
+def test_near_copies_by_fingerprints_alone(spark):
+    """Operator 4's links hold in the stage, also where shingles are less alike than 0.8."""
+    rng, texts = random.Random(11), []
+    while len(texts) < 12:
+        w = prose(rng, 300)
+        near = [x if rng.random() > 0.045 else "typo" for x in w]
+        a, b = (simhash._fingerprint(" ".join(x).encode(), 3) for x in (w, near))
+        if (a ^ b).bit_count() <= 3 and jaccard(w, near) < 0.8:
+            texts += [(len(texts), " ".join(w)), (len(texts) + 1, " ".join(near))]
+    kept = {r.doc_id for r in P.drop_near_copies(spark, table(spark, texts), BIG).collect()}
+    assert kept == set(range(0, 12, 2))
+
+
 def test_copies_among_texts_of_shared_sentences(spark, monkeypatch):
     monkeypatch.setattr(simhash, "BLOCK", 1 << 14)
     rng, texts, own = random.Random(5), [], iter(range(10**6))
