@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quorumlake.llm.common import map_arrow, text_of
+from quorumlake.llm.common import kept, map_arrow, text_of
 from quorumlake.session import staged
 
 SHARD_SEQUENCES = 256
@@ -120,17 +120,11 @@ class _Encoder:
         return out
 
 
-_ENCODER: _Encoder | None = None
-
-
 def _encoder(path: str) -> _Encoder:
-    global _ENCODER
-    if _ENCODER is None or _ENCODER.path != path:
-        import os
+    import os
 
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        _ENCODER = _Encoder(path)
-    return _ENCODER
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    return kept(f"encoder {path}", lambda: _Encoder(path))
 
 
 def pieces(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_id: int = 2, with_ids: bool = False) -> DataFrame:

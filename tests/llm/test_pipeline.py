@@ -6,10 +6,11 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline as P
-from quorumlake.llm import simhash
+from quorumlake.llm import common, simhash
 
 BIG = "/root/testdata/sf0.01"
 pytestmark = pytest.mark.skipif(not os.path.isdir(BIG), reason="needs the driver's tables")
@@ -96,6 +97,20 @@ def test_copies_among_texts_of_shared_sentences(spark, monkeypatch):
     assert kept == set(range(60))
 
 
+def test_workers_leave_packings_cache_behind(spark):
+    """Near copies run in the workers that packing ran in, whose encoder counted as the executor's memory."""
+    docs = table(spark, [(i, f"some words of text {i}") for i in range(40)]).repartition(8)
+    assert P.pack_sequences(spark, docs, BIG).count() == 40
+
+    def held(batch):
+        import gc
+
+        n = sum(type(x).__name__ == "_Encoder" for x in gc.get_objects())
+        return pa.record_batch([pa.array([n] * batch.num_rows, pa.int64())], ["n"])
+
+    assert {r.n for r in common.map_arrow(docs.select("doc_id"), held, "n bigint").collect()} == {0}
+
+
 def test_stages(spark):
     docs = spark.read.parquet(f"{BIG}/documents.parquet")
     names, before = docs.columns, docs
