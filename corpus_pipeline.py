@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from quorumlake.llm import mixing, packing, simhash, substrings, toxicity
 from quorumlake.llm.common import read
 from quorumlake.llm.queries import TOKENIZER
+from quorumlake.operators.joins import marked, marks
 from quorumlake.session import staged
 
 #: A stage can't be put in SQL: fingerprints, learned weights and tokenizers are none.
@@ -49,7 +50,11 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     nothing. An empty table gives none. Other columns are kept; n_chars follows the text.
     """
     found = substrings.deduplicate(docs, with_text=True).where("n_removed > 0").select(F.col("doc_id").alias("__id"), "kept_text").dropDuplicates(["__id"])
-    wide = docs.join(staged(found, "cuts"), F.col("doc_id") == F.col("__id"), "left")
+    found = staged(found, "cuts")
+    # most documents lose nothing, and don't move
+    both = marked(docs, "doc_id", marks(found.select("__id")))
+    cut = both.where("__marked").join(found, F.col("doc_id") == F.col("__id"), "left").drop("__id")
+    wide = cut.unionByName(both.where("not __marked").withColumn("kept_text", F.lit(None).cast("string")))
     text = F.coalesce("kept_text", "text")
     out = wide.where("kept_text is null or kept_text <> ''").withColumn("text", text)
     return out.withColumn("n_chars", F.char_length("text").cast("bigint")).select(*docs.columns)

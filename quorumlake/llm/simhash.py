@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from quorumlake.llm.common import map_arrow, text_of
 from quorumlake.operators.components import connected_components
-from quorumlake.operators.joins import counted_join
+from quorumlake.operators.joins import counted_join, marked, marks, perhaps
 from quorumlake.session import discard, release, staged
 
 #: Fingerprints of a bucket up to which its pairs are compared one by one.
@@ -202,10 +202,12 @@ def _counts(keys: DataFrame) -> DataFrame:
 
 
 def _members(keys: DataFrame, counts: DataFrame) -> DataFrame:
-    """(key, b, size, n): the texts of each bucket; of buckets with the same texts, one."""
+    """(key, b, size, n): the texts of each bucket; of buckets with the same texts, one. Most keys are
+    those of no bucket, and don't move."""
     buckets = staged(counts.groupBy("n", "low", "high").agg(F.min("key").alias("key")).select("key", "n"), "buckets")
-    members = staged(keys.join(buckets, "key"), "members")
-    discard(buckets)
+    words = marks(buckets.select("key"))
+    members = staged(perhaps(keys, "key", words).join(buckets, "key"), "members")
+    discard(buckets, words)
     return members
 
 
@@ -227,8 +229,8 @@ def _marks(keys: DataFrame) -> np.ndarray:
 
 
 def _of_ids(rows: DataFrame, ids: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str) -> DataFrame:
-    """fn's rows, with doc_id as first column, for rows(doc_id, text) of ids. Texts don't move: those
-    whose ids have no mark are left where they are read, and what fn makes of the others meets ids."""
+    """fn's rows for rows(doc_id, text) of ids, and of a few others whose ids share a mark. Texts don't
+    move: those whose ids have no mark are left where they are read."""
     mark = F.xxhash64("doc_id").alias("key")
     marked = _marks(ids.select(mark))
 
@@ -236,7 +238,16 @@ def _of_ids(rows: DataFrame, ids: DataFrame, fn: Callable[[pa.RecordBatch], pa.R
         own = batch.filter(pa.array(marked[batch.column(2).to_numpy() & (MARKS - 1)]))
         return fn(own.select([0, 1])) if own.num_rows else None
 
-    return map_arrow(rows.select("doc_id", "text", mark), run, schema).join(ids, "doc_id", "left_semi")
+    return map_arrow(rows.select("doc_id", "text", mark), run, schema)
+
+
+def _but_copies(rows: DataFrame, firsts: DataFrame, words: DataFrame) -> DataFrame:
+    """The rows whose doc_id is a node of firsts. Only ids with a mark in words, made of all copies' ids,
+    may be none, so only their rows move."""
+    found = marked(rows, "doc_id", words)
+    # no semi join: Spark would do it before the marks are met
+    doubted = found.where("__marked").join(firsts.select("node").distinct(), F.col("doc_id") == F.col("node"))
+    return found.where("not __marked").select(*rows.columns).unionByName(doubted.select(*rows.columns))
 
 
 def _rarer(batch: pa.RecordBatch, verified: int, similarity: float, common: np.ndarray) -> pa.RecordBatch:
@@ -318,9 +329,12 @@ def groups(docs: DataFrame, similarity: float = 0.8, verified: int = 5) -> DataF
     rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("bigint"), text_of().cast("binary").alias("text"))
     known = staged(map_arrow(rows, lambda b: _prefixes(b, verified, similarity), "doc_id bigint, digest binary, size int, prefix array<bigint>, bits binary"), "prefixes")
     firsts = staged(known.groupBy("digest").agg(F.min("doc_id").alias("node"), F.count("*").alias("n")), "firsts")
-    nodes = known.join(firsts.select("node"), known["doc_id"] == F.col("node"), "left_semi")
+    same = counted_join(known.select("doc_id", "digest"), firsts, "digest", known.count()).where("doc_id <> node")
+    copies = staged(same.select("doc_id", "node"), "copies")
+    words = marks(copies.select("doc_id"))
+    nodes = _but_copies(known, firsts, words)
     keys = nodes.select(F.explode("prefix").alias("key"), F.col("doc_id").alias("b"), "size")
-    sets_of = lambda ids: _of_ids(rows, ids, lambda b: _shingle_sets(b, verified), "doc_id bigint, grams array<bigint>").dropDuplicates(["doc_id"]).toDF("id", "grams")
+    sets_of = lambda ids: _of_ids(rows, ids, lambda b: _shingle_sets(b, verified), "doc_id bigint, grams array<bigint>").join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"]).toDF("id", "grams")
     counts = _counts(keys)
     members, common = _members(keys, counts), np.zeros(MARKS, bool)
     candidates, spent = _pairs(members, similarity), [counts]
@@ -334,13 +348,14 @@ def groups(docs: DataFrame, similarity: float = 0.8, verified: int = 5) -> DataF
         if turn == ROUNDS - 1:
             break
         common |= _marks(counts.where(F.col("n") > SMALL))
-        rarer = _of_ids(rows, hot, lambda b, c=common.copy(): _rarer(b, verified, similarity, c), "doc_id bigint, size int, prefix array<bigint>")
-        keys = staged(rarer.select(F.explode("prefix").alias("key"), F.col("doc_id").alias("b"), "size"), "keys")
+        # a text beside hot ones adds candidates and hides none, so the few that share a mark may stay
+        rarer = staged(_of_ids(rows, hot, lambda b, c=common.copy(): _rarer(b, verified, similarity, c), "doc_id bigint, size int, prefix array<bigint>"), "rarer")
+        keys = _but_copies(rarer, firsts, words).select(F.explode("prefix").alias("key"), F.col("doc_id").alias("b"), "size")
         spent += [members, hot]
         counts = _counts(keys)
         members = _members(keys, counts)
         spent.append(counts)
-        release(spark, keys)
+        release(spark, rarer)
         candidates = candidates.unionByName(_pairs(members, similarity))
     if large is not None:
         some = F.array(*[F.min_by("b", F.xxhash64(F.lit(k), "b")) for k in range(PIVOTS)])
@@ -361,10 +376,9 @@ def groups(docs: DataFrame, similarity: float = 0.8, verified: int = 5) -> DataF
     left = close.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b")
     shared = F.size(F.array_intersect("x", "y"))
     linked = left.where((shared >= similarity * (F.size("x") + F.size("y") - shared)) & (F.size("x") > 0)).select("a", "b")
-    copies = counted_join(known.select("doc_id", "digest"), firsts, "digest", known.count()).where("doc_id <> node")
     ends = lambda least: (F.col(least).alias("a"), F.col("doc_id").alias("b"))
     edges = staged(linked.unionByName(copies.select(*ends("node"))).unionByName(classes.select(*ends("component_id"))), "edges")
-    release(spark, sets, ids, close, known, firsts, classes)
+    release(spark, sets, ids, close, known, firsts, classes, copies, words)
     joined = staged(connected_components(edges, "a", "b"), "joined")
     if large is not None:
         rest = staged(_rest(large, joined), "rest")

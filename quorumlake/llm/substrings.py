@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
 from quorumlake.llm.common import map_arrow, text_of
-from quorumlake.operators.joins import counted_join
+from quorumlake.operators.joins import counted_join, marks, perhaps
 from quorumlake.session import release, shared_dir, staged
 
 WINDOW, GRAM = 13, 5
@@ -201,6 +201,7 @@ def shared_windows(docs: DataFrame, shared: DataFrame, window: int = WINDOW, hot
     hot for those under a hot one."""
     hot_list = np.array(sorted(hot), np.int64)
     asked = shared.groupBy("doc_id").agg(F.collect_set("hash").alias("asked"))
+    texts = perhaps(_source(docs), "doc_id", marks(shared.select("doc_id")))
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch | None:
         ids, firsts, seconds, hots = [], [], [], []
@@ -222,7 +223,7 @@ def shared_windows(docs: DataFrame, shared: DataFrame, window: int = WINDOW, hot
         columns = [pa.array(np.concatenate(x), pa.int64()) for x in (firsts, seconds, ids)]
         return pa.record_batch([*columns, pa.array(np.concatenate(hots), pa.bool_())], ["h1", "h2", "doc_id", "hot"])
 
-    return map_arrow(_source(docs).join(asked, "doc_id"), run, "h1 bigint, h2 bigint, doc_id bigint, hot boolean")
+    return map_arrow(texts.join(asked, "doc_id"), run, "h1 bigint, h2 bigint, doc_id bigint, hot boolean")
 
 
 def repeated(seen: DataFrame, some_hot: bool) -> DataFrame:
@@ -314,7 +315,8 @@ def deduplicate(
             texts.append(b" ".join(rest).decode() if with_text else None)
         return pa.record_batch([batch.column(0), pa.array(sha, pa.binary()), pa.array(removed, pa.int64()), pa.array(kept, pa.binary()), pa.array(texts, pa.string())], ["doc_id", "sha", "removed", "kept", "kept_text"])
 
-    done = map_arrow(_source(docs).join(cut, "doc_id"), run, "doc_id bigint, sha binary, removed bigint, kept binary, kept_text string").dropDuplicates(["doc_id", "sha"])
+    texts = perhaps(_source(docs), "doc_id", marks(cut.select("doc_id")))
+    done = map_arrow(texts.join(cut, "doc_id"), run, "doc_id bigint, sha binary, removed bigint, kept binary, kept_text string").dropDuplicates(["doc_id", "sha"])
     empty = F.lit(hashlib.sha256(b"").digest())
     full = known.select("doc_id", "sha", "n_words").join(copies, ["doc_id", "sha"], "left").join(done, ["doc_id", "sha"], "left")
     is_copy = F.coalesce("copy", F.lit(False))

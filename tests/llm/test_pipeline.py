@@ -11,6 +11,7 @@ import pytest
 
 import corpus_pipeline as P
 from quorumlake.llm import common, simhash
+from quorumlake.operators import joins
 
 BIG = "/root/testdata/sf0.01"
 pytestmark = pytest.mark.skipif(not os.path.isdir(BIG), reason="needs the driver's tables")
@@ -111,6 +112,51 @@ def test_workers_leave_packings_cache_behind(spark):
     assert {r.n for r in common.map_arrow(docs.select("doc_id"), held, "n bigint").collect()} == {0}
 
 
+def moved(spark, run):
+    """(records, bytes) that run's stages write for shuffles, where no table is small enough to be broadcast unasked."""
+    context = spark.sparkContext
+    empty, quantiles = context._jvm.java.util.ArrayList(), context._gateway.new_array(context._jvm.double, 0)
+
+    def stages():
+        context._jsc.sc().listenerBus().waitUntilEmpty()
+        found = context._jsc.sc().statusStore().stageList(empty, False, False, quantiles, empty)
+        return [found.apply(i) for i in range(found.size())]
+
+    last = max((s.stageId() for s in stages()), default=-1)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        run()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    new = [s for s in stages() if s.stageId() > last]
+    return sum(s.shuffleWriteRecords() for s in new), sum(s.shuffleWriteBytes() for s in new)
+
+
+def test_near_copies_move_few_shingles_twice(spark, monkeypatch):
+    """Shingles are counted; those of no other text don't move again to meet the counts."""
+    monkeypatch.setattr(joins, "MARKS", 1 << 14, raising=False)
+    rng = random.Random(13)
+    base = [prose(rng, 800) for _ in range(300)]
+    texts = [(i, " ".join(w)) for i, w in enumerate(base)]
+    texts += [(1000 + i, f"typo {text}") for i, text in texts[:3]] + [(2000 + i, text.upper()) for i, text in texts[3:6]]
+    docs, kept = P.staged(table(spark, texts)), []
+    prefixes = sum(simhash.prefix_size(len(w) - 4, 0.8) for w in base)
+    records, _ = moved(spark, lambda: kept.extend(r.doc_id for r in P.drop_near_copies(spark, docs, BIG).select("doc_id").collect()))
+    assert sorted(kept) == list(range(300))
+    assert prefixes < records < 1.6 * prefixes
+
+
+def test_texts_without_repeats_stay_where_they_are(spark, monkeypatch):
+    monkeypatch.setattr(joins, "MARKS", 1 << 14, raising=False)
+    rng, shared = random.Random(17), "these sixteen words stand in two of the texts and in no other one of them"
+    texts = [(i, " ".join(f"{rng.getrandbits(60):x}" for _ in range(500))) for i in range(200)]
+    texts[150], texts[160] = (150, f"{texts[150][1]} {shared}"), (160, f"{shared} {texts[160][1]}")
+    docs, left = P.staged(table(spark, texts)), {}
+    _, size = moved(spark, lambda: left.update((r.doc_id, r.text) for r in P.cut_repeats(spark, docs, BIG).collect()))
+    assert left == dict(texts) | {160: texts[160][1][len(shared) + 1 :]}
+    assert size < 0.5 * sum(len(text) for _, text in texts)
+
+
 def test_stages(spark):
     docs = spark.read.parquet(f"{BIG}/documents.parquet")
     names, before = docs.columns, docs
