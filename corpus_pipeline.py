@@ -21,6 +21,10 @@ ORACLE_SQL = None
 #: Words of a block when sources are mixed: documents stay whole but for one block's rounding.
 MIX_BLOCK = 256
 
+#: Encoded strings that a packing worker keeps: fewer than in a query of its own, as executors still
+#: hold the memory that the stages before took.
+PACK_CACHE = 200_000
+
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a toxicity score of 0.5 or more go.
@@ -75,7 +79,7 @@ def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     Null and empty texts are one piece, the end token. Repeated rows and null ids are packed row by
     row. An empty table gives none. Other columns are not read.
     """
-    return packing.pack(docs, TOKENIZER)
+    return packing.pack(docs, TOKENIZER, cache=PACK_CACHE)
 
 
 STAGES = [

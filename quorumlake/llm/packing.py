@@ -48,10 +48,10 @@ class _Encoder:
     part (see PLAIN) is its letters and its marks, which recur more often still.
     """
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, cache: int = CACHE_ENTRIES) -> None:
         from tokenizers import Tokenizer
 
-        self.path, self.tokenizer = path, Tokenizer.from_file(path)
+        self.path, self.cache, self.tokenizer = path, cache, Tokenizer.from_file(path)
         suffix = self.tokenizer.model.end_of_word_suffix
         self.word_end = np.zeros(max(self.tokenizer.get_vocab().values()) + 1, bool)
         if suffix:
@@ -103,7 +103,7 @@ class _Encoder:
         self.ids, self.start, self.size = np.concatenate(ids), np.append(self.start, start), np.append(self.size, size)
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        if len(self.parts) > CACHE_ENTRIES:
+        if len(self.parts) > self.cache:
             self.forget()
         before, code = len(self.parts), self.parts.__getitem__
         coded = [None if "<|" in t else np.fromiter(map(code, t.replace("\n", " ").split(" ")), np.int64) for t in texts]
@@ -120,14 +120,14 @@ class _Encoder:
         return out
 
 
-def _encoder(path: str) -> _Encoder:
+def _encoder(path: str, cache: int) -> _Encoder:
     import os
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    return kept(f"encoder {path}", lambda: _Encoder(path))
+    return kept(f"encoder {path} {cache}", lambda: _Encoder(path, cache))
 
 
-def pieces(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_id: int = 2, with_ids: bool = False) -> DataFrame:
+def pieces(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_id: int = 2, with_ids: bool = False, cache: int = CACHE_ENTRIES) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens; with_ids adds its ids.
 
     Null and empty texts give one piece that holds end_id alone. Repeated rows and null ids give a
@@ -138,7 +138,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_id: int =
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         ids = batch.column(0).to_pylist()
         rows: list[tuple] = []
-        for doc, own in zip(ids, _encoder(tokenizer).encode(batch.column(1).to_pylist()), strict=True):
+        for doc, own in zip(ids, _encoder(tokenizer, cache).encode(batch.column(1).to_pylist()), strict=True):
             own = np.append(own, end).astype("<i4")
             for start in range(0, len(own), capacity):
                 part = own[start : start + capacity]
@@ -178,13 +178,14 @@ def balance(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]
     return sequence, offset
 
 
-def pack(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_id: int = 2, with_ids: bool = False) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_id: int = 2, with_ids: bool = False, cache: int = CACHE_ENTRIES) -> DataFrame:
     """The pieces of docs with sequence_id and offset; offsets of a sequence run gapless from 0.
 
     Every id of every document lies in exactly one piece. Ties in length and cost go by doc_id and
-    start, then by sequence number, so a rerun packs alike. An empty table gives no rows.
+    start, then by sequence number, so a rerun packs alike. An empty table gives no rows. Of `cache`,
+    the encoded strings that a worker keeps, only time and memory depend.
     """
-    found = staged(pieces(docs, tokenizer, capacity, end_id, with_ids), "pieces")
+    found = staged(pieces(docs, tokenizer, capacity, end_id, with_ids, cache), "pieces")
     total = found.agg(F.sum("length")).first()[0] or 0
     shards = max(1, round(total / (capacity * SHARD_SEQUENCES)))
     schema = PIECES + ", ids array<int>" * with_ids + ", sequence_id bigint, offset bigint"
