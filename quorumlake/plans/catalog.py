@@ -908,8 +908,8 @@ def stream_partition(spark, d):
     cells = fx.cells(spark, d).select(*PAIR, "epoch", "source", "vote")
     landed = stream.landed(cells, "epoch", "source", *PAIR)
     kept = live.LivePartition(spark, f"{landed}-partition")
-    changed = stream.stateful_decisions(stream.read_files(spark, landed, cells.schema), N, fx.THRESHOLD, only_changes=True)
-    stream.run_updates(changed, kept.apply, f"{landed}-checkpoint")
+    decided = stream.cell_decisions(stream.read_files(spark, landed, cells.schema), N, fx.THRESHOLD)
+    stream.run_updates(decided, kept.follow, f"{landed}-checkpoint")
     return fx.handles(spark, d).join(kept.membership(), "handle", "left").select("handle", F.coalesce("label", "handle").alias("label"))
 
 

@@ -4,10 +4,11 @@ A handle's label depends on its component of the SAME graph alone. A batch of ch
 therefore touches the components of its ends and no others: these are taken apart, joined with what
 the batch brings, and built anew; all other components stay where they are, unread.
 
-State is three append-only tables, each row under the batch that wrote it: `index` (handle to
-component), `members` and `edges` of components. A component's rows are those of its last batch; one
-that has dissolved leaves a row without content. Tables are dealt in buckets by key, so looking up
-touched keys reads their buckets. Old batches are folded into one from time to time.
+State is four append-only tables, each row under the batch that wrote it: `votes` (the last one taken
+of each relation), `index` (handle to component), `members` and `edges` of components. A component's
+rows are those of its last batch; one that has dissolved leaves a row without content. Tables are dealt
+in buckets by key, so looking up touched keys reads their buckets. Old batches are folded into one from
+time to time.
 
 Touched components of up to FOLD_EDGES edges together are built in one task, more by the distributed
 partition; both give the same labels.
@@ -16,7 +17,7 @@ partition; both give the same labels.
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quorumlake.operators.partition import FOLD_EDGES, fold, partition_within
@@ -26,14 +27,19 @@ from quorumlake.session import discard, staged
 #: Buckets of each table; batches after which a table is folded into one.
 BUCKETS, BATCHES = 64, 16
 
-#: Key and columns of each table.
+#: Key, columns and, null in a row without content, a column of each table.
 TABLES = {
-    "index": ("handle", "handle string, component string"),
-    "members": ("component", "component string, handle string, label string"),
-    "edges": ("component", "component string, h_left string, h_right string, vote string"),
+    "votes": (PAIR, "h_left string, h_right string, vote string", "vote"),
+    "index": (["handle"], "handle string, component string", "handle"),
+    "members": (["component"], "component string, handle string, label string", "handle"),
+    "edges": (["component"], "component string, h_left string, h_right string, vote string", "h_left"),
 }
 
 
+#: Rows that are no relation, an error.
+DISORDER = "h_left is null or h_right is null or h_left >= h_right"
+
+
 def _built(edges: pd.DataFrame) -> pd.DataFrame:
     """(handle, label, component) of all ends of a bounded number of edges."""
     pairs = list(zip(edges["h_left"], edges["h_right"], strict=True))
@@ -42,6 +48,11 @@ def _built(edges: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"handle": list(labels), "label": list(labels.values()), "component": [whole.get(h, h) for h in labels]})
 
 
+def _stands(vote: str) -> Column:
+    """The vote of an edge, else null."""
+    return F.when(F.col(vote).isin(SAME, DIFFERENT), F.col(vote))
+
+
 class LivePartition:
     """The partition kept in a shared folder. apply() takes batches in the order of their numbers; one
     that is applied again replaces what it wrote. `read` tells, for each batch applied here, how many
@@ -62,35 +73,51 @@ class LivePartition:
 
     def _rows(self, table: str, below: int, keys: DataFrame | None = None) -> DataFrame:
         """The newest rows of all keys, or of those in `keys`, from batches below a number."""
-        key, columns = TABLES[table]
+        key, columns, _ = TABLES[table]
         paths = [f"{self.folder}/{table}/batch={n}" for n in self._numbers(table) if n < below]
         if not paths:
             return self.spark.createDataFrame([], columns)
         rows = self.spark.read.schema(f"{columns}, batch bigint, bucket int").option("basePath", f"{self.folder}/{table}").parquet(*paths)
         if keys is not None:
-            wanted = keys.select(key, self._bucket(key).alias("bucket"))
+            wanted = keys.select(*key, self._bucket(key).alias("bucket"))
             which = [r[0] for r in wanted.select("bucket").distinct().collect()]  # at most `buckets`
-            rows = rows.where(F.col("bucket").isin(which)).join(wanted, [key, "bucket"], "left_semi")
-        newest = rows.groupBy(key).agg(F.max("batch").alias("batch"))
-        return rows.join(newest, [key, "batch"]).drop("batch", "bucket")
+            rows = rows.where(F.col("bucket").isin(which)).join(wanted, [*key, "bucket"], "left_semi")
+        newest = rows.groupBy(*key).agg(F.max("batch").alias("batch"))
+        return rows.join(newest, [*key, "batch"]).drop("batch", "bucket")
 
-    def _bucket(self, key: str):  # noqa: ANN202
-        return F.pmod(F.xxhash64(key), F.lit(self.buckets)).cast("int")
+    def _bucket(self, key: list[str]):  # noqa: ANN202
+        return F.pmod(F.xxhash64(*key), F.lit(self.buckets)).cast("int")
 
     def _write(self, table: str, rows: DataFrame, number: int) -> None:
         dealt = rows.withColumn("bucket", self._bucket(TABLES[table][0]))
         dealt.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.folder}/{table}/batch={number}")
 
+    def _ready(self, at: int) -> None:
+        """Fold tables of many batches; give a folder from before votes were kept those of its edges."""
+        for table in TABLES:
+            if len([n for n in self._numbers(table) if n < at]) > self.batches:
+                self._fold(table, at - 1)
+        if not any(n < at for n in self._numbers("votes")) and any(n < at for n in self._numbers("edges")):
+            self._write("votes", self._rows("edges", at).where("h_left is not null").select(*PAIR, "vote").distinct(), at - 1)
+
+    def follow(self, decided: DataFrame, number: int) -> None:
+        """Take decisions as apply() does, but only those whose vote is another than the last one taken of
+        their relation. One of which none was taken is unknown, and its handles are not known by it."""
+        at = 2 * number
+        self._ready(at)
+        rows = staged(decided.select(*PAIR, _stands("vote").alias("vote")), "decided")
+        known = self._rows("votes", at, rows).withColumnRenamed("vote", "was")
+        self.apply(rows.join(known, PAIR, "left").where(~F.col("vote").eqNullSafe(F.col("was")) | F.expr(DISORDER)), number)
+        discard(rows)
+
     def apply(self, changes: DataFrame, number: int) -> None:
         """Take changed decisions(h_left, h_right, vote), a row a relation. Any vote but SAME and
         DIFFERENT, or null, takes the relation out. Handles never seen before are their own component;
         a relation of one handle with itself, or with null, is an error."""
         at = 2 * number  # odd numbers are folded tables
-        for table in TABLES:
-            if len([n for n in self._numbers(table) if n < at]) > self.batches:
-                self._fold(table, at - 1)
-        rows = staged(changes.select(*PAIR, "vote"), "changes")
-        if not rows.where("h_left is null or h_right is null or h_left >= h_right").isEmpty():
+        self._ready(at)
+        rows = staged(changes.select(*PAIR, _stands("vote").alias("vote")), "changes")
+        if not rows.where(DISORDER).isEmpty():
             raise ValueError("relations need two handles in order")
         if rows.isEmpty():
             return
@@ -99,7 +126,7 @@ class LivePartition:
         touched = staged(found.select("component").distinct(), "touched")
         handles = staged(self._rows("members", at, touched).where("handle is not null").select("handle").union(ends).distinct(), "affected")
         old = self._rows("edges", at, touched).where("h_left is not null").select(*PAIR, "vote").distinct()
-        edges = old.join(rows, PAIR, "left_anti").unionByName(rows.where(F.col("vote").isin(SAME, DIFFERENT)))
+        edges = old.join(rows, PAIR, "left_anti").unionByName(rows.where("vote is not null"))
         edges = staged(edges, "open")
         left, right = (handles.withColumnRenamed("handle", c) for c in PAIR)
         inside = edges.join(left, "h_left", "left_semi").join(right, "h_right", "left_semi")
@@ -117,6 +144,7 @@ class LivePartition:
         sides = [edges.join(new.select(F.col("handle").alias(c), "component"), c).select("component", *PAIR, "vote") for c in PAIR]
         kept = staged(sides[0].unionByName(sides[1]).distinct(), "kept")
         bare = ids.join(kept, "component", "left_anti").select("component", *[F.lit(None).cast("string").alias(c) for c in (*PAIR, "vote")])
+        self._write("votes", rows, at)
         self._write("members", new.select("component", "handle", "label").unionByName(empty), at)
         self._write("edges", kept.unionByName(bare), at)
         self._write("index", new.select("handle", "component"), at)
@@ -126,9 +154,8 @@ class LivePartition:
     def _fold(self, table: str, at: int) -> None:
         """One batch in place of all before it. A fold that is cut off leaves no _SUCCESS and is not
         read; one that has ended holds all that the batches it replaces did."""
-        content = "handle is not null" if table != "edges" else "h_left is not null"
         done = [n for n in self._numbers(table) if n < at]
-        self._write(table, self._rows(table, at).where(content), at)
+        self._write(table, self._rows(table, at).where(f"{TABLES[table][2]} is not null"), at)
         for n in done:
             path, fs = self._path(f"{table}/batch={n}")
             fs.delete(path, True)

@@ -1,7 +1,9 @@
 """Streams with floors, the partition that follows them, digests, floor rounds and agreement."""
 
 import json
+import os
 import random
+import shutil
 import tempfile
 
 import pytest
@@ -9,6 +11,7 @@ from pyspark.sql import functions as F
 
 from quorumlake.operators import agreement, digests, replication
 from quorumlake.operators.partition import partition
+from quorumlake.plans import catalog
 from quorumlake.schema import CELL, KEY
 from quorumlake.sources import records
 from quorumlake.streaming import ingest as stream
@@ -50,6 +53,69 @@ def test_streamed_floors_restart_and_fold(spark):
         stream.floor_decisions(spark.readStream.schema(ROW).parquet(f"{base}/in/*"), 3, 2, f"{base}/state")
 
 
+def test_cells_without_floors_are_decided_without_python(spark):
+    """Repeats, late epochs and restarts end in the decisions of all cells; a clash of votes is an error."""
+    rng, base, sources = random.Random(5), tempfile.mkdtemp(prefix="spark-"), [f"v{i}" for i in range(3)]
+    cells = {(f"h{r}", f"h{r + 1}", e, s): rng.choice(["same", "same", "different", "unknown"]) for r in range(20) for e in rng.sample(range(40), 6) for s in sources if rng.random() < 0.8}
+    cells |= {("x", "y", e, f"v{i}"): "same" for e, n in ((1, 2), (2, 3), (3, 4), (4, 1)) for i in range(n)}  # four sources are as little all three as two are
+    rows = [(*k, v) for k, v in cells.items()] * 2
+    rng.shuffle(rows)
+    out, said = {}, lambda batch, _: out.update({(r.h_left, r.h_right): tuple(r) for r in batch.collect()})
+
+    def run(part):
+        spark.createDataFrame(part, ROW).coalesce(1).write.parquet(f"{base}/in/{len(os.listdir(f'{base}/in')) if os.path.isdir(f'{base}/in') else 0}")
+        found = stream.cell_decisions(spark.readStream.schema(ROW).parquet(f"{base}/in/*"), 3, 2)
+        assert "Python" not in (plan := found._jdf.queryExecution().analyzed().toString()) and "Pandas" not in plan
+        stream.run_updates(found, said, f"{base}/log")
+
+    for n in range(3):
+        run(rows[n::3])
+        votes = {}
+        for a, b, e, s, v in [r for k in range(n + 1) for r in rows[k::3]]:
+            votes.setdefault((a, b), {}).setdefault(e, {})[s] = v
+        want = {}
+        for pair, by in votes.items():
+            sealed, e = max((len(v) == 3, e) for e, v in by.items())
+            own = list(by[e].values())
+            want[pair] = (*pair, e, sealed, "unknown" if not sealed else "different" if "different" in own else "same" if own.count("same") >= 2 else "unknown")
+        assert out == want
+    assert out["x", "y"] == ("x", "y", 2, True, "same")
+    with pytest.raises(Exception, match="equivocation"):
+        run([("x", "y", 4, "v0", "different")])
+
+
+def test_known_decisions_touch_nothing(spark):
+    """Decisions that stand already, and unknown ones of new relations, open no component."""
+    schema, folder = "h_left string, h_right string, vote string", tempfile.mkdtemp(prefix="spark-")
+    kept = LivePartition(spark, folder, buckets=4, batches=1)
+    rows = [("a", "b", "same"), ("b", "c", "same"), ("a", "c", "different"), ("d", "e", "unknown")]
+    kept.follow(spark.createDataFrame(rows, schema), 0)
+    kept.follow(spark.createDataFrame([*rows[1:], ("f", "g", None)], schema), 1)
+    with pytest.raises(ValueError, match="order"):
+        kept.follow(spark.createDataFrame([("b", "a", "unknown")], schema), 2)
+    assert set(kept.read) == {0} and rows_of(kept.membership()) == [("a", "a"), ("b", "a"), ("c", "c")]
+    kept.follow(spark.createDataFrame([rows[1], ("a", "c", None), ("c", "d", "same")], schema), 3)
+    assert kept.read[3] == {"components": 2, "handles": 4, "edges": 3}
+    kept.follow(spark.createDataFrame([("a", "b", "unknown"), ("c", "d", "same")], schema), 4)
+    kept.follow(spark.createDataFrame([("a", "b", "unknown")], schema), 5)  # its votes are folded by now
+    assert set(kept.read) == {0, 3, 4} and rows_of(kept.membership()) == [("a", "a"), ("b", "b"), ("c", "b"), ("d", "b")]
+    before = tempfile.mkdtemp(prefix="spark-")  # a folder from before votes were kept
+    for table in ("index", "members", "edges"):
+        shutil.copytree(f"{folder}/{table}", f"{before}/{table}")
+    kept = LivePartition(spark, before, buckets=4)
+    kept.follow(spark.createDataFrame([("b", "c", "unknown"), ("c", "d", "same")], schema), 6)
+    assert rows_of(kept.membership()) == [("a", "a"), ("b", "b"), ("c", "c"), ("d", "c")]
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="needs the driver's tables")
+def test_streamed_partition_is_the_whole_one_without_python_state(spark, monkeypatch):
+    plans, run = [], stream.run_updates
+    monkeypatch.setattr(stream, "run_updates", lambda updates, *rest: (plans.append(updates._jdf.queryExecution().analyzed().toString()), run(updates, *rest)))
+    got, want = (catalog.queries()[name](spark, "/root/testdata/sf0.001") for name in ("stream_partition", "materialize"))
+    assert rows_of(got.select("handle", "label")) == rows_of(want.select("handle", "label"))
+    assert len(plans) == 1 and "Python" not in plans[0] and "Pandas" not in plans[0]
+
+
 def test_live_partition_equals_the_whole_one(spark):
     """Edges come, turn and go; after each batch all labels are those of a partition made anew."""
     rng, decided = random.Random(8), {}
