@@ -3,9 +3,9 @@
 SAME edges are taken in lexical order; an edge joins two components unless a DIFFERENT edge lies
 between them. Joins happen along SAME edges alone, so a component of the SAME graph with no
 DIFFERENT edge inside is accepted whole, and others can be worked on apart. A conflicted component
-of up to FOLD_EDGES edges is folded in one task. A larger one is contracted in rounds: the first
-open edge of both its ends is decided, as no earlier edge can touch either, and components, edges
-and vetoes are relabelled by joins. Both give the sequential result.
+of up to FOLD_EDGES edges is folded in one task, small ones many in one call. A larger one is
+contracted in rounds: the first open edge of both its ends is decided, as no earlier edge can touch
+either, and components, edges and vetoes are relabelled by joins. Both give the sequential result.
 """
 
 from __future__ import annotations
@@ -20,7 +20,8 @@ from quorumlake.operators.ranks import ranked
 from quorumlake.schema import DIFFERENT, PAIR, SAME, UNKNOWN, Evidence
 from quorumlake.session import discard, staged
 
-FOLD_EDGES = 200_000
+#: SAME edges of a component, at most, and of several small ones, on average, that a task folds at once.
+FOLD_EDGES, DEAL_EDGES = 200_000, 20_000
 LABEL = "handle string, label string"
 
 
@@ -52,7 +53,9 @@ def fold(edges: list[tuple[str, str]], vetoes: list[tuple[str, str]]) -> dict[st
     return {h: find(h) for h in parent}
 
 
-def _folded(same: DataFrame, vetoes: DataFrame) -> DataFrame:
+def _folded(same: DataFrame, vetoes: DataFrame, deals: int) -> DataFrame:
+    """(handle, label) of small components, many at once: no edge touches two of them, so a fold over
+    several is the fold of each, and a component is no call of its own."""
     rows = same.select("cc", *PAIR, F.lit(True).alias("same")).unionByName(vetoes.select("cc", *PAIR, F.lit(False).alias("same")))
 
     def run(part: pd.DataFrame) -> pd.DataFrame:
@@ -60,7 +63,7 @@ def _folded(same: DataFrame, vetoes: DataFrame) -> DataFrame:
         labels = fold([p for p, s in zip(pairs, part["same"], strict=True) if s], [p for p, s in zip(pairs, part["same"], strict=True) if not s])
         return pd.DataFrame({"handle": list(labels), "label": list(labels.values())})
 
-    return rows.groupBy("cc").applyInPandas(run, LABEL)
+    return rows.groupBy(F.pmod(F.xxhash64("cc"), F.lit(deals)).alias("deal")).applyInPandas(run, LABEL)
 
 
 def _contracted(same: DataFrame, vetoes: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -115,7 +118,8 @@ def _labels(decided: DataFrame, component_veto: bool, fold_edges: int) -> tuple[
         small, large = sizes.where(F.col("n") <= fold_edges).select("cc"), sizes.where(F.col("n") > fold_edges).select("cc")
         pick = lambda df, which: df.join(which, "cc", "left_semi")
         edges = at(same)
-        labels = _folded(pick(edges, small), pick(inside, small))
+        n = sizes.where(F.col("n") <= fold_edges).agg(F.sum("n")).first()[0] or 0
+        labels = _folded(pick(edges, small), pick(inside, small), n // DEAL_EDGES + 1)
         if not large.isEmpty():
             order = F.struct(F.col("h_left").alias("p"), F.col("h_right").alias("q"))
             never = F.lit(None).cast("struct<p:string,q:string>").alias("since")

@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quorumlake.operators import agreement, digests, replication
+from quorumlake.operators import partition as partitions
 from quorumlake.operators.partition import partition
 from quorumlake.plans import catalog
 from quorumlake.schema import CELL, KEY
@@ -116,6 +117,22 @@ def test_streamed_partition_is_the_whole_one_without_python_state(spark, monkeyp
     assert len(plans) == 1 and "Python" not in plans[0] and "Pandas" not in plans[0]
 
 
+def test_small_components_are_folded_together(spark, monkeypatch):
+    """Components of several deals, and of one, have the labels of a fold over all edges."""
+    rng = random.Random(6)
+    decided = {(f"c{k}x{a}", f"c{k}x{b}"): rng.choice(["same", "same", "different"]) for k in range(30) for a in range(7) for b in range(a + 1, 7) if rng.random() < 0.6}
+    decided |= {(f"c{k}x0", f"c{k + 1}x0"): "different" for k in range(9)}
+    frame = spark.createDataFrame([(*k, v) for k, v in decided.items()], "h_left string, h_right string, vote string")
+    handles = spark.createDataFrame([(x,) for k in decided for x in k], "handle string")
+    want = sorted(partitions.fold(*([k for k, v in decided.items() if v == vote] for vote in ("same", "different"))).items())
+    for deal in (40, 20_000):
+        monkeypatch.setattr(partitions, "DEAL_EDGES", deal)
+        assert rows_of(partition(handles, frame)) == want
+    same, different = (frame.where(f"vote = '{vote}' and left(h_left, 3) = left(h_right, 3)").withColumn("cc", F.expr("left(h_left, 3)")) for vote in ("same", "different"))
+    plan = partitions._folded(same, different, 1)._jdf.queryExecution().analyzed().toString()
+    assert "FlatMapGroupsInPandas [deal#" in plan  # a call for each component, before
+
+
 def test_live_partition_equals_the_whole_one(spark):
     """Edges come, turn and go; after each batch all labels are those of a partition made anew."""
     rng, decided = random.Random(8), {}
